@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from terralith.llm import mixing
+from terralith.llm import archive, mixing, rules
 from terralith.llm.common import read
 
 QUERIES = {
     "op3_mixing": lambda spark, sf_dir: mixing.digest(read(spark, sf_dir, "documents")),
+    "op5_warc": lambda spark, sf_dir: archive.digest(read(spark, sf_dir, "pages")),
+    "op8_quality_rules": lambda spark, sf_dir: rules.judged(read(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
     "op3_mixing": mixing.ORACLE,
+    "op5_warc": archive.ORACLE,
+    "op8_quality_rules": rules.ORACLE,
 }
