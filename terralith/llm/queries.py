@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, mixing, rules
+from terralith.llm import archive, mixing, packing, rules
 from terralith.llm.common import read
 
 QUERIES = {
     "op3_mixing": lambda spark, sf_dir: mixing.digest(read(spark, sf_dir, "documents")),
     "op5_warc": lambda spark, sf_dir: archive.digest(read(spark, sf_dir, "pages")),
+    "op7_packing": lambda spark, sf_dir: packing.packed_documents(read(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: rules.judged(read(spark, sf_dir, "documents")),
 }
 
