@@ -255,7 +255,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODE
 
 
 def _pack(capacity: int, nodes: int):
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         number, offset = pack_lengths(table.column("length").to_pylist(), capacity, nodes)
         ids = pa.array(number + (int(key[0].as_py()) << 32), pa.int64())
         return table.drop_columns(["pack_group"]).append_column("sequence_id", ids).append_column("offset", pa.array(offset, pa.int64()))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, mixing, packing, rules
+from terralith.llm import archive, lines, mixing, packing, rules, simhash
 from terralith.llm.common import read
 
 QUERIES = {
+    "op2_line_dedup": lambda spark, sf_dir: lines.digest(read(spark, sf_dir, "documents")),
     "op3_mixing": lambda spark, sf_dir: mixing.digest(read(spark, sf_dir, "documents")),
     "op5_warc": lambda spark, sf_dir: archive.digest(read(spark, sf_dir, "pages")),
+    "op6_simhash": lambda spark, sf_dir: simhash.digest(read(spark, sf_dir, "documents")),
     "op7_packing": lambda spark, sf_dir: packing.packed_documents(read(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: rules.judged(read(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
+    "op2_line_dedup": lines.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op5_warc": archive.ORACLE,
     "op8_quality_rules": rules.ORACLE,
