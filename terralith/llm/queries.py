@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, lines, mixing, packing, perplexity, rules, simhash
+from terralith.llm import archive, lines, mixing, ngram_filter, packing, perplexity, rules, simhash
 from terralith.llm.common import read
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": lambda spark, sf_dir: simhash.digest(read(spark, sf_dir, "documents")),
     "op7_packing": lambda spark, sf_dir: packing.packed_documents(read(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: rules.judged(read(spark, sf_dir, "documents")),
+    "op10_lm_scoring": lambda spark, sf_dir: ngram_filter.scored(read(spark, sf_dir, "documents")),
     "op9_quality_classifier": lambda spark, sf_dir: perplexity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
 }
 
