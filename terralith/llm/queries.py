@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, lines, mixing, ngram_filter, packing, perplexity, rules, simhash
+from terralith.llm import archive, lines, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity
 from terralith.llm.common import read
 
 QUERIES = {
     "op2_line_dedup": lambda spark, sf_dir: lines.digest(read(spark, sf_dir, "documents")),
     "op3_mixing": lambda spark, sf_dir: mixing.digest(read(spark, sf_dir, "documents")),
+    "op4_toxicity": lambda spark, sf_dir: toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op5_warc": lambda spark, sf_dir: archive.digest(read(spark, sf_dir, "pages")),
     "op6_simhash": lambda spark, sf_dir: simhash.digest(read(spark, sf_dir, "documents")),
     "op7_packing": lambda spark, sf_dir: packing.packed_documents(read(spark, sf_dir, "documents")),
