@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, lines, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity
+from terralith.llm import archive, lines, media, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity
 from terralith.llm.common import read
 
 QUERIES = {
+    "op1_media": lambda spark, sf_dir: media.digest(read(spark, sf_dir, "documents")),
     "op2_line_dedup": lambda spark, sf_dir: lines.digest(read(spark, sf_dir, "documents")),
     "op3_mixing": lambda spark, sf_dir: mixing.digest(read(spark, sf_dir, "documents")),
     "op4_toxicity": lambda spark, sf_dir: toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
