@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from terralith.plans import footprint_queries
+
+QUERIES: dict = {**footprint_queries.Q}
+ORACLES: dict = {**footprint_queries.O}
