@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.plans import footprint_queries, network_queries
+from terralith.plans import footprint_queries, network_queries, place_queries
 
-QUERIES: dict = {**footprint_queries.Q, **network_queries.Q}
-ORACLES: dict = {**footprint_queries.O, **network_queries.O}
+QUERIES: dict = {**footprint_queries.Q, **network_queries.Q, **place_queries.Q}
+ORACLES: dict = {**footprint_queries.O, **network_queries.O, **place_queries.O}
