@@ -21,6 +21,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terralith.llm.common import text_bytes
 
@@ -33,7 +34,7 @@ CEILING = 2.0
 SEED = "mix-1"
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     return pa.array([len(t.split()) if t else 0 for t in texts.to_pylist()], pa.int64())
 

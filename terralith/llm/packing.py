@@ -58,7 +58,7 @@ class WordIds(dict):
 
     def __missing__(self, unit: bytes) -> bytes:
         word = unit.decode()
-        if len(unit) > 1 and unit[-1] in b".," and word[-2] < "ɐ" and word[-2].isalpha():
+        if len(unit) > 1 and unit[-1] in b".," and word[-2] < "ɐ" and word[-2].isalpha() and len(word[-2].lower()) == 1:
             ids = self[unit[:-1]] + self[unit[-1:]]
         elif unit.isascii() and (low := unit.lower()) != unit:
             ids = self[low]
