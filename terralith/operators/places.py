@@ -77,13 +77,27 @@ def point_model(kind: Column, height: Column, material: Column) -> Column:
     return F.struct(F.when(kind == "chimney", chimney).otherwise(mast).alias("model"), (metres / native).alias("scale"))
 
 
-def quiet_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Ways (patch_id, way_id, nth, ring) without those around an accepted node (patch_id, x, y), then without those around an earlier way's centre."""
-    here = ways.join(nodes, ["patch_id"]).where(rings.inside_winding(F.col("ring"), F.col("x"), F.col("y"))).select("patch_id", "way_id").distinct()
-    free = ways.join(here, ["patch_id", "way_id"], "left_anti")
-    centre = free.select("patch_id", F.col("nth").alias("before"), rings.closed_mean(F.col("ring")).alias("c"))
-    later = free.join(centre, "patch_id").where((F.col("before") < F.col("nth")) & rings.inside_winding(F.col("ring"), F.col("c.x"), F.col("c.y"))).select("patch_id", "way_id").distinct()
-    return free.join(later, ["patch_id", "way_id"], "left_anti")
+def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFrame:
+    """Ways (patch_id, way_id, nth, ring) without those around an accepted node (patch_id, x, y), then without those around an earlier way's centre.
+
+    Ways are listed in the cells that their boxes touch, points in their own.
+    """
+    def listed(df: DataFrame) -> DataFrame:
+        box = df.select("patch_id", "way_id", "nth", "ring", F.inline(F.array(F.struct(rings.bbox(F.col("ring")).alias("box")))))
+        at = lambda side: F.floor(F.col(f"box.{side}") / cell).cast("int")
+        wide = box.select("*", F.explode(F.sequence(at("min_x"), at("max_x"))).alias("gx"))
+        return wide.select("*", F.explode(F.sequence(at("min_y"), at("max_y"))).alias("gy"))
+
+    def celled(points: DataFrame) -> DataFrame:
+        return points.withColumns({"gx": F.floor(F.col("x") / cell).cast("int"), "gy": F.floor(F.col("y") / cell).cast("int")})
+
+    key, cells = ["patch_id", "way_id"], ["patch_id", "gx", "gy"]
+    around = rings.inside_winding(F.col("ring"), F.col("x"), F.col("y"))
+    here = listed(ways).join(celled(nodes), cells).where(around).select(*key).distinct()
+    free = ways.join(here, key, "left_anti")
+    centre = free.select("patch_id", F.col("nth").alias("before"), rings.closed_mean(F.col("ring")).alias("c")).select("patch_id", "before", "c.x", "c.y")
+    later = listed(free).join(celled(centre), cells).where((F.col("before") < F.col("nth")) & around).select(*key).distinct()
+    return free.join(later, key, "left_anti")
 
 
 def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFrame:
