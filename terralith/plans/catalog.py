@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.plans import footprint_queries, network_queries, panel_queries, place_queries
+from terralith.plans import element_queries, footprint_queries, network_queries, panel_queries, place_queries
 
-QUERIES: dict = {**footprint_queries.Q, **network_queries.Q, **place_queries.Q, **panel_queries.Q}
-ORACLES: dict = {**footprint_queries.O, **network_queries.O, **place_queries.O, **panel_queries.O}
+QUERIES: dict = {**element_queries.Q, **footprint_queries.Q, **network_queries.Q, **place_queries.Q, **panel_queries.Q}
+ORACLES: dict = {**element_queries.O, **footprint_queries.O, **network_queries.O, **place_queries.O, **panel_queries.O}
