@@ -198,7 +198,7 @@ def _drop(min_chars: int):
 
 
 def sent_lines(dealt: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    return dealt.select("batch", "body").mapInArrow(_send(shards, min_chars), "shard int, batch int, keys binary, docs binary")
+    return dealt.mapInArrow(_send(shards, min_chars), "shard int, batch int, keys binary, docs binary")
 
 
 def line_index(sent: DataFrame) -> DataFrame:
