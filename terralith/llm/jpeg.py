@@ -18,6 +18,8 @@ import numpy as np
 #: Place in the 8 x 8 block (row by row) of each coefficient in zigzag order.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i // 8 + i % 8) % 2 == 0 else i // 8)))
 COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+#: From a block's coefficients in zigzag order to its samples, row by row.
+TO_PIXELS = np.kron(COSINES, COSINES)[ZIGZAG]
 MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 LONGEST_RUN = 32767
 
@@ -27,6 +29,13 @@ _AC_EXTRA = np.where(_DC_EXTRA > 0, _DC_EXTRA, np.where(np.arange(256) >> 4 < 15
 _SHIFTS = np.arange(8, 0, -1, dtype=np.int32)
 
 
+LONG = 1 << 20
+
+
+def extended(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.where(bits < (1 << np.maximum(size - 1, 0)), bits - (1 << size) + 1, bits)
+
+
 class Huffman:
     """A canonical code from (counts of lengths 1 to 16, symbols)."""
 
@@ -44,6 +53,11 @@ class Huffman:
             k += count
             code <<= 1
         #: Bits that a symbol and its extra bits take, from the 16 bits it begins with; 255 if no symbol begins so.
+        peek, size = np.arange(65536), self.symbol.astype(np.int64) & 15
+        total = self.length + size
+        bits = (peek >> np.maximum(16 - total, 0)) & ((1 << size) - 1)
+        #: The value that follows a symbol where both fit into 16 bits, else LONG.
+        self.value = np.where(total <= 16, np.where(size > 0, extended(bits, size), 0), LONG).astype(np.int32)
         self.dc_step, self.ac_step = (np.where(self.length > 0, self.length + extra[self.symbol], 255).astype(np.uint8) for extra in (_DC_EXTRA, _AC_EXTRA))
 
     @classmethod
@@ -72,6 +86,10 @@ def signed_bits(values: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def pack_bits(values: np.ndarray, lengths: np.ndarray) -> bytes:
     """Values of up to 32 bits, one after the other, filled up with ones and stuffed."""
+    other = lengths != 8
+    head = int(other.argmax()) if other.any() else len(lengths)
+    if head >= 64:  # whole bytes as they are
+        return values[:head].astype(np.uint8).tobytes().replace(b"\xff", b"\xff\x00") + pack_bits(values[head:], lengths[head:])
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     if not total:
@@ -107,8 +125,16 @@ class Bits:
         """The 16 bits from each bit place."""
         return (self.window[at >> 3] >> (8 - (at & 7))) & 0xFFFF
 
-    def symbols(self, table: Huffman, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, places of the extra bits that follow each) up to the end; steps as in the table.
+    def values(self, table: Huffman, peek: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """What the symbols that begin with ``peek``, at ``where``, carry."""
+        found = table.value[peek]
+        if len(at := np.flatnonzero(found == LONG)):
+            size = table.symbol[peek[at]].astype(np.int64) & 15
+            found[at] = extended(self.take(where[at] + table.length[peek[at]], size), size)
+        return found
+
+    def symbols(self, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(16 bits from each symbol's start, that place) up to the end; steps as in the symbols' table.
 
         Symbols that take equally many bits are followed at once, as long as such runs are long.
         """
@@ -126,8 +152,7 @@ class Bits:
                 found.append(self._one_by_one(at, steps))
                 break
         where = np.concatenate(found) if found else np.zeros(0, np.int64)
-        peek = self.peek(where)
-        return table.symbol[peek], where + table.length[peek]
+        return self.peek(where), where
 
     def _one_by_one(self, at: int, steps: np.ndarray) -> np.ndarray:
         step = steps[(self.window[:-2, None] >> _SHIFTS) & 0xFFFF].tobytes()
@@ -139,10 +164,6 @@ class Bits:
         return np.array(places, np.int64)
 
 
-def extended(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.where(bits < (1 << np.maximum(size - 1, 0)), bits - (1 << size) + 1, bits)
-
-
 class Component:
     """One plane: blocks in rows of the padded grid, coefficients in zigzag order."""
 
@@ -280,16 +301,16 @@ def read_dc_first(parts: list[Component], mcus: slice, low: int, tables: list[Hu
     per = [s.shape[1] for s in shape]
     n = sum(s.size for s in shape)
     if all(t is tables[0] for t in tables):
-        symbol, place = bits.symbols(tables[0], tables[0].dc_step)
-        symbol, place = symbol[:n].astype(np.int64), place[:n]
+        peek, where = bits.symbols(tables[0].dc_step)
+        diff = bits.values(tables[0], peek[:n], where[:n])
     else:
         of = np.tile(np.repeat(np.arange(len(parts)), per), len(shape[0])).tolist()
-        at, symbol, place = 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        at, diff = 0, np.zeros(n, np.int64)
         for i, k in enumerate(of):
-            peek = int(bits.window[at >> 3] >> (8 - (at & 7)) & 0xFFFF)
-            symbol[i], place[i] = tables[k].symbol[peek], at + int(tables[k].length[peek])
-            at = int(place[i] + symbol[i])
-    diff = np.where(symbol > 0, extended(bits.take(place, symbol), symbol), 0).reshape(len(shape[0]), -1)
+            peek = bits.peek(np.array([at]))
+            diff[i] = bits.values(tables[k], peek, np.array([at]))[0]
+            at += int(tables[k].dc_step[peek[0]])
+    diff = diff.reshape(len(shape[0]), -1)
     for c, s, k in zip(parts, shape, np.cumsum([0, *per[:-1]])):
         c.coef[s.ravel(), 0] = np.cumsum(diff[:, k : k + s.shape[1]].ravel()) << low
 
@@ -306,14 +327,14 @@ def read_dc_refine(parts: list[Component], mcus: slice, low: int, bits: Bits) ->
 
 def read_ac_first(c: Component, blocks: np.ndarray, start: int, stop: int, low: int, table: Huffman, bits: Bits) -> None:
     width = stop - start + 1
-    symbol, place = bits.symbols(table, table.ac_step)
-    symbol = symbol.astype(np.int64)
+    peek, where = bits.symbols(table.ac_step)
+    symbol = table.symbol[peek].astype(np.int64)
     run, size = symbol >> 4, symbol & 15
     step = run + 1
     at = np.cumsum(step) - 1
     ends = np.flatnonzero((size == 0) & (run < 15))
     if len(ends):
-        runs = (1 << run[ends]) + bits.take(place[ends], run[ends])
+        runs = (1 << run[ends]) + bits.take(where[ends] + table.length[peek[ends]], run[ends])
         shift, first = np.zeros(len(symbol), np.int64), 0
         base, total = 0, np.concatenate([[0], np.cumsum(step)])
         for e, n in zip(ends.tolist(), runs.tolist()):
@@ -323,8 +344,7 @@ def read_ac_first(c: Component, blocks: np.ndarray, start: int, stop: int, low:
         shift[first:] = base - total[first]
         at = at + shift
     own = np.flatnonzero((size > 0) & (at < len(blocks) * width))
-    value = extended(bits.take(place[own], size[own]), size[own]) * (1 << low)
-    c.coef[blocks[at[own] // width], start + at[own] % width] = value
+    c.coef[blocks[at[own] // width], start + at[own] % width] = bits.values(table, peek[own], where[own]) * (1 << low)
 
 
 def read_ac_refine(c: Component, blocks: np.ndarray, start: int, stop: int, low: int, table: Huffman, bits: Bits) -> None:
@@ -449,11 +469,9 @@ class Image:
         """Each component's samples, 0 to 255, on its own grid."""
         out = []
         for c in self.parts:
-            block = np.zeros((len(c.coef), 64))
-            block[:, ZIGZAG] = c.coef * self.quant[c.quant]
-            pixels = COSINES.T @ block.reshape(-1, 8, 8) @ COSINES
+            pixels = (c.coef * self.quant[c.quant]) @ TO_PIXELS + 128
             grid = pixels.reshape(c.rows, c.cols, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.cols * 8)
-            out.append(np.clip(np.rint(grid + 128), 0, 255))
+            out.append(np.clip(np.rint(grid), 0, 255))
         return out
 
     def rgb(self) -> np.ndarray:

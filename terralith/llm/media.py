@@ -31,7 +31,7 @@ from terralith.llm.common import text_bytes
 
 UNIT = 64
 #: (components, first and last coefficient, high and low bit) of each scan.
-SCRIPT = [([0, 1, 2], 0, 0, 0, 1), ([0], 1, 63, 0, 1), ([1], 1, 63, 0, 0), ([2], 1, 63, 0, 0), ([0], 1, 63, 1, 0), ([0, 1, 2], 0, 0, 1, 0)]
+SCRIPT = [([0, 1, 2], 0, 0, 0, 1), ([0], 1, 63, 0, 0), ([1], 1, 63, 0, 1), ([2], 1, 63, 0, 0), ([1], 1, 63, 1, 0), ([0, 1, 2], 0, 0, 1, 0)]
 
 
 def _tables() -> dict[str, jpeg.Huffman]:
