@@ -3,19 +3,18 @@
 Training counts word bigrams over all training documents. Counts are quantised
 to q = floor(log2 c) + 1, and a bigram is a member of the filter's levels 1 to q.
 Each level is a Bloom filter laid out in segments by hash, filled by the tasks
-that hold a segment's bigrams, and broadcast to the workers. A bigram's count
-comes back by probing level after level until one doesn't know it. The model
-interpolates that estimate with discounted unigrams, whose exact counts are
-joined to the documents batch by batch.
+that hold a segment's bigrams, and written. Each batch of documents sends its
+distinct bigrams to their segments, which probe level after level until one
+doesn't know the bigram, and gets the levels back. The model interpolates that
+estimate with discounted unigrams, whose exact counts are joined in the same way.
 
-Size bound: the broadcast filter has at most ``MAX_FILTER_BYTES``. Levels are
-taken from the highest down while they fit, so a corpus whose rare bigrams don't
-fit any more leaves out the lowest levels: such bigrams fall back to unigrams,
-as with a count cut-off. The unigrams are never cut; they are joined.
+No level is left out at any size: the filter is never gathered in one place, and
+a segment covers ``SEGMENT_BYTES`` of text however large the corpus is.
 
-Scale: two passes over the texts. One moves 5 bytes per bigram and task, the
-other shuffles the texts once and 12 to 16 bytes per batch and distinct word. A word
-that all documents hold is one row per batch.
+Scale: one pass over the training texts moves 8 bytes per bigram and task (before
+compression). The texts are shuffled once more into batches; those move 12 to 16
+bytes per batch and distinct word, and 4 bytes there and 5 back per batch and
+distinct bigram. A word or bigram that all documents hold is one entry per batch.
 
 Edge cases: null and empty texts are the end token alone; rows without doc_id
 are training rows and not held out; repeated rows count and score repeatedly;
@@ -41,7 +40,6 @@ FOLDS, HELD = 7, 2
 BATCH_BYTES = 16 << 20
 #: Text of a segment of the bigrams' hash space.
 SEGMENT_BYTES = 8 << 20
-MAX_FILTER_BYTES = 96 << 20
 PIECE_BYTES = 2 << 20
 BITS_PER_MEMBER = 8
 PROBES = 5
@@ -51,6 +49,8 @@ DISCOUNT = 0.75
 #: Hashes of the end token and of the place before a text.
 END, BEGIN = np.int64(1), np.int64(2)
 REMEMBERED = 1_000_000
+#: The count a level stands for: the middle, by logarithm, of its quantum; 0 without a level.
+MIDDLES = np.array([0.0, 1.0, *(1.4 * 2.0 ** np.arange(1, 63))])
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -158,9 +158,9 @@ class CountFilter:
             self.flat[level] = (np.concatenate([parts[s] for s in sorted(parts)]), np.cumsum(sizes) - sizes, sizes)
         self.levels = None
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        """An estimate of each bigram's count: the middle, by logarithm, of its quantum; 0 if no level knows it."""
-        found = np.zeros(len(keys))
+    def known_levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level that knows each bigram, with all those below it; 0 if none does."""
+        found = np.zeros(len(keys), np.uint8)
         segment, low = _segments(keys, self.segments).astype(np.int64), keys.astype(np.uint32)
         left = np.arange(len(keys))
         for level in sorted(self.flat):
@@ -175,16 +175,27 @@ class CountFilter:
                 left, own, size = left[hit], own[hit], size[hit]
             if not len(left):
                 break
-            found[left] = 1.0 if level == 1 else 2.0 ** (level - 1) * 1.4
+            found[left] = level
         return found
 
+    def estimate(self, keys: np.ndarray) -> np.ndarray:
+        """An estimate of each bigram's count."""
+        return MIDDLES[self.known_levels(keys)]
+
 
-def count_filter(texts: DataFrame, max_bytes: int = MAX_FILTER_BYTES, segment_bytes: int = SEGMENT_BYTES) -> CountFilter:
-    """The filter of all bigrams of ``texts`` (body binary), bounded by ``max_bytes``."""
+def filter_table(texts: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, int]:
+    """The written filter (level, segment, bits) of all bigrams of ``texts`` (body binary), and its number of segments."""
     total = texts.select(F.sum(F.octet_length("body"))).first()[0] or 0
     segments = max(1, -(-int(total) // segment_bytes))
     sent = texts.mapInArrow(_send_bigrams(segments), "segment int, keys binary, counts binary")
-    filled = written(sent.groupBy("segment").applyInArrow(_fill, "level int, segment int, bits binary"), "filter")
+    return written(sent.groupBy("segment").applyInArrow(_fill, "level int, segment int, bits binary"), "filter"), segments
+
+
+def count_filter(texts: DataFrame, max_bytes: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> CountFilter:
+    """The filter of a small corpus in memory; with ``max_bytes``, the highest levels that fit. ``scored`` doesn't use it."""
+    filled, segments = filter_table(texts, segment_bytes)
+    if max_bytes is None:
+        return CountFilter(filled.collect(), segments)
     size = {r["level"]: r["n"] for r in filled.groupBy("level").agg(F.sum(F.octet_length("bits")).alias("n")).collect()}
     lowest, used = max(size, default=0) + 1, 0
     for level in sorted(size, reverse=True):
@@ -195,6 +206,37 @@ def count_filter(texts: DataFrame, max_bytes: int = MAX_FILTER_BYTES, segment_by
     return CountFilter(filled.where(F.col("level") >= lowest).collect(), segments)
 
 
+def _ask(segments: int):
+    """Rows (segment, batch, keys): distinct bigrams of a batch, as the low 32 bits of their hashes."""
+    firsts = np.array([-(-(s << 32) // segments) << 32 for s in range(segments)], np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, texts = b.column("batch").to_numpy(), b.column("body").to_pylist()
+            for n in np.unique(number).tolist():
+                keys = np.concatenate([bigram_hashes(word_hashes(texts[k])) for k in np.flatnonzero(number == n).tolist()])
+                keys.sort()
+                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+                cuts = np.append(np.searchsorted(keys, firsts), len(keys))
+                some = np.flatnonzero(cuts[1:] > cuts[:-1]).astype(np.int32)
+                low, ends = keys.astype(np.uint32), (np.append(0, cuts[1:][some]) * 4).astype(np.int32)
+                sent = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+                del keys
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), n, np.int32)), sent], names=["segment", "batch", "keys"])
+
+    return ask
+
+
+def _answer(asked, filled):
+    """The asked bigrams of one segment with the level of each."""
+    own = CountFilter([row | {"segment": 0} for row in filled.to_pylist()], 1)
+    sent = asked.column("keys").to_pylist()
+    levels = own.known_levels(np.frombuffer(b"".join(sent), np.uint32).astype(np.uint64))
+    cuts = np.cumsum([0, *(len(x) // 4 for x in sent)]).tolist()
+    back = [levels[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
+    return pa.table({"batch": asked.column("batch"), "segment": asked.column("segment"), "keys": asked.column("keys"), "levels": pa.array(back, pa.binary())})
+
+
 def _send_words(shards: int):
     """Rows (shard, batch, words, n): distinct tokens of a batch and their count in its training documents; BEGIN counts those."""
 
@@ -245,9 +287,24 @@ def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield piece
 
 
-def _score(shared, share: float, discount: float):
+def _places(keys: np.ndarray, segments: np.ndarray | int) -> np.ndarray:
+    """Bigrams as the segment above the low 32 bits, as they come back."""
+    return (np.asarray(segments, np.uint64) << np.uint64(32)) | (keys.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+
+
+def _levels(found) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's distinct bigrams, sorted, and their levels."""
+    sent = found.column("keys").to_pylist()
+    segment = np.repeat(found.column("segment").to_numpy(), [len(x) // 4 for x in sent])
+    keys = _places(np.frombuffer(b"".join(sent), np.uint32), segment)
+    order = np.argsort(keys)
+    return keys[order], np.frombuffer(b"".join(found.column("levels").to_pylist()), np.uint8)[order]
+
+
+def _score(segments: int, share: float, discount: float):
     def score(docs, found):
-        counts = shared.value
+        pairs, levels = _levels(found.filter(found.column("levels").is_valid()))
+        found = found.filter(found.column("words").is_valid())
         words, c = (np.frombuffer(b"".join(found.column(k).to_pylist()), np.int64) for k in ("words", "c"))
         order = np.argsort(words)
         words, c = words[order], c[order]
@@ -263,7 +320,9 @@ def _score(shared, share: float, discount: float):
             place = np.searchsorted(words, tokens)
             before = np.concatenate([[begin], c[place[:-1]]]).astype(float)
             before[starts] = begin
-            pair = counts.estimate(bigram_hashes(tokens, starts))
+            hashes = bigram_hashes(tokens, starts)
+            distinct_pairs, inverse = np.unique(_places(hashes, _segments(hashes, segments)), return_inverse=True)
+            pair = MIDDLES[levels[np.searchsorted(pairs, distinct_pairs)]][inverse]
             known = before > 0
             of = np.where(known, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
             p = np.where(known, share * of + (1 - share) * unigram[place], unigram[place])
@@ -277,17 +336,18 @@ def _score(shared, share: float, discount: float):
     return score
 
 
-def scored(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES, share: float = BIGRAM_SHARE, discount: float = DISCOUNT) -> DataFrame:
+def scored(docs: DataFrame, share: float = BIGRAM_SHARE, discount: float = DISCOUNT, batch_bytes: int = BATCH_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), text_bytes().alias("body"))
-    counts = count_filter(rows.where("NOT held_out").select("body"), max_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    dealt, batches = batched(rows, BATCH_BYTES, ["doc_id", "body"])
+    filled, segments = filter_table(rows.where("NOT held_out").select("body"), segment_bytes)
+    dealt, batches = batched(rows, batch_bytes, ["doc_id", "body"])
+    asked = dealt.mapInArrow(_ask(segments), "segment int, batch int, keys binary")
+    answered = asked.groupBy("segment").cogroup(filled.groupBy("segment")).applyInArrow(_answer, "batch int, segment int, keys binary, levels binary")
     sent = dealt.mapInArrow(_send_words(batches), "shard int, batch int, words binary, n binary")
     back = sent.groupBy("shard").applyInArrow(_sum_words, "batch int, words binary, c binary, total long, distinct long")
     whole = {f"all_{k}": back.agg(F.sum(k)).scalar() for k in ("total", "distinct")}
-    back = back.withColumns(whole)
+    back = back.withColumns(whole).unionByName(answered, allowMissingColumns=True)
     schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"]])
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(shared, share, discount), schema)
+    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(segments, share, discount), schema)

@@ -462,3 +462,29 @@ def test_count_filter_never_underestimates(spark):
     assert all(e >= 2 ** (math.floor(math.log2(true[k]))) for k, e in zip(keys.tolist(), estimate))
     assert (found.estimate(np.arange(1, 4000, dtype=np.uint64) * np.uint64(2**50 + 7)) > 0).mean() < 0.1
     assert ngram_filter.count_filter(frame, max_bytes=0).estimate(keys).sum() == 0
+
+
+def test_lm_score_uses_every_level_of_every_segment(spark, docs, monkeypatch):
+    """Nothing is broadcast or dropped: scores equal those of a plain model that probes the whole filter."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    got = ngram_filter.scored(docs, batch_bytes=9000, segment_bytes=700).collect()
+    held = {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in edge_rows()}
+    train = [raw(r) for r in edge_rows() if not held[r[0]]]
+    found = ngram_filter.count_filter(spark.createDataFrame([(t,) for t in train], "body binary"), segment_bytes=700)
+    assert found.segments > 50
+    one, pairs = Counter(), Counter()
+    for t in train:
+        tokens = ngram_filter.word_hashes(t)
+        one.update(tokens.tolist())
+        pairs.update(ngram_filter.bigram_hashes(tokens).tolist())
+    estimate = found.estimate(np.array(list(pairs), np.uint64))
+    assert all(e >= 2 ** math.floor(math.log2(c)) for c, e in zip(pairs.values(), estimate)) and min(pairs.values()) == 1
+    total, distinct, want = sum(one.values()), len(one), []
+    for r in edge_rows():
+        tokens, before, score = ngram_filter.word_hashes(raw(r)), len(train), 0.0
+        for t, pair in zip(tokens.tolist(), found.estimate(ngram_filter.bigram_hashes(tokens)).tolist()):
+            p = (one[t] - 0.75) / total if one[t] else 0.75 * distinct / total
+            score += math.log10(0.3 * min(pair, before) / before + 0.7 * p if before else p)
+            before = one[t]
+        want.append((str(r[0]), pytest.approx(score)))
+    assert sorted((str(g.doc_id), g.score) for g in got) == sorted(want, key=lambda x: (x[0], x[1].expected))
