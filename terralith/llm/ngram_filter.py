@@ -95,7 +95,7 @@ def _send_bigrams(segments: int):
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
         cuts = np.searchsorted(_segments(keys, segments), np.arange(segments + 1))
-        low, n = keys.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)
+        low, n = keys.astype(np.uint32), n.astype(np.uint32)
         rows = [(s, low[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         s, k, c = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["segment", "keys", "counts"])
@@ -128,7 +128,7 @@ def _probe(low: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64
 def _fill(key, table):
     """The levels of one segment: (level, segment, bits)."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
     distinct, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
     quantised = np.floor(np.log2(total)).astype(int) + 1

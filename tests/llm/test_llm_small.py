@@ -488,3 +488,12 @@ def test_lm_score_uses_every_level_of_every_segment(spark, docs, monkeypatch):
             before = one[t]
         want.append((str(r[0]), pytest.approx(score)))
     assert sorted((str(g.doc_id), g.score) for g in got) == sorted(want, key=lambda x: (x[0], x[1].expected))
+
+
+def test_count_filter_holds_a_bigram_of_many_occurrences(spark):
+    """One flush with far over 65,535 occurrences of a bigram, and several such flushes."""
+    text = b"a b " * 300_000 + b"c"
+    found = ngram_filter.count_filter(spark.createDataFrame([(text,)] * 6, "body binary").coalesce(1))
+    true = Counter(ngram_filter.bigram_hashes(ngram_filter.word_hashes(text)).tolist() * 6)
+    levels = found.known_levels(np.array(list(true), np.uint64))
+    assert max(true.values()) == 1_800_000 and all(n >= math.floor(math.log2(c)) + 1 for n, c in zip(levels.tolist(), true.values()))
