@@ -497,3 +497,11 @@ def test_count_filter_holds_a_bigram_of_many_occurrences(spark):
     true = Counter(ngram_filter.bigram_hashes(ngram_filter.word_hashes(text)).tolist() * 6)
     levels = found.known_levels(np.array(list(true), np.uint64))
     assert max(true.values()) == 1_800_000 and all(n >= math.floor(math.log2(c)) + 1 for n, c in zip(levels.tolist(), true.values()))
+
+
+def test_media_refines_the_luma_plane(monkeypatch):
+    """A payload that luma alone holds isn't whole before the AC band's refinement scan."""
+    payload = bytes(range(256))
+    assert media.payload_of(jpeg.Image(media.encode(payload))) == payload
+    monkeypatch.setattr(media, "SCRIPT", [s for s in media.SCRIPT if not (s[1] and s[3])])
+    assert media.payload_of(jpeg.Image(media.encode(payload))) != payload
