@@ -20,10 +20,31 @@ ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i /
 COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
 #: From a block's coefficients in zigzag order to its samples, row by row.
 TO_PIXELS = np.kron(COSINES, COSINES)[ZIGZAG]
+#: The same in whole numbers of 2^-20, which products and sums keep exactly in any order.
+FIXED = np.rint(TO_PIXELS * 2.0**20)
+_CHROMA = np.arange(-128, 128)
+#: What a chroma sample adds to red, blue, and (in 2^-16, both together) to green.
+_TO_RED, _TO_BLUE = ((k * _CHROMA + 32768 >> 16).astype(np.int16) for k in (91881, 116130))
+_GREEN_CB, _GREEN_CR = (-22554 * _CHROMA + 32768).astype(np.int32), (-46802 * _CHROMA).astype(np.int32)
 MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 LONGEST_RUN = 32767
 
 
+def samples(coef: np.ndarray) -> np.ndarray:
+    """The samples, 0 to 255, of blocks (rows) of coefficients in zigzag order."""
+    return np.clip(np.floor(coef.astype(np.float64) @ FIXED * 2.0**-20 + 128.5), 0, 255).astype(np.uint8)
+
+
+def colours(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
+    """Red, green and blue, as a last axis, of samples of the three planes."""
+    out = np.empty((*y.shape, 3), np.uint8)
+    light = y.astype(np.int16)
+    np.clip(light + _TO_RED[cr], 0, 255, out=out[..., 0], casting="unsafe")
+    np.clip(light + (_GREEN_CB[cb] + _GREEN_CR[cr] >> 16).astype(np.int16), 0, 255, out=out[..., 1], casting="unsafe")
+    np.clip(light + _TO_BLUE[cb], 0, 255, out=out[..., 2], casting="unsafe")
+    return out
+
+
 _DC_EXTRA = np.arange(256, dtype=np.uint8) & 15
 _AC_EXTRA = np.where(_DC_EXTRA > 0, _DC_EXTRA, np.where(np.arange(256) >> 4 < 15, np.arange(256) >> 4, 0)).astype(np.uint8)
 _SHIFTS = np.arange(8, 0, -1, dtype=np.int32)
@@ -381,20 +402,25 @@ def read_ac_refine(c: Component, blocks: np.ndarray, start: int, stop: int, low:
     c.coef[blocks, start : stop + 1] = flat.reshape(band.shape)
 
 
-def _segment(marker: int, body: bytes) -> bytes:
+def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+def scan_header(numbers: list[int], table: int, start: int, stop: int, high: int, low: int) -> bytes:
+    """The header of a scan of the components of these numbers."""
+    return segment(0xDA, bytes([len(numbers)]) + b"".join(bytes([c, table]) for c in numbers) + bytes([start, stop, high << 4 | low]))
+
+
 def write(width: int, height: int, parts: list[Component], script: list[tuple[list[int], int, int, int, int]], tables: dict[str, Huffman], comment: bytes = b"") -> bytes:
     """A progressive JPEG of the components' coefficients; script: (components, start, stop, high, low) of each scan; tables: dc, ac and refine."""
-    out = [b"\xff\xd8", _segment(0xFE, comment) if comment else b"", _segment(0xDB, b"\0" + b"\1" * 64)]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c.number, c.h << 4 | c.v, 0]) for c in parts)))
+    out = [b"\xff\xd8", segment(0xFE, comment) if comment else b"", segment(0xDB, b"\0" + b"\1" * 64)]
+    out.append(segment(0xC2, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c.number, c.h << 4 | c.v, 0]) for c in parts)))
     for kind, name in ((0x00, "dc"), (0x10, "ac"), (0x11, "refine")):
-        out.append(_segment(0xC4, bytes([kind]) + tables[name].counts + tables[name].symbols))
+        out.append(segment(0xC4, bytes([kind]) + tables[name].counts + tables[name].symbols))
     for own, start, stop, high, low in script:
         chosen = [parts[k] for k in own]
         table = 1 if high and start else 0
-        out.append(_segment(0xDA, bytes([len(own)]) + b"".join(bytes([c.number, table]) for c in chosen) + bytes([start, stop, high << 4 | low])))
+        out.append(scan_header([c.number for c in chosen], table, start, stop, high, low))
         if start == 0:
             out.append(write_dc_refine(chosen, low) if high else write_dc_first(chosen, low, tables["dc"]))
         elif high:
@@ -469,9 +495,8 @@ class Image:
         """Each component's samples, 0 to 255, on its own grid."""
         out = []
         for c in self.parts:
-            pixels = (c.coef * self.quant[c.quant]) @ TO_PIXELS + 128
-            grid = pixels.reshape(c.rows, c.cols, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.cols * 8)
-            out.append(np.clip(np.rint(grid), 0, 255))
+            pixels = samples(c.coef * self.quant[c.quant])
+            out.append(pixels.reshape(c.rows, c.cols, 8, 8).transpose(0, 2, 1, 3).reshape(c.rows * 8, c.cols * 8))
         return out
 
     def rgb(self) -> np.ndarray:
@@ -479,6 +504,5 @@ class Image:
         h_max, v_max = max(c.h for c in self.parts), max(c.v for c in self.parts)
         full = [p.repeat(v_max // c.v, axis=0).repeat(h_max // c.h, axis=1)[: self.height, : self.width] for c, p in zip(self.parts, self.planes())]
         if len(full) == 1:
-            return np.repeat(full[0][:, :, None], 3, axis=2).astype(np.uint8)
-        y, cb, cr = full[0], full[1] - 128, full[2] - 128
-        return np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)), 0, 255).astype(np.uint8)
+            return np.repeat(full[0][:, :, None], 3, axis=2)
+        return colours(*full)

@@ -1,17 +1,20 @@
 """Operator 1: media columns as progressive JPEG.
 
-A payload becomes the coefficients of a 4:2:0 image: a byte b is the coefficient
-b - 128, 64 of them a block, blocks first of the luma plane, then of both chroma
-planes. Coefficients are what JPEG keeps without loss, so they are the format's
-unit here. They are stored by six progressive scans, and reading accumulates the
-scans, gives the bytes back and the full-resolution RGB tensor.
-
-Scale: map-only; a row depends on itself alone. A text is held whole, with some
-ten times its size while it is worked on.
+A payload becomes the coefficients of a 4:2:0 image: a byte is a coefficient, 64
+of them a block, blocks first of the luma plane, then of both chroma planes.
+Coefficients are what JPEG keeps without loss, so they are the format's unit
+here. They are stored by progressive scans that split the spectrum (DC, 1-5,
+6-63, plane by plane) and approximate each part successively; reading accumulates
+the scans, gives the bytes back, transforms the coefficients, upsamples chroma
+and gives the full-resolution RGB tensor, which is stored beside the digests.
+
+Scale: map-only; a row depends on itself alone. Texts are worked on in groups of
+``GROUP_BYTES``, so numpy calls are shared by some hundred texts; a longer text is a
+group of its own, held whole, with some thirty times its size while it is worked on.
 
 Edge cases: null and empty texts are a payload of 64 zero bytes; repeated rows
 and equal texts give equal media and features; ids are passed through as they
-are; an empty table gives an empty result.
+are; an empty table gives an empty result. Images of other writers are read as well.
 """
 
 from __future__ import annotations
@@ -19,29 +22,17 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from terralith.llm import jpeg
+from terralith.llm import jpeg_many
 from terralith.llm.common import text_bytes
 
-UNIT = 64
-#: (components, first and last coefficient, high and low bit) of each scan.
-SCRIPT = [([0, 1, 2], 0, 0, 0, 1), ([0], 1, 63, 0, 1), ([1], 1, 63, 0, 0), ([2], 1, 63, 0, 0), ([0], 1, 63, 1, 0), ([0, 1, 2], 0, 0, 1, 0)]
-
-
-def _tables() -> dict[str, jpeg.Huffman]:
-    """A coefficient after no zero takes 8 bits in all, whatever its size up to 7; the rest have long codes."""
-    ac = {run << 4 | size: 16 for run in range(16) for size in range(0 if run == 15 else 1, 9)} | {run << 4: 16 for run in range(15)}
-    ac |= {size: 8 - size for size in range(1, 8)} | {0: 12}
-    return {"dc": jpeg.Huffman.of({s: 4 for s in range(12)}), "ac": jpeg.Huffman.of(ac), "refine": jpeg.Huffman.of({run << 4 | size: 6 for run in range(16) for size in (0, 1)})}
-
-
-TABLES = _tables()
+UNIT = jpeg_many.UNIT
+#: Payload of the texts that are worked on at once.
+GROUP_BYTES = 256 << 10
 
 
 def padded(text: bytes) -> bytes:
@@ -49,26 +40,17 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % UNIT or (0 if text else UNIT))
 
 
-def encode(payload: bytes) -> bytes:
-    """A JPEG that holds a payload of a positive multiple of 64 bytes."""
-    blocks = len(payload) // UNIT
-    mcus = -(-blocks // 6)
-    cols = isqrt(mcus - 1) + 1
-    rows = -(-mcus // cols)
-    parts = jpeg.frame(16 * cols, 16 * rows, [(1, 2, 2, 0), (2, 1, 1, 0), (3, 1, 1, 0)])
-    values = np.frombuffer(payload, np.uint8).reshape(-1, UNIT).astype(np.int32) - 128
-    at = 0
-    for c in parts:
-        own = values[at : at + len(c.coef)]
-        c.coef[: len(own)] = own
-        at += len(c.coef)
-    return jpeg.write(16 * cols, 16 * rows, parts, SCRIPT, TABLES, b"payload bytes %d" % len(payload))
-
-
-def payload_of(image: jpeg.Image) -> bytes:
-    n = int(image.comment.rpartition(b" ")[2])
-    values = np.concatenate([c.coef for c in image.parts])[: n // UNIT]
-    return (values + 128).astype(np.uint8).tobytes()
+def groups(values: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of some values that have about ``GROUP_BYTES``."""
+    run, held = [], 0
+    for value in values:
+        run.append(value)
+        held += len(value)
+        if held >= GROUP_BYTES:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -84,10 +66,12 @@ def feature(rgb: np.ndarray) -> str:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("body")
-        for at in range(0, len(texts), 500):
-            part = texts.slice(at, 500).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 500), pa.array([len(t) for t in part], pa.int64()), pa.array([encode(padded(t)) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        at = 0
+        for texts in groups(b.column("body").to_pylist()):
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            media = pa.array(jpeg_many.encode([padded(t) for t in texts]), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), sizes, media], names=["doc_id", "n_bytes", "media"])
+            at += len(texts)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -96,30 +80,39 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(_encode, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def _decode(with_tensor: bool):
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            media = b.column("media")
-            for at in range(0, len(media), 200):
-                rows = []
-                for stored in media.slice(at, 200).to_pylist():
-                    image = jpeg.Image(stored)
-                    rgb, payload = image.rgb(), payload_of(image)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes() if with_tensor else None))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
-                found = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 200), b.column("n_bytes").slice(at, 200), *found], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"])
+_FOUND = pa.schema(
+    [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    + [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]
+)
+
+
+def _read_back(stored: bytes, image: jpeg_many.Decoded) -> tuple:
+    payload, rgb = image
+    return (
+        *(len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:])),
+        *(len(stored), hashlib.sha256(stored).hexdigest(), feature(rgb)),
+        *(rgb.shape[0], rgb.shape[1], rgb.tobytes()),
+    )
 
-    return decode
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at = 0
+        for stored in groups(b.column("media").to_pylist()):
+            rows = [_read_back(*pair) for pair in zip(stored, jpeg_many.decode(stored))]
+            found = [pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)]
+            passed = [b.column(k).slice(at, len(stored)) for k in ("doc_id", "n_bytes")]
+            yield pa.RecordBatch.from_arrays([*passed, *found], names=["doc_id", "n_bytes", *_FOUND.names])
+            at += len(stored)
 
 
-def from_media(media: DataFrame, with_tensor: bool = True) -> DataFrame:
+def from_media(media: DataFrame) -> DataFrame:
     """What the stored media hold: payload digests, feature, and the RGB tensor (height x width x 3 bytes)."""
     kind = dict(media.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode(with_tensor), schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What op1 returns."""
-    return from_media(to_media(docs), with_tensor=False).drop("height", "width", "rgb")
+    """What op1 returns, with the tensor."""
+    return from_media(to_media(docs))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terralith.llm import archive, jpeg, lines, media, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity
+from terralith.llm import archive, jpeg, jpeg_many, lines, media, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, batch string, body string, rest string"
 WORDS = "the of and reading house garden river Stone, light. Été ñandú größe".split()
@@ -57,9 +57,17 @@ def test_media_round_trip(docs, none):
         want[(r[0], len(raw(r)), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert Counter((g.doc_id, g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) for g in got) == want
     assert len({g.feature for g in got if g.doc_id == 104}) == 1
+    assert all(len(g.rgb) == g.height * g.width * 3 and g.height % 16 == g.width % 16 == 0 for g in got)
     assert media.digest(none).count() == 0
 
 
+def any_tables():
+    """Code tables for all sizes and runs."""
+    lengths = {r << 4 | s: 16 for r in range(16) for s in range(0 if r == 15 else 1, 11)} | {r << 4: 16 for r in range(15)} | {1: 2, 2: 3, 0: 3}
+    refine = {r << 4 | s: 6 for r in range(16) for s in (0, 1)}
+    return {"dc": jpeg.Huffman.of({s: 4 for s in range(12)}), "ac": jpeg.Huffman.of(lengths), "refine": jpeg.Huffman.of(refine)}
+
+
 @pytest.mark.parametrize("values", ["any", "small", "zero", "sparse"])
 def test_scans_keep_coefficients(values):
     """Splits of the spectrum and three approximation steps, over odd sizes and samplings."""
@@ -72,9 +80,7 @@ def test_scans_keep_coefficients(values):
             outside = np.setdiff1d(np.arange(len(c.coef)), c.alone)
             c.coef[outside, 1:] = 0
         script = [([0, 1, 2], 0, 0, 0, 2)] + [([k], a, b, 0, 2) for k in range(3) for a, b in ((1, 5), (6, 63))] + [([k], 1, 63, 2, 1) for k in range(3)] + [([0, 1, 2], 0, 0, 2, 1), ([0, 1, 2], 0, 0, 1, 0)] + [([k], a, b, 1, 0) for k in range(3) for a, b in ((1, 20), (21, 63))]
-        lengths = {r << 4 | s: 16 for r in range(16) for s in range(0 if r == 15 else 1, 11)} | {r << 4: 16 for r in range(15)} | {1: 2, 2: 3, 0: 3}
-        tables = {"dc": jpeg.Huffman.of({s: 4 for s in range(12)}), "ac": jpeg.Huffman.of(lengths), "refine": media.TABLES["refine"]}
-        image = jpeg.Image(jpeg.write(width, height, parts, script, tables))
+        image = jpeg.Image(jpeg.write(width, height, parts, script, any_tables()))
         for c, d in zip(parts, image.parts):
             assert (c.coef == d.coef).all()
         assert image.rgb().shape == (height, width, 3)
@@ -84,7 +90,7 @@ def test_flat_grey_image():
     parts = jpeg.frame(16, 16, [(1, 2, 2, 0), (2, 1, 1, 0), (3, 1, 1, 0)])
     parts[0].coef[:, 0] = 8 * 72
     parts[2].coef[:, 0] = 8 * 10
-    rgb = jpeg.Image(jpeg.write(16, 16, parts, media.SCRIPT, media.TABLES)).rgb()
+    rgb = jpeg.Image(jpeg.write(16, 16, parts, [([0, 1, 2], 0, 0, 0, 0), ([0], 1, 63, 0, 0)], any_tables())).rgb()
     assert (rgb == np.array([round(200 + 14.02), round(200 - 7.14136), 200], np.uint8)).all()
 
 
@@ -499,9 +505,65 @@ def test_count_filter_holds_a_bigram_of_many_occurrences(spark):
     assert max(true.values()) == 1_800_000 and all(n >= math.floor(math.log2(c)) + 1 for n, c in zip(levels.tolist(), true.values()))
 
 
-def test_media_refines_the_luma_plane(monkeypatch):
-    """A payload that luma alone holds isn't whole before the AC band's refinement scan."""
+def media_payloads():
+    """Payloads of all kinds of bytes: texts, any bytes, and those whose coefficients are 0, 1 and -1."""
+    rng = random.Random(1)
+    kinds = [b"abc defg@,.\n\xc3\xa9", bytes(range(256)), b"\xc0\xc1\xffA@", b"\xc0\xc0\xc0\xc0\xc1A"]
+    texts = [bytes(rng.choice(kinds[k % 4]) for _ in range(rng.choice([0, 1, 64, 65, 400, 5000]))) for k in range(80)]
+    return [media.padded(t) for t in texts]
+
+
+def plain_rgb(image):
+    """A second decoder after the coefficients: the transform as written in the standard, sample by sample in floats."""
+    planes = []
+    scale = [1 / math.sqrt(2), *[1.0] * 7]
+    for c in image.parts:
+        plane = np.zeros((c.rows * 8, c.cols * 8))
+        for k, block in enumerate(c.coef):
+            square = np.zeros((8, 8))
+            square.flat[jpeg.ZIGZAG] = block
+            for y, x in itertools.product(range(8), range(8)):
+                row = [scale[u] * math.cos((2 * x + 1) * u * math.pi / 16) for u in range(8)]
+                column = [scale[v] * math.cos((2 * y + 1) * v * math.pi / 16) for v in range(8)]
+                plane[k // c.cols * 8 + y, k % c.cols * 8 + x] = np.array(column) @ square @ np.array(row) / 4 + 128
+        planes.append(np.clip(np.rint(plane), 0, 255))
+    y, cb, cr = planes[0], *(np.kron(p, np.ones((2, 2))) - 128 for p in planes[1:])
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+
+
+def test_media_in_groups_and_alone():
+    """Groups give what single images give, and the general reader reads the same coefficients and colours."""
+    payloads = media_payloads()
+    stored = jpeg_many.encode(payloads)
+    assert stored == [jpeg_many.encode([p])[0] for p in payloads]
+    for p, m, d in zip(payloads, stored, jpeg_many.decode(stored)):
+        image = jpeg.Image(m)
+        assert d.payload == p and (image.rgb() == d.rgb).all()
+    together = jpeg_many._plain([jpeg_many.scans_of(m) for m in stored])
+    assert all(d is not None for d in together[::4]) and any(d is None for d in together)
+
+
+def test_media_colours_match_a_plain_decoder():
+    for p in media_payloads()[:12]:
+        if len(p) <= 448:
+            image = jpeg.Image(jpeg_many.encode([p])[0])
+            assert np.abs(image.rgb() - plain_rgb(image)).max() <= 1.5
+
+
+def test_media_needs_every_scan(monkeypatch):
+    """A payload that luma alone holds isn't whole before both bands' first scans and the refinement."""
     payload = bytes(range(256))
-    assert media.payload_of(jpeg.Image(media.encode(payload))) == payload
-    monkeypatch.setattr(media, "SCRIPT", [s for s in media.SCRIPT if not (s[1] and s[3])])
-    assert media.payload_of(jpeg.Image(media.encode(payload))) != payload
+    (stored,) = jpeg_many.encode([payload])
+    assert jpeg_many._general(stored).payload == payload
+    for scan in (jpeg_many.SCANS[k] for k in (1, 4, 7)):
+        at = stored.index(scan)
+        after = min(stored.index(s) for s in jpeg_many.SCANS if stored.index(s) > at)
+        assert jpeg_many._general(stored[:at] + stored[after:]).payload != payload
+
+
+def test_media_of_other_writers_is_read(spark):
+    parts = jpeg.frame(16, 16, [(1, 2, 2, 0), (2, 1, 1, 0), (3, 1, 1, 0)])
+    parts[0].coef[:, 0] = 8 * 72
+    other = jpeg.write(16, 16, parts, [([0, 1, 2], 0, 0, 0, 0)], any_tables(), b"payload bytes 64")
+    rows = media.from_media(spark.createDataFrame([(1, 64, bytearray(other))], "doc_id long, n_bytes long, media binary")).collect()
+    assert (rows[0].height, rows[0].width, len(rows[0].rgb), set(rows[0].rgb)) == (16, 16, 768, {200})
