@@ -352,6 +352,8 @@ class Decoded(NamedTuple):
 
 def _general(media: bytes) -> Decoded:
     image = jpeg.Image(media)
+    if not image.comment.startswith(b"payload bytes "):
+        return Decoded(b"", image.rgb())
     n = int(image.comment.rpartition(b" ")[2])
     values = np.concatenate([c.coef for c in image.parts])[: n // UNIT]
     return Decoded(BYTE[values + 128].tobytes(), image.rgb())

@@ -14,7 +14,8 @@ group of its own, held whole, with some thirty times its size while it is worked
 
 Edge cases: null and empty texts are a payload of 64 zero bytes; repeated rows
 and equal texts give equal media and features; ids are passed through as they
-are; an empty table gives an empty result. Images of other writers are read as well.
+are; an empty table gives an empty result. Images of other
+writers are read as well, with an empty payload.
 """
 
 from __future__ import annotations

@@ -564,6 +564,6 @@ def test_media_needs_every_scan(monkeypatch):
 def test_media_of_other_writers_is_read(spark):
     parts = jpeg.frame(16, 16, [(1, 2, 2, 0), (2, 1, 1, 0), (3, 1, 1, 0)])
     parts[0].coef[:, 0] = 8 * 72
-    other = jpeg.write(16, 16, parts, [([0, 1, 2], 0, 0, 0, 0)], any_tables(), b"payload bytes 64")
+    other = jpeg.write(16, 16, parts, [([0, 1, 2], 0, 0, 0, 0)], any_tables())
     rows = media.from_media(spark.createDataFrame([(1, 64, bytearray(other))], "doc_id long, n_bytes long, media binary")).collect()
-    assert (rows[0].height, rows[0].width, len(rows[0].rgb), set(rows[0].rgb)) == (16, 16, 768, {200})
+    assert (rows[0].payload_bytes, rows[0].height, rows[0].width, len(rows[0].rgb), set(rows[0].rgb)) == (0, 16, 16, 768, {200})
