@@ -3,14 +3,18 @@
 Documents become token ids followed by an end id; only documents longer than a
 sequence are cut. The pieces are dealt at random into groups of about
 ``GROUP`` pieces, and each group is packed on its own: best-fit decreasing gives
-the incumbent, and where it misses the lower bound a branch-and-bound fills bin
-after bin around the largest piece left, trying undominated fillings in order
-of waste and dropping branches whose waste can no longer beat the incumbent.
-A group wastes less than one sequence in a thousand or so.
+the incumbent, and a branch-and-bound fills bin after bin around the largest
+piece left, trying undominated fillings and dropping branches whose waste is
+more than the number of bins looked for allows - first the lower bound's, then
+one more, up to the incumbent's. Its bins are the result; the incumbent's stay
+where ``nodes`` run out first, and ``made_by`` and ``fewest`` tell which. With
+``nodes=None`` the search has no limit and is exact.
 
 Scale: tokenising is map-only and leaves rows of a few numbers, which are
 written once; one shuffle deals them into groups. Groups are even whatever ids
 or texts repeat, since the deal depends on a row's place in that written table.
+The part-filled sequences that each group leaves are few; their pieces are packed
+again together, so there isn't one of them for every group.
 
 Edge cases: null and empty texts are a piece of one id, the end; a null doc_id
 is kept as it is; repeated rows are packed each; an empty table gives an empty
@@ -35,8 +39,15 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a group.
 GROUP = 8192
-#: Fillings that branch-and-bound tries in a group before it keeps the incumbent.
-NODES = 4000
+#: Steps of the branch-and-bound in a group before it keeps the incumbent; None: no limit.
+NODES = 300_000
+#: Steps of a short search.
+SHORT = 25_000
+#: By short search: how many even shares of the waste allowed a bin may take at once, and the
+#: fillings looked at for such a one before the one of least waste is tried.
+SEARCHES = ((2, 64), (4, 16), (1, 1024))
+#: A sequence with more than this part of it empty is part-filled.
+PART_FILLED = 32
 #: Words a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -121,8 +132,8 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     alone, those over half take one each, and pieces from a on fill what is left."""
     lengths = sorted(lengths)
     sums = np.concatenate([[0], np.cumsum(lengths)])
-    best = -(-int(sums[-1]) // capacity)
     half = bisect_right(lengths, capacity // 2)
+    best = max(-(-int(sums[-1]) // capacity), len(lengths) - half)
     for a in sorted(set(lengths[:half])):
         top = max(half, bisect_right(lengths, capacity - a))
         low = bisect_right(lengths, a - 1)
@@ -154,27 +165,35 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class OutOfNodes(Exception):
+    """The search has used all the nodes it was given."""
+
+
 class Completion:
-    """Branch-and-bound that completes one bin at a time."""
+    """Branch-and-bound that completes one bin at a time, around the largest piece left."""
 
-    def __init__(self, counts: np.ndarray, capacity: int, nodes: int):
-        self.capacity, self.nodes = capacity, nodes
+    def __init__(self, counts: np.ndarray, capacity: int, nodes: int | None, shares: int, probe: int):
+        self.capacity, self.nodes, self.shares, self.probe = capacity, nodes, shares, probe
         self.left = counts.astype(int).tolist()
-        self.total = sum(n * k for n, k in enumerate(self.left))
-        self.there = 0
-        for n, k in enumerate(self.left):
-            if k:
-                self.there |= 1 << n
-
-    def take(self, length: int, by: int) -> None:
-        self.left[length] -= by
-        if self.left[length]:
-            self.there |= 1 << length
-        else:
-            self.there &= ~(1 << length)
+        self.total = self.open = sum(n * k for n, k in enumerate(self.left))
+        #: Bit n is set where pieces of length n are left.
+        self.there = sum(1 << n for n, k in enumerate(self.left) if k)
+
+    def take(self, lengths: list[int], by: int) -> None:
+        self.open -= by * sum(lengths)
+        for length in lengths:
+            self.left[length] -= by
+            if self.left[length]:
+                self.there |= 1 << length
+            else:
+                self.there &= ~(1 << length)
 
     def fillings(self, room: int, top: int, waste: int) -> Iterator[list[int]]:
         """Fillings of ``room`` from lengths up to ``top`` that waste at most ``waste``, larger lengths first."""
+        if self.nodes is not None:
+            self.nodes -= 1
+            if self.nodes < 0:
+                raise OutOfNodes
         fits = self.there & ((1 << (min(room, top) + 1)) - 1)
         if not fits:
             if room <= waste:
@@ -184,66 +203,113 @@ class Completion:
             length = fits.bit_length() - 1
             fits ^= 1 << length
             for n in range(min(self.left[length], room // length), 0, -1):
-                self.take(length, n)
                 for rest in self.fillings(room - n * length, length - 1, waste):
                     yield [length] * n + rest
-                self.take(length, -n)
+
+    def options(self, room: int, top: int, waste: int) -> Iterator[list[int]]:
+        """All fillings: of the first ``probe`` one that wastes little or else by waste, then the others."""
+        little = self.shares * waste * self.capacity // max(self.open, 1)
+        found, stream = [], self.fillings(room, top, waste)
+        for filling in stream:
+            if room - sum(filling) <= little:
+                yield filling
+                break
+            found.append(filling)
+            if len(found) == self.probe:
+                break
+        yield from sorted(found, key=sum, reverse=True)
+        yield from stream
 
     def undominated(self, filling: list[int], room: int) -> bool:
         """Whether no single piece left may replace one of the filling's, or two of them together, and fill more."""
         slack = room - sum(filling)
+        if not slack:
+            return True
         sizes = sorted(set(filling))
         parts = set(sizes) | {a + b for i, a in enumerate(sizes) for b in sizes[i + 1 :]}
-        for part in parts:
-            wider = (self.there >> (part + 1)) & ((1 << slack) - 1)
-            if wider:
-                return False
-        return True
-
-    def solve(self, incumbent: int) -> list[list[int]] | None:
-        """Bins fewer than the incumbent's, or None if none were found within the nodes."""
-        allowed = (incumbent - 1) * self.capacity - self.total
-        bins: list[list[int]] = []
-        stack = []
+        return not any((self.there >> (part + 1)) & ((1 << slack) - 1) for part in parts)
+
+    def solve(self, bins: int) -> list[list[int]] | None:
+        """At most so many bins for all pieces; None if there is no such packing."""
+        allowed = bins * self.capacity - self.total
+        done: list[list[int]] = []
+        stack: list[tuple[int, Iterator[list[int]], int]] = []
         while self.there and allowed >= 0:
-            if not stack or len(stack) == len(bins):
+            if len(stack) == len(done):
                 largest = self.there.bit_length() - 1
-                self.take(largest, 1)
-                stack.append((largest, self.fillings(self.capacity - largest, largest, allowed), allowed))
+                self.take([largest], 1)
+                stack.append((largest, self.options(self.capacity - largest, largest, allowed), allowed))
             largest, options, before = stack[-1]
-            chosen = None
+            room, chosen = self.capacity - largest, None
             for filling in options:
-                self.nodes -= 1
-                if self.nodes < 0:
-                    return None
-                # While a generator waits, it holds its filling's pieces as taken.
-                if self.undominated(filling, self.capacity - largest):
+                self.take(filling, 1)
+                if self.undominated(filling, room):
                     chosen = filling
                     break
-            if chosen is None:
-                stack.pop()
-                self.take(largest, -1)
-                if not stack:
-                    return None
-                bins.pop()
-                allowed = stack[-1][2]
+                self.take(filling, -1)
+            if chosen is not None:
+                allowed = before - (room - sum(chosen))
+                done.append([largest, *chosen])
                 continue
-            allowed = before - (self.capacity - largest - sum(chosen))
-            bins.append([largest, *chosen])
-        return None if self.there else bins
+            stack.pop()
+            self.take([largest], -1)
+            if not stack:
+                return None
+            self.take(done.pop()[1:], -1)
+            allowed = stack[-1][2]
+        return None if self.there else done
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece."""
+def fewest_bins(counts: np.ndarray, capacity: int, nodes: int | None = NODES) -> tuple[list[list[int]], str, bool]:
+    """(bins, what made them, whether fewer are known to be impossible).
+
+    Best fit is the incumbent. Short searches look for the lower bound's number of bins,
+    then for one more, up to the incumbent's number, and their bins take its place. A long
+    one then tries what is still open below.
+    """
+    best, made_by = best_fit(counts, capacity), "best_fit"
+    least = lower_bound(np.repeat(np.arange(len(counts)), counts).tolist(), capacity)
+    left = nodes
+
+    def search(bins: int, shares: int, probe: int, limit: int | None) -> list[list[int]] | None:
+        nonlocal left
+        limit = limit if left is None else left if limit is None else min(limit, left)
+        work = Completion(counts, capacity, limit, shares, probe)
+        try:
+            return work.solve(bins)
+        finally:
+            left = left if left is None else left - (limit - max(work.nodes, 0))
+
+    for bins in range(least, len(best) + 1):
+        for how in SEARCHES:
+            try:
+                found = search(bins, *how, SHORT)
+            except OutOfNodes:
+                continue
+            if found is not None:
+                best, made_by = found, "completion"
+            else:
+                least = bins + 1
+            break
+        if len(best) == bins and made_by == "completion":
+            break
+    try:
+        for bins in range(least, len(best)):
+            if (found := search(bins, *SEARCHES[0], None)) is not None:
+                return found, "completion", True
+    except OutOfNodes:
+        return best, made_by, False
+    return best, made_by, True
+
+
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None = NODES) -> tuple[np.ndarray, np.ndarray, str, bool]:
+    """(bin and offset of each piece, what made the bins, whether they are known to be the fewest)."""
     sizes = np.asarray(lengths, np.int64)
     counts = np.bincount(sizes, minlength=capacity + 1)
-    bins = best_fit(counts, capacity)
-    if len(bins) > lower_bound(sizes.tolist(), capacity):
-        bins = Completion(counts, capacity, nodes).solve(len(bins)) or bins
-    order = np.argsort(sizes, kind="stable")
+    bins, made_by, proven = fewest_bins(counts, capacity, nodes)
     nexts = np.concatenate([[0], np.cumsum(counts)]).tolist()
     number, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    order = order.tolist()
+    order = np.argsort(sizes, kind="stable").tolist()
     for k, members in enumerate(bins):
         at = 0
         for length in members:
@@ -251,28 +317,52 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODE
             nexts[length] += 1
             number[i], offset[i] = k, at
             at += length
-    return number, offset
+    return number, offset, made_by, proven
 
 
-def _pack(capacity: int, nodes: int):
+def _pack(capacity: int, nodes: int | None, turn: int):
     def pack(key, table):
-        number, offset = pack_lengths(table.column("length").to_pylist(), capacity, nodes)
-        ids = pa.array(number + (int(key[0].as_py()) << 32), pa.int64())
-        return table.drop_columns(["pack_group"]).append_column("sequence_id", ids).append_column("offset", pa.array(offset, pa.int64()))
+        lengths = table.column("length").to_numpy()
+        number, offset, made_by, proven = pack_lengths(lengths, capacity, nodes)
+        room = capacity - np.bincount(number, weights=lengths).astype(np.int64)
+        added = {
+            "sequence_id": pa.array(number + (turn << 56 | int(key[0].as_py()) << 24), pa.int64()),
+            "offset": pa.array(offset, pa.int64()),
+            "made_by": pa.array([made_by] * len(number), pa.string()),
+            "fewest": pa.array([proven] * len(number), pa.bool_()),
+            "part_filled": pa.array((room * PART_FILLED > capacity)[number], pa.bool_()),
+        }
+        out = table.drop_columns(["pack_group"])
+        for name, column in added.items():
+            out = out.append_column(name, column)
+        return out
 
     return pack
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, nodes: int = NODES) -> DataFrame:
-    """``pieces`` (a written table with a column ``length``) with sequence_id and offset."""
-    n = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+def packed(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, nodes: int | None = NODES) -> DataFrame:
+    """``pieces`` (a written table with a column ``length``) with sequence_id, offset, made_by and fewest.
+
+    Groups leave a part-filled sequence or a few; the pieces of those are packed again
+    together, in fewer groups each time, until there is one group or no fewer.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("pack_group").applyInArrow(_pack(capacity, nodes), f"{fields}, sequence_id long, offset long")
+    schema = f"{fields}, sequence_id long, offset long, made_by string, fewest boolean, part_filled boolean"
+    closed, turn, n = None, 0, max(1, -(-pieces.count() // group))
+    while True:
+        dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+        found = dealt.groupBy("pack_group").applyInArrow(_pack(capacity, nodes, turn), schema)
+        found = found if n == 1 else written(found, "packed")
+        again = 1 if n == 1 else -(-found.where("part_filled").count() // group)
+        settled = found if n == 1 or again >= n or again == 0 else found.where("NOT part_filled")
+        closed = settled if closed is None else closed.unionByName(settled)
+        if settled is found:
+            return closed.drop("part_filled")
+        pieces, n, turn = found.where("part_filled").select(*pieces.columns), again, turn + 1
 
 
 def packed_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset, made_by, fewest of every piece."""
     return packed(written(tokenised(docs, tokenizer, capacity, with_ids=with_ids), "pieces"), capacity)
 
 

@@ -277,7 +277,8 @@ def test_bins_are_fewest():
     beaten = 0
     hard = [[44, 24, 24, 22, 21, 17, 8, 8, 6, 6], [51, 27, 27, 27, 26, 23, 21, 8, 8, 6, 6, 6, 4]]  # best fit needs one more for some of these
     for lengths in [*([rng.randint(1, c) for _ in range(rng.randint(0, 10))] for c in [60] * 150), *hard, *([rng.choice([14, 15, 16, 17, 19, 21, 26, 29]) for _ in range(9)] for _ in range(100))]:
-        number, offset = packing.pack_lengths(lengths, 60)
+        number, offset, _, proven = packing.pack_lengths(lengths, 60, None)
+        assert proven
         for k in set(number.tolist()):
             inside = sorted((offset[i], lengths[i]) for i in range(len(lengths)) if number[i] == k)
             assert [o for o, _ in inside] == list(itertools.accumulate([0, *(n for _, n in inside)]))[:-1] and sum(n for _, n in inside) <= 60
@@ -287,6 +288,33 @@ def test_bins_are_fewest():
     assert beaten > 0
 
 
+def test_completion_makes_the_bins_at_real_capacity():
+    rng = random.Random(3)
+    for pieces in (300, 8192):
+        lengths = [min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(pieces)]
+        number, _, made_by, fewest_ = packing.pack_lengths(lengths)
+        assert made_by == "completion" and fewest_ and len(set(number.tolist())) == packing.lower_bound(lengths, 4096)
+    number, _, made_by, fewest_ = packing.pack_lengths([2100] * 50 + [700] * 20, 4096, nodes=3)
+    assert made_by == "best_fit" and len(set(number.tolist())) == 50 and fewest_
+
+
+def test_part_filled_sequences_are_packed_again(spark):
+    from terralith.llm.common import written
+
+    rng = random.Random(5)
+    for lengths in ([rng.randint(1, 900) for _ in range(3000)], [2100] * 400):
+        pieces = written(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "k long, length long").repartition(4), "pieces")
+        got = packing.packed(pieces, group=200).collect()
+        assert Counter((g.k, g.length) for g in got) == Counter(enumerate(lengths))
+        by = defaultdict(list)
+        for g in got:
+            by[g.sequence_id].append((g.offset, g.length))
+        for inside in by.values():
+            inside.sort()
+            assert [o for o, _ in inside] == list(itertools.accumulate([0, *(n for _, n in inside)]))[:-1] and sum(n for _, n in inside) <= 4096
+        assert len(by) <= packing.lower_bound(lengths, 4096) + 1 and sum(g.made_by == "completion" for g in got) > 0.9 * len(got)
+
+
 def test_packing_matches_the_tokenizer(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
