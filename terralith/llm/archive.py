@@ -21,7 +21,8 @@ reader handles as a table as well.
 Edge cases: null html is an empty payload, which takes part in revisits like any
 other if ``min_bytes`` is 0; rows repeated with one page id: one of equal payload
 is the response under that id, and all of them are (a record never revisits its
-own id); null ids are written as an empty id and read back as null; an empty
+own id); null ids, and ids that
+are no numbers, are written as an empty id and read back as null; an empty
 table gives an empty archive.
 """
 
@@ -51,19 +52,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        body = b.column("body").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), b.column("body"), pa.array([hashlib.sha1(x).digest() for x in body], pa.binary())], names=["page_id", "url", "body", "digest"]
-        )
-
-
 def assigned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, body, digest, refers_to): refers_to is null for responses."""
-    kept = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("body"))
-    rows = kept.mapInArrow(_digests, "page_id long, url string, body binary, digest binary")
-    keys = kept.select("page_id", F.unhex(F.sha1("body")).alias("digest"), F.octet_length("body").alias("n"))
+    number = F.col("page_id") if dict(pages.dtypes)["page_id"] == "bigint" else F.expr("try_cast(page_id AS BIGINT)")
+    rows = pages.select(number.alias("page_id"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("body")).withColumn("digest", F.unhex(F.sha1("body")))
+    keys = rows.select("page_id", "digest", F.octet_length("body").alias("n"))
     groups = keys.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select(F.col("digest").alias("of"), "first")
     joined = rows.join(groups, F.col("digest") == F.col("of"), "left")
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))

@@ -11,9 +11,14 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words a worker remembers.
+REMEMBERED = 1_000_000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
@@ -23,11 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors share.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster. It is set here only
-    where the session has none, as in tests on one machine.
+    ``spark.checkpoint.dir`` names that folder. Only a session on one machine may do
+    without it, as in tests: there a folder of the machine is set. On a cluster
+    that would scatter the tables over the executors' disks, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/terralith-{name}-{uuid.uuid4().hex}"
@@ -50,20 +58,37 @@ def id_fold(column: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(folds)), F.lit(-1).cast("bigint"))
 
 
-def batched(docs: DataFrame, batch_bytes: int, salt: list[str]) -> tuple[DataFrame, int]:
-    """Deal documents into batches of about ``batch_bytes`` of text by a hash.
+def batched(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
+    """Deal documents into batches of about ``batch_bytes`` of text by a hash of the row's place.
 
-    ``docs`` must have the column ``body`` (binary). The batch number ``batch``
-    depends on the row's values ``salt`` alone, so a recomputed task deals the
-    same way. One shuffle; a query that reads the result twice reuses it. Rows
-    equal in all salt columns share a batch.
+    ``docs`` must have the column ``body`` (binary) and be read from files, so that rows
+    keep their places when a task is run again. Equal rows are dealt like any others.
+    One shuffle; a query that reads the result several times reuses it.
     """
     total = docs.select(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-int(total) // batch_bytes))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64(*salt), F.lit(n)).cast("int"))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     return dealt.repartition(n, "batch"), n
 
 
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word) >> 1
+        self[word] = value
+        return value
+
+
+_HASHES = _WordHash()
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    """63-bit hashes of a text's words with A-Z lower-cased."""
+    if len(_HASHES) > REMEMBERED:
+        _HASHES.clear()
+    words = text.lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
+
+
 def environment_guard() -> None:
     """Tokenizer threads off: Spark already runs one worker per core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

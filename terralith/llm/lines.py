@@ -141,12 +141,12 @@ def _send(shards: int, min_chars: int):
             out: list[list] = [[], [], [], []]
             for n, hashes in by.items():
                 keys, docs = np.unique(np.array(hashes, np.uint64), return_counts=True)
-                cuts = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-                for s in range(shards):
-                    lo, hi = cuts[s], cuts[s + 1]
-                    if hi > lo:
-                        for column, value in zip(out, (s, n, keys[lo:hi].tobytes(), docs[lo:hi].astype(np.uint32).tobytes())):
-                            column.append(value)
+                shard = _shard(keys, shards)
+                # Only shards that the batch has lines of, however many there are.
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)] if len(keys) else [0]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    for column, value in zip(out, (int(shard[lo]), n, keys[lo:hi].tobytes(), docs[lo:hi].astype(np.uint32).tobytes())):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["shard", "batch", "keys", "docs"])
 
     return send
@@ -212,7 +212,7 @@ def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
         raise ValueError(f"min_docs must be from 1 to {TOP}")
     others = [F.col(c) for c in docs.columns if c != "text"]
     rows = docs.select(text_bytes().alias("body"), F.struct(*others, F.col("text").isNull().alias("text_is_null")).alias("rest"))
-    dealt, batches = batched(rows, batch_bytes, ["rest", "body"])
+    dealt, batches = batched(rows, batch_bytes)
     sent = sent_lines(dealt, max(1, batches * batch_bytes // shard_bytes), min_chars)
     gone = sent.groupBy("shard").cogroup(line_index(sent).groupBy("shard")).applyInArrow(_probe(min_docs), "batch int, gone binary")
     schema = T.StructType([rows.schema["rest"]]).add("n_lines", "long").add("n_dropped", "long").add("kept", "binary")

@@ -5,9 +5,9 @@ per source), the repetition rate of a source is target / size, and each
 document is emitted floor(rate) times plus one Bernoulli copy that a hash of
 its id decides with probability equal to the fraction.
 
-Scale: one narrow aggregation per source, a window over one row per source, and
-a join on the source that carries only what the caller keeps. Nothing is
-collected. A hot source is one key of a join whose other side has one row per
+Scale: one narrow aggregation per source, windows over one row per source (one
+task: sources may number some hundred thousand, not billions), and a join on the
+source that carries only what the caller keeps. Nothing is collected. A hot source is one key of a join whose other side has one row per
 key, which adaptive execution broadcasts or splits.
 
 Edge cases: null text has size 0; a null source is a source of its own, ordered
@@ -18,12 +18,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from terralith.llm.common import text_bytes
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -34,9 +30,8 @@ CEILING = 2.0
 SEED = "mix-1"
 
 
-@F.arrow_udf(T.LongType())
-def word_count(texts: pa.Array) -> pa.Array:
-    return pa.array([len(t.split()) if t else 0 for t in texts.to_pylist()], pa.int64())
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -75,31 +70,26 @@ def source_rates(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceilin
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies added."""
-    sized = docs.withColumn("mix_size", word_count(text_bytes()))
-    rates = source_rates(sized.select("source", F.col("mix_size").alias("size")), weights, share, ceiling)
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    whole = F.floor("mix_rate")
-    n = whole.cast("int") + (draw(F.col("doc_id"), seed) < F.col("mix_rate") - whole).cast("int")
-    return sized.join(rates, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", n).drop("mix_source", "mix_rate")
+    """``doc`` (a struct of the row of ``docs``), size, source_size, target and copies of every document."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    sized = docs.select(whole).withColumn("size", word_count(F.col("doc.text")))
+    rates = source_rates(sized.select("doc.source", "size"), weights, share, ceiling).withColumnRenamed("source", "rate_source")
+    times = F.floor("rate")
+    n = times.cast("int") + (draw(F.col("doc.doc_id"), seed) < F.col("rate") - times).cast("int")
+    return sized.join(rates, F.col("doc.source").eqNullSafe(F.col("rate_source"))).select("doc", "size", "source_size", "target", n.alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: str = SEED) -> DataFrame:
     """The mixed documents: every row of ``docs`` as often as its copies say, in the same columns."""
-    taken = copies(docs, weights, share, ceiling, seed).where(F.col("mix_copies") > 0)
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    taken = copies(docs, weights, share, ceiling, seed).where(F.col("copies") > 0)
+    each = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """What op3 returns: per document its size, its source's size and target, and the words taken."""
     counted = copies(docs.select("doc_id", "text", "source"))
-    return counted.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
-    )
+    return counted.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE = f"""

@@ -1,26 +1,40 @@
 """Operator 10: language-model scores from a log-frequency Bloom filter.
 
-Training counts word bigrams over all training documents. Counts are quantised
-to q = floor(log2 c) + 1, and a bigram is a member of the filter's levels 1 to q.
-Each level is a Bloom filter laid out in segments by hash, filled by the tasks
-that hold a segment's bigrams, and written. Each batch of documents sends its
-distinct bigrams to their segments, which probe level after level until one
-doesn't know the bigram, and gets the levels back. The model interpolates that
-estimate with discounted unigrams, whose exact counts are joined in the same way.
-
-No level is left out at any size: the filter is never gathered in one place, and
-a segment covers ``SEGMENT_BYTES`` of text however large the corpus is.
-
-Scale: one pass over the training texts moves 8 bytes per bigram and task (before
-compression). The texts are shuffled once more into batches; those move 12 to 16
-bytes per batch and distinct word, and 4 bytes there and 5 back per batch and
-distinct bigram. A word or bigram that all documents hold is one entry per batch.
+Training counts words, word pairs and triples over all training documents. Counts
+are quantised to levels (1, 2, 3, 4, 6, 8, 12, ... : two to an octave), and an
+n-gram of level q is a member of the filter's levels 1 to q. Each level is a Bloom
+filter laid out in segments by hash, filled by the tasks that hold a segment's
+n-grams, and written. Each batch of documents sends its distinct n-grams to their
+segments, which probe level after level until one doesn't know the n-gram, and
+gets the levels back. An n-gram takes at most the level of those inside it, which
+it can't be more frequent than; that undoes most false positives.
+
+The model interpolates discounted shares of triples, pairs and words, all from the
+filter's levels: with L and U the least and largest count of a level, D the discount,
+
+    p(w | u v) = a3 max(L(uvw) - D, 0) / U(uv) + (1 - a3) p(w | v)
+    p(w | v)   = a2 max(L(vw)  - D, 0) / U(v)  + (1 - a2) p(w)
+    p(w)       =    max(L(w)   - D, 0) / N     + D V / (N (V + 1))
+
+and the lower order alone after an unknown context. L is at most and U at least the
+count, so the probabilities after a context sum to at most 1, but for what the
+Bloom filters falsely know. N and V, and the counts of the base score, are exact.
+
+No level is left out at any size: the filter is never gathered in one place (the
+method's broadcast would grow with the corpus), and a segment covers
+``SEGMENT_BYTES`` of text however large the corpus is.
+
+Scale: an n-gram travels as 32 bits, sorted and in differences, which Spark's
+compression brings to some 20: once per training task and some million tokens with its
+count, once per batch there, and its level back. The texts are shuffled once, into
+batches; exact counts move 12 to 16 bytes per batch and distinct word. A word or
+n-gram that all documents hold is one entry per batch.
 
 Edge cases: null and empty texts are the end token alone; rows without doc_id
 are training rows and not held out; repeated rows count and score repeatedly;
-without training documents all counts are 0 and the unigram model is uniform
-over the one unknown word; an empty table gives an empty result. Scores never
-depend on doc_id, lang or source.
+without training documents all counts are 0 and the model is uniform over the
+one unknown word; an empty table gives an empty result. Scores never depend on
+doc_id, lang or source.
 """
 
 from __future__ import annotations
@@ -29,212 +43,218 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import batched, id_fold, text_bytes, written
+from terralith.llm.common import batched, hashed_words, id_fold, text_bytes, written
 
 FOLDS, HELD = 7, 2
-BATCH_BYTES = 16 << 20
-#: Text of a segment of the bigrams' hash space.
-SEGMENT_BYTES = 8 << 20
-PIECE_BYTES = 2 << 20
+ORDERS = 3
+BATCH_BYTES = 8 << 20
+#: Text of a segment of an order's hash space.
+SEGMENT_BYTES = 16 << 20
+#: Tokens of a training task that are counted at once.
+FLUSH_TOKENS = 2_000_000
 BITS_PER_MEMBER = 8
 PROBES = 5
-#: The bigram's share in the interpolation, and the discount of unigrams.
-BIGRAM_SHARE = 0.3
+#: Shares of pairs and triples in the interpolation, and the discount of their counts.
+SHARES = (0.4, 0.6)
 DISCOUNT = 0.75
-#: Hashes of the end token and of the place before a text.
+#: Hashes of the end token and of the places before a text.
 END, BEGIN = np.int64(1), np.int64(2)
-REMEMBERED = 1_000_000
-#: The count a level stands for: the middle, by logarithm, of its quantum; 0 without a level.
-MIDDLES = np.array([0.0, 1.0, *(1.4 * 2.0 ** np.arange(1, 63))])
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+#: The least count of each level from 1 on, and the largest; level 0 has none.
+LEAST = np.array([0, 1, 2, *(x << k for k in range(61) for x in (3, 4))], np.int64)
+MOST = np.append(LEAST[1:] - 1, np.iinfo(np.int64).max)
+_M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)
+_32 = np.uint64(32)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word) >> 1
-        self[word] = value
-        return value
+def word_hashes(text: bytes) -> np.ndarray:
+    """63-bit hashes of a text's words and its end token."""
+    return np.append(hashed_words(text), END)
+
+
+def all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all texts, tokens of each text)."""
+    parts = [word_hashes(t) for t in texts]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> _32)
+    x *= _M2
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def ngram_hashes(tokens: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+    """The hash of the n-gram that ends in each token; texts of these lengths stand one after the other."""
+    own = tokens.view(np.uint64)
+    out = _mixed(own * _M3)
+    first = np.cumsum(lengths) - lengths
+    for back in range(1, order):
+        before = np.empty_like(own)
+        before[back:] = own[:-back]
+        for k in range(back):
+            inside = first[lengths > k] + k
+            before[inside] = BEGIN
+        out = _mixed(before * _M1 + out)
+    return out
 
 
-_HASHES = _WordHash()
+def places(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """Hashes as the segment, which ranges of the hash space make, above 32 bits that sort alike."""
+    n = np.uint64(segments)
+    return (hashes >> _32) * n + ((hashes & _LOW) * n >> _32)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """63-bit hashes of a text's words and its end token."""
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
-    out[-1] = END
-    return out
+def _first(ordered: np.ndarray) -> np.ndarray:
+    """Where values of a sorted array occur first."""
+    return np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]])
+
+
+def _pack(low: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as the byte planes of their differences, which compress."""
+    gaps = np.diff(low, prepend=np.uint32(0)).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def bigram_hashes(tokens: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """The hash of each token with the one before it; texts begin at ``starts``."""
-    before = np.concatenate([[BEGIN], tokens[:-1]])
-    before[starts if starts is not None else 0] = BEGIN
-    mixed = (before.view(np.uint64) * _M1) ^ tokens.view(np.uint64)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= _M2
-    return mixed ^ (mixed >> np.uint64(29))
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _segments(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def _by_segment(distinct: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(segment, start, stop) of the segments that sorted places have."""
+    segment = (distinct >> _32).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(segment)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(segment[a]), a, b
 
 
-def _send_bigrams(segments: int):
-    """Rows (segment, keys, counts) of the distinct bigrams of a few MB of text; the low 32 bits tell a segment's apart."""
+def _send_counts(segments: int):
+    """Rows (part, keys, counts) of the distinct n-grams of some million training tokens; a part is a segment of an order."""
 
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(parts), return_counts=True)
-        cuts = np.searchsorted(_segments(keys, segments), np.arange(segments + 1))
-        low, n = keys.astype(np.uint32), n.astype(np.uint32)
-        rows = [(s, low[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        s, k, c = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["segment", "keys", "counts"])
+    def flush(texts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+        rows = []
+        for order in range(1, ORDERS + 1):
+            ordered = np.sort(places(ngram_hashes(tokens, lengths, order), segments))
+            starts = np.flatnonzero(_first(ordered))
+            distinct, n = ordered[starts], np.diff(np.append(starts, len(ordered))).astype(np.uint32)
+            low = distinct.astype(np.uint32)
+            rows += [((order - 1) * segments + s, _pack(low[a:b]), n[a:b].tobytes()) for s, a, b in _by_segment(distinct)]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        texts, held = [], 0
         for b in batches:
             for text in b.column("body").to_pylist():
-                parts.append(bigram_hashes(word_hashes(text)))
-                held += len(parts[-1])
-                if held > 3_000_000:
-                    yield flush(parts)
-                    parts, held = [], 0
-        if parts:
-            yield flush(parts)
+                texts.append(word_hashes(text))
+                held += len(texts[-1])
+                if held >= FLUSH_TOKENS:
+                    yield flush(texts)
+                    texts, held = [], 0
+        if texts:
+            yield flush(texts)
 
     return send
 
 
-def _probe(low: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
-    """One of PROBES places of 32-bit keys in a segment of a level that has ``bits`` bits."""
-    with np.errstate(over="ignore"):
-        mixed = (low.astype(np.uint64) + np.uint64(level << 40 | 1)) * _M1
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= _M2
-        step = (mixed >> np.uint64(33)) | np.uint64(1)
-        return (((mixed & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * step) % bits).astype(np.int64)
+def _probes(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of keys on a level, which give all their places there."""
+    mixed = _mixed((low.astype(np.uint64) + np.uint64(level << 40 | 1)) * _M1)
+    return mixed & _LOW, (mixed >> _32) | np.uint64(1)
 
 
-def _fill(key, table):
-    """The levels of one segment: (level, segment, bits)."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-    quantised = np.floor(np.log2(total)).astype(int) + 1
-    out = []
-    for level in range(1, int(quantised.max()) + 1):
-        members = distinct[quantised >= level]
-        size = -(-len(members) * BITS_PER_MEMBER // 64) * 64
-        bits = np.zeros(size, bool)
-        for probe in range(PROBES):
-            bits[_probe(members, level, probe, np.uint64(size))] = True
-        out.append({"level": level, "segment": key[0].as_py(), "bits": np.packbits(bits).tobytes()})
-    return pa.Table.from_pylist(out, schema=pa.schema([("level", pa.int32()), ("segment", pa.int32()), ("bits", pa.binary())]))
-
-
-class CountFilter:
-    """The levels of a log-frequency Bloom filter, each a list of segments."""
-
-    def __init__(self, rows: list, segments: int):
-        self.segments, self.levels = segments, {}
-        for row in rows:
-            self.levels.setdefault(row["level"], {})[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-        self.flat = {}
-        for level, parts in self.levels.items():
-            sizes = np.zeros(segments, np.int64)
-            for s, bits in parts.items():
-                sizes[s] = len(bits) * 8
-            self.flat[level] = (np.concatenate([parts[s] for s in sorted(parts)]), np.cumsum(sizes) - sizes, sizes)
-        self.levels = None
-
-    def known_levels(self, keys: np.ndarray) -> np.ndarray:
-        """The highest level that knows each bigram, with all those below it; 0 if none does."""
-        found = np.zeros(len(keys), np.uint8)
-        segment, low = _segments(keys, self.segments).astype(np.int64), keys.astype(np.uint32)
-        left = np.arange(len(keys))
-        for level in sorted(self.flat):
-            bits, starts, sizes = self.flat[level]
-            own = segment[left]
-            inside = sizes[own] > 0
-            left, own = left[inside], own[inside]
-            size = sizes[own].astype(np.uint64)
+def _place(start: np.ndarray, step: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (((start + np.uint64(probe) * step) & _LOW) * np.uint64(bits) >> _32).astype(np.int64)
+
+
+def _fill(bits_per_member: int):
+    """The levels of one part: (level, part, bits)."""
+
+    def fill(key, table):
+        members, level = _counted(table)
+        out = []
+        for k in range(1, int(level.max()) + 1):
+            members, level = members[level >= k], level[level >= k]
+            size = -(-len(members) * bits_per_member // 64) * 64
+            bits = np.zeros(size, bool)
+            start, step = _probes(members, k)
             for probe in range(PROBES):
-                at = _probe(low[left], level, probe, size) + starts[own]
-                hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                left, own, size = left[hit], own[hit], size[hit]
-            if not len(left):
-                break
-            found[left] = level
-        return found
+                bits[_place(start, step, probe, size)] = True
+            out.append({"level": k, "part": key[0].as_py(), "bits": np.packbits(bits).tobytes()})
+        return pa.Table.from_pylist(out, schema=pa.schema([("level", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())]))
+
+    return fill
+
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        """An estimate of each bigram's count."""
-        return MIDDLES[self.known_levels(keys)]
+def _counted(table) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys of one part, level of each)."""
+    keys = np.concatenate([_unpack(x) for x in table.column("keys").to_pylist()])
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(_first(keys))
+    total = np.add.reduceat(counts[order], starts, dtype=np.int64)
+    return keys[starts], np.searchsorted(LEAST[1:], total, side="right")
+
+
+def known_levels(filled: list[dict], low: np.ndarray) -> np.ndarray:
+    """The highest level of a part (rows level, bits) that knows each key, with all those below it; 0 if none does."""
+    found = np.zeros(len(low), np.uint8)
+    left = np.arange(len(low))
+    for row in sorted(filled, key=lambda r: r["level"]):
+        bits = np.frombuffer(row["bits"], np.uint8)
+        start, step = _probes(low[left], row["level"])
+        for probe in range(PROBES):
+            at = _place(start, step, probe, len(bits) * 8)
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            left, start, step = left[hit], start[hit], step[hit]
+        if not len(left):
+            break
+        found[left] = row["level"]
+    return found
 
 
-def filter_table(texts: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, int]:
-    """The written filter (level, segment, bits) of all bigrams of ``texts`` (body binary), and its number of segments."""
+def filter_table(texts: DataFrame, segment_bytes: int = SEGMENT_BYTES, bits_per_member: int = BITS_PER_MEMBER) -> tuple[DataFrame, int]:
+    """The written filter (level, part, bits) of all n-grams of ``texts`` (body binary), and an order's number of segments."""
     total = texts.select(F.sum(F.octet_length("body"))).first()[0] or 0
     segments = max(1, -(-int(total) // segment_bytes))
-    sent = texts.mapInArrow(_send_bigrams(segments), "segment int, keys binary, counts binary")
-    return written(sent.groupBy("segment").applyInArrow(_fill, "level int, segment int, bits binary"), "filter"), segments
-
-
-def count_filter(texts: DataFrame, max_bytes: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> CountFilter:
-    """The filter of a small corpus in memory; with ``max_bytes``, the highest levels that fit. ``scored`` doesn't use it."""
-    filled, segments = filter_table(texts, segment_bytes)
-    if max_bytes is None:
-        return CountFilter(filled.collect(), segments)
-    size = {r["level"]: r["n"] for r in filled.groupBy("level").agg(F.sum(F.octet_length("bits")).alias("n")).collect()}
-    lowest, used = max(size, default=0) + 1, 0
-    for level in sorted(size, reverse=True):
-        used += size[level]
-        if used > max_bytes:
-            break
-        lowest = level
-    return CountFilter(filled.where(F.col("level") >= lowest).collect(), segments)
+    sent = texts.mapInArrow(_send_counts(segments), "part int, keys binary, counts binary")
+    return written(sent.groupBy("part").applyInArrow(_fill(bits_per_member), "level int, part int, bits binary"), "filter"), segments
 
 
 def _ask(segments: int):
-    """Rows (segment, batch, keys): distinct bigrams of a batch, as the low 32 bits of their hashes."""
-    firsts = np.array([-(-(s << 32) // segments) << 32 for s in range(segments)], np.uint64)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number, texts = b.column("batch").to_numpy(), b.column("body").to_pylist()
-            for n in np.unique(number).tolist():
-                keys = np.concatenate([bigram_hashes(word_hashes(texts[k])) for k in np.flatnonzero(number == n).tolist()])
-                keys.sort()
-                keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-                cuts = np.append(np.searchsorted(keys, firsts), len(keys))
-                some = np.flatnonzero(cuts[1:] > cuts[:-1]).astype(np.int32)
-                low, ends = keys.astype(np.uint32), (np.append(0, cuts[1:][some]) * 4).astype(np.int32)
-                sent = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(low)])
-                del keys
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), n, np.int32)), sent], names=["segment", "batch", "keys"])
+    """Rows (part, batch, keys): the distinct n-grams of a batch."""
+
+    def ask(key, docs):
+        tokens, lengths = all_tokens(docs.column("body").to_pylist())
+        parts, keys = [], []
+        for order in range(1, ORDERS + 1):
+            distinct = np.sort(places(ngram_hashes(tokens, lengths, order), segments))
+            distinct = distinct[_first(distinct)]
+            low = distinct.astype(np.uint32)
+            for s, a, b in _by_segment(distinct):
+                parts.append((order - 1) * segments + s)
+                keys.append(_pack(low[a:b]))
+        return pa.table({"part": pa.array(parts, pa.int32()), "batch": pa.array(np.full(len(parts), key[0].as_py()), pa.int32()), "keys": pa.array(keys, pa.binary())})
 
     return ask
 
 
 def _answer(asked, filled):
-    """The asked bigrams of one segment with the level of each."""
-    own = CountFilter([row | {"segment": 0} for row in filled.to_pylist()], 1)
-    sent = asked.column("keys").to_pylist()
-    levels = own.known_levels(np.frombuffer(b"".join(sent), np.uint32).astype(np.uint64))
-    cuts = np.cumsum([0, *(len(x) // 4 for x in sent)]).tolist()
+    """The level of each asked n-gram of one part, in the order asked."""
+    rows = filled.select(["level", "bits"]).to_pylist()
+    keys = [_unpack(x) for x in asked.column("keys").to_pylist()]
+    levels = known_levels(rows, np.concatenate(keys)) if keys else np.zeros(0, np.uint8)
+    cuts = np.cumsum([0, *map(len, keys)]).tolist()
     back = [levels[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
-    return pa.table({"batch": asked.column("batch"), "segment": asked.column("segment"), "keys": asked.column("keys"), "levels": pa.array(back, pa.binary())})
+    return pa.table({"batch": asked.column("batch"), "part": asked.column("part"), "levels": pa.array(back, pa.binary())})
 
 
 def _send_words(shards: int):
@@ -246,16 +266,16 @@ def _send_words(shards: int):
             texts = b.column("body").to_pylist()
             for n in np.unique(number).tolist():
                 mine = np.flatnonzero(number == n)
-                parts = [word_hashes(texts[k]) for k in mine.tolist()]
-                train = np.repeat(~held[mine], [len(p) for p in parts])
-                words, inverse = np.unique(np.concatenate([*parts, [BEGIN]]), return_inverse=True)
+                tokens, lengths = all_tokens([texts[k] for k in mine.tolist()])
+                train = np.repeat(~held[mine], lengths)
+                words, inverse = np.unique(np.append(tokens, BEGIN), return_inverse=True)
                 seen = np.bincount(inverse[:-1], weights=train, minlength=len(words)).astype(np.int64)
                 seen[np.searchsorted(words, BEGIN)] = int((~held[mine]).sum())
+                order = np.argsort(words % shards, kind="stable")
+                words, seen = words[order], seen[order].astype(np.uint32)
                 shard = words % shards
-                order = np.argsort(shard, kind="stable")
-                words, seen = words[order], seen[order]
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-                rows = [(s, n, words[a:z].tobytes(), seen[a:z].astype(np.uint32).tobytes()) for s, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(words)]
+                rows = [(int(shard[a]), n, words[a:z].tobytes(), seen[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "batch", "words", "n"])
 
     return send
@@ -274,75 +294,66 @@ def _sum_words(key, table):
     return pa.table({"batch": table.column("batch"), "words": table.column("words"), "c": pa.array(back, pa.binary()), "total": firsts(c[tokens].sum()), "distinct": firsts((c[tokens] > 0).sum())})
 
 
-def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The texts in runs of some MB, each worked on at once."""
-    piece, held = [], 0
-    for text in texts:
-        piece.append(text)
-        held += len(text)
-        if held > PIECE_BYTES:
-            yield piece
-            piece, held = [], 0
-    if piece:
-        yield piece
-
-
-def _places(keys: np.ndarray, segments: np.ndarray | int) -> np.ndarray:
-    """Bigrams as the segment above the low 32 bits, as they come back."""
-    return (np.asarray(segments, np.uint64) << np.uint64(32)) | (keys.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-
-
-def _levels(found) -> tuple[np.ndarray, np.ndarray]:
-    """A batch's distinct bigrams, sorted, and their levels."""
-    sent = found.column("keys").to_pylist()
-    segment = np.repeat(found.column("segment").to_numpy(), [len(x) // 4 for x in sent])
-    keys = _places(np.frombuffer(b"".join(sent), np.uint32), segment)
-    order = np.argsort(keys)
-    return keys[order], np.frombuffer(b"".join(found.column("levels").to_pylist()), np.uint8)[order]
-
-
-def _score(segments: int, share: float, discount: float):
+def probabilities(levels: list[np.ndarray], lengths: np.ndarray, texts: int, total: int, distinct: int, shares=SHARES, discount: float = DISCOUNT) -> np.ndarray:
+    """Of each token, from the levels (one array an order) of the n-grams that end in it; ``texts``: training texts."""
+    first = np.cumsum(lengths) - lengths
+    capped = [levels[0]]
+    for own in levels[1:]:
+        shorter = capped[-1]
+        before = np.append(np.uint8(255), shorter[:-1])
+        before[first] = 255
+        capped.append(np.minimum(own, np.minimum(shorter, before)))
+    if not total:
+        return np.ones(len(levels[0]))
+    p = np.maximum(LEAST[capped[0]] - discount, 0) / total + discount * distinct / (total * (distinct + 1))
+    for order, share in enumerate(shares, 2):
+        context = MOST[np.append(np.uint8(0), capped[order - 2][:-1])]
+        context[first] = texts
+        own = share * np.maximum(LEAST[capped[order - 1]] - discount, 0) / np.maximum(context, 1)
+        p = np.where(context > 0, own + (1 - share) * p, p)
+    return p
+
+
+def _score(segments: int, shares: tuple[float, ...], discount: float):
     def score(docs, found):
-        pairs, levels = _levels(found.filter(found.column("levels").is_valid()))
-        found = found.filter(found.column("words").is_valid())
-        words, c = (np.frombuffer(b"".join(found.column(k).to_pylist()), np.int64) for k in ("words", "c"))
+        answers = found.filter(found.column("levels").is_valid()).sort_by("part")
+        part, sent = answers.column("part").to_numpy(), answers.column("levels").to_pylist()
+        by_word = found.filter(found.column("words").is_valid())
+        words, c = (np.frombuffer(b"".join(by_word.column(k).to_pylist()), np.int64) for k in ("words", "c"))
         order = np.argsort(words)
         words, c = words[order], c[order]
-        out: list[list] = [[], [], [], []]
-        total, distinct = (int(found.column(k)[0].as_py()) for k in ("all_total", "all_distinct"))
-        begin = int(c[np.searchsorted(words, BEGIN)])
-        base_log = np.log10((c + 1) / (total + distinct + 1))
-        unigram = np.where(c > 0, (c - discount) / max(total, 1), (discount * distinct / total) if total else 1.0)
-        for texts in _pieces(docs.column("body").to_pylist()):
-            parts = [word_hashes(t) for t in texts]
-            lengths = np.array([len(p) for p in parts])
-            starts, tokens = np.cumsum(lengths) - lengths, np.concatenate(parts)
-            place = np.searchsorted(words, tokens)
-            before = np.concatenate([[begin], c[place[:-1]]]).astype(float)
-            before[starts] = begin
-            hashes = bigram_hashes(tokens, starts)
-            distinct_pairs, inverse = np.unique(_places(hashes, _segments(hashes, segments)), return_inverse=True)
-            pair = MIDDLES[levels[np.searchsorted(pairs, distinct_pairs)]][inverse]
-            known = before > 0
-            of = np.where(known, np.minimum(pair, before) / np.maximum(before, 1), 0.0)
-            p = np.where(known, share * of + (1 - share) * unigram[place], unigram[place])
-            sums = (lengths, np.add.reduceat((c[place] > 0).astype(np.int64), starts), np.add.reduceat(base_log[place], starts), np.add.reduceat(np.log10(p), starts))
-            for column, values in zip(out, sums):
-                column.extend(values.tolist())
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = [pa.array(x, k) for x, k in zip(out, kinds)]
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": columns[0], "n_known": columns[1], "train_tokens": pa.array(np.full(len(docs), total), pa.int64()), "base_score": columns[2], "score": columns[3]})
+        total, distinct = (int(by_word.column(k)[0].as_py()) for k in ("all_total", "all_distinct"))
+        tokens, lengths = all_tokens(docs.column("body").to_pylist())
+        starts = np.cumsum(lengths) - lengths
+        levels = []
+        for k in range(ORDERS):
+            a, b = np.searchsorted(part, [k * segments, (k + 1) * segments]).tolist()
+            answer = np.frombuffer(b"".join(sent[a:b]), np.uint8)
+            own = places(ngram_hashes(tokens, lengths, k + 1), segments)
+            by_place = np.argsort(own)
+            level = np.empty(len(own), np.uint8)
+            level[by_place] = answer[np.cumsum(_first(own[by_place])) - 1]
+            levels.append(level)
+            del own, by_place
+        p = probabilities(levels, lengths, int(c[np.searchsorted(words, BEGIN)]), total, distinct, shares, discount)
+        seen = c[np.searchsorted(words, tokens)]
+        sums = [lengths, np.add.reduceat((seen > 0).astype(np.int64), starts), np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), starts), np.add.reduceat(np.log10(p), starts)]
+        columns = [pa.array(x, k) for x, k in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        all_tokens_ = pa.array(np.full(len(docs), total), pa.int64())
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": columns[0], "n_known": columns[1], "train_tokens": all_tokens_, "base_score": columns[2], "score": columns[3]})
 
     return score
 
 
-def scored(docs: DataFrame, share: float = BIGRAM_SHARE, discount: float = DISCOUNT, batch_bytes: int = BATCH_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def scored(
+    docs: DataFrame, shares: tuple[float, ...] = SHARES, discount: float = DISCOUNT, batch_bytes: int = BATCH_BYTES, segment_bytes: int = SEGMENT_BYTES, bits_per_member: int = BITS_PER_MEMBER
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), text_bytes().alias("body"))
-    filled, segments = filter_table(rows.where("NOT held_out").select("body"), segment_bytes)
-    dealt, batches = batched(rows, batch_bytes, ["doc_id", "body"])
-    asked = dealt.mapInArrow(_ask(segments), "segment int, batch int, keys binary")
-    answered = asked.groupBy("segment").cogroup(filled.groupBy("segment")).applyInArrow(_answer, "batch int, segment int, keys binary, levels binary")
+    filled, segments = filter_table(rows.where("NOT held_out").select("body"), segment_bytes, bits_per_member)
+    dealt, batches = batched(rows, batch_bytes)
+    asked = dealt.groupBy("batch").applyInArrow(_ask(segments), "part int, batch int, keys binary")
+    answered = asked.groupBy("part").cogroup(filled.groupBy("part")).applyInArrow(_answer, "batch int, part int, levels binary")
     sent = dealt.mapInArrow(_send_words(batches), "shard int, batch int, words binary, n binary")
     back = sent.groupBy("shard").applyInArrow(_sum_words, "batch int, words binary, c binary, total long, distinct long")
     whole = {f"all_{k}": back.agg(F.sum(k)).scalar() for k in ("total", "distinct")}
@@ -350,4 +361,4 @@ def scored(docs: DataFrame, share: float = BIGRAM_SHARE, discount: float = DISCO
     schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"]])
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(segments, share, discount), schema)
+    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(segments, shares, discount), schema)

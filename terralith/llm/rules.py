@@ -6,7 +6,8 @@ counts per value bucket, with buckets exact below 64 and 1/32 of the value wide
 above (6 leading bits). Counts per bucket add up in any order, so partial
 aggregation merges them on the map side, a hot source costs no more than its
 buckets, and reruns agree. Thresholds are quartile fences read from the
-sketches, and a join brings them back to the documents.
+sketches, and a join brings them back to the documents. Texts are read once; what was
+measured is written, some 60 bytes a document.
 
 A sketch of fewer than ``MIN_DOCS`` documents isn't used: its language's takes
 its place, or else that of all documents.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.llm.common import text_bytes
+from terralith.llm.common import text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -137,7 +138,7 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> D
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
     """doc_id, the base columns, base_failed and kept for every document."""
-    scored = metrics(measured(docs))
+    scored = metrics(written(measured(docs), "measured"))
     limits = fences(sketches(scored), min_docs, fence)
     names = [f"{m}_{s}" for m in METRICS for s in ("low", "high")]
     packed = limits.select("level", F.col("lang").alias("l_lang"), F.col("source").alias("l_source"), F.struct(*names).alias("limit"))

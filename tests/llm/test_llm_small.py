@@ -233,6 +233,54 @@ def test_simhash(docs, none):
     assert simhash.digest(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def shingle_set(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def alike(a, b, least=0.8):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) >= least * len(x | y)
+
+
+def near_copies(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = "other" + str(rng.randrange(1000))
+    return " ".join(words)
+
+
+def test_keep_one_by_brute_force(spark, tmp_path):
+    """Of groups of near copies at all similarities one stays; nothing that is unlike all that stay goes."""
+    rng = random.Random(4)
+    rows, group = [], []
+    for g in range(60):
+        text = " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([4, 60, 200, 500])))
+        for k in range(rng.choice([1, 1, 3, 8])):
+            rows.append((len(rows), near_copies(rng, text, 0 if k == 0 else rng.randint(0, max(1, len(text.split()) // 45))), "en", "s", 1, "b", "x", "r"))
+            group.append(g)
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/d")
+    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    texts = [r[1].encode() for r in rows]
+    for i in set(range(len(rows))) - kept:
+        assert any(alike(texts[i], texts[j]) for j in range(len(rows)) if j != i and group[j] == group[i])
+    assert {group[i] for i in kept} == set(group)
+    left = [(i, j) for i, j in itertools.combinations(sorted(kept), 2) if group[i] == group[j] and alike(texts[i], texts[j])]
+    links = sum(group[i] == group[j] and alike(texts[i], texts[j]) for i, j in itertools.combinations(range(len(rows)), 2))
+    assert links > 100 and len(left) <= 0.03 * links
+
+
+def test_keep_one_tells_rows_apart_by_place(spark, tmp_path):
+    """Repeated and missing ids never take an unlike text along."""
+    x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    for n, (rows, want) in enumerate([([(5, x), (5, y), (7, z)], [(5, x), (5, y), (7, z)]), ([(3, x), (5, x), (5, y)], [(3, x), (5, y)]), ([(None, x), (None, x), (None, y), (4, y)], [(None, x), (4, y)])]):
+        spark.createDataFrame([(*r, None, None, 1, "b", "x", "r") for r in rows], SCHEMA).write.parquet(f"{tmp_path}/{n}")
+        got = simhash.keep_one(spark.read.parquet(f"{tmp_path}/{n}")).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in want)
+    dotted = spark.read.parquet(f"{tmp_path}/0").withColumnRenamed("rest", "a.b")
+    assert simhash.keep_one(dotted).columns[-1] == "a.b"
+
+
 def test_golay_links_and_chains(spark):
     rng = random.Random(7)
     prints = []
@@ -486,51 +534,79 @@ def test_lm_base_and_score(docs, none):
     assert ngram_filter.scored(none).count() == 0
 
 
-def test_count_filter_never_underestimates(spark):
-    texts = ["a b a b a b c", "b c d e", "a b " * 40]
-    frame = spark.createDataFrame([(t.encode(),) for t in texts], "body binary")
-    found = ngram_filter.count_filter(frame)
-    true = Counter(h for t in texts for h in ngram_filter.bigram_hashes(ngram_filter.word_hashes(t.encode())).tolist())
-    keys = np.array(list(true), np.uint64)
-    estimate = found.estimate(keys)
-    assert all(e >= 2 ** (math.floor(math.log2(true[k]))) for k, e in zip(keys.tolist(), estimate))
-    assert (found.estimate(np.arange(1, 4000, dtype=np.uint64) * np.uint64(2**50 + 7)) > 0).mean() < 0.1
-    assert ngram_filter.count_filter(frame, max_bytes=0).estimate(keys).sum() == 0
-
-
-def test_lm_score_uses_every_level_of_every_segment(spark, docs, monkeypatch):
-    """Nothing is broadcast or dropped: scores equal those of a plain model that probes the whole filter."""
+def plain_levels(texts):
+    """Exact counts of words, pairs and triples of the texts."""
+    counts = Counter()
+    for t in texts:
+        tokens = ["<", "<", *t.lower().split(), "end"]
+        counts.update(tuple(tokens[i - n + 1 : i + 1]) for i in range(2, len(tokens)) for n in (1, 2, 3))
+    return counts
+
+
+def plain_score(text, counts, texts, total, distinct, shares=(0.4, 0.6), discount=0.75):
+    edges = [0, 1, 2, *(x << k for k in range(20) for x in (3, 4))]
+    least = lambda c: max(e for e in edges if e <= c)
+    most = lambda c: min(e for e in edges if e > c) - 1 if c else 0
+    tokens, score = ["<", "<", *text.lower().split(), "end"], 0.0
+    for i in range(2, len(tokens)):
+        p = max(least(counts[(tokens[i],)]) - discount, 0) / total + discount * distinct / (total * (distinct + 1))
+        for n, share in enumerate(shares, 2):
+            context = texts if i == 2 else most(counts[tuple(tokens[i - n + 1 : i])])
+            if context:
+                p = share * max(least(counts[tuple(tokens[i - n + 1 : i + 1])]) - discount, 0) / context + (1 - share) * p
+        score += math.log10(p)
+    return score
+
+
+def test_lm_score_by_brute_force(spark, docs, monkeypatch):
+    """Many small segments and batches, nothing broadcast, give what exact counts of all levels give."""
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
-    got = ngram_filter.scored(docs, batch_bytes=9000, segment_bytes=700).collect()
     held = {r[0]: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in edge_rows()}
-    train = [raw(r) for r in edge_rows() if not held[r[0]]]
-    found = ngram_filter.count_filter(spark.createDataFrame([(t,) for t in train], "body binary"), segment_bytes=700)
-    assert found.segments > 50
-    one, pairs = Counter(), Counter()
-    for t in train:
-        tokens = ngram_filter.word_hashes(t)
-        one.update(tokens.tolist())
-        pairs.update(ngram_filter.bigram_hashes(tokens).tolist())
-    estimate = found.estimate(np.array(list(pairs), np.uint64))
-    assert all(e >= 2 ** math.floor(math.log2(c)) for c, e in zip(pairs.values(), estimate)) and min(pairs.values()) == 1
-    total, distinct, want = sum(one.values()), len(one), []
-    for r in edge_rows():
-        tokens, before, score = ngram_filter.word_hashes(raw(r)), len(train), 0.0
-        for t, pair in zip(tokens.tolist(), found.estimate(ngram_filter.bigram_hashes(tokens)).tolist()):
-            p = (one[t] - 0.75) / total if one[t] else 0.75 * distinct / total
-            score += math.log10(0.3 * min(pair, before) / before + 0.7 * p if before else p)
-            before = one[t]
-        want.append((str(r[0]), pytest.approx(score)))
-    assert sorted((str(g.doc_id), g.score) for g in got) == sorted(want, key=lambda x: (x[0], x[1].expected))
-
-
-def test_count_filter_holds_a_bigram_of_many_occurrences(spark):
-    """One flush with far over 65,535 occurrences of a bigram, and several such flushes."""
+    train = [raw(r).decode("utf-8", "replace") for r in edge_rows() if not held[r[0]]]
+    counts = plain_levels([t.encode() for t in train])
+    words = {k: c for k, c in counts.items() if len(k) == 1}
+    want = sorted((str(r[0]), plain_score(raw(r), counts, len(train), sum(words.values()), len(words))) for r in edge_rows())
+    for sizes in ({}, {"batch_bytes": 9000, "segment_bytes": 700}):
+        got = sorted((str(g.doc_id), g.score) for g in ngram_filter.scored(docs, bits_per_member=64, **sizes).collect())
+        assert [d for d, _ in got] == [d for d, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_lm_probabilities_sum_to_at_most_one():
+    """After any context, over all known words and an unknown one, with levels of exact counts."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 30))).encode() for _ in range(30)]
+    counts = plain_levels(texts)
+    words = {k[0]: c for k, c in counts.items() if len(k) == 1}
+    total = sum(words.values())
+    level = lambda gram: int(np.searchsorted(ngram_filter.LEAST[1:], counts[gram], side="right"))
+    for u, v in [("a", "b"), ("<", "c"), ("f", "f"), ("unknown", "a"), ("a", "unknown")]:
+        mass = 0.0
+        for w in [*words, "unknown"]:
+            # u and v stand before w, so that w's contexts are read from their levels.
+            levels = [np.array([level((u,)), level((v,)), level((w,))], np.uint8), np.array([9, level((u, v)), level((v, w))], np.uint8), np.array([9, 9, level((u, v, w))], np.uint8)]
+            mass += ngram_filter.probabilities(levels, np.array([3]), len(texts), total, len(words))[2]
+        assert 0.3 < mass <= 1 + 1e-9
+
+
+def test_filter_never_underestimates(spark):
+    """Levels of hundreds of thousands of occurrences in one flush and over several, and few false positives."""
     text = b"a b " * 300_000 + b"c"
-    found = ngram_filter.count_filter(spark.createDataFrame([(text,)] * 6, "body binary").coalesce(1))
-    true = Counter(ngram_filter.bigram_hashes(ngram_filter.word_hashes(text)).tolist() * 6)
-    levels = found.known_levels(np.array(list(true), np.uint64))
-    assert max(true.values()) == 1_800_000 and all(n >= math.floor(math.log2(c)) + 1 for n, c in zip(levels.tolist(), true.values()))
+    frame = spark.createDataFrame([(text,)] * 6, "body binary").coalesce(1)
+    filled, segments = ngram_filter.filter_table(frame)
+    assert segments == 1
+    rows = [r.asDict() for r in filled.collect()]
+    tokens, lengths = ngram_filter.all_tokens([text] * 6)
+    for order in (1, 2, 3):
+        true = Counter(ngram_filter.places(ngram_hashes := ngram_filter.ngram_hashes(tokens, lengths, order), 1).tolist())
+        assert len(ngram_hashes) == len(tokens) and max(true.values()) >= 1_799_000
+        keys = np.array(list(true), np.uint64).astype(np.uint32)
+        levels = ngram_filter.known_levels([r for r in rows if r["part"] == order - 1], keys)
+        assert all(ngram_filter.MOST[k] >= c for k, c in zip(levels.tolist(), true.values()))
+    rng = np.random.default_rng(2)
+    words = [(" ".join(map(str, rng.integers(0, 10**9, 5000)))).encode()]
+    rows = [r.asDict() for r in ngram_filter.filter_table(spark.createDataFrame([(words[0],)], "body binary"))[0].collect()]
+    other = rng.integers(0, 2**32, 20_000).astype(np.uint32)
+    assert (ngram_filter.known_levels([r for r in rows if r["part"] == 2], other) > 0).mean() < 0.04
 
 
 def media_payloads():
