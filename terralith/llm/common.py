@@ -10,9 +10,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +61,31 @@ def id_fold(column: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(folds)), F.lit(-1).cast("bigint"))
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        at = b.schema.get_field_index("body")
+        yield b.set_column(at, "body", pa.array([pack(x) for x in b.column(at).to_pylist()], pa.binary()))
+
+
+def bodies(rows: pa.RecordBatch | pa.Table) -> list[bytes]:
+    """The texts of rows that ``batched`` dealt."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in rows.column("body").to_pylist()]
+
+
 def batched(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
     """Deal documents into batches of about ``batch_bytes`` of text by a hash of the row's place.
 
     ``docs`` must have the column ``body`` (binary) and be read from files, so that rows
     keep their places when a task is run again. Equal rows are dealt like any others.
-    One shuffle; a query that reads the result several times reuses it.
+    Texts travel compressed (``bodies`` gives them back). One shuffle; a query that reads
+    the result several times reuses it.
     """
     total = docs.select(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-int(total) // batch_bytes))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    return dealt.repartition(n, "batch"), n
+    return dealt.mapInArrow(_compressed, dealt.schema).repartition(n, "batch"), n
 
 
 class _WordHash(dict):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import batched, text_bytes
+from terralith.llm.common import batched, bodies, text_bytes
 
 #: Keys found in so many documents lose all their lines.
 MIN_DOCS = 10
@@ -134,7 +134,7 @@ def _send(shards: int, min_chars: int):
         for b in batches:
             number = b.column("batch").to_numpy()
             by: dict[int, list[int]] = {}
-            for n, text in zip(number.tolist(), b.column("body").to_pylist()):
+            for n, text in zip(number.tolist(), bodies(b)):
                 found = {key_hash(line, min_chars) for line in text.split(b"\n")}
                 found.discard(None)
                 by.setdefault(n, []).extend(found)
@@ -190,7 +190,7 @@ def keep_lines(text: bytes, gone: set[int], min_chars: int = MIN_CHARS) -> tuple
 def _drop(min_chars: int):
     def drop(docs, gone):
         hashes = set(np.frombuffer(b"".join(gone.column("gone").to_pylist()), np.uint64).tolist())
-        rows = [keep_lines(t, hashes, min_chars) for t in docs.column("body").to_pylist()]
+        rows = [keep_lines(t, hashes, min_chars) for t in bodies(docs)]
         lines, dropped, kept = zip(*rows) if rows else ((), (), ())
         return pa.table({"rest": docs.column("rest"), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
@@ -210,7 +210,7 @@ def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     """``rest`` (a struct of the other columns), n_lines, n_dropped and kept (bytes) of every document."""
     if not 1 <= min_docs <= TOP:
         raise ValueError(f"min_docs must be from 1 to {TOP}")
-    others = [F.col(c) for c in docs.columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(text_bytes().alias("body"), F.struct(*others, F.col("text").isNull().alias("text_is_null")).alias("rest"))
     dealt, batches = batched(rows, batch_bytes)
     sent = sent_lines(dealt, max(1, batches * batch_bytes // shard_bytes), min_chars)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import batched, hashed_words, id_fold, text_bytes, written
+from terralith.llm.common import batched, bodies, hashed_words, id_fold, text_bytes, written
 
 FOLDS, HELD = 7, 2
 ORDERS = 3
@@ -57,6 +57,8 @@ SEGMENT_BYTES = 16 << 20
 #: Tokens of a training task that are counted at once.
 FLUSH_TOKENS = 2_000_000
 BITS_PER_MEMBER = 8
+#: Bits of the smallest filter: two hashes give places apart only where there are many.
+LEAST_BITS = 4096
 PROBES = 5
 #: Shares of pairs and triples in the interpolation, and the discount of their counts.
 SHARES = (0.4, 0.6)
@@ -182,7 +184,7 @@ def _fill(bits_per_member: int):
         out = []
         for k in range(1, int(level.max()) + 1):
             members, level = members[level >= k], level[level >= k]
-            size = -(-len(members) * bits_per_member // 64) * 64
+            size = max(LEAST_BITS, -(-len(members) * bits_per_member // 64) * 64)
             bits = np.zeros(size, bool)
             start, step = _probes(members, k)
             for probe in range(PROBES):
@@ -233,7 +235,7 @@ def _ask(segments: int):
     """Rows (part, batch, keys): the distinct n-grams of a batch."""
 
     def ask(key, docs):
-        tokens, lengths = all_tokens(docs.column("body").to_pylist())
+        tokens, lengths = all_tokens(bodies(docs))
         parts, keys = [], []
         for order in range(1, ORDERS + 1):
             distinct = np.sort(places(ngram_hashes(tokens, lengths, order), segments))
@@ -263,7 +265,7 @@ def _send_words(shards: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             number, held = b.column("batch").to_numpy(), b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            texts = b.column("body").to_pylist()
+            texts = bodies(b)
             for n in np.unique(number).tolist():
                 mine = np.flatnonzero(number == n)
                 tokens, lengths = all_tokens([texts[k] for k in mine.tolist()])
@@ -323,7 +325,7 @@ def _score(segments: int, shares: tuple[float, ...], discount: float):
         order = np.argsort(words)
         words, c = words[order], c[order]
         total, distinct = (int(by_word.column(k)[0].as_py()) for k in ("all_total", "all_distinct"))
-        tokens, lengths = all_tokens(docs.column("body").to_pylist())
+        tokens, lengths = all_tokens(bodies(docs))
         starts = np.cumsum(lengths) - lengths
         levels = []
         for k in range(ORDERS):
