@@ -1,25 +1,28 @@
 """Operator 4: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 7 letters; those that occur in more
-toxic than other examples (chi-square) make the vocabulary, and all words
-together count as one further term, so a direction tells how dense the
-vocabulary is in a text. Examples with one vector are one entry with its counts
-of both labels. An inverted index holds, term by term, the entries' weights in
-blocks with each block's largest weight; a query bounds every block by those,
-visits blocks by falling bound and stops where no block can still hold a nearer
-entry. The votes of the k nearest entries, weighted by closeness, are calibrated
-by isotonic regression on the examples themselves, each without the entry of
-its own text.
+Terms are all words of the examples, and those word beginnings of 4 to 7 letters
+that occur in more toxic than other examples (chi-square). A term weighs its count
+in the text times its idf times a small constant plus its relevance, which grows
+with its chi-square; words that no example has count in the text's norm, and one
+further term is the number of words, so that a direction also tells how dense
+relevant words are. Where a text has relevant terms they decide what is near it, and
+otherwise its other words do.
+
+An inverted index holds each term's postings (entry, weight) in blocks of entries with
+each block's largest weight. A query bounds every block by those, scores the blocks of
+highest bounds, then all whose bound reaches the k-th score found, which is exact. The
+votes of the k nearest entries, weighted by closeness, are calibrated by isotonic
+regression on the examples themselves, each without the entry of its own text.
 
 Examples are at most about ``MAX_EXAMPLES`` labelled documents outside the held
 out fold, sampled by a hash; that bounds the vocabulary, the index and what is
-broadcast. Scoring is map-only over all documents, whole texts.
+broadcast (some tens of MB). Scoring is map-only over all documents, whole texts.
 
 Edge cases: null and empty texts have no terms and get the calibrated share of
 examples without any; unlabelled or null labels aren't examples; ids labelled
 twice are toxic if any label says so; without examples all scores are 0;
-repeated rows get equal scores, since the score depends on the text alone; an
-empty table gives an empty result.
+repeated rows get equal scores, since the score depends on the text alone; ids may
+be of any type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,18 +36,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terralith.llm.common import id_fold, text_bytes, written
 
 FOLDS, HELD = 4, 2
-MAX_EXAMPLES = 12_000
-#: Vocabulary: so many terms at most, each in so many examples at least, with such a chi-square at least.
-MAX_TERMS, MIN_DOCS, MIN_CHI = 512, 6, 30.0
+MAX_EXAMPLES = 6_000
+#: Relevant terms are in so many examples at least, with such a chi-square at least.
+MIN_DOCS, MIN_CHI = 6, 30.0
+#: A relevance of one half.
+HALF_CHI = 100.0
+#: The weight of terms without relevance.
+FLOOR = 0.02
 PREFIXES = range(4, 8)
-#: So many words weigh as much as one term that all examples hold.
+#: So many words weigh as much as one relevant term that all examples hold.
 WORDS_PER_TERM = 50.0
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks that are scored at first.
+FIRST_BLOCKS = 4
 THRESHOLD = 0.3
 REMEMBERED = 500_000
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -56,57 +66,36 @@ def word_terms(word: bytes) -> list[str]:
     return ["=" + bare, *(bare[:k] for k in PREFIXES if len(bare) >= k)] if bare else []
 
 
-def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n): the toxic examples of a batch that have each of their terms."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, clean, toxic): the examples of a batch, of both labels, that have each term."""
     for b in batches:
-        n: Counter = Counter()
+        n: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(b.column("body").to_pylist(), b.column("toxic").to_pylist()):
-            if toxic:
-                n.update({t for w in set(text.lower().split()) for t in word_terms(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+            n[toxic > 0].update({t for w in set(text.lower().split()) for t in word_terms(w)})
+        terms = sorted(n[0] | n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([n[k][t] for t in terms], pa.int64()) for k in (0, 1))], names=["term", "clean", "toxic"])
 
 
-def _term_counts(shared):
-    """(term, clean, toxic): a batch's examples of both labels that have each candidate term."""
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        known: dict[bytes, list[str]] = {}
-        for b in batches:
-            n: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column("body").to_pylist(), b.column("toxic").to_pylist()):
-                words = set(text.lower().split())
-                for w in words - known.keys():
-                    known[w] = [t for t in word_terms(w) if t in terms]
-                n[toxic].update({t for w in words for t in known[w]})
-            found = sorted(n[0] | n[1])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([n[k][t] for t in found], pa.int64()) for k in (0, 1))], names=["term", "clean", "toxic"])
-
-    return counts
-
-
-def vocabulary(examples: DataFrame) -> dict[str, tuple[int, float]]:
-    """term: (number, idf). Bounded by MAX_TERMS; candidates are bounded by the examples."""
-    size = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    n, n_toxic = size["n"], size["toxic"]
-    if not n_toxic or n_toxic == n:
-        return {}
-    in_toxic = examples.mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") * 2 >= MIN_DOCS)
-    candidates = examples.sparkSession.sparkContext.broadcast({r["term"] for r in in_toxic.select("term").collect()})
-    counted = examples.mapInArrow(_term_counts(candidates), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+def vocabulary(examples: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
+    """(number of each term, their weights per occurrence, weight of a word that no example has): all words, and relevant beginnings."""
+    size = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0)).alias("toxic")).first()
+    n, share = size["n"], (size["toxic"] / size["n"] if size["n"] else 0.0)
+    counted = examples.mapInArrow(_term_counts, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, df = F.col("toxic").cast("double"), (F.col("toxic") + F.col("clean")).cast("double")
-    share = F.lit(float(n_toxic) / n)
-    chi = F.pow(a - df * share, 2) / (df * share * (1 - share) * (1 - df / n + 1e-9))
-    chosen = counted.where((df >= MIN_DOCS) & (a > df * share) & (chi >= MIN_CHI)).select("term", df.alias("df"), chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
-    return {r["term"]: (k, math.log(1 + n / r["df"])) for k, r in enumerate(chosen.collect())}
+    spread = df * F.lit(share * (1 - share)) * (1 - df / F.lit(float(max(n, 1))) + 1e-9)
+    chi = F.try_divide(F.pow(a - df * F.lit(share), 2), spread)
+    relevant = (df >= MIN_DOCS) & (a > df * F.lit(share)) & (chi >= MIN_CHI)
+    relevance = F.when(relevant, chi / (chi + HALF_CHI)).otherwise(0.0)
+    kept = counted.select("term", df.alias("df"), F.coalesce(relevance, F.lit(0.0)).alias("relevance")).where(F.col("term").startswith("=") | (F.col("relevance") > 0)).orderBy("term").toArrow()
+    weights = np.log(1 + n / kept.column("df").to_numpy()) * (FLOOR + kept.column("relevance").to_numpy()) if len(kept) else np.zeros(0)
+    return {t: k for k, t in enumerate(kept.column("term").to_pylist())}, weights, math.log(1 + n) * FLOOR
 
 
 class Terms(dict):
-    """A word's vocabulary numbers, remembered."""
+    """A word's term numbers, remembered; the number of words is the last term."""
 
-    def __init__(self, vocabulary: dict[str, tuple[int, float]]):
-        self.numbers = {t: k for t, (k, _) in vocabulary.items()}
-        self.idf = np.array([w for _, w in vocabulary.values()])
+    def __init__(self, numbers: dict[str, int], weights: np.ndarray, unknown: float):
+        self.numbers, self.weights, self.unknown = numbers, weights, unknown
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
@@ -115,106 +104,119 @@ class Terms(dict):
         self[word] = found
         return found
 
-    def vector(self, text: bytes) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """Term numbers and unit-length TF-IDF weights; the last number is that of all words together."""
-        words = text.lower().split()
-        count = Counter(k for found in map(self.__getitem__, words) if found for k in found)
-        if not count:
-            return (), ()
-        terms = sorted(count)
-        weights = [count[k] * self.idf[k] for k in terms] + [len(words) / WORDS_PER_TERM * math.log(2)]
-        norm = math.sqrt(sum(w * w for w in weights))
-        return (*terms, len(self.idf)), tuple(w / norm for w in weights)
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and TF-IDF weights of the unit vector; nothing for a text without words."""
+        words = Counter(text.lower().split())
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        numbers, counts, unknown = [], [], 0
+        for word, n in words.items():
+            if found := self[word]:
+                numbers += found
+                counts += [n] * len(found)
+            else:
+                unknown += n * n
+        terms, inverse = np.unique(np.array(numbers, np.int64), return_inverse=True)
+        weights = np.bincount(inverse, weights=counts, minlength=len(terms)) * self.weights[terms]
+        length = sum(words.values()) / WORDS_PER_TERM * math.log(2)
+        norm = math.sqrt(float(weights @ weights) + unknown * self.unknown**2 + length * length)
+        return np.append(terms, len(self.weights)), np.append(weights, length) / norm
+
+
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places from each start up to its stop, the number of the range each is of)."""
+    n = stops - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - starts, n), of
 
 
 class BlockMaxIndex:
-    """Entries' unit vectors, term by term in blocks, with each block's largest weight."""
-
-    def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[float, ...]]], n_terms: int):
-        # Entries next to each other share their heaviest term, so blocks differ.
-        heaviest = [max(zip(w, t))[1] if t else -1 for t, w in vectors]
-        self.order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], vectors[i]))
-        self.n_blocks = -(-len(vectors) // BLOCK)
-        self.dense = np.zeros((n_terms + 1, self.n_blocks * BLOCK), np.float64)
-        for place, i in enumerate(self.order):
-            for t, w in zip(*vectors[i]):
-                self.dense[t, place] = w
-        self.most = self.dense.reshape(n_terms + 1, self.n_blocks, BLOCK).max(axis=2)
-
-    def nearest(self, terms: tuple[int, ...], weights: tuple[float, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of entries' unit vectors: by term, in blocks of entries, with each block's largest weight."""
+
+    def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int):
+        order = np.lexsort((entries, terms))
+        terms, self.entries, self.weights = terms[order], entries[order].astype(np.int32), weights[order]
+        self.n_entries, self.n_blocks = n_entries, -(-n_entries // BLOCK)
+        block = self.entries // BLOCK
+        new = np.concatenate([np.ones(min(len(terms), 1), bool), (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])
+        #: Of each block of a term's postings: where it begins (and the end of all), which block of entries, the largest weight.
+        self.begins = np.append(np.flatnonzero(new), len(terms)).astype(np.int64)
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.weights, self.begins[:-1]) if len(terms) else np.zeros(0)
+        #: Where each term's blocks begin, and the end of all.
+        self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest, nearest first, ties by place."""
-        t, w = np.array(terms), np.array(weights)
-        bounds = w @ self.most[t]
-        place, score = np.zeros(0, np.int64), np.zeros(0)
-        visit = np.argsort(-bounds, kind="stable")
-        for at in range(0, len(visit), 4):
-            if len(score) >= k and bounds[visit[at]] < score[k - 1] - 1e-12:
-                break
-            here = (visit[at : at + 4, None] * BLOCK + np.arange(BLOCK)).ravel()
-            place = np.concatenate([place, here])
-            score = np.concatenate([score, w @ self.dense[np.ix_(t, here)]])
-            best = np.lexsort((place, -score))[: k + BLOCK]
-            place, score = place[best], score[best]
-        inside = (place < len(self.order)) & (score > 0)
-        return place[inside][:k], score[inside][:k]
+        at, of = _ranges(self.of_term[terms], self.of_term[terms + 1])
+        block, weight = self.block[at], weights[of]
+        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks)
+        score = np.zeros(self.n_entries)
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        self._add(score, at, weight, first[block])
+        reached = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        self._add(score, at, weight, (~first & (bounds >= reached - 1e-12))[block])
+        best = np.argpartition(-score, k)[:k] if len(score) > k else np.arange(len(score))
+        ties = np.flatnonzero(score == score[best].min()) if len(best) else best
+        best = np.union1d(best, ties)
+        best = best[np.lexsort((best, -score[best]))][:k]
+        return best[score[best] > 0], score[best[score[best] > 0]]
+
+    def _add(self, score: np.ndarray, at: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> None:
+        here = at[chosen]
+        place, of = _ranges(self.begins[here], self.begins[here + 1])
+        score += np.bincount(self.entries[place], weights=self.weights[place] * weight[chosen][of], minlength=len(score))
 
 
 class Classifier:
     """What scoring needs; bounded by the examples, small enough to broadcast."""
 
-    def __init__(self, vocabulary: dict, rows: list, curve: tuple[list[float], list[float]] = ((), ()), blank: float = 0.0):
-        self.terms = Terms(vocabulary)
-        self.curve, self.blank = curve, blank
-        grouped: dict = {}
-        for terms, weights, toxic, text_key, doc_id in rows:
-            entry = grouped.setdefault((tuple(terms), tuple(weights)), [[], 0, 0])
-            entry[0].append((text_key, toxic, doc_id))
-            entry[2 - (not toxic)] += 1
-        vectors = list(grouped)
-        self.index = BlockMaxIndex(vectors, len(vocabulary)) if vectors else None
-        if vectors:
-            entries = [grouped[vectors[i]] for i in self.index.order]
-            self.clean = np.array([e[1] for e in entries], float)
-            self.toxic = np.array([e[2] for e in entries], float)
-            self.same: dict = {}
-            for place, e in enumerate(entries):
-                for text_key, toxic, _ in e[0]:
-                    self.same.setdefault((place, text_key), [0, 0])[toxic] += 1
-            self.ids = [[d for _, _, d in e[0]] for e in entries]
-
-    def votes(self, terms, weights, text_key: int, k: int = NEIGHBOURS) -> tuple[float | None, list]:
-        """The toxic share of the nearest entries' votes, leaving out examples of the very same text, and the evidence."""
-        if not terms or self.index is None:
+    def __init__(self, terms: Terms, rows: pa.Table):
+        self.terms = terms
+        sizes = np.array([len(x) for x in rows.column("terms")], np.int64)
+        flat = rows.column("terms").combine_chunks().flatten().to_numpy() if len(rows) else np.zeros(0, np.int64)
+        weights = rows.column("weights").combine_chunks().flatten().to_numpy() if len(rows) else np.zeros(0)
+        # Entries next to each other share their heaviest term, so blocks differ.
+        starts = np.cumsum(sizes) - sizes
+        heaviest = np.array([flat[s : s + n - 1][np.argmax(weights[s : s + n - 1])] if n > 1 else -1 for s, n in zip(starts, sizes)], np.int64)
+        order = np.lexsort((rows.column("text_key").to_numpy(), heaviest)) if len(rows) else np.zeros(0, np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.index = BlockMaxIndex(flat, np.repeat(place, sizes), weights, len(terms.weights) + 1, len(order))
+        self.n, self.toxic, self.keys = (rows.column(c).to_numpy()[order] for c in ("n", "toxic", "text_key"))
+        self.ids = rows.column("doc_id").take(pa.array(order)).to_pylist()
+
+    def votes(self, terms: np.ndarray, weights: np.ndarray, text_key: int, k: int = NEIGHBOURS) -> tuple[float | None, list]:
+        """The toxic share of the nearest entries' votes, leaving out the entry of the very same text, and the evidence."""
+        if not len(terms) or not len(self.ids):
             return None, []
-        place, cosine = self.index.nearest(terms, weights, k)
-        own = np.array([self.same.get((p, text_key), (0, 0)) for p in place.tolist()], float).reshape(-1, 2)
-        # An entry votes by its label share; many examples of one vector count by the root of their number.
-        clean, toxic = self.clean[place] - own[:, 0], self.toxic[place] - own[:, 1]
-        n = clean + toxic
-        weight = np.sqrt(n) / (1 - cosine + 0.02)
-        if not n.any():
+        place, cosine = self.index.nearest(terms, weights, k + 1)
+        other = self.keys[place] != text_key
+        place, cosine = place[other][:k], cosine[other][:k]
+        if not len(place):
             return None, []
-        share = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
-        evidence = [(self.ids[p][0], float(c)) for p, c, m in zip(place.tolist(), cosine, n) if m > 0][:3]
-        return float((weight * share).sum() / weight.sum()), evidence
+        # An entry votes by its label share; many examples of one text count by the root of their number.
+        weight = np.sqrt(self.n[place]) / (1 - np.minimum(cosine, 1.0) + 0.02)
+        evidence = [(self.ids[p], float(c)) for p, c in zip(place[:3].tolist(), cosine)]
+        return float((weight * self.toxic[place] / self.n[place]).sum() / weight.sum()), evidence
 
-    def score(self, text: bytes, text_key: int) -> tuple[float, list]:
-        terms, weights = self.terms.vector(text)
-        vote, evidence = self.votes(terms, weights, text_key)
-        if vote is None or not self.curve[0]:
-            return self.blank, evidence
-        return self.curve[1][max(0, bisect_right(self.curve[0], vote) - 1)], evidence
 
+def calibrated(vote: float | None, curve: tuple[list[float], list[float]], blank: float) -> float:
+    if vote is None or not curve[0]:
+        return blank
+    return min(1.0, max(0.0, curve[1][max(0, bisect_right(curve[0], vote) - 1)]))
 
-def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
-    """Starts and levels of the best rising step function (pool adjacent violators), with one clean and one toxic pseudo-count of weight 1/2 spread over each pool."""
+
+def isotonic(votes: list[float], toxic: list[int], n: list[int]) -> tuple[list[float], list[float]]:
+    """Starts and levels of the best rising step function through toxic / n (pool adjacent violators), with half a pseudo-count in each pool."""
     pools: list[list[float]] = []
-    for vote, label in sorted(zip(votes, labels)):
+    for vote, label, many in sorted(zip(votes, toxic, n)):
         if pools and pools[-1][0] == vote:
             pools[-1][1] += label
-            pools[-1][2] += 1
+            pools[-1][2] += many
         else:
-            pools.append([vote, label, 1])
+            pools.append([vote, label, many])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, a, n = pools.pop()
             pools[-1][1] += a
@@ -224,12 +226,11 @@ def isotonic(votes: list[float], labels: list[int]) -> tuple[list[float], list[f
 
 def _vectors(shared):
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
+        terms = shared.value
         for b in batches:
             found = [terms.vector(t) for t in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([list(t) for t, _ in found], pa.list_(pa.int32())), pa.array([list(w) for _, w in found], pa.list_(pa.float64())), b.column("toxic"), b.column("text_key"), b.column("doc_id")], names=["terms", "weights", "toxic", "text_key", "doc_id"]
-            )
+            kept = [b.column(c) for c in ("doc_id", "text_key", "toxic", "n")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([t for t, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], names=["doc_id", "text_key", "toxic", "n", "terms", "weights"])
 
     return vectors
 
@@ -237,52 +238,58 @@ def _vectors(shared):
 def _votes(shared):
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.votes(tuple(t), tuple(w), k)[0] for t, w, k in zip(*(b.column(c).to_pylist() for c in ("terms", "weights", "text_key")))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column("toxic")], names=["vote", "toxic"])
+            found = [shared.value.votes(t.values.to_numpy(), w.values.to_numpy(), k)[0] for t, w, k in zip(b.column("terms"), b.column("weights"), b.column("text_key").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column("toxic"), b.column("n")], names=["vote", "toxic", "n"])
 
     return votes
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, text_key, body, toxic of a bounded sample of the labelled documents outside the held out fold."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(id_fold(F.col("doc_id"), FOLDS) != HELD).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    """doc_id (the least), text_key, body, toxic, n of the distinct texts of a bounded sample of the labelled documents outside the held out fold."""
+    kind = dict(docs.dtypes)["doc_id"]
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(id_fold(F.col("doc_id"), FOLDS) != HELD).groupBy(F.col("doc_id").try_cast(kind).alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, max_examples / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), text_bytes().alias("body"))
-    return written(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text_key", "body", "toxic"), "examples")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), text_bytes().alias("body")).join(F.broadcast(sample), "doc_id")
+    return written(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("body").alias("body"), F.sum("toxic").cast("int").alias("toxic"), F.count("*").cast("int").alias("n")), "examples")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Classifier:
-    """The classifier; driver and workers hold vectors of the bounded sample only."""
+def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES):
+    """(the broadcast index, calibration curve, score of texts without words); driver and workers hold vectors of the bounded sample only."""
     context = docs.sparkSession.sparkContext
     examples = examples_of(docs, labels, max_examples)
-    words = vocabulary(examples)
-    schema = "terms array<int>, weights array<double>, toxic int, text_key long, doc_id long"
-    vectors = written(examples.mapInArrow(_vectors(context.broadcast(words)), schema), "vectors")
-    rows = vectors.where(F.size("terms") > 0).collect()
-    blank = vectors.where(F.size("terms") == 0).agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
-    plain = Classifier(words, rows)
-    votes = vectors.where(F.size("terms") > 0).mapInArrow(_votes(context.broadcast(plain)), "vote double, toxic int").where("vote IS NOT NULL").collect()
-    return Classifier(words, rows, isotonic([r["vote"] for r in votes], [r["toxic"] for r in votes]), (blank["toxic"] + 0.25) / (blank["n"] + 0.5) if blank["n"] else 0.0)
+    terms = Terms(*vocabulary(examples))
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, text_key long, toxic int, n int, terms array<long>, weights array<double>"
+    vectors = written(examples.mapInArrow(_vectors(context.broadcast(terms)), schema), "vectors")
+    some = vectors.where(F.size("terms") > 0)
+    shared = context.broadcast(Classifier(terms, some.toArrow()))
+    blank = vectors.where(F.size("terms") == 0).agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    votes = some.mapInArrow(_votes(shared), "vote double, toxic int, n int").where("vote IS NOT NULL").collect()
+    curve = isotonic(*([r[c] for r in votes] for c in ("vote", "toxic", "n")))
+    return shared, curve, (blank["toxic"] + 0.25) / (blank["n"] + 0.5) if blank["n"] else 0.0
+
 
+def _scores(shared, curve, blank: float, kind: pa.DataType):
+    entry = pa.list_(pa.struct([("doc_id", kind), ("cosine", pa.float64())]))
 
-def _scores(shared):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [model.score(t, k) for t, k in zip(b.column("body").to_pylist(), b.column("text_key").to_pylist())]
-            evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in found], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([min(1.0, max(0.0, s)) for s, _ in found], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
+            found = [model.votes(*model.terms.vector(t), k) for t, k in zip(b.column("body").to_pylist(), b.column("text_key").to_pylist())]
+            score = pa.array([calibrated(vote, curve, blank) for vote, _ in found], pa.float64())
+            evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in found], entry)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), score, evidence], names=["doc_id", "score", "evidence"])
 
     return scores
 
 
 def scored(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, score and evidence (the nearest examples' ids and cosines) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_examples))
+    shared, curve, blank = fitted(docs, labels, max_examples)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), text_bytes().alias("body"))
-    kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(_scores(shared), f"doc_id {kind}, score double, evidence array<struct<doc_id: long, cosine: double>>")
+    field = docs.schema["doc_id"].dataType
+    return rows.mapInArrow(_scores(shared, curve, blank, to_arrow_type(field)), f"doc_id {field.simpleString()}, score double, evidence array<struct<doc_id: {field.simpleString()}, cosine: double>>")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -499,21 +499,64 @@ def test_toxicity_on_held_out(spark, docs, none):
 
 def test_block_max_is_exact():
     rng = random.Random(5)
-    terms = 12
-    vectors = []
-    for _ in range(700):
-        t = tuple(sorted(rng.sample(range(terms), rng.randint(1, 4)))) + (terms,)
-        w = np.array([rng.random() for _ in t])
-        vectors.append((t, tuple(w / np.linalg.norm(w))))
-    index = toxicity.BlockMaxIndex(vectors, terms)
-    dense = np.zeros((len(vectors), terms + 1))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, list(t)] = w
-    for t, w in vectors[:40]:
-        query = np.zeros(terms + 1)
-        query[list(t)] = w
-        _, cosine = index.nearest(t, w, 25)
-        assert np.allclose(cosine, np.sort(dense @ query)[::-1][:25])
+    for terms, most in ((12, 4), (300, 60)):
+        flat, entries, weights, dense = [], [], [], np.zeros((700, terms))
+        for i in range(700):
+            t = rng.sample(range(terms), rng.randint(1, most))
+            w = np.array([rng.random() ** 4 for _ in t])
+            dense[i, t] = w / np.linalg.norm(w)
+            flat += t
+            entries += [i] * len(t)
+            weights += dense[i, t].tolist()
+        index = toxicity.BlockMaxIndex(np.array(flat), np.array(entries), np.array(weights), terms, 700)
+        for i in range(40):
+            t = np.flatnonzero(dense[i])
+            place, cosine = index.nearest(t, dense[i, t], 25)
+            want = dense @ dense[i]
+            n = min(25, int((want > 0).sum()))
+            assert np.allclose(cosine, np.sort(want)[::-1][:n]) and np.allclose(want[place], cosine)
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores and evidence equal those of dense vectors over all words and beginnings, neighbour by neighbour."""
+    corpus, labels = toxic_corpus(spark)
+    got = {r.doc_id: r for r in toxicity.scored(corpus, labels).collect()}
+    texts = {r.doc_id: r.text.encode() for r in corpus.collect()}
+    train = sorted(i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2)
+    n, toxic = len(train), {i: i % 4 == 0 for i in texts}
+    terms_of = {i: Counter(t for w in texts[i].lower().split() for t in toxicity.word_terms(w)) for i in texts}
+    df, tox = Counter(t for i in train for t in terms_of[i]), Counter(t for i in train if toxic[i] for t in terms_of[i])
+    share = sum(toxic[i] for i in train) / n
+    chi = {t: (tox[t] - df[t] * share) ** 2 / (df[t] * share * (1 - share) * (1 - df[t] / n + 1e-9)) for t in df}
+    relevance = {t: chi[t] / (chi[t] + 100) if df[t] >= 6 and tox[t] > df[t] * share and chi[t] >= 30 else 0.0 for t in df}
+
+    def vector(i):
+        v = {t: c * math.log(1 + n / df[t]) * (0.02 + relevance[t]) for t, c in terms_of[i].items() if t in df and (t[0] == "=" or relevance[t])}
+        words = Counter(texts[i].lower().split())
+        new = sum((c * math.log(1 + n) * 0.02) ** 2 for w, c in words.items() if not any(t in v for t in toxicity.word_terms(w)))
+        v["words"] = sum(words.values()) / 50 * math.log(2)
+        norm = math.sqrt(sum(x * x for x in v.values()) + new)
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i in texts}
+
+    def neighbours(i):
+        cosine = {j: sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()) for j in train if texts[j] != texts[i]}
+        near = sorted(cosine, key=lambda j: -cosine[j])[:25]
+        weight = {j: 1 / (1 - min(cosine[j], 1) + 0.02) for j in near}
+        return sum(weight[j] * toxic[j] for j in near) / sum(weight.values()), [cosine[j] for j in near[:3]]
+
+    votes = {i: neighbours(i) for i in texts}
+    curve = toxicity.isotonic([votes[i][0] for i in train], [int(toxic[i]) for i in train], [1] * n)
+    for i in texts:
+        assert got[i].score == pytest.approx(toxicity.calibrated(votes[i][0], curve, 0.0), abs=0.02)
+        assert [e.cosine for e in got[i].evidence] == pytest.approx(votes[i][1])
+
+
+def test_toxicity_takes_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a-1", "some words"), ("b", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a-1", 1), ("b", 0)], "doc_id string, toxic int")
+    assert {r.doc_id for r in toxicity.digest(docs, labels).collect()} == {"a-1", "b"}
 
 
 # 10 ------------------------------------------------------------------------
