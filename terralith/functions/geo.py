@@ -80,7 +80,12 @@ def roof_v_range(index: Column) -> Column:
     return F.struct((1 - (index + 1) / 24).alias("v0"), (1 - index / 24).alias("v1"))
 
 
-def facade_v_range(index: Column, section: int) -> Column:
+def section_number(name: Column) -> Column:
+    """A facade block's sections from the top: gable, upper, ground."""
+    return F.when(name == "gable", 0).when(name == "upper", 1).otherwise(2)
+
+
+def facade_v_range(index: Column, section: Column) -> Column:
     """section: 0 gable, 1 upper, 2 ground, from the top of the block."""
     top = 0.75 - index / 16 - section / 48
     return F.struct((top - 1 / 48).alias("v0"), top.alias("v1"))
@@ -90,12 +95,23 @@ def highrise_v_range(region: Column) -> Column:
     return F.struct((1 - (region + 1) / 12).alias("v0"), (1 - region / 12).alias("v1"))
 
 
+def highrise_u_range(width: Column) -> Column:
+    """Whole blocks of 3 m, at least one, of the 24 m that the texture is wide."""
+    return F.struct(F.lit(0.0).alias("u0"), (F.greatest(F.lit(1.0), F.ceil(F.round(width / 3.0, 9)).cast("double")) / 8).alias("u1"))
+
+
+def highrise_part_v(region: Column, part: Column, floors: Column) -> Column:
+    """The first part grows up from the ground of its region, later ones from the floor above it; a floor is a quarter of a region."""
+    low = 1 - (region + 1) / 12 + F.when(part == 0, 0.0).otherwise(1.0) / 48
+    return F.struct(low.alias("v0"), (low + floors / 48).alias("v1"))
+
+
 def orthophoto_uv(x: Column, y: Column, flip_v: bool = False) -> Column:
     v = (y + PATCH_M / 2) / PATCH_M
     return F.struct(((x + PATCH_M / 2) / PATCH_M).alias("u"), (1 - v if flip_v else v).alias("v"))
 
 
-def aligned_uv(x: Column, y: Column, cx: Column, cy: Column, degrees: Column, metres: float = 12.0) -> Column:
-    """Texture coordinates along the longest edge, about the vertex mean."""
+def aligned_uv(x: Column, y: Column, cx: Column, cy: Column, degrees: Column, metres: float = 1.0) -> Column:
+    """Texture coordinates along the longest edge, about the vertex mean; one unit a metre."""
     c, s = F.cos(F.radians(-degrees)), F.sin(F.radians(-degrees))
     return F.struct((((x - cx) * c - (y - cy) * s) / metres).alias("u"), (((x - cx) * s + (y - cy) * c) / metres).alias("v"))

@@ -86,6 +86,11 @@ def reconciled(tagged_height: Column, floors_: Column, area: Column, kind: Colum
     return F.struct(F.greatest(F.lit(1), f2).alias("floors"), F.when(tall, F.lit(MAX_HEIGHT)).otherwise(h1).alias("height_m"), (many | tall).alias("clamped"))
 
 
+def address(number: Column, street: Column, city: Column) -> Column:
+    """House number, street and city, as far as tagged."""
+    return F.concat_ws(" ", *[F.nullif(part, F.lit("")) for part in (number, street, city)])
+
+
 def roof_pitch(tag: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(PITCH_LOW), F.least(F.lit(PITCH_HIGH), number(tag))), F.lit(PITCH_USUAL))
 
@@ -135,3 +140,18 @@ def is_high_voltage(kv: Column, kind: Column) -> Column:
 
 def is_drawable(power: Column, kv: Column) -> Column:
     return power.isin("line", "minor_line") & F.coalesce(kv >= 1, F.lit(True))
+
+
+# Lifts with cabins; all others have chairs.
+CABIN_LIFTS = ["cable_car", "gondola"]
+CHAIR_LIFTS = ["chair_lift", "drag_lift", "t-bar", "j-bar", "platter", "mixed_lift", "magic_carpet", "rope_tow", "zip_line"]
+
+
+def aerialway_class(tag: Column) -> Column:
+    """(line_class, pylon) of a lift."""
+    cabin = tag.isin(CABIN_LIFTS)
+    return F.struct(F.when(cabin, "cabin").otherwise("chair").alias("line_class"), F.when(cabin, "Pylon_AerialCab").otherwise("Pylon_Aerialway").alias("pylon"))
+
+
+def is_aerialway(tag: Column) -> Column:
+    return tag.isin(CABIN_LIFTS + CHAIR_LIFTS)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions import rings, roofs, tags
+from terralith.functions import kernels, rings, roofs, tags
 
 HALF = 2880.0
 
@@ -24,19 +24,18 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def measured(buildings: DataFrame) -> DataFrame:
     """Adds area, perimeter, box, vertex count, convexity, oriented box, fill, aspect and has_holes to (outer, holes)."""
-    outer = F.col("outer")
-    first = computed(
-        buildings,
-        {
-            "area": rings.area(outer, F.col("holes")), "perimeter": rings.perimeter(outer), "bbox": rings.bbox(outer), "vertices": F.size(outer), "has_holes": F.size("holes") > 0,
-            "convex": rings.is_convex(outer), "rectangle_like": rings.is_rectangle_like(outer), "axis_deg": rings.longest_edge_angle(outer), "centroid": rings.vertex_mean(outer), "outer_area": F.abs(rings.signed_area(outer)),
-        },
-    )
-    boxed = computed(first, {"obb": rings.oriented_box(outer, F.col("axis_deg"))})
+    kept = buildings.select("*", kernels.ring_measures("outer", "holes").alias("measures"))
+    found = kept.select("*", "measures.*", (F.size("holes") > 0).alias("has_holes")).drop("measures")
     long, short = F.greatest("obb.length", "obb.width"), F.least("obb.length", "obb.width")
     # Rounded, so that a limit met exactly doesn't depend on the last bits of a rotation.
-    aspect, fill = F.when(short > 1e-9, long / short).otherwise(F.lit(float("inf"))), F.col("area") / (long * short)
-    return computed(boxed, {"obb_length": F.round(long, 9), "obb_width": F.round(short, 9), "aspect": F.round(aspect, 9), "fill": F.round(fill, 9)})
+    aspect, fill = F.when(short > 1e-9, long / short).otherwise(F.lit(float("inf"))), F.try_divide(F.col("area"), long * short)
+    return computed(found, {"obb_length": F.round(long, 9), "obb_width": F.round(short, 9), "aspect": F.round(aspect, 9), "fill": F.round(fill, 9)})
+
+
+def convexity(buildings: DataFrame) -> DataFrame:
+    """Adds convexity_ratio, the outer ring's area by that of its hull (0 for rings without area)."""
+    area, of_hull = F.abs(rings.signed_area(F.col("outer"))), kernels.hull_area("outer")
+    return buildings.withColumn("hull_area", of_hull).withColumn("convexity_ratio", F.when((area < 1e-10) | (F.col("hull_area") < 1e-10), 0.0).otherwise(area / F.col("hull_area")))
 
 
 def attributed(buildings: DataFrame) -> DataFrame:
@@ -87,11 +86,18 @@ def within_patch(buildings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("filter_reason = 'kept'").drop("filter_reason"), judged.where("filter_reason <> 'kept'")
 
 
-def mesh_group(wall_kind: Column, actual_roof: Column, bucket: Column, kind: Column, folded: bool = True) -> tuple[Column, Column]:
-    """(wall group, roof group): pitched buildings are houses, apart at LOD0 unless folded; flat ones have wall and roof groups."""
-    pitched = F.lit("houses") if folded else F.when(actual_roof == "gabled", "houses_gabled").otherwise("houses_hipped")
-    walls = F.when(actual_roof != "flat", pitched).when(wall_kind == "highrise", "highrise_walls").when(kind == "industrial", "industrial_walls").otherwise("commercial_walls")
-    return walls, F.when(actual_roof != "flat", pitched).otherwise(F.concat(F.lit("flat_roof_"), bucket.cast("string")))
+def mesh_group(wall_kind: Column, actual_roof: Column, bucket: Column, industrial: Column | None = None, folded: bool = True) -> tuple[Column, Column]:
+    """(wall group, roof group).
+
+    Pitched buildings are houses; their roofs are groups of their own unless ``folded``.
+    Walls under flat roofs are high-rise or industrial; flat roofs go to their bucket, or,
+    where ``industrial`` (a condition) is given, those of industrial buildings to one group.
+    """
+    pitched = F.lit("houses") if folded else F.when(actual_roof == "gabled", "gabled_roofs_lod0").otherwise("hipped_roofs")
+    walls = F.when(actual_roof != "flat", "houses").when(wall_kind == "highrise", "Highrise_walls").otherwise("industrial_walls")
+    numbered = F.concat(F.lit("flat_roof_"), bucket.cast("string"))
+    flat = numbered if industrial is None else F.when(industrial, "flat_roof").otherwise(numbered)
+    return walls, F.when(actual_roof != "flat", pitched).otherwise(flat)
 
 
 def report(buildings: DataFrame) -> DataFrame:
@@ -124,3 +130,16 @@ def top_buildings(buildings: DataFrame, k: int = 10) -> DataFrame:
     """The k buildings with most vertices of each patch, ties by id."""
     order = Window.partitionBy("patch_id").orderBy(F.desc("vertices"), F.desc("area"), "osm_id")
     return buildings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def warnings(buildings: DataFrame, k: int) -> DataFrame:
+    """(patch_id, nth, osm_id, warning, total): the first k warnings of each patch, by id, and how many it has.
+
+    A building whose size was clamped is warned of with its address, from the columns
+    ``address`` where there is one; it stays among the buildings.
+    """
+    address = F.coalesce(F.nullif(F.trim(F.col("address")), F.lit("")), F.lit("no address"))
+    text = F.format_string("Clamped size of %s (%s, building=%s): floors %d, height %.1f m", "osm_id", address, F.coalesce("building_tag", F.lit("yes")), "floors", "height_m")
+    found = buildings.where("clamped").select("patch_id", "osm_id", text.alias("warning"))
+    order = Window.partitionBy("patch_id").orderBy(F.col("osm_id").try_cast("bigint"), "osm_id")
+    return found.withColumns({"nth": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("patch_id"))}).where(F.col("nth") <= k)

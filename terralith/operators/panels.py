@@ -1,7 +1,9 @@
-"""Walls and roofs as faces: rows (patch_id, osm_id, face, corners array<x, y, z>).
+"""Walls and roofs as faces: rows (patch_id, osm_id, face, corners array<x, y, z, u, v>).
 
 Faces are made inside a building's row and exploded; nothing shuffles before the
-vertices are numbered.
+vertices are numbered. u and v are texture coordinates: walls take the facade of
+their building (ground, upper, gable sections of a block), high-rise walls a region
+of floors, pitched roofs a slice, flat roofs metres along the longest edge.
 """
 
 from __future__ import annotations
@@ -9,36 +11,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions import rings
+from terralith.functions import geo, kernels, rings, tags
 from terralith.operators.footprints import computed
 
 SHORTEST_M, FIRST_FLOORS, MORE_FLOORS = 0.01, 4, 3
-GABLE_M, OVERHANG_M, SQUARE_SHARE, ACROSS = 3.0, 0.5, 0.15, 0.3
+GABLE_M, OVERHANG_M, ACROSS = 3.0, 0.5, 0.3
+#: Walls of floor panels have an atlas of facades alone, so what is 0 to 0.75 elsewhere is 0 to 1.
+PLAIN_V_SCALE = 1 / 0.75
 KEY = ["patch_id", "osm_id"]
+# Texture files by group.
+TEXTURES = {
+    "houses": "Houses_Atlas.dds", "Highrise_walls": "Highrise_Atlas.dds", "industrial_walls": "Industrial_Atlas.dds", "flat_roof_1": "Roof1.dds", "flat_roof_2": "Roof2.dds",
+    "flat_roof_3": "Roof3.dds", "flat_roof_4": "Roof4.dds", "flat_roof_5": "Roof5.dds", "flat_roof_6": "Roof6.dds", "flat_roof": "Roof1.dds", "pylones": "Pylons.dds",
+    "aerialway": "Pylons.dds", "wind_turbine": "WindTurbine.dds", "chimney": "Chimney.dds",
+}
 
 
-def point(x: Column, y: Column, z: Column) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+def point(x: Column, y: Column, z: Column, u: Column | None = None, v: Column | None = None) -> Column:
+    texture = [] if u is None else [u.alias("u"), v.alias("v")]
+    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), *texture)
+
+
+def textured(buildings: DataFrame) -> DataFrame:
+    """Adds roof_slice, facade and region, a building's choices among six roofs, twelve facades and six regions of its category."""
+    region = tags.variation(F.col("seed"), 6, "region") + F.when(F.col("category") == "commercial", 6).otherwise(0)
+    return computed(buildings, {"roof_slice": tags.variation(F.col("seed"), 6, "roof"), "facade": tags.variation(F.col("seed"), 12, "facade"), "region": region})
 
 
 def all_edges(buildings: DataFrame) -> DataFrame:
-    """One row per wall edge of the outer ring and the holes that isn't too short: adds ring_no and e."""
+    """One row per wall edge of the outer ring and the holes that isn't too short: adds ring_no, e, pos and len."""
     every = F.concat(F.array(F.struct(F.lit(0).alias("ring_no"), F.col("outer").alias("ring"))), F.transform("holes", lambda h, i: F.struct((i + 1).alias("ring_no"), h.alias("ring"))))
     each = buildings.select("*", F.explode(every).alias("r"))
     walls = each.select("*", F.col("r.ring_no").alias("ring_no"), F.explode(rings.edges(F.col("r.ring"))).alias("e")).drop("r")
-    return walls.where(rings.length(F.col("e")) >= SHORTEST_M)
+    return computed(walls, {"len": rings.length(F.col("e")), "pos": F.col("e.pos")}).where(F.col("len") >= SHORTEST_M)
 
 
-def quad(e: Column, z0: Column, z1: Column) -> Column:
-    return F.array(point(e["x1"], e["y1"], z0), point(e["x2"], e["y2"], z0), point(e["x2"], e["y2"], z1), point(e["x1"], e["y1"], z1))
+def quad(e: Column, z0: Column, z1: Column, u: Column, v: Column) -> Column:
+    """A wall over an edge, from below left on; ``u`` and ``v`` are ranges (u0, u1) and (v0, v1)."""
+    return F.array(
+        point(e["x1"], e["y1"], z0, u["u0"], v["v0"]), point(e["x2"], e["y2"], z0, u["u1"], v["v0"]),
+        point(e["x2"], e["y2"], z1, u["u1"], v["v1"]), point(e["x1"], e["y1"], z1, u["u0"], v["v1"]),
+    )
 
 
 def floor_panels(buildings: DataFrame) -> DataFrame:
-    """A panel per edge and floor, with its part of the facade: ground, upper."""
+    """A panel per edge and floor, with its section of the facade: ground, upper, then gable."""
     step = F.col("height_m") / F.col("floors")
     each = all_edges(buildings).select("*", F.explode(F.sequence(F.lit(0), F.col("floors") - 1)).alias("floor"))
     low = F.col("floor_z") + F.col("floor") * step
-    return each.select(*KEY, "ring_no", F.col("e.pos").alias("pos"), F.col("floor").alias("part"), F.when(F.col("floor") == 0, "ground").otherwise("upper").alias("section"), quad(F.col("e"), low, low + step).alias("corners"))
+    section = F.when(F.col("floor") == 0, "ground").when(F.col("floor") == 1, "upper").otherwise("gable")
+    own = geo.facade_v_range(F.col("facade"), geo.section_number(section))
+    v = F.struct((own["v0"] * PLAIN_V_SCALE).alias("v0"), (own["v1"] * PLAIN_V_SCALE).alias("v1"))
+    face = quad(F.col("e"), low, low + step, geo.wall_u_range(F.col("len")), v)
+    return each.select(*KEY, "ring_no", "pos", F.col("floor").alias("part"), section.alias("section"), face.alias("corners"))
 
 
 def highrise_panels(buildings: DataFrame) -> DataFrame:
@@ -48,77 +73,100 @@ def highrise_panels(buildings: DataFrame) -> DataFrame:
     step = F.col("height_m") / F.col("floors")
     below = F.when(F.col("part") == 0, 0).otherwise(FIRST_FLOORS + (F.col("part") - 1) * MORE_FLOORS)
     above = F.least(F.col("floors"), FIRST_FLOORS + F.col("part") * MORE_FLOORS)
-    return each.select(*KEY, "ring_no", F.col("e.pos").alias("pos"), "part", (above - below).alias("floors"), quad(F.col("e"), F.col("floor_z") + below * step, F.col("floor_z") + above * step).alias("corners"))
+    v = geo.highrise_part_v(F.col("region"), F.col("part"), above - below)
+    face = quad(F.col("e"), F.col("floor_z") + below * step, F.col("floor_z") + above * step, geo.highrise_u_range(F.col("len")), v)
+    return each.select(*KEY, "ring_no", "pos", "part", (above - below).alias("floors"), face.alias("corners"))
+
+
+def _side_v() -> Column:
+    """Walls of one panel: the ground section, or ground and upper in one."""
+    ground, upper = (geo.facade_v_range(F.col("facade"), F.lit(k)) for k in (2, 1))
+    return F.struct(ground["v0"].alias("v0"), F.when(F.col("floors") == 1, ground["v1"]).otherwise(upper["v1"]).alias("v1"))
 
 
 def side_walls(buildings: DataFrame) -> DataFrame:
     """One panel per edge, from the floor to the eaves."""
     top = F.col("floor_z") + F.col("height_m")
-    return all_edges(buildings).select(*KEY, "ring_no", F.col("e.pos").alias("pos"), F.lit(0).alias("part"), quad(F.col("e"), F.col("floor_z"), top).alias("corners"))
+    face = quad(F.col("e"), F.col("floor_z"), top, geo.wall_u_range(F.col("len")), _side_v())
+    return all_edges(buildings).select(*KEY, "ring_no", "pos", F.lit(0).alias("part"), face.alias("corners"))
 
 
 def gable_walls(buildings: DataFrame) -> DataFrame:
     """Walls under a gabled roof: ends across the ridge are pentagons up to it (a quad and a triangle on one floor), the others quads."""
     e, top = F.col("e"), F.col("floor_z") + F.col("height_m")
-    along = F.abs((e["x2"] - e["x1"]) * F.cos(F.radians("axis_deg")) + (e["y2"] - e["y1"]) * F.sin(F.radians("axis_deg"))) / rings.length(e)
-    apex = point((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2, top + GABLE_M)
-    plain = quad(e, F.col("floor_z"), top)
-    five = F.array(plain[0], plain[1], plain[2], apex, plain[3])
-    triangle = F.array(plain[3], plain[2], apex)
-    faces = F.when(along >= ACROSS, F.array(plain)).when(F.col("floors") == 1, F.array(plain, triangle)).otherwise(F.array(five))
-    return all_edges(buildings).select(*KEY, "ring_no", F.col("e.pos").alias("pos"), F.posexplode(faces).alias("part", "corners"))
-
-
-def _turned(u: Column, v: Column, z: Column) -> Column:
+    along = F.abs((e["x2"] - e["x1"]) * F.cos(F.radians("axis_deg")) + (e["y2"] - e["y1"]) * F.sin(F.radians("axis_deg"))) / F.col("len")
+    edges = computed(all_edges(buildings), {"end": along < ACROSS, "u": geo.wall_u_range(F.col("len")), "side": _side_v(), "gable": geo.facade_v_range(F.col("facade"), F.lit(0))})
+    u, side, gable = F.col("u"), F.col("side"), F.col("gable")
+    wall = quad(e, F.col("floor_z"), top, u, side)
+    mid_u = (u["u0"] + u["u1"]) / 2
+    apex = point((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2, top + GABLE_M, mid_u, gable["v1"])
+    triangle = F.array(point(e["x1"], e["y1"], top, u["u0"], gable["v0"]), point(e["x2"], e["y2"], top, u["u1"], gable["v0"]), apex)
+    five = F.array(wall[0], wall[1], wall[2], apex, wall[3])
+    faces = F.when(~F.col("end"), F.array(wall)).when(F.col("floors") == 1, F.array(wall, triangle)).otherwise(F.array(five))
+    return edges.select(*KEY, "ring_no", "pos", F.posexplode(faces).alias("part", "corners"))
+
+
+def _turned(along: Column, across: Column, z: Column, u: Column, v: Column) -> Column:
     """A point given along and across the ridge, from the box's centre."""
-    c, s = F.cos(F.radians("axis_deg")), F.sin(F.radians("axis_deg"))
-    return point(F.col("obb.center_x") + u * c - v * s, F.col("obb.center_y") + u * s + v * c, z)
+    c, s = F.col("axis_cos"), F.col("axis_sin")
+    return point(F.col("obb.center_x") + along * c - across * s, F.col("obb.center_y") + along * s + across * c, z, u, v)
 
 
 def gabled_roofs(buildings: DataFrame, overhang: float = OVERHANG_M) -> DataFrame:
     """Two slopes over the oriented box; the eaves hang over and sink along the slope."""
-    half_l, half_w = F.col("obb.length") / 2 + overhang, F.col("obb.width") / 2
-    ridge = F.col("floor_z") + F.col("height_m") + GABLE_M
-    eave, reach = ridge - GABLE_M / half_w * (half_w + overhang), half_w + overhang
-    slope = lambda side: F.array(_turned(-side * half_l, -side * reach, eave), _turned(side * half_l, -side * reach, eave), _turned(side * half_l, F.lit(0.0), ridge), _turned(-side * half_l, F.lit(0.0), ridge))
-    return buildings.select(*KEY, F.posexplode(F.array(slope(1), slope(-1))).alias("part", "corners"))
+    own = geo.roof_v_range(F.col("roof_slice"))
+    half_w = F.col("obb.width") / 2
+    sized = computed(
+        buildings,
+        {
+            "axis_cos": F.cos(F.radians("axis_deg")), "axis_sin": F.sin(F.radians("axis_deg")), "half_l": F.col("obb.length") / 2 + overhang, "reach": half_w + overhang,
+            "ridge": F.col("floor_z") + F.col("height_m") + GABLE_M, "drop": GABLE_M / half_w * (half_w + overhang), "v0": own["v0"], "v1": own["v1"],
+        },
+    )
+    span, zero = 2 * F.col("half_l") / F.col("reach"), F.lit(0.0)
+
+    def slope(side: int) -> Column:
+        l, w, eave = side * F.col("half_l"), -side * F.col("reach"), F.col("ridge") - F.col("drop")
+        return F.array(_turned(-l, w, eave, zero, F.col("v0")), _turned(l, w, eave, span, F.col("v0")), _turned(l, zero, F.col("ridge"), span, F.col("v1")), _turned(-l, zero, F.col("ridge"), zero, F.col("v1")))
+
+    return sized.select(*KEY, F.posexplode(F.array(slope(1), slope(-1))).alias("part", "corners"))
 
 
 def hipped_roofs(buildings: DataFrame, overhang: float = OVERHANG_M) -> DataFrame:
-    """Two trapezoids and two triangles over the oriented box, or four triangles to one apex where it's nearly square."""
-    half_l, half_w = F.col("obb.length") / 2 + overhang, F.col("obb.width") / 2 + overhang
-    long, short = F.greatest(half_l, half_w), F.least(half_l, half_w)
-    eave = F.col("floor_z") + F.col("height_m") - GABLE_M * overhang / (short - overhang)
-    top = F.col("floor_z") + F.col("height_m") + GABLE_M
-    pyramid = (long - short) / long < SQUARE_SHARE
-    ru = F.when(pyramid, 0.0).otherwise(F.greatest(F.lit(0.0), half_l - half_w))
-    rv = F.when(pyramid, 0.0).otherwise(F.greatest(F.lit(0.0), half_w - half_l))
-    a, b, c, d = (_turned(su * half_l, sv * half_w, eave) for su, sv in ((-1, -1), (1, -1), (1, 1), (-1, 1)))
-    p, q = _turned(-ru, -rv, top), _turned(ru, rv, top)
-    face = lambda x, y, m, n: F.when(m == n, F.array(x, y, m)).otherwise(F.array(x, y, m, n))
-    lengthwise = half_l >= half_w
-    sides = F.when(lengthwise, F.array(face(a, b, q, p), face(b, c, q, q), face(c, d, p, q), face(d, a, p, p))).otherwise(F.array(face(a, b, p, p), face(b, c, q, p), face(c, d, q, q), face(d, a, p, q)))
-    return buildings.select(*KEY, pyramid.alias("pyramid"), F.posexplode(sides).alias("part", "corners"))
+    """Hips and slopes over the footprint's own four edges, or a pyramid where it is nearly square or the ridge would leave it."""
+    own = geo.roof_v_range(F.col("roof_slice"))
+    top = F.col("floor_z") + F.col("height_m")
+    found = buildings.select(*KEY, kernels.hipped_faces(F.col("outer"), top, F.lit(overhang), own["v0"], own["v1"]).alias("roof"))
+    return found.select(*KEY, F.col("roof.pyramid").alias("pyramid"), F.posexplode("roof.faces").alias("part", "corners"))
+
+
+def _flat(p: Column) -> Column:
+    """A point of a flat roof; texture in metres along the longest edge, about the vertex mean."""
+    uv = geo.aligned_uv(p["x"], p["y"], F.col("centroid.x"), F.col("centroid.y"), F.col("axis_deg"))
+    return point(p["x"], p["y"], F.col("floor_z") + F.col("height_m"), uv["u"], uv["v"])
 
 
 def flat_fans(buildings: DataFrame) -> DataFrame:
     """Triangles from the vertex mean to each edge, of convex rings without holes."""
-    top = F.col("floor_z") + F.col("height_m")
     whole = buildings.where("convex AND NOT has_holes")
-    return whole.select(*KEY, F.posexplode(F.transform(rings.edges(F.col("outer")), lambda e: F.array(point(F.col("centroid.x"), F.col("centroid.y"), top), point(e["x1"], e["y1"], top), point(e["x2"], e["y2"], top)))).alias("part", "corners"))
+    ends = lambda e: F.array(_flat(F.col("centroid")), _flat(F.struct(e["x1"].alias("x"), e["y1"].alias("y"))), _flat(F.struct(e["x2"].alias("x"), e["y2"].alias("y"))))
+    return whole.select(*KEY, F.posexplode(F.transform(rings.edges(F.col("outer")), ends)).alias("part", "corners"))
+
+
+def flat_polygons(buildings: DataFrame) -> DataFrame:
+    """One polygon per building, with its holes, at the height of the walls: (ring_no, corners), ring 0 the outer one."""
+    every = F.concat(F.array("outer"), F.col("holes"))
+    return buildings.select(*KEY, F.posexplode(F.transform(every, lambda ring: F.transform(ring, _flat))).alias("ring_no", "corners"))
 
 
 def normal(corners: Column) -> Column:
-    """Twice the vector area of a face (Newell): its direction is the face's normal."""
-    n = F.size(corners)
-    pairs = F.transform(corners, lambda p, i: F.struct(p.alias("p"), F.get(corners, F.pmod(i + 1, n).cast("int")).alias("q")))
-    total = lambda a, b: F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + (e["p"][a] - e["q"][a]) * (e["p"][b] + e["q"][b]))
-    return F.struct(total("y", "z").alias("x"), total("z", "x").alias("y"), total("x", "y").alias("z"))
+    """Twice the vector area of a face: its direction is the face's normal."""
+    return kernels.face_normal(corners)
 
 
 def face_area(corners: Column) -> Column:
-    n = normal(corners)
-    return F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"]) / 2
+    """The area of faces with texture coordinates."""
+    return kernels.corner_sums(corners)["area"]
 
 
 def fan(corners: Column) -> Column:
@@ -133,7 +181,8 @@ def outward(faces: DataFrame, buildings: DataFrame) -> DataFrame:
     counter-clockwise and holes clockwise an edge's outside is on its right.
     """
     all_rings = buildings.select(*KEY, F.concat(F.array("outer"), F.col("holes")).alias("all_rings"))
-    met = computed(faces.join(all_rings, KEY), {"n": normal(F.col("corners")), "mid": F.struct((F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["x"]) / F.size("corners")).alias("x"), (F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["y"]) / F.size("corners")).alias("y")), "all_edges": F.flatten(F.transform("all_rings", rings.edges))})
+    with_normal = faces.join(all_rings, KEY).withColumn("n", normal(F.col("corners")))
+    met = computed(with_normal, {"mid": F.struct((F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["x"]) / F.size("corners")).alias("x"), (F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["y"]) / F.size("corners")).alias("y")), "all_edges": F.flatten(F.transform("all_rings", rings.edges))})
 
     def gap(e):
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
@@ -172,15 +221,64 @@ def shared_vertices(faces: DataFrame, group: list[str], face: list[str]) -> tupl
 
 def export_offsets(counts: DataFrame) -> DataFrame:
     """(patch_id, lod, grp, n, first): where each group's numbers begin, in export order (rest, turbines, transmitters, pylons; names within)."""
-    rank = F.when(F.col("grp").startswith("turbine"), 1).when(F.col("grp").startswith("transmitter"), 2).when(F.col("grp").startswith("pylon"), 3).otherwise(0)
+    rank = F.when(F.col("grp").startswith("wind_turbine"), 1).when(F.col("grp").isin("transmitter", "condor_transmitter"), 2).when(F.col("grp") == "pylones", 3).otherwise(0)
     before = Window.partitionBy("patch_id", "lod").orderBy(rank, "grp").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
 
 
 def quality(faces: DataFrame) -> DataFrame:
-    """Counts of faces with under three corners, and with a repeated corner."""
+    """Counts of faces with under three corners, with a repeated corner, without texture coordinates, and with corners that are no numbers."""
     distinct = F.size(F.array_distinct(F.transform("corners", lambda p: F.struct(F.bround(p["x"], 6), F.bround(p["y"], 6), F.bround(p["z"], 6)))))
-    return faces.groupBy("patch_id").agg(F.count("*").alias("faces"), F.count_if(F.size("corners") < 3).alias("too_few"), F.count_if(distinct < F.size("corners")).alias("repeated_corner"))
+    untextured = F.exists("corners", lambda p: p["u"].isNull() | p["v"].isNull())
+    return faces.groupBy("patch_id").agg(
+        F.count("*").alias("faces"), F.count_if(F.size("corners") < 3).alias("too_few"), F.count_if(distinct < F.size("corners")).alias("repeated_corner"), F.count_if(untextured).alias("untextured"),
+    )
+
+
+def bad_indices(corners: DataFrame, vertices: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n): corners whose vertex number no vertex of the group has."""
+    known = vertices.select(*group, "vertex_id")
+    return corners.join(known, [*group, "vertex_id"], "left_anti").groupBy(*group).agg(F.count("*").alias("n"))
+
+
+def merged_groups(vertices: DataFrame, corners: DataFrame, into: Column, order: Column) -> tuple[DataFrame, DataFrame]:
+    """(vertices, corners) of (patch_id, lod, grp) with groups put into one, its numbers following on.
+
+    ``into`` names a group's target and ``order`` its place among those of one target; a
+    group's numbers grow by what the groups before it have.
+    """
+    sizes = vertices.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n")).withColumns({"into": into, "place": order})
+    before = Window.partitionBy("patch_id", "lod", "into").orderBy("place", "grp").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("patch_id", "lod", "grp", "into", "shift")
+
+    def moved(rows: DataFrame) -> DataFrame:
+        joined = rows.join(shifts, ["patch_id", "lod", "grp"]).withColumn("vertex_id", F.col("vertex_id") + F.col("shift"))
+        return joined.withColumn("was", F.col("grp")).withColumn("grp", F.col("into")).drop("into", "shift")
+
+    return moved(vertices), moved(corners)
+
+
+def numbered_for_export(vertices: DataFrame, corners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and corners numbered from 1 over all groups of a patch and level of detail, in export order; a corner's texture number follows its place.
+
+    (patch_id, lod, grp, vertex_id, ...) get ``index``; corners also ``uv_index``.
+    """
+    counts = vertices.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))
+    first = export_offsets(counts).select("patch_id", "lod", "grp", F.col("first").alias("first_vertex"))
+    textures = export_offsets(corners.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))).select("patch_id", "lod", "grp", F.col("first").alias("first_uv"))
+    group = ["patch_id", "lod", "grp"]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("osm_id", "ring_no", "pos", "part", "corner"))
+    numbered = vertices.join(first, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).drop("first_vertex")
+    placed = corners.join(first, group).join(textures, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).withColumn("uv_index", nth + F.col("first_uv") - 1)
+    return numbered, placed.drop("first_vertex", "first_uv")
+
+
+def texture_for(grp: Column, patch_id: Column, orthophoto: bool = False) -> Column:
+    """(material, texture): groups share another's material by an alias; a merged flat roof may take the patch's orthophoto."""
+    material = F.when(grp == "aerialway", "pylones").otherwise(grp)
+    file = F.coalesce(*[F.when(material == name, texture) for name, texture in TEXTURES.items()])
+    photo = F.concat(F.lit("t"), patch_id, F.lit(".dds"))
+    return F.struct(material.alias("material"), (F.when(grp == "flat_roof", photo).otherwise(file) if orthophoto else file).alias("texture"))
 
 
 def lods(buildings: DataFrame) -> DataFrame:
@@ -190,4 +288,4 @@ def lods(buildings: DataFrame) -> DataFrame:
 
 def exported(faces: DataFrame) -> DataFrame:
     """Corners in the axes of the target: (x, y, z) becomes (y, -x, z)."""
-    return faces.withColumn("corners", F.transform("corners", lambda p: point(p["y"], -p["x"], p["z"])))
+    return faces.withColumn("corners", F.transform("corners", lambda p: point(p["y"], -p["x"], p["z"], p["u"], p["v"])))

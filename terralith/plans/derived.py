@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralith.functions import tags
+
 #: Corners (u, v) of each shape, counter-clockwise; the hole is clockwise.
 RECTANGLE = [("-a", "-h"), ("a", "-h"), ("a", "h"), ("-a", "h")]
 ELL = [("-a", "-h"), ("a", "-h"), ("a", "0"), ("0", "0"), ("0", "h"), ("-a", "h")]
@@ -51,6 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small file gives one, and what follows computes far more than it reads."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 def patch_name(key) -> F.Column:
     return F.format_string("%03d%03d", (key % 5).cast("int"), F.floor(key / 5).cast("int"))
 
@@ -58,8 +66,7 @@ def patch_name(key) -> F.Column:
 def footprints(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
     """patch_id, osm_id, k, outer, holes and the tag columns; ``second``: the shifted second source."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("custkey"))
-    if second:
-        orders = orders.where("k % 3 = 0")
+    orders = spread(orders.where("k % 3 = 0") if second else orders, "k")
     orders = orders.withColumn("shift", F.expr("CAST(k % 4 * 6 AS double)") if second else F.lit(0.0))
     fields = BASE.strip().removeprefix("SELECT")
     base = orders.selectExpr(*_split(fields)).selectExpr("*", *_split(TAGS.replace("varchar(9)", "string")))
@@ -67,6 +74,7 @@ def footprints(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFr
         patch_name(F.col("custkey") % 25).alias("patch_id"), F.col("k").cast("string").alias("osm_id"), "k", "a", "h", "shape",
         "outer", "holes",
         "building_tag", "levels_tag", "height_tag", "roof_shape_tag", "roof_direction_tag", "roof_angle_tag",
+        F.when(F.col("k") % 2 == 0, tags.address((F.col("k") % 90).cast("string"), F.lit("Main Street"), F.lit(""))).alias("address"),
     )
 
 

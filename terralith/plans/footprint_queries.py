@@ -117,8 +117,8 @@ add("p16_house_scale", lambda s, d: _full(s, d).groupBy("scale", roofs.house_sca
 add("p17_skeleton", lambda s, d: _full(s, d).groupBy("skeleton").agg(F.count("*").alias("n")), CLASSES_SQL + "SELECT skeleton, count(*) AS n FROM d GROUP BY ALL")
 add("p18_actual_roof", lambda s, d: _full(s, d).select("osm_id", "roof_asked", "actual_roof", "fallback_reason"), CLASSES_SQL + "SELECT osm_id, roof_asked, actual_roof, fallback_reason FROM d")
 add("p19_wall_kind", lambda s, d: _full(s, d).select("osm_id", "wall_kind"), CLASSES_SQL + "SELECT osm_id, wall_kind FROM d")
-add("p20_a15_mesh_groups", lambda s, d: _full(s, d).withColumns(dict(zip(("wall_group", "roof_group"), fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), roofs.flat_bucket(F.col("seed")), F.col("category"))))).groupBy("patch_id", "wall_group", "roof_group").agg(F.count("*").alias("n"), F.round(F.sum("area"), 3).alias("area")),
-    CLASSES_SQL + "SELECT patch_id, CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'highrise' THEN 'highrise_walls' WHEN category = 'industrial' THEN 'industrial_walls' ELSE 'commercial_walls' END AS wall_group, CASE WHEN actual_roof <> 'flat' THEN 'houses' ELSE 'flat_roof_' || (seed % 6 + 1) END AS roof_group, count(*) AS n, round(sum(area), 3) AS area FROM d GROUP BY ALL")
+add("p20_a15_mesh_groups", lambda s, d: _full(s, d).withColumns(dict(zip(("wall_group", "roof_group"), fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), roofs.flat_bucket(F.col("seed")))))).groupBy("patch_id", "wall_group", "roof_group").agg(F.count("*").alias("n"), F.round(F.sum("area"), 3).alias("area")),
+    CLASSES_SQL + "SELECT patch_id, CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'highrise' THEN 'Highrise_walls' ELSE 'industrial_walls' END AS wall_group, CASE WHEN actual_roof <> 'flat' THEN 'houses' ELSE 'flat_roof_' || (seed % 6 + 1) END AS roof_group, count(*) AS n, round(sum(area), 3) AS area FROM d GROUP BY ALL")
 add("p35_heights", lambda s, d: _full(s, d).select("osm_id", (F.lit(100.0) + F.col("height_m")).alias("wall_top_z"), (F.lit(100.0) + F.col("height_m") + F.when(F.col("actual_roof") == "flat", 0.0).otherwise(roofs.GABLE_M)).alias("roof_top_z")),
     CLASSES_SQL + "SELECT osm_id, 100::double + height_m AS wall_top_z, 100::double + height_m + CASE WHEN actual_roof = 'flat' THEN 0 ELSE 3 END AS roof_top_z FROM d")
 add("f2_within_patch", lambda s, d: fo.measured(footprints(s, d)).groupBy("patch_id", fo.patch_status(F.col("bbox")).alias("filter_reason")).agg(F.count("*").alias("n")), MEASURES_SQL + "SELECT patch_id, filter_reason, count(*) AS n FROM m GROUP BY ALL")
@@ -133,3 +133,28 @@ add("point_in_polygon_rules", lambda s, d: footprints(s, d).withColumns({"px": r
     """, q AS (SELECT osm_id, avg(x) + 1.25 AS px, avg(y) + 0.75 AS py FROM rv WHERE ring_no = 0 GROUP BY 1), e AS (SELECT osm_id, sum(CASE WHEN ((y > py) <> (y2 > py)) AND px < (x2 - x) * (py - y) / (y2 - y) + x THEN 1 ELSE 0 END) % 2 = 1 AS odd, bool_or(abs((px - x) * (y2 - y) - (py - y) * (x2 - x)) <= 1e-9 AND px BETWEEN least(x, x2) AND greatest(x, x2) AND py BETWEEN least(y, y2) AND greatest(y, y2)) AS edge,
     sum(CASE WHEN y <= py AND y2 > py AND (x2 - x) * (py - y) - (px - x) * (y2 - y) > 0 THEN 1 WHEN y > py AND y2 <= py AND (x2 - x) * (py - y) - (px - x) * (y2 - y) < 0 THEN -1 ELSE 0 END) <> 0 AS wn FROM edges JOIN q USING (osm_id) WHERE ring_no = 0 GROUP BY 1)
     SELECT osm_id, odd AS even_odd, odd OR edge AS or_on_edge, wn AS winding FROM e""")
+
+
+def convexity_ratio(spark, sf):
+    """The share that a footprint has of its convex hull."""
+    return fo.convexity(footprints(spark, sf)).select("osm_id", r6(F.col("convexity_ratio")).alias("convexity_ratio"))
+
+
+# Rectangles and sheared rings are their own hull; an L lacks the triangle between its two inner ends.
+add("a11_u1_convexity_ratio", convexity_ratio, MEASURES_SQL + """
+, sized AS (SELECT osm_id, shape, 2 * a * 2 * h AS box, a * h AS gap FROM fp)
+SELECT osm_id, round(CASE WHEN shape = 'L' THEN (box - gap) / (box - gap / 2) ELSE 1 END, 6) + 0 AS convexity_ratio FROM sized""")
+
+
+def first_warnings(spark, sf):
+    """T4: the first five clamped sizes of each patch with their number (see footprints.warnings)."""
+    return fo.warnings(_full(spark, sf), 5).select("patch_id", "nth", "osm_id", "warning", "total")
+
+
+add("t4_p7_r4_first_warnings", first_warnings, CLASSES_SQL + """
+, texts AS (
+  SELECT patch_id, osm_id, count(*) OVER (PARTITION BY patch_id) AS total, row_number() OVER (PARTITION BY patch_id ORDER BY k) AS nth,
+    'Clamped size of ' || osm_id || ' (' || CASE WHEN k % 2 = 0 THEN (k % 90)::VARCHAR || ' Main Street' ELSE 'no address' END || ', building=' || building_tag || '): floors ' || floors || ', height ' || printf('%.1f', height_m) || ' m' AS warning
+  FROM d WHERE clamped
+)
+SELECT patch_id, nth::INT AS nth, osm_id, warning, total FROM texts WHERE nth <= 5""")

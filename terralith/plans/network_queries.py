@@ -121,8 +121,8 @@ add("p31_box_error", lambda s, d: sites(s, d).select("id", geo.box_error(F.col("
 add("p30_centre_span", lambda s, d: sites(s, d).withColumn("c", geo.centre_span(F.col("lat"), F.col("lat") + 0.5, F.col("lon"), F.col("lon") + 0.25)).select("id", *[F.round(f"c.{n}", 9).alias(n) for n in ("lat", "lon", "lat_span", "lon_span")]),
     "SELECT id, round((lat + lat + 0.5) / 2, 9) AS lat, round((lon + lon + 0.25) / 2, 9) AS lon, 0.5::double AS lat_span, 0.25::double AS lon_span FROM site", SITES_SQL)
 add("p32_wall_u_range", lambda s, d: sites(s, d).withColumn("u", geo.wall_u_range(F.col("id") % 400 / 10.0)).select("id", F.round("u.u0", 9).alias("u0"), F.round("u.u1", 9).alias("u1")), "SELECT id, round(1.0::double / 3, 9) AS u0, round(1.0::double / 3 + greatest(1, ceil(round((id % 400) / 10.0::double / 3, 9))) / 3, 9) AS u1 FROM site", SITES_SQL)
-add("p33_v_ranges", lambda s, d: sites(s, d).withColumns({"r": geo.roof_v_range(F.col("id") % 6), "f": geo.facade_v_range(F.col("id") % 12, 1), "g": geo.highrise_v_range(F.col("id") % 12)}).select("id", *[F.round(f"{a}.{b}", 9).alias(f"{a}_{b}") for a in "rfg" for b in ("v0", "v1")]),
+add("p33_v_ranges", lambda s, d: sites(s, d).withColumns({"r": geo.roof_v_range(F.col("id") % 6), "f": geo.facade_v_range(F.col("id") % 12, F.lit(1)), "g": geo.highrise_v_range(F.col("id") % 12)}).select("id", *[F.round(f"{a}.{b}", 9).alias(f"{a}_{b}") for a in "rfg" for b in ("v0", "v1")]),
     "SELECT id, round(1 - (id % 6 + 1) / 24.0::double, 9) AS r_v0, round(1 - (id % 6) / 24.0::double, 9) AS r_v1, round(0.75 - (id % 12) / 16.0::double - 2 / 48.0::double, 9) AS f_v0, round(0.75 - (id % 12) / 16.0::double - 1 / 48.0::double, 9) AS f_v1, round(1 - (id % 12 + 1) / 12.0::double, 9) AS g_v0, round(1 - (id % 12) / 12.0::double, 9) AS g_v1 FROM site", SITES_SQL)
 add("p34_uv", lambda s, d: points(s, d).withColumns({"o": geo.orthophoto_uv(F.col("x"), F.col("y")), "a": geo.aligned_uv(F.col("x"), F.col("y"), F.lit(10.0), F.lit(20.0), F.lit(30.0))}).select("way_id", "pos", *[r4(F.col(c)).alias(n) for c, n in (("o.u", "u"), ("o.v", "v"), ("a.u", "au"), ("a.v", "av"))]),
-    "SELECT way_id, pos, round((x + 2880) / 5760, 4) + 0 AS u, round((y + 2880) / 5760, 4) + 0 AS v, round(((x - 10) * cos(radians(-30)) - (y - 20) * sin(radians(-30))) / 12, 4) + 0 AS au, round(((x - 10) * sin(radians(-30)) + (y - 20) * cos(radians(-30))) / 12, 4) + 0 AS av FROM lp")
+    "SELECT way_id, pos, round((x + 2880) / 5760, 4) + 0 AS u, round((y + 2880) / 5760, 4) + 0 AS v, round(((x - 10) * cos(radians(-30)) - (y - 20) * sin(radians(-30))), 4) + 0 AS au, round(((x - 10) * sin(radians(-30)) + (y - 20) * cos(radians(-30))), 4) + 0 AS av FROM lp")
 add("g16_mosaic_offset", lambda s, d: lines(s, d).select("patch_id").distinct().withColumn("o", geo.mosaic_offset(F.col("patch_id"), 1, 2)).select("patch_id", "o.dx", "o.dy"), "SELECT DISTINCT patch_id, -(left(patch_id, 3)::INT - 1) * 5760.0::double + 0 AS dx, (right(patch_id, 3)::INT - 2) * 5760.0::double AS dy FROM lp")
