@@ -274,3 +274,53 @@ def hipped_faces(outer: pa.Array, wall_top: pa.Array, overhang: pa.Array, v0: pa
     whole[four] = pyramid
     return _struct(pyramid=whole, faces=pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner))
 
+
+def _inside(px: np.ndarray, py: np.ndarray, ring_of: np.ndarray, rings: Lists) -> np.ndarray:
+    """Whether each point lies in its ring, by the even-odd rule."""
+    n = rings.n[ring_of]
+    point = np.repeat(np.arange(len(px)), n)
+    e = np.arange(len(point)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rings.starts[ring_of], n)
+    x, y = rings.fields
+    x1, y1, x2, y2, qx, qy = x[e], y[e], x[rings.next[e]], y[rings.next[e]], px[point], py[point]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossed = ((y1 > qy) != (y2 > qy)) & (qx < (x2 - x1) * (qy - y1) / (y2 - y1) + x1)
+    return np.bincount(point, weights=crossed, minlength=len(px)) % 2 == 1
+
+
+def _in_area(px: np.ndarray, py: np.ndarray, row: np.ndarray, outer: Lists, holes: pa.Array) -> np.ndarray:
+    """Whether each point lies in its row's outer ring and in none of its holes."""
+    kept = _inside(px, py, row, outer)
+    offsets = holes.offsets.to_numpy().astype(np.int64)
+    first, n = offsets[:-1] - offsets[0], np.diff(offsets)[row]
+    if n.any():
+        inner = Lists(holes.values.slice(offsets[0], offsets[-1] - offsets[0]), ("x", "y"))
+        point = np.repeat(np.arange(len(px)), n)
+        hole = np.arange(len(point)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[row], n)
+        kept &= np.bincount(point, weights=_inside(px[point], py[point], hole, inner), minlength=len(px)) == 0
+    return kept
+
+
+@F.arrow_udf(T.ArrayType(reals("px py")))
+def inside_samples(outer: pa.Array, holes: pa.Array, step: pa.Array) -> pa.Array:
+    """Points each ``step`` metres over a footprint's box that lie in it and in no hole; a footprint without such points gives its box's corners and centre that do."""
+    rings = Lists(outer, ("x", "y"))
+    x, y = rings.fields
+    x0, x1, y0, y1 = (rings.reduce(by, values) for values in (x, y) for by in (np.minimum, np.maximum))
+    size = step.to_numpy(zero_copy_only=False) if len(step) else np.ones(0)
+    nx, ny = (np.where(rings.n > 0, np.floor((high - low) / size + 1e-9).astype(np.int64) + 1, 0) for low, high in ((x0, x1), (y0, y1)))
+    row = np.repeat(np.arange(len(rings.n)), nx * ny)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(nx * ny) - nx * ny, nx * ny)
+    px, py = x0[row] + k // np.maximum(ny[row], 1) * size[row], y0[row] + k % np.maximum(ny[row], 1) * size[row]
+    kept = _in_area(px, py, row, rings, holes)
+    px, py, row = px[kept], py[kept], row[kept]
+
+    bare = np.flatnonzero((np.bincount(row, minlength=len(rings.n)) == 0) & (rings.n > 0))
+    corner_x = np.column_stack([x0, x1, x1, x0, (x0 + x1) / 2])[bare].ravel()
+    corner_y = np.column_stack([y0, y0, y1, y1, (y0 + y1) / 2])[bare].ravel()
+    of = np.repeat(bare, 5)
+    kept = _in_area(corner_x, corner_y, of, rings, holes)
+    row = np.concatenate([row, of[kept]])
+    order = np.argsort(row, kind="stable")
+    px, py = np.concatenate([px, corner_x[kept]])[order], np.concatenate([py, corner_y[kept]])[order]
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rings.n))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _struct(px=px, py=py))

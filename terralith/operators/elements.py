@@ -27,6 +27,18 @@ def is_wind_turbine(tags: Column) -> Column:
     return F.coalesce((tags["power"] == "generator") & (tags["generator:source"] == "wind"), F.lit(False))
 
 
+def is_chimney(tags: Column) -> Column:
+    return F.coalesce(tags["man_made"] == "chimney", F.lit(False))
+
+
+def is_aerodrome(tags: Column) -> Column:
+    return F.coalesce(tags["aeroway"] == "aerodrome", F.lit(False))
+
+
+def is_runway(tags: Column) -> Column:
+    return F.coalesce(tags["aeroway"] == "runway", F.lit(False))
+
+
 def is_disused(tags: Column) -> Column:
     return F.coalesce(F.exists(F.map_keys(tags), lambda k: k.contains("disused") | k.contains("abandoned")), F.lit(False))
 

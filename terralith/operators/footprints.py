@@ -143,3 +143,11 @@ def warnings(buildings: DataFrame, k: int) -> DataFrame:
     found = buildings.where("clamped").select("patch_id", "osm_id", text.alias("warning"))
     order = Window.partitionBy("patch_id").orderBy(F.col("osm_id").try_cast("bigint"), "osm_id")
     return found.withColumns({"nth": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("patch_id"))}).where(F.col("nth") <= k)
+
+
+def with_features(report_: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
+    """A report by patch with the number of rows of each optional feature; 0 where a patch has none."""
+    for name, rows in features.items():
+        counted = rows.groupBy("patch_id").agg(F.count("*").alias(name))
+        report_ = report_.join(counted, "patch_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return report_

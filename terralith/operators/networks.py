@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.operators import places, terrain
+
 WAY = ["patch_id", "way_id"]
 # Where conductors hang on a pylon (across, height), and their sag.
 ATTACH = {"large": [(-13.7, 27.8), (0.0, 27.8), (13.7, 27.8)], "medium": [(-6.2, 15.24), (5.85, 18.16), (-5.12, 21.04), (0.0, 26.4)], "small": [(-0.75, 5.55), (0.75, 5.55)]}
@@ -143,3 +145,64 @@ def equally_spaced(points: DataFrame, spacing: float) -> DataFrame:
     items = each.withColumns({"first": first, "last": last}).where("last >= first").select("*", F.explode(F.sequence("first", "last")).alias("item"))
     t = (F.col("item") * spacing - F.col("from_m")) / F.col("span_m")
     return items.select(*WAY, "item", (F.col("x") + (F.col("x2") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("y2") - F.col("y")) * t).alias("y"))
+
+
+def top_wires(spark) -> DataFrame:
+    """(kind, wire) of the highest conductor of each kind of pylon, of several the one nearest the axis."""
+    return attach_points(spark).groupBy("kind").agg(F.max_by("wire", F.struct("up", (-F.abs("across")).alias("inward"), (-F.col("wire")).alias("first"))).alias("wire"))
+
+
+def ball_spans(cables: DataFrame, triangles: DataFrame, zones: DataFrame, high_voltage: DataFrame, size: float) -> DataFrame:
+    """Adds clearance, in_zone and spacing to top cables: the greatest height above the terrain at a quarter, half and three quarters of the span, and
+    whether its middle lies in an airport's zone. ``high_voltage``: (patch_id, way_id, hv)."""
+    key = [*WAY, "pos", "wire"]
+    at = F.explode(F.array(*[F.lit(t) for t in (0.25, 0.5, 0.75)])).alias("t")
+    three = cables.select("*", at).withColumns({"px": F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("t"), "py": F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("t"), "cable_z": parabola(F.col("z1"), F.col("z2"), F.col("sag"), F.col("t"))})
+    ground = terrain.elevations(three.select(*key, "t", "px", "py"), triangles, [*key, "t"], size)
+    clear = three.select(*key, "t", "cable_z").join(ground, [*key, "t"]).groupBy(*key).agg(F.max(F.col("cable_z") - F.col("z")).alias("clearance"))
+    middle = cables.select(*key, ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
+    zoned = places.in_any_zone(middle, zones).select(*key, F.lit(True).alias("in_zone"))
+    joined = cables.join(clear, key, "left").join(zoned, key, "left").join(high_voltage, WAY)
+    known = joined.withColumns({"clearance": F.greatest(F.lit(0.0), F.coalesce("clearance", F.lit(0.0))), "in_zone": F.coalesce("in_zone", F.lit(False))})
+    return known.withColumn("spacing", ball_spacing(F.col("clearance"), F.col("in_zone"), F.col("hv")))
+
+
+# Of lifts by pylon: where their cables run (across, up), and metres between carriers.
+LIFT_CABLES = {"Pylon_AerialCab": (7.678, 22.589), "Pylon_Aerialway": (2.81, 8.20)}
+LIFT_SPACING = {"Pylon_AerialCab": 77.5, "Pylon_Aerialway": 15.0}
+
+
+def with_pitch(points: DataFrame) -> DataFrame:
+    """Adds pitch_deg at placed points: the slope of foot_z from the placed point before to the one after; 0 where there is neither."""
+    w = ordered()
+    near = lambda step: {f"{c}_{'a' if step < 0 else 'b'}": F.when(F.lag("placed", -step).over(w), F.lag(c, -step).over(w)).otherwise(F.col(c)) for c in ("x", "y", "foot_z")}
+    both = points.withColumns({**near(-1), **near(1)})
+    run = F.sqrt(F.pow(F.col("x_b") - F.col("x_a"), 2) + F.pow(F.col("y_b") - F.col("y_a"), 2))
+    pitch = F.when(run < 1e-6, 0.0).otherwise(F.degrees(F.atan2(F.col("foot_z_b") - F.col("foot_z_a"), run)))
+    return both.withColumn("pitch_deg", pitch).drop(*[f"{c}_{k}" for c in ("x", "y", "foot_z") for k in "ab"])
+
+
+def carriers(points: DataFrame) -> DataFrame:
+    """Carriers of lifts at equal distances along the first cable of each placed run and back along the second: (…, run_id, item, leg, x, y, z).
+
+    ``points`` has pylon and foot_z. The distance runs on from one cable to the other.
+    """
+    pick = lambda table, k: F.coalesce(*[F.when(F.col("pylon") == name, F.lit(v[k] if isinstance(v, tuple) else v)) for name, v in table.items()])
+    on_run = runs(with_yaw(placed(points), across=False), "placed").where("run_id IS NOT NULL")
+    run = [*WAY, "run_id"]
+    whole = on_run.withColumn("n", F.count("*").over(Window.partitionBy(*run))).where("n > 1")
+    each = whole.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("leg")).withColumns({"across": F.when(F.col("leg") == 0, 1.0).otherwise(-1.0) * pick(LIFT_CABLES, 0), "up": pick(LIFT_CABLES, 1), "spacing": pick(LIFT_SPACING, 0)})
+    yaw = F.radians("yaw_deg")
+    cable = each.select(
+        *run, "leg", "pos", "spacing", (F.col("x") - F.col("across") * F.sin(yaw)).alias("x"), (F.col("y") + F.col("across") * F.cos(yaw)).alias("y"), (F.col("foot_z") + F.col("up")).alias("z"),
+        F.when(F.col("leg") == 0, F.col("pos")).otherwise(-F.col("pos")).alias("nth"),
+    )
+    leg = Window.partitionBy(*run, "leg").orderBy("nth")
+    ends = cable.withColumns({f"{c}2": F.lead(c).over(leg) for c in "xyz"}).where("x2 IS NOT NULL")
+    length = F.sqrt(sum(F.pow(F.col(f"{c}2") - F.col(c), 2) for c in "xyz"))
+    before = Window.partitionBy(*run).orderBy("leg", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    paced = ends.withColumn("len", length).where("len >= 0.000001").withColumn("from_m", F.coalesce(F.sum("len").over(before), F.lit(0.0)))
+    first, last = F.ceil(F.round(F.col("from_m") / F.col("spacing"), 9)), F.ceil(F.round((F.col("from_m") + F.col("len")) / F.col("spacing"), 9)) - 1
+    items = paced.withColumns({"first": first, "last": last}).where("last >= first").select("*", F.explode(F.sequence("first", "last")).alias("item"))
+    t = (F.col("item") * F.col("spacing") - F.col("from_m")) / F.col("len")
+    return items.select(*run, "item", "leg", *[(F.col(c) + (F.col(f"{c}2") - F.col(c)) * t).alias(c) for c in "xyz"])

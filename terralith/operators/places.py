@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions import geo, rings
+from terralith.functions import geo, rings, tags
 
 # How good an airport's source is, and lengths.
 SOURCE_RANK = {"runway": 3, "runway_disused": 2, "aerodrome": 1}
@@ -41,10 +41,40 @@ def best_zone_source(zones: DataFrame) -> DataFrame:
     return zones.withColumn("r", F.dense_rank().over(best)).where("r = 1").drop("r")
 
 
-def in_any_zone(spans: DataFrame, zones: DataFrame) -> DataFrame:
-    """The spans (mx, my) whose middle lies in a zone of their patch. A patch has a handful of zones."""
-    near = (spans["patch_id"] == zones["patch_id"]) & (F.sqrt(F.pow(spans["mx"] - zones["zx"], 2) + F.pow(spans["my"] - zones["zy"], 2)) <= zones["zone_m"])
-    return spans.join(zones, near, "left_semi")
+def in_any_zone(spans: DataFrame, zones: DataFrame, cell: float = 1000.0) -> DataFrame:
+    """The spans (patch_id, mx, my) whose middle lies in a zone (patch_id, zx, zy, zone_m) of their patch.
+
+    A zone is listed in every cell that its box touches, a span in its own.
+    """
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("zone_m")) / cell).cast("int"), F.floor((F.col(c) + F.col("zone_m")) / cell).cast("int")))
+    wide = zones.select("patch_id", "zx", "zy", "zone_m", cells("zx").alias("gx")).select("*", cells("zy").alias("gy"))
+    own = spans.withColumns({"gx": F.floor(F.col("mx") / cell).cast("int"), "gy": F.floor(F.col("my") / cell).cast("int")})
+    same = (own["patch_id"] == wide["patch_id"]) & (own["gx"] == wide["gx"]) & (own["gy"] == wide["gy"])
+    near = F.sqrt(F.pow(own["mx"] - wide["zx"], 2) + F.pow(own["my"] - wide["zy"], 2)) <= wide["zone_m"]
+    return own.join(wide, same & near, "left_semi").drop("gx", "gy")
+
+
+def runway_length(tag: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres as tagged, or else between a runway's ends."""
+    tagged = tags.number(F.replace(F.lower(tag), F.lit("m"), F.lit("")))
+    return F.coalesce(tagged, geo.distance_m(lat1, lon1, lat2, lon2))
+
+
+def airports_in_patches(airports: DataFrame, patches: DataFrame, half: float = 2880.0, cell_deg: float = 0.1) -> DataFrame:
+    """Airports (lat, lon) projected into each patch (patch_id, zone, tx, ty, lat_min .. lon_max) in whose square they lie.
+
+    They meet in cells of degrees that the patch's box touches.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell_deg).cast("int"), F.floor(F.col(high) / cell_deg).cast("int")))
+    wide = patches.select("patch_id", "zone", "tx", "ty", "lon_min", "lon_max", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
+    own = airports.withColumns({"gy": F.floor(F.col("lat") / cell_deg).cast("int"), "gx": F.floor(F.col("lon") / cell_deg).cast("int")})
+    placed = own.join(wide.drop("lon_min", "lon_max"), ["gx", "gy"]).withColumn("p", geo.project_utm(F.col("lat"), F.col("lon"), F.col("zone"), F.col("tx"), F.col("ty")))
+    return placed.where((F.abs("p.x") <= half) & (F.abs("p.y") <= half)).select("patch_id", *airports.columns, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+def merged_box(patches: DataFrame, by: list[str]) -> DataFrame:
+    """The box around the patches (lat_min .. lon_max) of each group."""
+    return patches.groupBy(*by).agg(F.min("lat_min").alias("lat_min"), F.max("lat_max").alias("lat_max"), F.min("lon_min").alias("lon_min"), F.max("lon_max").alias("lon_max"))
 
 
 def runway_names(runways: DataFrame, aerodromes: DataFrame, cell_deg: float = 0.1) -> DataFrame:
@@ -121,7 +151,7 @@ def merged_sources(base: DataFrame, other: DataFrame) -> DataFrame:
     """``base`` and the footprints of ``other`` that overlap none of it, tagged by source, the added ones with fresh negative ids per patch."""
     gone = overlapping(base, other)
     added = other.join(gone, (other["patch_id"] == gone["patch_id"]) & (other["osm_id"] == gone["other_id"]), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("patch_id").orderBy(F.col("osm_id").cast("bigint")))
+    nth = F.row_number().over(Window.partitionBy("patch_id").orderBy(F.col("osm_id").try_cast("bigint"), "osm_id"))
     return base.select("patch_id", "osm_id", "outer", F.lit("base").alias("source")).unionByName(added.select("patch_id", (-nth).cast("string").alias("osm_id"), "outer", F.lit("ml").alias("source")))
 
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.functions import rings
-from terralith.operators.footprints import computed
+from terralith.functions import kernels, rings
 
 HALF, CELL = 2880.0, 30.0
 SINK, STEP = 0.3, 5.0
@@ -52,45 +51,48 @@ def sample_grid(buildings: DataFrame, step: float = STEP) -> DataFrame:
 
     A footprint without such points gives its box's corners and centre that do.
     """
-    box = computed(buildings.select("patch_id", "osm_id", "outer", "holes"), {"box": rings.bbox(F.col("outer"))})
-    count = lambda a: F.floor((F.col(f"box.max_{a}") - F.col(f"box.min_{a}")) / step + 1e-9).cast("int")
-    grid = F.flatten(F.transform(F.sequence(F.lit(0), count("x")), lambda i: F.transform(F.sequence(F.lit(0), count("y")), lambda j: F.struct((F.col("box.min_x") + i * step).alias("px"), (F.col("box.min_y") + j * step).alias("py")))))
-    inside = lambda p: rings.inside_even_odd(F.col("outer"), p["px"], p["py"]) & ~F.exists("holes", lambda h: rings.inside_even_odd(h, p["px"], p["py"]))
-    found = computed(box, {"samples": F.filter(grid, inside)})
-    at = lambda x, y: F.struct(x.alias("px"), y.alias("py"))
-    x0, y0, x1, y1 = (F.col(f"box.{n}") for n in ("min_x", "min_y", "max_x", "max_y"))
-    ladder = F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1), at((x0 + x1) / 2, (y0 + y1) / 2))
-    return found.select("patch_id", "osm_id", F.explode(F.when(F.size("samples") > 0, F.col("samples")).otherwise(F.filter(ladder, inside))).alias("p")).select("patch_id", "osm_id", "p.px", "p.py")
-
-
-def floors(buildings: DataFrame, triangles: DataFrame, sink: float = SINK) -> DataFrame:
+    found = buildings.select("patch_id", "osm_id", kernels.inside_samples(F.col("outer"), F.col("holes"), F.lit(float(step))).alias("samples"))
+    return found.select("patch_id", "osm_id", F.explode("samples").alias("p")).select("patch_id", "osm_id", "p.px", "p.py")
+
+
+def floors(buildings: DataFrame, triangles: DataFrame, sink: float = SINK, size: float = CELL) -> DataFrame:
     """(patch_id, osm_id, floor_z, min_z, max_z, samples): the lowest terrain under a building, less the sink; 0 where there is no terrain."""
     points = sample_grid(buildings)
-    known = elevations(points, triangles, ["patch_id", "osm_id", "px", "py"]).groupBy("patch_id", "osm_id").agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count("*").alias("samples"))
+    known = elevations(points, triangles, ["patch_id", "osm_id", "px", "py"], size).groupBy("patch_id", "osm_id").agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count("*").alias("samples"))
     # Buildings whose samples all miss the terrain are looked up by their vertex mean.
     rest = buildings.join(known, ["patch_id", "osm_id"], "left_anti").select("patch_id", "osm_id", rings.vertex_mean(F.col("outer")).alias("m")).select("patch_id", "osm_id", F.col("m.x").alias("px"), F.col("m.y").alias("py"))
-    by_mean = elevations(rest, triangles, ["patch_id", "osm_id"]).select("patch_id", "osm_id", F.col("z").alias("min_z"), F.col("z").alias("max_z"), F.lit(0).cast("bigint").alias("samples"))
+    by_mean = elevations(rest, triangles, ["patch_id", "osm_id"], size).select("patch_id", "osm_id", F.col("z").alias("min_z"), F.col("z").alias("max_z"), F.lit(0).cast("bigint").alias("samples"))
     every = buildings.select("patch_id", "osm_id").join(known.unionByName(by_mean), ["patch_id", "osm_id"], "left")
     zero = F.lit(0.0)
     return every.select("patch_id", "osm_id", F.coalesce(F.col("min_z") - sink, zero).alias("floor_z"), F.coalesce("min_z", zero).alias("min_z"), F.coalesce("max_z", zero).alias("max_z"), F.coalesce("samples", F.lit(0).cast("bigint")).alias("samples"))
 
 
-def feet(points: DataFrame, triangles: DataFrame, key: list[str], cross: float = 4.0, sink: float = SINK, edge: float = 1.0) -> DataFrame:
+def feet(points: DataFrame, triangles: DataFrame, key: list[str], cross: float = 4.0, sink: float = SINK, edge: float = 1.0, size: float = CELL) -> DataFrame:
     """``key`` and foot_z: the lowest elevation under a cross of five points, clamped to the patch, less the sink; 0 without terrain."""
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0.0, 0.0), (cross, 0.0), (-cross, 0.0), (0.0, cross), (0.0, -cross))])
     clamp = lambda v: F.greatest(F.lit(-HALF + edge), F.least(F.lit(HALF - edge), v))
     five = points.select("*", F.explode(offsets).alias("o")).select(*[c for c in points.columns if c not in ("px", "py")], clamp(F.col("px") + F.col("o.dx")).alias("px"), clamp(F.col("py") + F.col("o.dy")).alias("py"))
-    low = elevations(five, triangles, [*key, "px", "py"]).groupBy(*key).agg((F.min("z") - sink).alias("foot_z"))
+    low = elevations(five, triangles, [*key, "px", "py"], size).groupBy(*key).agg((F.min("z") - sink).alias("foot_z"))
     return points.select(*key).join(low, key, "left").select(*key, F.coalesce("foot_z", F.lit(0.0)).alias("foot_z"))
 
 
 def neighbour_points(points: DataFrame, half: float = HALF) -> DataFrame:
-    """Points over the border moved into the frame of the patch they lie in (columns grow with -x, rows with y)."""
-    dx, dy = F.floor((F.col("px") + half) / (2 * half)).cast("int"), F.floor((F.col("py") + half) / (2 * half)).cast("int")
-    col, row = F.substring("patch_id", 1, 3).cast("int") - dx, F.substring("patch_id", 4, 3).cast("int") + dy
+    """Points over the border moved into the frame of the next patch on that side (home_id: their own); those inside stay."""
+    side = lambda v: F.when(v > half, 1).when(v < -half, -1).otherwise(0)
+    dx, dy = side(F.col("px")), side(F.col("py"))
+    col, row = F.substring("patch_id", 1, 3).cast("int") + dx, F.substring("patch_id", 4, 3).cast("int") + dy
     return points.withColumns({"home_id": F.col("patch_id"), "patch_id": F.format_string("%03d%03d", col, row), "px": F.col("px") - dx * 2 * half, "py": F.col("py") - dy * 2 * half})
 
 
+def surface(points: DataFrame, triangles: DataFrame, key: list[str], size: float = CELL) -> DataFrame:
+    """``key`` and z of lift pylons: the terrain they stand on, beyond the border that of the next patch, else their patch's lowest."""
+    moved = neighbour_points(points)
+    known = elevations(moved, triangles, key, size)
+    lowest = triangles.groupBy("patch_id").agg(F.min(F.least("z1", "z2", "z3")).alias("lowest")).withColumnRenamed("patch_id", "home_id")
+    every = moved.join(known, key, "left").join(lowest, "home_id", "left")
+    return every.select(*key, F.coalesce("z", "lowest").alias("z"))
+
+
 def statistics(triangles: DataFrame) -> DataFrame:
     """Per patch: triangles, lowest and highest z, extents, degenerate triangles and issues."""
     edge = lambda a, b: F.sqrt(F.pow(F.col(f"x{a}") - F.col(f"x{b}"), 2) + F.pow(F.col(f"y{a}") - F.col(f"y{b}"), 2))

@@ -158,3 +158,10 @@ add("t4_p7_r4_first_warnings", first_warnings, CLASSES_SQL + """
   FROM d WHERE clamped
 )
 SELECT patch_id, nth::INT AS nth, osm_id, warning, total FROM texts WHERE nth <= 5""")
+
+
+def a14_fallbacks_by_patch(spark, sf):
+    return fo.fallback_counts(_full(spark, sf)).groupBy("patch_id").agg(F.sum("n").alias("n"))
+
+
+add("a14_fallbacks_by_patch", a14_fallbacks_by_patch, CLASSES_SQL + "SELECT patch_id, count(*)::BIGINT AS n FROM d WHERE filter_reason = 'kept' AND roof_asked <> actual_roof GROUP BY ALL")

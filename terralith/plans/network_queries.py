@@ -96,9 +96,6 @@ add("t1_line_report", lambda s, d: net.line_statistics(points(s, d)).select("way
 add("g12_conductors", lambda s, d: net.conductor_spans(drawn(s, d)).select("way_id", "pos", "wire", *[r4(F.col(c)).alias(c) for c in ("x1", "y1", "z1", "x2", "y2", "z2")]), "SELECT way_id, pos, wire, " + ", ".join(f"round({c}, 4) + 0 AS {c}" for c in ("x1", "y1", "z1", "x2", "y2", "z2")) + " FROM cb")
 add("g13_cable_samples", lambda s, d: net.cable_samples(net.conductor_spans(drawn(s, d))).groupBy("way_id", "wire").agg(F.count("*").alias("n"), F.round(F.sum("z"), 3).alias("sum_z")),
     ", sa AS (SELECT *, unnest(generate_series(0, ns)) / ns::double AS t FROM cb) SELECT way_id, wire, count(*) AS n, round(sum(z1 + (z2 - z1) * t - 4 * sag * t * (1 - t)), 3) AS sum_z FROM sa GROUP BY ALL")
-add("g14_marker_balls", lambda s, d: net.marker_balls(net.conductor_spans(drawn(s, d)).where("wire = 0"), F.lit(60.0)).groupBy("way_id").agg(F.count("*").alias("balls"), F.round(F.sum("z"), 3).alias("sum_z")),
-    """, sp AS (SELECT *, greatest(1, round_even(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 60, 0))::INT AS balls FROM cb WHERE wire = 0), ba AS (SELECT *, (unnest(generate_series(0, balls - 1)) + 0.5::double) / balls AS t FROM sp), se AS (SELECT *, least(floor(t * ns), ns - 1) / ns AS t0 FROM ba), zz AS (SELECT *, z1 + (z2 - z1) * t0 - 4 * sag * t0 * (1 - t0) AS za, z1 + (z2 - z1) * (t0 + 1.0::double / ns) - 4 * sag * (t0 + 1.0::double / ns) * (1 - t0 - 1.0::double / ns) AS zb FROM se)
-    SELECT way_id, count(*) AS balls, round(sum(za + (zb - za) * (t - t0) * ns), 3) AS sum_z FROM zz GROUP BY ALL""")
 add("a18_placement_statistics", lambda s, d: net.conductor_spans(drawn(s, d)).groupBy("kind").agg(F.count("*").alias("cables"), F.countDistinct("way_id", "pos").alias("spans")), "SELECT kind, count(*) AS cables, count(DISTINCT (way_id, pos)) AS spans FROM cb GROUP BY ALL")
 add("g11_towers", lambda s, d: net.with_yaw(net.placed(drawn(s, d))).where("placed").select("way_id", "pos", "kind", "foot_z", r4(F.col("yaw_deg")).alias("yaw_deg")), "SELECT way_id, pos, kind, foot_z, round(yaw_deg, 4) + 0 AS yaw_deg FROM yw JOIN lc USING (way_id) WHERE placed AND power IN ('line', 'minor_line') AND coalesce(kv >= 1, TRUE)")
 
@@ -126,3 +123,109 @@ add("p33_v_ranges", lambda s, d: sites(s, d).withColumns({"r": geo.roof_v_range(
 add("p34_uv", lambda s, d: points(s, d).withColumns({"o": geo.orthophoto_uv(F.col("x"), F.col("y")), "a": geo.aligned_uv(F.col("x"), F.col("y"), F.lit(10.0), F.lit(20.0), F.lit(30.0))}).select("way_id", "pos", *[r4(F.col(c)).alias(n) for c, n in (("o.u", "u"), ("o.v", "v"), ("a.u", "au"), ("a.v", "av"))]),
     "SELECT way_id, pos, round((x + 2880) / 5760, 4) + 0 AS u, round((y + 2880) / 5760, 4) + 0 AS v, round(((x - 10) * cos(radians(-30)) - (y - 20) * sin(radians(-30))), 4) + 0 AS au, round(((x - 10) * sin(radians(-30)) + (y - 20) * cos(radians(-30))), 4) + 0 AS av FROM lp")
 add("g16_mosaic_offset", lambda s, d: lines(s, d).select("patch_id").distinct().withColumn("o", geo.mosaic_offset(F.col("patch_id"), 1, 2)).select("patch_id", "o.dx", "o.dy"), "SELECT DISTINCT patch_id, -(left(patch_id, 3)::INT - 1) * 5760.0::double + 0 AS dx, (right(patch_id, 3)::INT - 2) * 5760.0::double AS dy FROM lp")
+
+
+def ball_spans(spark, sf):
+    """Top cables of all drawn lines with what decides their balls; feet lie up to 80 m above the terrain's foot."""
+    from terralith.plans import place_queries as pl
+
+    cables = net.conductor_spans(drawn(spark, sf).withColumn("foot_z", F.lit(100.0) + F.col("pos") % 40))
+    top = cables.join(F.broadcast(net.top_wires(spark)), ["kind", "wire"])
+    high = lines(spark, sf).select("patch_id", "way_id", tags.is_high_voltage(F.col("kv"), F.col("kind")).alias("hv"))
+    return net.ball_spans(top, pl.triangles(spark, sf), pl.zones(spark, sf).where("zone_m < 900"), high, pl.CELL_M)
+
+
+def g14_ball_modes(spark, sf):
+    """Spans by why they have balls."""
+    found = ball_spans(spark, sf)
+    return found.groupBy("kind", "wire", "in_zone", "spacing").agg(F.count("*").alias("n"), F.round(F.sum("clearance"), 2).alias("clearance"))
+
+
+def g14_marker_balls(spark, sf):
+    balls = net.marker_balls(ball_spans(spark, sf), F.col("spacing"))
+    return balls.groupBy("way_id").agg(F.count("*").alias("balls"), *[F.round(F.sum(c), 2).alias(f"sum_{c}") for c in "xyz"])
+
+
+def _balls_sql() -> str:
+    """CTE bm: top cables with hv, clearance, in_zone and spacing."""
+    from terralith.plans import place_queries as pl
+
+    lifted = LINES_SQL.replace("100.0::double + pos AS foot_z", "100.0::double + pos % 40 AS foot_z")
+    return f"""{lifted}, {pl.TERRAIN_SQL}, {pl.ZONES_SQL},
+    tc AS (SELECT cb.*, coalesce(kv >= 69, cb.kind = 'large') AS hv FROM cb JOIN (SELECT way_id, kv FROM lc) USING (way_id) WHERE (cb.kind, wire) IN (('large', 1), ('medium', 3), ('small', 0))),
+    th AS (SELECT tc.*, t, x1 + (x2 - x1) * t AS px, y1 + (y2 - y1) * t AS py, z1 + (z2 - z1) * t - 4 * sag * t * (1 - t) AS cz FROM tc, (VALUES (0.25::DOUBLE), (0.5), (0.75)) v(t)),
+    {pl.elevation_sql("th", "tz")},
+    cl AS (SELECT way_id, pos, greatest(0, coalesce(max(cz - z), 0)) AS clearance FROM tz GROUP BY ALL),
+    bz AS (SELECT tc.*, clearance, EXISTS (SELECT 1 FROM zn WHERE zn.patch_id = tc.patch_id AND zone_m < 900 AND sqrt(((x1 + x2) / 2 - zx) ** 2 + ((y1 + y2) / 2 - zy) ** 2) <= zone_m) AS in_zone FROM tc JOIN cl USING (way_id, pos)),
+    bm AS (SELECT *, CASE WHEN clearance > 45 THEN 60 WHEN in_zone THEN CASE WHEN hv THEN 30 ELSE 40 END END::DOUBLE AS spacing FROM bz)
+    """
+
+
+def add_ball_queries() -> None:
+    """Their SQL needs the terrain's, whose module needs this one's tables."""
+    base = _balls_sql()
+    add("g14_ball_modes", g14_ball_modes, "SELECT kind, wire, in_zone, spacing, count(*) AS n, round(sum(clearance), 2) AS clearance FROM bm GROUP BY kind, wire, in_zone, spacing", base)
+    add("g14_marker_balls", g14_marker_balls, """
+    , sp AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS span FROM bm WHERE spacing IS NOT NULL), nb AS (SELECT *, greatest(1, round_even(span / spacing, 0))::INT AS balls FROM sp WHERE span > 1e-6),
+    ba AS (SELECT *, (unnest(generate_series(0, balls - 1)) + 0.5::double) / balls AS t FROM nb), se AS (SELECT *, least(floor(t * ns), ns - 1) / ns AS t0 FROM ba),
+    zz AS (
+      SELECT *, z1 + (z2 - z1) * t0 - 4 * sag * t0 * (1 - t0) AS za, z1 + (z2 - z1) * (t0 + 1.0::double / ns) - 4 * sag * (t0 + 1.0::double / ns) * (1 - t0 - 1.0::double / ns) AS zb FROM se
+    )
+    SELECT way_id, count(*) AS balls, round(sum(x1 + (x2 - x1) * t), 2) AS sum_x, round(sum(y1 + (y2 - y1) * t), 2) AS sum_y, round(sum(za + (zb - za) * (t - t0) * ns), 2) AS sum_z FROM zz GROUP BY way_id""", base)
+
+
+def lifts(spark, sf):
+    """Every way as a lift: its points with pylon and foot_z."""
+    u = F.col("user_id")
+    tag = F.when(u % 4 == 0, "gondola").when(u % 4 == 1, "cable_car").when(u % 4 == 2, "chair_lift").otherwise("t-bar")
+    named = points(spark, sf).withColumn("lift", tags.aerialway_class(tag)).withColumn("foot_z", F.lit(100.0) + F.col("pos") * F.col("pos") % 37)
+    return named.select("*", F.col("lift.line_class").alias("line_class"), F.col("lift.pylon").alias("pylon")).drop("lift")
+
+
+LIFTS_SQL = """
+, lf AS (
+  SELECT lw.*, CASE WHEN user_id % 4 < 2 THEN 'cabin' ELSE 'chair' END AS line_class, CASE WHEN user_id % 4 < 2 THEN 'Pylon_AerialCab' ELSE 'Pylon_Aerialway' END AS pylon, 100.0::double + pos * pos % 37 AS foot_z FROM lw
+)"""
+
+
+def p24_aerialway_class(spark, sf):
+    return lifts(spark, sf).where(tags.is_aerialway(F.lit("gondola"))).groupBy("line_class", "pylon").agg(F.count("*").alias("n"))
+
+
+add("p24_aerialway_class", p24_aerialway_class, LIFTS_SQL + "SELECT line_class, pylon, count(*) AS n FROM lf GROUP BY ALL")
+
+
+def w11_pitch(spark, sf):
+    return net.with_pitch(net.placed(lifts(spark, sf))).where("placed").select("way_id", "pos", r4(F.col("pitch_deg")).alias("pitch_deg"))
+
+
+add("w11_pitch", w11_pitch, LIFTS_SQL + """
+, nb AS (
+  SELECT *, lag(placed) OVER w AS pa, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lag(foot_z) OVER w AS az, lead(placed) OVER w AS pb, lead(x) OVER w AS bx, lead(y) OVER w AS by_, lead(foot_z) OVER w AS bz
+  FROM lf WINDOW w AS (PARTITION BY way_id ORDER BY pos)
+), df AS (
+  SELECT way_id, pos, CASE WHEN pb THEN bz ELSE foot_z END - CASE WHEN pa THEN az ELSE foot_z END AS dz,
+    sqrt((CASE WHEN pb THEN bx ELSE x END - CASE WHEN pa THEN ax ELSE x END) ** 2 + (CASE WHEN pb THEN by_ ELSE y END - CASE WHEN pa THEN ay ELSE y END) ** 2) AS run FROM nb WHERE placed
+)
+SELECT way_id, pos, round(CASE WHEN run < 1e-6 THEN 0 ELSE degrees(atan2(dz, run)) END, 4) + 0 AS pitch_deg FROM df""")
+
+
+def w13_g15_carriers(spark, sf):
+    found = net.carriers(lifts(spark, sf))
+    return found.groupBy("way_id", "run_id", "leg").agg(F.count("*").alias("items"), F.max("item").alias("last_item"), *[F.round(F.sum(c), 2).alias(f"sum_{c}") for c in "xyz"])
+
+
+add("w13_g15_carriers", w13_g15_carriers, LIFTS_SQL + """
+, yl AS (SELECT lf.*, radians(raw - 90) AS yaw FROM lf JOIN yw0 USING (way_id, pos)
+), rn AS (SELECT *, sum(CASE WHEN placed AND NOT coalesce(before, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY pos) AS run_id FROM (SELECT *, lag(placed) OVER (PARTITION BY way_id ORDER BY pos) AS before FROM yl)
+), rp AS (SELECT * FROM rn WHERE placed QUALIFY count(*) OVER (PARTITION BY way_id, run_id) > 1
+), lg AS (SELECT *, unnest([0, 1]) AS leg, unnest([1, -1]) * CASE WHEN pylon = 'Pylon_AerialCab' THEN 7.678::double ELSE 2.81 END AS across, CASE WHEN pylon = 'Pylon_AerialCab' THEN 22.589::double ELSE 8.2 END AS up,
+    CASE WHEN pylon = 'Pylon_AerialCab' THEN 77.5::double ELSE 15 END AS spacing, unnest([pos, -pos]) AS nth FROM rp
+), cx AS (SELECT way_id, run_id, leg, nth, spacing, x - across * sin(yaw) AS x, y + across * cos(yaw) AS y, foot_z + up AS z FROM lg
+), cn AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM cx WINDOW w AS (PARTITION BY way_id, run_id, leg ORDER BY nth)
+), cl AS (SELECT *, sqrt((x2 - x) ** 2 + (y2 - y) ** 2 + (z2 - z) ** 2) AS len FROM cn WHERE x2 IS NOT NULL
+), cm AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY way_id, run_id ORDER BY leg, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_m FROM cl WHERE len >= 1e-6
+), it AS (SELECT *, unnest(generate_series(ceil(round(from_m / spacing, 9))::BIGINT, ceil(round((from_m + len) / spacing, 9))::BIGINT - 1)) AS item FROM cm
+), ip AS (SELECT *, (item * spacing - from_m) / len AS t FROM it)
+SELECT way_id, run_id::BIGINT AS run_id, leg, count(*) AS items, max(item) AS last_item, round(sum(x + (x2 - x) * t), 2) AS sum_x, round(sum(y + (y2 - y) * t), 2) AS sum_y, round(sum(z + (z2 - z) * t), 2) AS sum_z
+FROM ip GROUP BY ALL""")

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TAG = "tag array<struct<_k:string,_v:string>>"
-PATCH = r"([0-9]{6})"
+#: The last six digits of their own in a path: a file's name holds its patch, or else its folder's.
+PATCH = r".*[/_=h]([0-9]{6})(?:[/_.]|$)"
 #: Fields of a patch file, by their names without underscores in lower case.
 PATCH_FIELDS = {"zonenumber": "zone_number", "translatex": "translate_x", "translatey": "translate_y", "latmin": "lat_min", "latmax": "lat_max", "lonmin": "lon_min", "lonmax": "lon_max"}
 
 
 def _patch_of_file() -> F.Column:
-    return F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), PATCH, 1)
+    return F.regexp_extract(F.input_file_name(), PATCH, 1)
 
 
 def _tags() -> F.Column:
@@ -85,7 +86,11 @@ def read_side_points(spark: SparkSession, path: str, known: DataFrame, patches:
     """Tagged nodes of a second extract that lie in a patch's box and aren't known yet."""
     nodes, _, _ = read_map_elements(spark, path)
     tagged = nodes.drop("patch_id").where(F.col("tags")[key] == value)
-    inside = tagged.join(F.broadcast(patches.select("patch_id", "lat_min", "lat_max", "lon_min", "lon_max")), F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max")))
+    # Boxes are listed in the cells of a tenth of a degree that they touch.
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) * 10).cast("int"), F.floor(F.col(high) * 10).cast("int")))
+    boxes = patches.select("patch_id", "lat_min", "lat_max", "lon_min", "lon_max", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
+    own = tagged.withColumns({"gy": F.floor(F.col("lat") * 10).cast("int"), "gx": F.floor(F.col("lon") * 10).cast("int")})
+    inside = own.join(boxes, ["gx", "gy"]).where(F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max")))
     return inside.select("patch_id", "node_id", "lat", "lon", "tags").join(known.select("node_id"), "node_id", "left_anti")
 
 

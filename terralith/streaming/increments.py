@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def process_new_patches(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
+def process_new_patches(spark: SparkSession, source: str, schema: str | StructType, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
     """Start a query that reads footprint files below ``source`` as they come, applies ``transform``, and overwrites the patches found in ``target``.
 
     The checkpoint holds which files were done, and a replayed batch overwrites

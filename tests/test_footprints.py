@@ -14,7 +14,7 @@ SCHEMA = "patch_id string, osm_id string, outer array<struct<x:double,y:double>>
 def building(spark, outer, holes=(), **kw):
     row = ("000000", "1", list(outer), [list(h) for h in holes], *(kw.get(k) for k in ("building", "levels", "height", "shape", "direction", "angle")))
     frame = spark.createDataFrame([row], SCHEMA)
-    return fo.classified(fo.attributed(fo.measured(frame)))
+    return pa.textured(fo.classified(fo.attributed(fo.measured(frame))))
 
 
 def one(spark, outer, holes=(), **kw):
