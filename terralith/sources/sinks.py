@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_faces(faces: DataFrame, path: str) -> None:
-    """Faces with at least three corners, a folder per patch, level of detail and group; only what is written is replaced."""
-    faces.where(F.size("corners") >= 3).repartition("patch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patch_id", "lod", "grp").parquet(path)
+def write_faces(faces: DataFrame, path: str, files: int = 8) -> None:
+    """Faces with at least three corners, a folder per patch, level of detail and group; only what is written is replaced.
+
+    A group is written by up to ``files`` tasks, so that a city's patch isn't one task's work.
+    """
+    part = F.pmod(F.xxhash64("corners"), F.lit(files))
+    faces.where(F.size("corners") >= 3).repartition("patch_id", "lod", "grp", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patch_id", "lod", "grp").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
