@@ -47,12 +47,15 @@ def elements(spark, sf):
 add("j1_way_points", lambda s, d: (lambda n, w, r: el.way_points(w.where(F.map_contains_key("tags", F.lit("building"))), n).groupBy("way_id").agg(F.count("*").alias("points"), F.round(F.sum("lon"), 4).alias("sum_lon")))(*elements(s, d)),
     "SELECT rf.osm_id || '/0' AS way_id, count(*) AS points, round(sum(lon), 4) AS sum_lon FROM rf JOIN nd USING (node_id) WHERE rf.ring_no = 0 AND rf.osm_id::BIGINT % 10 <> 9 GROUP BY ALL")
 add("j2_missing_refs", lambda s, d: (lambda n, w, r: el.missing_refs(w, n).select("way_id", "node_id"))(*elements(s, d)),
-    "SELECT rf.osm_id || '/0' AS way_id, node_id FROM rf ANTI JOIN nd USING (node_id) WHERE rf.osm_id::BIGINT % 10 <> 9 UNION ALL SELECT osm_id || '/0a', node_id FROM rf ANTI JOIN nd USING (node_id) WHERE osm_id::BIGINT % 10 = 9")
+    "SELECT rf.osm_id || '/0' AS way_id, node_id FROM rf ANTI JOIN nd USING (node_id) WHERE rf.osm_id::BIGINT % 10 <> 9 UNION ALL SELECT osm_id || '/0a', node_id "
+    "FROM rf ANTI JOIN nd USING (node_id) WHERE osm_id::BIGINT % 10 = 9")
 add("j3_r1_r3_relation_polygons", lambda s, d: (lambda n, w, r: el.relation_polygons(r, w, n).select("rel_id", F.size("holes").cast("bigint").alias("holes"), F.round(rings.area(F.col("outer"), F.col("holes")), 4).alias("area")))(*elements(s, d)),
-    ", sa AS (SELECT osm_id, ring_no, abs(sum(x * y2 - x2 * y) / 2) AS a FROM edges GROUP BY ALL) SELECT 'r' || o.osm_id AS rel_id, 1::BIGINT AS holes, round(o.a - i.a, 4) AS area FROM sa o JOIN sa i ON o.osm_id = i.osm_id AND o.ring_no = 0 AND i.ring_no = 1")
+    ", sa AS (SELECT osm_id, ring_no, abs(sum(x * y2 - x2 * y) / 2) AS a FROM edges GROUP BY ALL) SELECT 'r' || o.osm_id AS rel_id, 1::BIGINT AS holes, round(o.a - i.a, "
+    "4) AS area FROM sa o JOIN sa i ON o.osm_id = i.osm_id AND o.ring_no = 0 AND i.ring_no = 1")
 add("j4_e1_f1_buildings", lambda s, d: (lambda n, w, r: el.buildings(n, w, r).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.size("holes")).cast("bigint").alias("holes")))(*elements(s, d)),
     "SELECT CASE WHEN has_hole THEN 'relation' ELSE 'way' END AS kind, count(*) AS n, sum(CASE WHEN has_hole THEN 1 ELSE 0 END)::BIGINT AS holes FROM fp GROUP BY ALL")
 add("f9_f10_tag_predicates", lambda s, d: (lambda n, w, r: w.where(el.in_tag_query(F.col("tags"))).groupBy(el.is_disused(F.col("tags")).alias("disused")).agg(F.count("*").alias("n")))(*elements(s, d)),
     "SELECT k % 13 = 0 AS disused, count(*) AS n FROM fp WHERE NOT has_hole GROUP BY ALL")
 add("a16_parse_statistics", lambda s, d: (lambda n, w, r: el.parse_statistics(n, w, r).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("buildings").alias("buildings")))(*elements(s, d)),
-    "SELECT 'node' AS kind, count(*) AS n, 0::BIGINT AS buildings FROM nd UNION ALL SELECT 'way', count(*) + 2 * count_if(has_hole)::BIGINT, count_if(NOT has_hole)::BIGINT FROM fp UNION ALL SELECT 'relation', count_if(has_hole)::BIGINT, count_if(has_hole)::BIGINT FROM fp")
+    "SELECT 'node' AS kind, count(*) AS n, 0::BIGINT AS buildings FROM nd UNION ALL SELECT 'way', count(*) + 2 * count_if(has_hole)::BIGINT, "
+    "count_if(NOT has_hole)::BIGINT FROM fp UNION ALL SELECT 'relation', count_if(has_hole)::BIGINT, count_if(has_hole)::BIGINT FROM fp")

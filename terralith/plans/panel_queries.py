@@ -200,7 +200,8 @@ def g8_shared_vertices(spark, sf):
 add("g8_shared_vertices", g8_shared_vertices, """
 , fl AS (SELECT osm_id, ring_no, pos, floors, height_m / floors AS step, unnest(range(floors)) AS floor, x, y, x2, y2 FROM we
 ), cs AS (
-  SELECT osm_id, ring_no, pos, floor, unnest([x, x2, x2, x]) AS x, unnest([y, y2, y2, y]) AS y, unnest([100 + floor * step, 100 + floor * step, 100 + floor * step + step, 100 + floor * step + step]) AS z FROM fl
+  SELECT osm_id, ring_no, pos, floor, unnest([x, x2, x2, x]) AS x, unnest([y, y2, y2, y]) AS y, unnest([100 + floor * step, 100 + floor * step,
+    100 + floor * step + step, 100 + floor * step + step]) AS z FROM fl
 ), rd AS (SELECT osm_id, ring_no, pos, floor, round_even(x, 4) + 0 AS x, round_even(y, 4) + 0 AS y, round_even(z, 4) + 0 AS z FROM cs
 ), vs AS (SELECT *, row_number() OVER (PARTITION BY osm_id ORDER BY x, y, z) AS vertex_id FROM (SELECT DISTINCT osm_id, x, y, z FROM rd)
 ), fs AS (SELECT osm_id, ring_no, pos, floor, x, y, z FROM (SELECT DISTINCT * FROM rd) QUALIFY count(*) OVER (PARTITION BY osm_id, ring_no, pos, floor) >= 3)
@@ -313,7 +314,8 @@ def k2_w14_w15_export_offsets(spark, sf):
 
 add("k2_w14_w15_export_offsets", k2_w14_w15_export_offsets, """
 , g AS (
-  SELECT patch_id, lod, CASE WHEN actual_roof = 'flat' THEN wall_kind WHEN k % 3 = 0 THEN 'wind_turbine_2' WHEN k % 3 = 1 THEN 'transmitter' ELSE 'pylones' END AS grp, count(*) AS n FROM b, (VALUES (0), (1)) l(lod) GROUP BY ALL
+  SELECT patch_id, lod, CASE WHEN actual_roof = 'flat' THEN wall_kind WHEN k % 3 = 0 THEN 'wind_turbine_2' WHEN k % 3 = 1 THEN 'transmitter' ELSE 'pylones' END AS grp,
+    count(*) AS n FROM b, (VALUES (0), (1)) l(lod) GROUP BY ALL
 )
 SELECT *, coalesce(sum(n) OVER (
   PARTITION BY patch_id, lod ORDER BY CASE grp WHEN 'wind_turbine_2' THEN 1 WHEN 'transmitter' THEN 2 WHEN 'pylones' THEN 3 ELSE 0 END, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
@@ -330,7 +332,8 @@ def a24_mesh_quality(spark, sf):
 
 
 add("a24_mesh_quality", a24_mesh_quality, """
-SELECT patch_id, count(*) AS faces, count_if(k % 7 = 0)::BIGINT AS too_few, count_if(k % 5 = 0 AND k % 7 <> 0)::BIGINT AS repeated_corner, count_if(k % 3 = 0)::BIGINT AS untextured FROM we GROUP BY patch_id""")
+SELECT patch_id, count(*) AS faces, count_if(k % 7 = 0)::BIGINT AS too_few, count_if(k % 5 = 0 AND k % 7 <> 0)::BIGINT AS repeated_corner,
+  count_if(k % 3 = 0)::BIGINT AS untextured FROM we GROUP BY patch_id""")
 
 
 def a24_bad_indices(spark, sf):
@@ -354,7 +357,8 @@ def a23_mesh_bounds(spark, sf):
 
 
 add("a23_mesh_bounds", a23_mesh_bounds, """
-SELECT patch_id, round(min(x), 4) AS min_x, round(min(y), 4) AS min_y, 100::DOUBLE AS min_z, round(max(x), 4) AS max_x, round(max(y), 4) AS max_y, round(max(top), 4) AS max_z FROM we GROUP BY patch_id""")
+SELECT patch_id, round(min(x), 4) AS min_x, round(min(y), 4) AS min_y, 100::DOUBLE AS min_z, round(max(x), 4) AS max_x, round(max(y), 4) AS max_y, round(max(top),
+  4) AS max_z FROM we GROUP BY patch_id""")
 
 
 def g17_lods(spark, sf):
@@ -385,5 +389,6 @@ add("p21_textures", p21_textures, """
     CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'plain' THEN 'flat_roof' ELSE 'flat_roof_' || (seed % 6 + 1) END, 'aerialway', 'chimney']) AS grp FROM b
 )
 SELECT patch_id, grp, count(*) AS n, CASE grp WHEN 'aerialway' THEN 'pylones' ELSE grp END AS material, CASE grp WHEN 'houses' THEN 'Houses_Atlas.dds' WHEN 'Highrise_walls' THEN 'Highrise_Atlas.dds'
-  WHEN 'industrial_walls' THEN 'Industrial_Atlas.dds' WHEN 'flat_roof' THEN 't' || patch_id || '.dds' WHEN 'aerialway' THEN 'Pylons.dds' WHEN 'chimney' THEN 'Chimney.dds' ELSE 'Roof' || right(grp, 1) || '.dds' END AS texture
+  WHEN 'industrial_walls' THEN 'Industrial_Atlas.dds' WHEN 'flat_roof' THEN 't' || patch_id || '.dds' WHEN 'aerialway' THEN 'Pylons.dds'
+    WHEN 'chimney' THEN 'Chimney.dds' ELSE 'Roof' || right(grp, 1) || '.dds' END AS texture
 FROM g GROUP BY patch_id, grp""")

@@ -101,8 +101,10 @@ def supports(spark, sf) -> DataFrame:
 
 POINTS_SQL = """
 pt AS (
-  SELECT printf('%03d%03d', (s_suppkey % 25) % 5, (s_suppkey % 25) // 5) AS patch_id, 'p' || s_suppkey AS point_id, s_suppkey AS k, (s_suppkey * 7919) % 6000 - 3000.0::DOUBLE AS px, (s_suppkey * 104729) % 6000 - 3000.0::DOUBLE AS py,
-    CASE s_suppkey % 3 WHEN 0 THEN 'chimney' WHEN 1 THEN 'mast' ELSE 'turbine' END AS kind, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey % 120)::DOUBLE END AS height, CASE WHEN s_suppkey % 5 = 0 THEN 'brick' END AS material
+  SELECT printf('%03d%03d', (s_suppkey % 25) % 5, (s_suppkey % 25) // 5) AS patch_id, 'p' || s_suppkey AS point_id, s_suppkey AS k,
+    (s_suppkey * 7919) % 6000 - 3000.0::DOUBLE AS px, (s_suppkey * 104729) % 6000 - 3000.0::DOUBLE AS py,
+    CASE s_suppkey % 3 WHEN 0 THEN 'chimney' WHEN 1 THEN 'mast' ELSE 'turbine' END AS kind, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey % 120)::DOUBLE END AS height,
+      CASE WHEN s_suppkey % 5 = 0 THEN 'brick' END AS material
   FROM supplier
 )"""
 
@@ -203,7 +205,8 @@ def f5_point_kinds(spark, sf):
 
 add("f5_point_kinds", f5_point_kinds, """
 e AS (SELECT event_id % 7 AS kind, count(*) AS n FROM events GROUP BY ALL)
-SELECT kind, n, CASE WHEN kind = 0 THEN n ELSE 0 END AS chimney, CASE WHEN kind = 1 THEN n ELSE 0 END AS transmitter, CASE WHEN kind = 2 THEN n ELSE 0 END AS turbine, CASE WHEN kind = 4 THEN n ELSE 0 END AS aerodrome,
+SELECT kind, n, CASE WHEN kind = 0 THEN n ELSE 0 END AS chimney, CASE WHEN kind = 1 THEN n ELSE 0 END AS transmitter, CASE WHEN kind = 2 THEN n ELSE 0 END AS turbine,
+  CASE WHEN kind = 4 THEN n ELSE 0 END AS aerodrome,
   CASE WHEN kind = 5 THEN n ELSE 0 END AS runway, CASE WHEN kind = 5 THEN n ELSE 0 END AS disused FROM e""")
 
 
@@ -212,7 +215,10 @@ def j13_quiet_ways(spark, sf):
     return places.quiet_ways(ways, supports(spark, sf).select("patch_id", F.col("px").alias("x"), F.col("py").alias("y"))).select("way_id")
 
 
-_TURNS = "sum(CASE WHEN y <= {py} AND y2 > {py} AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) > 0 THEN 1 WHEN y > {py} AND y2 <= {py} AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) < 0 THEN -1 ELSE 0 END) <> 0"
+_TURNS = (
+    "sum(CASE WHEN y <= {py} AND y2 > {py} AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) > 0 THEN 1 WHEN y > {py} AND y2 <= {py} "
+    "AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) < 0 THEN -1 ELSE 0 END) <> 0"
+)
 add("j13_quiet_ways", j13_quiet_ways, f"""{FOOTPRINTS_SQL}, {POINTS_SQL},
 ct AS (SELECT patch_id, osm_id, osm_id::BIGINT AS k, (sum(x) + max(x) FILTER (pos = 0)) / (count(*) + 1) AS cx, (sum(y) + max(y) FILTER (pos = 0)) / (count(*) + 1) AS cy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rv WHERE ring_no = 0 GROUP BY patch_id, osm_id),
 h1 AS (
@@ -232,7 +238,8 @@ SELECT osm_id AS way_id FROM fr WHERE osm_id NOT IN (SELECT osm_id FROM h2)""")
 
 AIRPORT_SQL = """
 ap AS (
-  SELECT c_custkey AS id, c_mktsegment || c_nationkey AS name, 600.0::DOUBLE + (c_custkey % 30) * 100 AS length_m, CASE c_custkey % 3 WHEN 0 THEN 'aerodrome' WHEN 1 THEN 'runway_disused' ELSE 'runway' END AS source,
+  SELECT c_custkey AS id, c_mktsegment || c_nationkey AS name, 600.0::DOUBLE + (c_custkey % 30) * 100 AS length_m, CASE c_custkey % 3 WHEN 0 THEN 'aerodrome'
+    WHEN 1 THEN 'runway_disused' ELSE 'runway' END AS source,
     CASE c_custkey % 3 WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rk, 40 + (c_custkey % 1000) / 100.0::DOUBLE AS lat, 12 + (c_custkey % 600) / 100.0::DOUBLE AS lon,
     printf('%03d%03d', (c_custkey % 25) % 5, (c_custkey % 25) // 5) AS patch_id
   FROM customer
@@ -277,7 +284,9 @@ def p29_runway_length(spark, sf):
 
 
 add("p29_runway_length", p29_runway_length, AIRPORT_SQL + """,
-ln AS (SELECT id, CASE WHEN id % 4 = 0 THEN (id % 2000)::DOUBLE ELSE sqrt((id % 20 / 1000.0::DOUBLE * 111320.0::DOUBLE * cos(radians((lat + lat + id % 30 / 1000.0::DOUBLE) / 2))) ** 2 + (id % 30 / 1000.0::DOUBLE * 111320.0::DOUBLE) ** 2) END AS m FROM ap)
+ln AS (SELECT id, CASE
+  WHEN id % 4 = 0 THEN (id % 2000)::DOUBLE ELSE sqrt((id % 20 / 1000.0::DOUBLE * 111320.0::DOUBLE * cos(radians((lat + lat + id % 30 / 1000.0::DOUBLE) / 2))) ** 2 + (id % 30 / 1000.0::DOUBLE * 111320.0::DOUBLE) ** 2) END AS m
+  FROM ap)
 SELECT id, round(m, 3) + 0 AS metres, round(m, 3) >= 50 AS usable FROM ln""")
 
 
@@ -318,7 +327,8 @@ add("j15_runway_names", j15_runway_names, AIRPORT_SQL + """,
 rw AS (SELECT id AS runway_id, lat + 0.01 AS lat, lon, CASE WHEN id % 7 = 0 THEN 'ref' END AS ref FROM ap WHERE source <> 'aerodrome'),
 ae AS (SELECT name || '-' || id AS name, lat - 0.02 - id % 5 / 1000.0::DOUBLE AS a0, lat + 0.02 AS a1, lon - 0.02 AS o0, lon + 0.02 AS o1, lat AS cl, lon AS co FROM ap WHERE source = 'aerodrome'),
 mt AS (
-  SELECT runway_id, ref, name, lat BETWEEN a0 AND a1 AND lon BETWEEN o0 AND o1 AS inside, (a1 - a0) * (o1 - o0) AS box, sqrt(((lon - co) * 111320.0::DOUBLE * cos(radians((lat + cl) / 2))) ** 2 + ((lat - cl) * 111320.0::DOUBLE) ** 2) AS m
+  SELECT runway_id, ref, name, lat BETWEEN a0 AND a1 AND lon BETWEEN o0 AND o1 AS inside, (a1 - a0) * (o1 - o0) AS box,
+    sqrt(((lon - co) * 111320.0::DOUBLE * cos(radians((lat + cl) / 2))) ** 2 + ((lat - cl) * 111320.0::DOUBLE) ** 2) AS m
   FROM rw LEFT JOIN ae ON abs(lat - cl) < 0.2 AND abs(lon - co) < 0.2
 )
 SELECT runway_id, coalesce(arg_min(name, (box, name)) FILTER (inside), arg_min(name, (m, name)) FILTER (m <= 5000), ref, 'airport') AS name FROM mt GROUP BY runway_id, ref""")
@@ -377,7 +387,8 @@ def a21_merged_boxes(spark, sf):
 
 
 add("a21_merged_boxes", a21_merged_boxes, """
-sp AS (SELECT printf('%03d', s_suppkey % 1000) AS col, 40.005::DOUBLE + s_suppkey * 10 % 1000 / 100.0::DOUBLE AS a, 12.005::DOUBLE + s_suppkey * 10 % 600 / 100.0::DOUBLE AS o FROM supplier), ls AS (SELECT *, unnest([left(col, 1), 'all']) AS landscape FROM sp)
+sp AS (SELECT printf('%03d', s_suppkey % 1000) AS col, 40.005::DOUBLE + s_suppkey * 10 % 1000 / 100.0::DOUBLE AS a,
+  12.005::DOUBLE + s_suppkey * 10 % 600 / 100.0::DOUBLE AS o FROM supplier), ls AS (SELECT *, unnest([left(col, 1), 'all']) AS landscape FROM sp)
 SELECT landscape, round(min(a - 0.03), 6) AS lat_min, round(max(a + 0.03), 6) AS lat_max, round(min(o - 0.05), 6) AS lon_min, round(max(o + 0.05), 6) AS lon_max FROM ls GROUP BY landscape""")
 
 
@@ -423,7 +434,8 @@ def e2_merged_sources(spark, sf):
 
 add("e2_merged_sources", e2_merged_sources, OVERLAPS_SQL + """,
 ad AS (SELECT patch_id, osm_id FROM mb WHERE osm_id NOT IN (SELECT mid FROM hit))
-SELECT patch_id, 'base' AS source, count(*) AS n, min(osm_id::BIGINT) AS least_id, count(*) AS ids FROM bx GROUP BY patch_id UNION ALL SELECT patch_id, 'ml', count(*), -count(*), count(*) FROM ad GROUP BY patch_id""")
+SELECT patch_id, 'base' AS source, count(*) AS n, min(osm_id::BIGINT) AS least_id, count(*) AS ids FROM bx GROUP BY patch_id UNION ALL SELECT patch_id, 'ml', count(*),
+  -count(*), count(*) FROM ad GROUP BY patch_id""")
 
 
 def j18_tiles_needed(spark, sf):

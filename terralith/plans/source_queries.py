@@ -154,7 +154,8 @@ def s6_airports(spark, sf):
 
 
 add("s6_airports", s6_airports, pl.AIRPORT_SQL + """,
-l AS (SELECT name, CASE WHEN source = 'aerodrome' THEN 1500 ELSE length_m END::DOUBLE AS length_m, source FROM ap WHERE length_m >= 50 QUALIFY row_number() OVER (PARTITION BY name ORDER BY source = 'aerodrome', source <> 'runway', length_m DESC) = 1)
+l AS (SELECT name, CASE WHEN source = 'aerodrome' THEN 1500 ELSE length_m END::DOUBLE AS length_m, source FROM ap
+  WHERE length_m >= 50 QUALIFY row_number() OVER (PARTITION BY name ORDER BY source = 'aerodrome', source <> 'runway', length_m DESC) = 1)
 SELECT name, length_m, 45::DOUBLE AS lat, round(length_m / 100, 6) AS lon, source, length_m / 2 + 458 AS zone_m FROM l""")
 
 
@@ -169,7 +170,8 @@ def s7_side_points(spark, sf):
 
 
 add("s7_side_points", s7_side_points, """
-sp AS (SELECT printf('%03d%03d', s_suppkey % 1000, s_suppkey // 1000) AS patch_id, 40.005::DOUBLE + s_suppkey * 10 % 1000 / 100.0::DOUBLE AS a, 12.005::DOUBLE + s_suppkey * 10 % 600 / 100.0::DOUBLE AS o FROM supplier),
+sp AS (SELECT printf('%03d%03d', s_suppkey % 1000, s_suppkey // 1000) AS patch_id, 40.005::DOUBLE + s_suppkey * 10 % 1000 / 100.0::DOUBLE AS a,
+  12.005::DOUBLE + s_suppkey * 10 % 600 / 100.0::DOUBLE AS o FROM supplier),
 st AS (SELECT c_custkey::VARCHAR AS node_id, 40 + (c_custkey % 1000) / 100.0::DOUBLE AS lat, 12 + (c_custkey % 600) / 100.0::DOUBLE AS lon FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0)
 SELECT patch_id, node_id FROM st JOIN sp ON lat BETWEEN a - 0.03 AND a + 0.03 AND lon BETWEEN o - 0.05 AND o + 0.05""")
 
@@ -202,7 +204,8 @@ def k1_written_faces(spark, sf):
 
 
 add("k1_written_faces", k1_written_faces, WALLS_SQL + """
-SELECT patch_id, 0 AS lod, CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'highrise' THEN 'Highrise_walls' ELSE 'industrial_walls' END AS grp, count(*) AS n FROM we WHERE osm_id::BIGINT % 6 <> 0 GROUP BY ALL""")
+SELECT patch_id, 0 AS lod, CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'highrise' THEN 'Highrise_walls' ELSE 'industrial_walls' END AS grp,
+  count(*) AS n FROM we WHERE osm_id::BIGINT % 6 <> 0 GROUP BY ALL""")
 
 
 def k3_r5_written_report(spark, sf):
@@ -231,7 +234,8 @@ def k4_run_log(spark, sf):
 
 
 add("k4_run_log", k4_run_log, """
-p AS (SELECT printf('%03d%03d', (o_custkey % 25) % 5, (o_custkey % 25) // 5) AS patch_id, count(*) AS n FROM orders GROUP BY ALL) SELECT patch_id, 2::BIGINT AS runs, 2 * n AS buildings, 2::BIGINT AS times FROM p""")
+p AS (SELECT printf('%03d%03d', (o_custkey % 25) % 5, (o_custkey % 25) // 5) AS patch_id, count(*) AS n FROM orders GROUP BY ALL) SELECT patch_id, 2::BIGINT AS runs,
+  2 * n AS buildings, 2::BIGINT AS times FROM p""")
 
 
 def x1_new_patches(spark, sf):
