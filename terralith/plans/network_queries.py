@@ -57,7 +57,8 @@ def add(name: str, query, sql: str | None = None, base: str = LINES_SQL) -> None
 def points(spark, sf):
     from pyspark.sql import Window
 
-    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type").withColumn("pos", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type").withColumn("pos",
+        (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
     u, e = F.col("user_id"), F.col("event_id")
     xy = ev.select(
         F.format_string("%03d%03d", (u % 5).cast("int"), (F.floor(u / 5) % 5).cast("int")).alias("patch_id"), F.concat(F.lit("w"), u.cast("string")).alias("way_id"), "user_id", "pos",
@@ -89,13 +90,16 @@ r4 = lambda c: F.round(c, 4) + F.lit(0.0)
 add("p22_voltage", lambda s, d: lines(s, d).select("way_id", F.round("kv", 6).alias("kv")), "SELECT way_id, round(kv, 6) AS kv FROM lk")
 add("p23_line_class", lambda s, d: lines(s, d).groupBy("power", "kind").agg(F.count("*").alias("n")), "SELECT power, kind, count(*) AS n FROM lc GROUP BY ALL")
 add("p25_high_voltage", lambda s, d: lines(s, d).select("way_id", tags.is_high_voltage(F.col("kv"), F.col("kind")).alias("hv")), "SELECT way_id, coalesce(kv >= 69, kind = 'large') AS hv FROM lc")
-add("f4_drawable_line", lambda s, d: lines(s, d).where(tags.is_drawable(F.col("power"), F.col("kv"))).groupBy("power").agg(F.count("*").alias("n")), "SELECT power, count(*) AS n FROM lc WHERE power IN ('line', 'minor_line') AND coalesce(kv >= 1, TRUE) GROUP BY ALL")
+add("f4_drawable_line", lambda s, d: lines(s, d).where(tags.is_drawable(F.col("power"), F.col("kv"))).groupBy("power").agg(F.count("*").alias("n")),
+    "SELECT power, count(*) AS n FROM lc WHERE power IN ('line', 'minor_line') AND coalesce(kv >= 1, TRUE) GROUP BY ALL")
 add("f6_in_patch", lambda s, d: points(s, d).groupBy("patch_id", "in_patch").agg(F.count("*").alias("n")), "SELECT patch_id, in_patch, count(*) AS n FROM lp GROUP BY ALL")
-add("f7_usable_line", lambda s, d: points(s, d).groupBy("patch_id", "way_id").agg(F.count("*").alias("points")).where("points >= 2"), "SELECT patch_id, way_id, count(*) AS points FROM lp GROUP BY ALL HAVING count(*) >= 2")
+add("f7_usable_line", lambda s, d: points(s, d).groupBy("patch_id", "way_id").agg(F.count("*").alias("points")).where("points >= 2"),
+    "SELECT patch_id, way_id, count(*) AS points FROM lp GROUP BY ALL HAVING count(*) >= 2")
 add("j5_supports", lambda s, d: points(s, d).where("is_support").groupBy("way_id").agg(F.count("*").alias("supports")), "SELECT way_id, count(*) AS supports FROM lp WHERE is_support GROUP BY ALL")
 add("w5_spans", lambda s, d: net.spans(points(s, d)).select("way_id", "pos", F.round("span_m", 6).alias("span_m")), "SELECT way_id, pos, round(span_m, 6) AS span_m FROM ls")
 add("w6_w8_line_statistics", lambda s, d: net.line_statistics(points(s, d)), "SELECT * FROM st")
-add("w7_runs", lambda s, d: net.runs(points(s, d)).where("run_id IS NOT NULL").groupBy("way_id", "run_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")), "SELECT way_id, run_id::BIGINT AS run_id, "
+add("w7_runs", lambda s, d: net.runs(points(s, d)).where("run_id IS NOT NULL").groupBy("way_id", "run_id")
+    .agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")), "SELECT way_id, run_id::BIGINT AS run_id, "
 "min(pos) AS first_pos, max(pos) AS last_pos FROM ls WHERE run_id IS NOT NULL GROUP BY ALL")
 add("w9_placed", lambda s, d: net.placed(points(s, d)).select("way_id", "pos", "placed"), "SELECT way_id, pos, placed FROM lw")
 add("w10_yaw", lambda s, d: net.with_yaw(points(s, d)).select("way_id", "pos", r4(F.col("yaw_deg")).alias("yaw_deg")), "SELECT way_id, pos, round(yaw_deg, 4) + 0 AS yaw_deg FROM yw")
@@ -103,7 +107,8 @@ add("w12_placed_runs", lambda s, d: net.placed_runs(points(s, d)).select("way_id
     ", q AS (SELECT *, sum(CASE WHEN placed AND NOT coalesce(lag_placed, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY way_id ORDER BY pos) AS r FROM (SELECT *, "
     "lag(placed) OVER (PARTITION BY way_id ORDER BY pos) AS lag_placed FROM lw)) SELECT way_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS points FROM q "
     "WHERE placed GROUP BY way_id, r HAVING count(*) >= 2")
-add("w13_g15_equal_spacing", lambda s, d: net.equally_spaced(points(s, d), 77.5).groupBy("way_id").agg(F.count("*").alias("items"), F.max("item").alias("last_item"), F.round(F.sum("x"), 2).alias("sum_x")),
+add("w13_g15_equal_spacing", lambda s, d: net.equally_spaced(points(s, d), 77.5).groupBy("way_id")
+    .agg(F.count("*").alias("items"), F.max("item").alias("last_item"), F.round(F.sum("x"), 2).alias("sum_x")),
     ", cu AS (SELECT *, coalesce(sum(span_m) OVER (PARTITION BY way_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_m FROM ls), "
     "it AS (SELECT *, unnest(generate_series(ceil(round(from_m / 77.5, 9))::BIGINT, ceil(round((from_m + span_m) / 77.5, 9))::BIGINT - 1)) AS item FROM cu "
     "WHERE span_m > 1e-6) SELECT way_id, count(*) AS items, max(item) AS last_item, round(sum(x + (xb - x) * (item * 77.5 - from_m) / span_m), 2) AS sum_x FROM it "
@@ -111,13 +116,19 @@ add("w13_g15_equal_spacing", lambda s, d: net.equally_spaced(points(s, d), 77.5)
 add("a17_class_statistics", lambda s, d: net.class_statistics(net.line_statistics(points(s, d)).join(lines(s, d), ["patch_id", "way_id"])),
     "SELECT kind, count(*) AS lines, sum(supports)::BIGINT AS supports, count_if(status = 'inside')::BIGINT AS inside, count_if(status = 'outside')::BIGINT AS outside, "
     "count_if(status = 'crossing')::BIGINT AS crossing, count_if(runs > 1)::BIGINT AS multi_run FROM st JOIN lc USING (way_id) GROUP BY ALL")
-add("t1_line_report", lambda s, d: net.line_statistics(points(s, d)).select("way_id", "runs", "points").orderBy(F.desc("runs"), F.desc("points"), "way_id"), "SELECT way_id, runs, points FROM st ORDER BY runs DESC, points DESC, way_id")
-add("g12_conductors", lambda s, d: net.conductor_spans(drawn(s, d)).select("way_id", "pos", "wire", *[r4(F.col(c)).alias(c) for c in ("x1", "y1", "z1", "x2", "y2", "z2")]), "SELECT way_id, pos, wire, " + ", ".join(f"round({c}, 4) + 0 AS {c}" for c in ("x1", "y1", "z1", "x2", "y2", "z2")) + " FROM cb")
+add("t1_line_report", lambda s, d: net.line_statistics(points(s, d)).select("way_id", "runs", "points").orderBy(F.desc("runs"), F.desc("points"), "way_id"),
+    "SELECT way_id, runs, points FROM st ORDER BY runs DESC, points DESC, way_id")
+add("g12_conductors", lambda s, d: net.conductor_spans(drawn(s, d))
+    .select("way_id", "pos", "wire", *[r4(F.col(c)).alias(c) for c in ("x1", "y1", "z1", "x2", "y2", "z2")]), "SELECT way_id, pos, wire, " + ", "
+    .join(f"round({c}, 4) + 0 AS {c}" for c in ("x1", "y1", "z1", "x2", "y2", "z2")) + " FROM cb")
 add("g13_cable_samples", lambda s, d: net.cable_samples(net.conductor_spans(drawn(s, d))).groupBy("way_id", "wire").agg(F.count("*").alias("n"), F.round(F.sum("z"), 3).alias("sum_z")),
     ", sa AS (SELECT *, unnest(generate_series(0, ns)) / ns::double AS t FROM cb) SELECT way_id, wire, count(*) AS n, "
     "round(sum(z1 + (z2 - z1) * t - 4 * sag * t * (1 - t)), 3) AS sum_z FROM sa GROUP BY ALL")
-add("a18_placement_statistics", lambda s, d: net.conductor_spans(drawn(s, d)).groupBy("kind").agg(F.count("*").alias("cables"), F.countDistinct("way_id", "pos").alias("spans")), "SELECT kind, count(*) AS cables, count(DISTINCT (way_id, pos)) AS spans FROM cb GROUP BY ALL")
-add("g11_towers", lambda s, d: net.with_yaw(net.placed(drawn(s, d))).where("placed").select("way_id", "pos", "kind", "foot_z", r4(F.col("yaw_deg")).alias("yaw_deg")), "SELECT way_id, pos, kind, foot_z, round(yaw_deg, "
+add("a18_placement_statistics", lambda s, d: net.conductor_spans(drawn(s, d)).groupBy("kind")
+    .agg(F.count("*").alias("cables"), F.countDistinct("way_id", "pos").alias("spans")),
+    "SELECT kind, count(*) AS cables, count(DISTINCT (way_id, pos)) AS spans FROM cb GROUP BY ALL")
+add("g11_towers", lambda s, d: net.with_yaw(net.placed(drawn(s, d))).where("placed")
+    .select("way_id", "pos", "kind", "foot_z", r4(F.col("yaw_deg")).alias("yaw_deg")), "SELECT way_id, pos, kind, foot_z, round(yaw_deg, "
 "4) + 0 AS yaw_deg FROM yw JOIN lc USING (way_id) WHERE placed AND power IN ('line', 'minor_line') AND coalesce(kv >= 1, TRUE)")
 
 
@@ -127,29 +138,37 @@ def sites(spark, sf):
 
 
 _E, _P = geo.ECC2, geo.ECC2 / (1 - geo.ECC2)
-add("p1_project_utm", lambda s, d: sites(s, d).withColumn("p", geo.project_utm(F.col("lat"), F.col("lon"), F.lit(33), F.lit(0.0), F.lit(0.0))).select("id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y")),
+add("p1_project_utm", lambda s, d: sites(s, d).withColumn("p", geo.project_utm(F.col("lat"), F.col("lon"), F.lit(33), F.lit(0.0), F.lit(0.0)))
+    .select("id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y")),
     f""", a AS (SELECT *, radians(lat) AS f, radians(lon - 15) AS l FROM site), b AS (SELECT *, {geo.RADIUS} / sqrt(1 - {_E} * sin(f) * sin(f)) AS n, tan(f) * tan(f) AS t, {_P} * cos(f) * cos(f) AS c, cos(f) * l AS q, {geo.RADIUS} * ({1 - _E / 4 - 3 * _E**2 / 64 - 5 * _E**3 / 256!r} * f - {3 * _E / 8 + 3 * _E**2 / 32 + 45 * _E**3 / 1024!r} * sin(2 * f) + {15 * _E**2 / 256 + 45 * _E**3 / 1024!r} * sin(4 * f) - {35 * _E**3 / 3072!r} * sin(6 * f)) AS m FROM a)
     SELECT id, round(0.9996 * n * (q + (1 - t + c) * q ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_P!r}) * q ** 5 / 120) + 500000, 3) AS x, round(0.9996 * (m + n * tan(f) * (q * q / 2 + (5 - t + 9 * c + 4 * c * c) * q ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_P!r}) * q ** 6 / 720)), 3) AS y FROM b""", SITES_SQL)
 add("p27_quadkey", lambda s, d: sites(s, d).select("id", geo.quadkey(F.col("lat"), F.col("lon")).alias("quadkey")),
     ", t AS (SELECT id, floor((lon + 180) / 360 * 512)::BIGINT AS tx, "
-    "floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 512)::BIGINT AS ty FROM site) SELECT id, " + " || ".join(f"(((tx >> {i}) & 1) + 2 * ((ty >> {i}) & 1))::VARCHAR" for i in range(8, -1, -1)) + " AS quadkey FROM t", SITES_SQL)
+    "floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 512)::BIGINT AS ty FROM site) SELECT id, " + " || "
+        .join(f"(((tx >> {i}) & 1) + 2 * ((ty >> {i}) & 1))::VARCHAR" for i in range(8, -1, -1)) + " AS quadkey FROM t", SITES_SQL)
 add("p28_distance", lambda s, d: sites(s, d).select("id", F.round(geo.distance_m(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(15.0)), 3).alias("metres")),
     "SELECT id, round(sqrt(((lon - 15) * 111320.0::double * cos(radians((lat + 45) / 2))) ** 2 + ((lat - 45) * 111320.0::double) ** 2), 3) AS metres FROM site", SITES_SQL)
 add("p31_box_error", lambda s, d: sites(s, d).select("id", geo.box_error(F.col("lat") - F.col("id") % 7 / 10.0, F.col("lat"), F.col("lon") - F.col("id") % 5 / 10.0, F.col("lon")).alias("error")),
     "SELECT id, CASE WHEN id % 7 = 0 THEN 'lat_min must be less than lat_max' WHEN id % 5 = 0 THEN 'lon_min must be less than lon_max' "
     "WHEN (lat - (lat - id % 7 / 10.0::double)) * (lon - (lon - id % 5 / 10.0::double)) > 0.25 THEN 'Bounding box too large' ELSE '' END AS error FROM site", SITES_SQL)
-add("p30_centre_span", lambda s, d: sites(s, d).withColumn("c", geo.centre_span(F.col("lat"), F.col("lat") + 0.5, F.col("lon"), F.col("lon") + 0.25)).select("id", *[F.round(f"c.{n}", 9).alias(n) for n in ("lat", "lon", "lat_span", "lon_span")]),
+add("p30_centre_span", lambda s, d: sites(s, d).withColumn("c", geo.centre_span(F.col("lat"), F.col("lat") + 0.5, F.col("lon"), F.col("lon") + 0.25))
+    .select("id", *[F.round(f"c.{n}", 9).alias(n) for n in ("lat", "lon", "lat_span", "lon_span")]),
     "SELECT id, round((lat + lat + 0.5) / 2, 9) AS lat, round((lon + lon + 0.25) / 2, 9) AS lon, 0.5::double AS lat_span, 0.25::double AS lon_span FROM site", SITES_SQL)
-add("p32_wall_u_range", lambda s, d: sites(s, d).withColumn("u", geo.wall_u_range(F.col("id") % 400 / 10.0)).select("id", F.round("u.u0", 9).alias("u0"), F.round("u.u1", 9).alias("u1")), "SELECT id, round(1.0::double / 3, 9) AS u0, "
+add("p32_wall_u_range", lambda s, d: sites(s, d).withColumn("u", geo.wall_u_range(F.col("id") % 400 / 10.0))
+    .select("id", F.round("u.u0", 9).alias("u0"), F.round("u.u1", 9).alias("u1")), "SELECT id, round(1.0::double / 3, 9) AS u0, "
 "round(1.0::double / 3 + greatest(1, ceil(round((id % 400) / 10.0::double / 3, 9))) / 3, 9) AS u1 FROM site", SITES_SQL)
-add("p33_v_ranges", lambda s, d: sites(s, d).withColumns({"r": geo.roof_v_range(F.col("id") % 6), "f": geo.facade_v_range(F.col("id") % 12, F.lit(1)), "g": geo.highrise_v_range(F.col("id") % 12)}).select("id", *[F.round(f"{a}.{b}", 9).alias(f"{a}_{b}") for a in "rfg" for b in ("v0", "v1")]),
+add("p33_v_ranges", lambda s, d: sites(s, d).withColumns({"r": geo.roof_v_range(F.col("id") % 6), "f": geo.facade_v_range(F.col("id") % 12, F.lit(1)),
+    "g": geo.highrise_v_range(F.col("id") % 12)}).select("id", *[F.round(f"{a}.{b}", 9).alias(f"{a}_{b}") for a in "rfg" for b in ("v0", "v1")]),
     "SELECT id, round(1 - (id % 6 + 1) / 24.0::double, 9) AS r_v0, round(1 - (id % 6) / 24.0::double, 9) AS r_v1, "
     "round(0.75 - (id % 12) / 16.0::double - 2 / 48.0::double, 9) AS f_v0, round(0.75 - (id % 12) / 16.0::double - 1 / 48.0::double, 9) AS f_v1, "
     "round(1 - (id % 12 + 1) / 12.0::double, 9) AS g_v0, round(1 - (id % 12) / 12.0::double, 9) AS g_v1 FROM site", SITES_SQL)
-add("p34_uv", lambda s, d: points(s, d).withColumns({"o": geo.orthophoto_uv(F.col("x"), F.col("y")), "a": geo.aligned_uv(F.col("x"), F.col("y"), F.lit(10.0), F.lit(20.0), F.lit(30.0))}).select("way_id", "pos", *[r4(F.col(c)).alias(n) for c, n in (("o.u", "u"), ("o.v", "v"), ("a.u", "au"), ("a.v", "av"))]),
+add("p34_uv", lambda s, d: points(s, d).withColumns({"o": geo.orthophoto_uv(F.col("x"), F.col("y")),
+    "a": geo.aligned_uv(F.col("x"), F.col("y"), F.lit(10.0), F.lit(20.0), F.lit(30.0))})
+    .select("way_id", "pos", *[r4(F.col(c)).alias(n) for c, n in (("o.u", "u"), ("o.v", "v"), ("a.u", "au"), ("a.v", "av"))]),
     "SELECT way_id, pos, round((x + 2880) / 5760, 4) + 0 AS u, round((y + 2880) / 5760, 4) + 0 AS v, round(((x - 10) * cos(radians(-30)) - (y - 20) * sin(radians(-30))), "
     "4) + 0 AS au, round(((x - 10) * sin(radians(-30)) + (y - 20) * cos(radians(-30))), 4) + 0 AS av FROM lp")
-add("g16_mosaic_offset", lambda s, d: lines(s, d).select("patch_id").distinct().withColumn("o", geo.mosaic_offset(F.col("patch_id"), 1, 2)).select("patch_id", "o.dx", "o.dy"), "SELECT DISTINCT patch_id, -(left(patch_id, "
+add("g16_mosaic_offset", lambda s, d: lines(s, d).select("patch_id").distinct().withColumn("o", geo.mosaic_offset(F.col("patch_id"), 1, 2))
+    .select("patch_id", "o.dx", "o.dy"), "SELECT DISTINCT patch_id, -(left(patch_id, "
 "3)::INT - 1) * 5760.0::double + 0 AS dx, (right(patch_id, 3)::INT - 2) * 5760.0::double AS dy FROM lp")
 
 

@@ -125,7 +125,8 @@ def g5_gabled_roofs(spark, sf):
 
 def _slope_sql(side: str) -> str:
     l, w = f"{side}hl", f"-({side}reach)"
-    return turned_sql(f"CASE WHEN '{side}' = '' THEN 1 ELSE 2 END", [(f"-({l})", w, "eave", "0", "v0"), (l, w, "eave", "2 * hl / reach", "v0"), (l, "0", "ridge", "2 * hl / reach", "v1"), (f"-({l})", "0", "ridge", "0", "v1")])
+    return turned_sql(f"CASE WHEN '{side}' = '' THEN 1 ELSE 2 END",
+        [(f"-({l})", w, "eave", "0", "v0"), (l, w, "eave", "2 * hl / reach", "v0"), (l, "0", "ridge", "2 * hl / reach", "v1"), (f"-({l})", "0", "ridge", "0", "v1")])
 
 
 GABLED_SQL = f"""

@@ -94,8 +94,10 @@ def supports(spark, sf) -> DataFrame:
     """Chimneys, masts and turbines: a supplier each, in all patches and up to 120 m beyond their borders."""
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select(
-        patch_name(k % 25).alias("patch_id"), F.concat(F.lit("p"), k.cast("string")).alias("point_id"), ((k * 7919) % 6000 - 3000).cast("double").alias("px"), ((k * 104729) % 6000 - 3000).cast("double").alias("py"),
-        F.when(k % 3 == 0, "chimney").when(k % 3 == 1, "mast").otherwise("turbine").alias("kind"), F.when(k % 4 != 0, (k % 120).cast("double")).alias("height"), F.when(k % 5 == 0, "brick").alias("material"),
+        patch_name(k % 25).alias("patch_id"), F.concat(F.lit("p"), k.cast("string")).alias("point_id"), ((k * 7919) % 6000 - 3000).cast("double").alias("px"),
+            ((k * 104729) % 6000 - 3000).cast("double").alias("py"),
+        F.when(k % 3 == 0, "chimney").when(k % 3 == 1, "mast").otherwise("turbine").alias("kind"), F.when(k % 4 != 0, (k % 120).cast("double")).alias("height"), F
+            .when(k % 5 == 0, "brick").alias("material"),
     )
 
 
@@ -249,7 +251,8 @@ ap AS (
 def airports(spark, sf) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf, "customer").select(
-        k.alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"), (F.lit(600.0) + k % 30 * 100).alias("length_m"), F.when(k % 3 == 0, "aerodrome").when(k % 3 == 1, "runway_disused").otherwise("runway").alias("source"),
+        k.alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"), (F.lit(600.0) + k % 30 * 100).alias("length_m"), F
+            .when(k % 3 == 0, "aerodrome").when(k % 3 == 1, "runway_disused").otherwise("runway").alias("source"),
         (F.lit(40.0) + k % 1000 / 100.0).alias("lat"), (F.lit(12.0) + k % 600 / 100.0).alias("lon"), patch_name(k % 25).alias("patch_id"),
     )
 
@@ -312,13 +315,15 @@ def j14_spans_in_zones(spark, sf):
     return places.in_any_zone(middles, zones(spark, sf).where("zone_m < 900")).select("point_id")
 
 
-add("j14_spans_in_zones", j14_spans_in_zones, f"{POINTS_SQL}, {ZONES_SQL} SELECT point_id FROM pt WHERE EXISTS (SELECT 1 FROM zn WHERE zn.patch_id = pt.patch_id AND zone_m < 900 AND sqrt((px - zx) ** 2 + (py - zy) ** 2) <= zone_m)")
+add("j14_spans_in_zones", j14_spans_in_zones,
+    f"{POINTS_SQL}, {ZONES_SQL} SELECT point_id FROM pt WHERE EXISTS (SELECT 1 FROM zn WHERE zn.patch_id = pt.patch_id AND zone_m < 900 AND sqrt((px - zx) ** 2 + (py - zy) ** 2) <= zone_m)")
 
 
 def j15_runway_names(spark, sf):
     every, k = airports(spark, sf), F.col("id")
     runways = every.where("source <> 'aerodrome'").select(k.alias("runway_id"), (F.col("lat") + 0.01).alias("lat"), "lon", F.when(k % 7 == 0, "ref").alias("ref"))
-    box = {"lat_min": F.col("lat") - 0.02 - k % 5 / 1000.0, "lat_max": F.col("lat") + 0.02, "lon_min": F.col("lon") - 0.02, "lon_max": F.col("lon") + 0.02, "c_lat": F.col("lat"), "c_lon": F.col("lon")}
+    box = {"lat_min": F.col("lat") - 0.02 - k % 5 / 1000.0, "lat_max": F.col("lat") + 0.02, "lon_min": F.col("lon") - 0.02, "lon_max": F.col("lon") + 0.02,
+        "c_lat": F.col("lat"), "c_lon": F.col("lon")}
     aerodromes = every.where("source = 'aerodrome'").select(F.concat("name", F.lit("-"), k.cast("string")).alias("name"), *[c.alias(n) for n, c in box.items()])
     return places.runway_names(runways, aerodromes)
 
@@ -347,7 +352,8 @@ SELECT patch_id, id, priority FROM pr QUALIFY dense_rank() OVER (PARTITION BY pa
 def projected_patches(spark, sf) -> DataFrame:
     """A patch around each supplier's site: its zone, box and the offsets that put its centre at the origin."""
     k = F.col("s_suppkey")
-    site = table(spark, sf, "supplier").select(F.format_string("%03d%03d", (k % 1000).cast("int"), F.floor(k / 1000).cast("int")).alias("patch_id"), (F.lit(40.005) + k * 10 % 1000 / 100.0).alias("c_lat"), (F.lit(12.005) + k * 10 % 600 / 100.0).alias("c_lon"))
+    site = table(spark, sf, "supplier").select(F.format_string("%03d%03d", (k % 1000).cast("int"), F.floor(k / 1000).cast("int")).alias("patch_id"),
+        (F.lit(40.005) + k * 10 % 1000 / 100.0).alias("c_lat"), (F.lit(12.005) + k * 10 % 600 / 100.0).alias("c_lon"))
     centre = site.withColumn("c", geo.project_utm(F.col("c_lat"), F.col("c_lon"), F.lit(33), F.lit(0.0), F.lit(0.0)))
     box = {"lat_min": F.col("c_lat") - 0.03, "lat_max": F.col("c_lat") + 0.03, "lon_min": F.col("c_lon") - 0.05, "lon_max": F.col("c_lon") + 0.05}
     return centre.select("patch_id", F.lit(33).alias("zone"), (-F.col("c.x")).alias("tx"), (-F.col("c.y")).alias("ty"), *[c.alias(n) for n, c in box.items()])
@@ -406,7 +412,8 @@ def j12_overlaps(spark, sf):
 def _second_sql() -> str:
     """The CTEs of the second source under names that begin with m."""
     sql = ML_SQL
-    for old, new in (("base0", "mbase0"), ("base AS", "mbase AS"), ("FROM base)", "FROM mbase)"), ("FROM base ", "FROM mbase "), ("fp AS", "mfp AS"), ("FROM fp", "FROM mfp"), ("rv0", "mrv0"), ("rv AS", "mrv AS"), ("FROM rv", "FROM mrv"), ("edges AS", "medges AS")):
+    for old, new in (("base0", "mbase0"), ("base AS", "mbase AS"), ("FROM base)", "FROM mbase)"), ("FROM base ", "FROM mbase "), ("fp AS", "mfp AS"),
+        ("FROM fp", "FROM mfp"), ("rv0", "mrv0"), ("rv AS", "mrv AS"), ("FROM rv", "FROM mrv"), ("edges AS", "medges AS")):
         sql = sql.replace(old, new)
     return sql
 
@@ -441,7 +448,8 @@ SELECT patch_id, 'base' AS source, count(*) AS n, min(osm_id::BIGINT) AS least_i
 def j18_tiles_needed(spark, sf):
     """A box for each customer's site; the index has the tiles of every third site."""
     every = airports(spark, sf)
-    boxes = every.select(F.format_string("%06d", "id").alias("patch_id"), F.col("lat").alias("lat_min"), (F.col("lat") + 0.5).alias("lat_max"), F.col("lon").alias("lon_min"), (F.col("lon") + 0.7).alias("lon_max"))
+    boxes = every.select(F.format_string("%06d", "id").alias("patch_id"), F.col("lat").alias("lat_min"), (F.col("lat") + 0.5).alias("lat_max"),
+        F.col("lon").alias("lon_min"), (F.col("lon") + 0.7).alias("lon_max"))
     index = every.where("id % 3 = 0").groupBy(geo.quadkey(F.col("lat"), F.col("lon")).alias("quadkey")).agg(F.sort_array(F.collect_set("source")).alias("urls"))
     return places.tiles_needed(boxes, index).groupBy("patch_id").agg(F.count("*").alias("tiles"), F.sum(F.size("urls")).cast("bigint").alias("urls"))
 

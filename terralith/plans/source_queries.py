@@ -64,7 +64,8 @@ def s1_map_elements(spark, sf):
     relation = relations.select("patch_id", F.format_string('<relation id="%s">%s%s</relation>', "rel_id", members, _tag_lines(F.col("tags"))).alias("value"), F.lit(2).alias("kind"))
     path = by_patch(as_extract(node.unionByName(way).unionByName(relation)), folder(spark, "map"), ["kind", "value"])
     n, w, r = readers.read_map_elements(spark, path + "/*/*")
-    counts = lambda df, kind, size, total: df.groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(size).cast("bigint").alias("parts"), F.round(F.sum(total), 3).alias("total")).withColumn("kind", F.lit(kind))
+    counts = lambda df, kind, size, total: df.groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(size).cast("bigint").alias("parts"),
+        F.round(F.sum(total), 3).alias("total")).withColumn("kind", F.lit(kind))
     zero = F.lit(0.0)
     tagged = F.size("tags")
     return counts(n, "node", tagged, F.col("lat") + F.col("lon")).unionByName(counts(w, "way", F.size("refs") + tagged, zero)).unionByName(counts(r, "relation", F.size("members") + tagged, zero))
@@ -86,7 +87,8 @@ def s2_patch_metadata(spark, sf):
     """A file of key: value lines for each patch; every seventh lacks a field."""
     number = F.col("patch_id").cast("int")
     rows = table(spark, sf, "orders").select(patch_name(F.col("o_custkey") % 25).alias("patch_id")).distinct()
-    pairs = {"ZoneNumber": F.lit(33), "translate_x": -500000 - number, "TranslateY": -5000000 + number, "lat_min": F.lit(45.0), "latMax": 45.0 + number % 10 / 10.0 + 0.1, "lon_min": F.lit(15.0), "lon_max": F.when(number % 7 != 0, F.lit(15.5))}
+    pairs = {"ZoneNumber": F.lit(33), "translate_x": -500000 - number, "TranslateY": -5000000 + number, "lat_min": F.lit(45.0),
+        "latMax": 45.0 + number % 10 / 10.0 + 0.1, "lon_min": F.lit(15.0), "lon_max": F.when(number % 7 != 0, F.lit(15.5))}
     lines = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("v")) for k, v in pairs.items()])
     each = rows.select("patch_id", F.inline(lines)).where("v IS NOT NULL").select("patch_id", F.concat("key", F.lit(": "), "v").alias("value"))
     found = readers.read_patch_metadata(spark, by_patch(each, folder(spark, "metadata"), ["value"]) + "/*/*")
@@ -103,13 +105,15 @@ def s3_terrain(spark, sf):
     """The terrain of all patches as vertex and face lines, a quad a face."""
     half = pl.triangles(spark, sf)
     number = F.col("tri").cast("bigint")
-    corners = half.where("tri % 2 = 0").select("patch_id", number.alias("tri"), *[f"{a}{k}" for k in (1, 2, 3) for a in "xyz"]).join(half.where("tri % 2 = 1").select("patch_id", (number - 1).alias("tri"), F.col("x3").alias("x4"), F.col("y3").alias("y4"), F.col("z3").alias("z4")), ["patch_id", "tri"])
+    corners = half.where("tri % 2 = 0").select("patch_id", number.alias("tri"), *[f"{a}{k}" for k in (1, 2, 3) for a in "xyz"]).join(half.where("tri % 2 = 1")
+        .select("patch_id", (number - 1).alias("tri"), F.col("x3").alias("x4"), F.col("y3").alias("y4"), F.col("z3").alias("z4")), ["patch_id", "tri"])
     vertex = lambda k: F.struct((F.col("tri") * 2 + k).alias("nth"), F.concat_ws(" ", F.lit("v"), *[F.col(f"{a}{k}").cast("string") for a in "xyz"]).alias("value"))
     vertices = corners.select("patch_id", F.inline(F.array(*[vertex(k) for k in (1, 2, 3, 4)])))
     first = F.col("tri") * 2 + 1
     faces = corners.select("patch_id", (F.lit(10**9) + F.col("tri")).alias("nth"), F.concat_ws(" ", F.lit("f"), *[(first + k).cast("string") for k in range(4)]).alias("value"))
     found = readers.read_terrain(spark, by_patch(vertices.unionByName(faces), folder(spark, "terrain"), ["nth"]) + "/*/*")
-    return found.groupBy("patch_id").agg(F.count("*").alias("triangles"), F.round(F.sum(F.col("z1") + F.col("z2") * 2 + F.col("z3") * 3), 2).alias("z"), F.round(F.sum(F.col("x1") * F.col("y3")), 1).alias("xy"))
+    return found.groupBy("patch_id").agg(F.count("*").alias("triangles"), F.round(F.sum(F.col("z1") + F.col("z2") * 2 + F.col("z3") * 3), 2).alias("z"),
+        F.round(F.sum(F.col("x1") * F.col("y3")), 1).alias("xy"))
 
 
 add("s3_terrain", s3_terrain, pl.TERRAIN_SQL + """,
@@ -127,7 +131,8 @@ def s4_ml_footprints(spark, sf):
     return found.groupBy(F.size("ring").cast("bigint").alias("points")).agg(F.count("*").alias("n"), F.round(F.sum("lon"), 2).alias("lon"), F.round(F.sum("lat"), 2).alias("lat"))
 
 
-add("s4_ml_footprints", s4_ml_footprints, FOOTPRINTS_SQL + """, r AS (SELECT osm_id, count(*) AS points, avg(x) AS lon, avg(y) AS lat FROM rv WHERE ring_no = 0 AND osm_id::BIGINT % 11 <> 0 GROUP BY osm_id)
+add("s4_ml_footprints", s4_ml_footprints,
+    FOOTPRINTS_SQL + """, r AS (SELECT osm_id, count(*) AS points, avg(x) AS lon, avg(y) AS lat FROM rv WHERE ring_no = 0 AND osm_id::BIGINT % 11 <> 0 GROUP BY osm_id)
 SELECT points, count(*) AS n, round(sum(lon), 2) AS lon, round(sum(lat), 2) AS lat FROM r GROUP BY points""")
 
 
@@ -181,7 +186,8 @@ def s9_resolved_inputs(spark, sf):
     k = F.col("o_orderkey")
     patch = patch_name(F.col("o_custkey") % 25)
     orders = table(spark, sf, "orders")
-    files = orders.where((k % 3 != 0) | (F.col("o_custkey") % 3 != 0)).select(patch.alias("patch_id"), F.when(k % 3 == 0, "map").when(k % 3 == 1, "terrain").otherwise("metadata").alias("kind"), F.concat(F.lit("f"), k.cast("string")).alias("path"), (k % 4).cast("int").alias("priority"))
+    files = orders.where((k % 3 != 0) | (F.col("o_custkey") % 3 != 0)).select(patch.alias("patch_id"), F.when(k % 3 == 0, "map").when(k % 3 == 1, "terrain")
+        .otherwise("metadata").alias("kind"), F.concat(F.lit("f"), k.cast("string")).alias("path"), (k % 4).cast("int").alias("priority"))
     return readers.resolve_inputs(orders.select(patch.alias("patch_id")).distinct(), files).select("patch_id", "kind", "path", "priority", "missing")
 
 
