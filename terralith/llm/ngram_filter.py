@@ -54,8 +54,8 @@ ORDERS = 3
 BATCH_BYTES = 8 << 20
 #: Text of a segment of an order's hash space.
 SEGMENT_BYTES = 16 << 20
-#: Tokens of a training task that are counted at once.
-FLUSH_TOKENS = 2_000_000
+#: Text of a training task that is counted at once.
+FLUSH_BYTES = 12 << 20
 BITS_PER_MEMBER = 8
 #: Bits of the smallest filter: two hashes give places apart only where there are many.
 LEAST_BITS = 4096
@@ -64,7 +64,7 @@ PROBES = 5
 SHARES = (0.4, 0.6)
 DISCOUNT = 0.75
 #: Hashes of the end token and of the places before a text.
-END, BEGIN = np.int64(1), np.int64(2)
+END, BEGIN = np.uint64(1), np.uint64(2)
 #: The least count of each level from 1 on, and the largest; level 0 has none.
 LEAST = np.array([0, 1, 2, *(x << k for k in range(61) for x in (3, 4))], np.int64)
 MOST = np.append(LEAST[1:] - 1, np.iinfo(np.int64).max)
@@ -73,15 +73,14 @@ _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """63-bit hashes of a text's words and its end token."""
-    return np.append(hashed_words(text), END)
-
-
 def all_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all texts, tokens of each text)."""
-    parts = [word_hashes(t) for t in texts]
-    return np.concatenate(parts), np.array([len(p) for p in parts])
+    """(hashes of all texts' words, each text's followed by the end token; tokens of each text)."""
+    words, n = hashed_words(texts)
+    out = np.full(len(words) + len(n), END)
+    kept = np.ones(len(out), bool)
+    kept[np.cumsum(n + 1) - 1] = False
+    out[kept] = words
+    return out, n + 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,9 +90,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ngram_hashes(tokens: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+def ngram_hashes(own: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
     """The hash of the n-gram that ends in each token; texts of these lengths stand one after the other."""
-    own = tokens.view(np.uint64)
     out = _mixed(own * _M3)
     first = np.cumsum(lengths) - lengths
     for back in range(1, order):
@@ -139,8 +137,8 @@ def _by_segment(distinct: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def _send_counts(segments: int):
     """Rows (part, keys, counts) of the distinct n-grams of some million training tokens; a part is a segment of an order."""
 
-    def flush(texts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    def flush(texts: list[bytes]) -> pa.RecordBatch:
+        tokens, lengths = all_tokens(texts)
         rows = []
         for order in range(1, ORDERS + 1):
             ordered = np.sort(places(ngram_hashes(tokens, lengths, order), segments))
@@ -155,9 +153,9 @@ def _send_counts(segments: int):
         texts, held = [], 0
         for b in batches:
             for text in b.column("body").to_pylist():
-                texts.append(word_hashes(text))
-                held += len(texts[-1])
-                if held >= FLUSH_TOKENS:
+                texts.append(text)
+                held += len(text)
+                if held >= FLUSH_BYTES:
                     yield flush(texts)
                     texts, held = [], 0
         if texts:
@@ -260,40 +258,35 @@ def _answer(asked, filled):
 
 
 def _send_words(shards: int):
-    """Rows (shard, batch, words, n): distinct tokens of a batch and their count in its training documents; BEGIN counts those."""
+    """Rows (shard, batch, words, n): a batch's distinct tokens, as the hashes of n-grams of one, and their count in its training documents."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            number, held = b.column("batch").to_numpy(), b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            texts = bodies(b)
-            for n in np.unique(number).tolist():
-                mine = np.flatnonzero(number == n)
-                tokens, lengths = all_tokens([texts[k] for k in mine.tolist()])
-                train = np.repeat(~held[mine], lengths)
-                words, inverse = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-                seen = np.bincount(inverse[:-1], weights=train, minlength=len(words)).astype(np.int64)
-                seen[np.searchsorted(words, BEGIN)] = int((~held[mine]).sum())
-                order = np.argsort(words % shards, kind="stable")
-                words, seen = words[order], seen[order].astype(np.uint32)
-                shard = words % shards
-                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(words)]
-                rows = [(int(shard[a]), n, words[a:z].tobytes(), seen[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "batch", "words", "n"])
+    def send(key, docs):
+        tokens, lengths = all_tokens(bodies(docs))
+        held = docs.column("held_out").to_numpy().astype(bool)
+        own = ngram_hashes(tokens, lengths, 1)
+        train = np.repeat(~held, lengths)
+        every, known = np.sort(own), np.sort(own[train])
+        every = every[_first(every)]
+        starts = np.flatnonzero(_first(known))
+        seen = np.zeros(len(every), np.uint32)
+        seen[np.searchsorted(every, known[starts])] = np.diff(np.append(starts, len(known)))
+        cuts = list(_by_segment(places(every, shards)))
+        columns = ([s for s, _, _ in cuts], [key[0].as_py()] * len(cuts), [every[a:b].tobytes() for _, a, b in cuts], [seen[a:b].tobytes() for _, a, b in cuts])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "batch", "words", "n"])
 
     return send
 
 
 def _sum_words(key, table):
-    """Each batch's words of one shard with their counts over all batches; the first row has the shard's totals."""
+    """The counts over all batches of each batch's words of one shard, in the order sent; the first row has the shard's totals."""
     sent = table.column("words").to_pylist()
-    words, inverse = np.unique(np.frombuffer(b"".join(sent), np.int64), return_inverse=True)
+    words, inverse = np.unique(np.frombuffer(b"".join(sent), np.uint64), return_inverse=True)
     n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)
     c = np.bincount(inverse, weights=n, minlength=len(words)).astype(np.int64)
     cuts = np.cumsum([0, *(len(x) // 8 for x in sent)]).tolist()
     back = [c[inverse[a:z]].tobytes() for a, z in zip(cuts, cuts[1:])]
-    tokens = words != BEGIN
     firsts = lambda x: pa.array([int(x), *[0] * (len(sent) - 1)], pa.int64())
-    return pa.table({"batch": table.column("batch"), "words": table.column("words"), "c": pa.array(back, pa.binary()), "total": firsts(c[tokens].sum()), "distinct": firsts((c[tokens] > 0).sum())})
+    return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "c": pa.array(back, pa.binary()), "total": firsts(c.sum()), "distinct": firsts((c > 0).sum())})
 
 
 def probabilities(levels: list[np.ndarray], lengths: np.ndarray, texts: int, total: int, distinct: int, shares=SHARES, discount: float = DISCOUNT) -> np.ndarray:
@@ -316,14 +309,12 @@ def probabilities(levels: list[np.ndarray], lengths: np.ndarray, texts: int, tot
     return p
 
 
-def _score(segments: int, shares: tuple[float, ...], discount: float):
+def _score(segments: int, train_texts: int, shares: tuple[float, ...], discount: float):
     def score(docs, found):
         answers = found.filter(found.column("levels").is_valid()).sort_by("part")
         part, sent = answers.column("part").to_numpy(), answers.column("levels").to_pylist()
-        by_word = found.filter(found.column("words").is_valid())
-        words, c = (np.frombuffer(b"".join(by_word.column(k).to_pylist()), np.int64) for k in ("words", "c"))
-        order = np.argsort(words)
-        words, c = words[order], c[order]
+        by_word = found.filter(found.column("c").is_valid()).sort_by("shard")
+        counts = np.frombuffer(b"".join(by_word.column("c").to_pylist()), np.int64)
         total, distinct = (int(by_word.column(k)[0].as_py()) for k in ("all_total", "all_distinct"))
         tokens, lengths = all_tokens(bodies(docs))
         starts = np.cumsum(lengths) - lengths
@@ -331,18 +322,22 @@ def _score(segments: int, shares: tuple[float, ...], discount: float):
         for k in range(ORDERS):
             a, b = np.searchsorted(part, [k * segments, (k + 1) * segments]).tolist()
             answer = np.frombuffer(b"".join(sent[a:b]), np.uint8)
-            own = places(ngram_hashes(tokens, lengths, k + 1), segments)
-            by_place = np.argsort(own)
+            own = ngram_hashes(tokens, lengths, k + 1)
+            # Places rise with the hashes, so one order serves the distinct places asked and the distinct words sent.
+            by_hash = np.argsort(own)
+            own = own[by_hash]
             level = np.empty(len(own), np.uint8)
-            level[by_place] = answer[np.cumsum(_first(own[by_place])) - 1]
+            level[by_hash] = answer[np.cumsum(_first(places(own, segments))) - 1]
             levels.append(level)
-            del own, by_place
-        p = probabilities(levels, lengths, int(c[np.searchsorted(words, BEGIN)]), total, distinct, shares, discount)
-        seen = c[np.searchsorted(words, tokens)]
+            if k == 0:
+                seen = np.empty(len(own), np.int64)
+                seen[by_hash] = counts[np.cumsum(_first(own)) - 1]
+            del own, by_hash
+        p = probabilities(levels, lengths, train_texts, total, distinct, shares, discount)
         sums = [lengths, np.add.reduceat((seen > 0).astype(np.int64), starts), np.add.reduceat(np.log10((seen + 1) / (total + distinct + 1)), starts), np.add.reduceat(np.log10(p), starts)]
         columns = [pa.array(x, k) for x, k in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        all_tokens_ = pa.array(np.full(len(docs), total), pa.int64())
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": columns[0], "n_known": columns[1], "train_tokens": all_tokens_, "base_score": columns[2], "score": columns[3]})
+        trained = pa.array(np.full(len(docs), total), pa.int64())
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": columns[0], "n_known": columns[1], "train_tokens": trained, "base_score": columns[2], "score": columns[3]})
 
     return score
 
@@ -352,15 +347,16 @@ def scored(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), text_bytes().alias("body"))
-    filled, segments = filter_table(rows.where("NOT held_out").select("body"), segment_bytes, bits_per_member)
+    train = rows.where("NOT held_out").select("body")
+    filled, segments = filter_table(train, segment_bytes, bits_per_member)
     dealt, batches = batched(rows, batch_bytes)
     asked = dealt.groupBy("batch").applyInArrow(_ask(segments), "part int, batch int, keys binary")
     answered = asked.groupBy("part").cogroup(filled.groupBy("part")).applyInArrow(_answer, "batch int, part int, levels binary")
-    sent = dealt.mapInArrow(_send_words(batches), "shard int, batch int, words binary, n binary")
-    back = sent.groupBy("shard").applyInArrow(_sum_words, "batch int, words binary, c binary, total long, distinct long")
+    sent = dealt.groupBy("batch").applyInArrow(_send_words(batches), "shard int, batch int, words binary, n binary")
+    back = sent.groupBy("shard").applyInArrow(_sum_words, "batch int, shard int, c binary, total long, distinct long")
     whole = {f"all_{k}": back.agg(F.sum(k)).scalar() for k in ("total", "distinct")}
     back = back.withColumns(whole).unionByName(answered, allowMissingColumns=True)
     schema = T.StructType([rows.schema["doc_id"], rows.schema["held_out"]])
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(segments, shares, discount), schema)
+    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score(segments, train.count(), shares, discount), schema)

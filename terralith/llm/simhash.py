@@ -47,6 +47,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 BLOCK = 1 << 16
+#: Text that is hashed at once.
+RUN_BYTES = 1 << 20
 
 #: The stage that keeps one document of each group: words of a shingle, and the least share of shingles that two texts have in common.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
@@ -168,12 +170,21 @@ def digest(docs: DataFrame) -> DataFrame:
 # Near-duplicates by shingle similarity: wide fingerprints find candidates, shared shingles decide.
 
 
-def _hashed_shingles(words: np.ndarray, shingle: int) -> np.ndarray:
+def _words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words; texts are hashed in runs of about a megabyte."""
+    sizes = np.cumsum([0, *map(len, texts)]) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        hashes, n = hashed_words(texts[a:b])
+        ends = np.cumsum(n)
+        yield from (hashes[z - k : z] for z, k in zip(ends.tolist(), n.tolist()))
+
+
+def _hashed_shingles(own: np.ndarray, shingle: int) -> np.ndarray:
     """Distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
-    n = len(words) - shingle + 1
+    n = len(own) - shingle + 1
     if n < 1:
-        shingle, n = len(words), 1
-    own = words.view(np.uint64)
+        shingle, n = len(own), 1
     out = np.zeros(n, np.uint64)
     for k in range(shingle):
         out = (out ^ own[k : k + n]) * _MIX[0]
@@ -197,7 +208,7 @@ def wide_print(words: np.ndarray) -> np.ndarray:
 def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("body").to_pylist()
-        prints = np.array([wide_print(hashed_words(t)) for t in texts], np.uint8).reshape(-1, 32)
+        prints = np.array([wide_print(w) for w in _words_of(texts)], np.uint8).reshape(-1, 32)
         same = [xxhash.xxh128_digest(b" ".join(t.lower().split())) for t in texts]
         words = prints.view(np.int64)
         columns = [b.column("place"), b.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4))]
@@ -239,8 +250,10 @@ def _wide_keys(probes: bool):
 def _shingle_sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_hashed_shingles(hashed_words(t), shingle).view(np.int64) for t in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(found, pa.list_(pa.int64()))], names=["place", "shingles"])
+            for at in range(0, len(b), 1000):
+                part = b.slice(at, 1000)
+                found = [_hashed_shingles(w, shingle).view(np.int64) for w in _words_of(part.column("body").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(found, pa.list_(pa.int64()))], names=["place", "shingles"])
 
     return sets
 
