@@ -55,14 +55,21 @@ NEIGHBOURS = 25
 BLOCK = 64
 #: Blocks that are scored at first.
 FIRST_BLOCKS = 4
+#: Terms that more of the entries hold have a place for every entry.
+FREQUENT = 0.04
 THRESHOLD = 0.3
 REMEMBERED = 500_000
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+def _bare(word: bytes) -> str:
+    """A word without marks at its ends, in lower case."""
+    return word.strip(_EDGES).decode("utf-8", "replace").lower()
+
+
 def word_terms(word: bytes) -> list[str]:
     """The terms of a word: itself and its beginnings."""
-    bare = word.strip(_EDGES).decode("utf-8", "replace").lower()
+    bare = _bare(word)
     return ["=" + bare, *(bare[:k] for k in PREFIXES if len(bare) >= k)] if bare else []
 
 
@@ -96,11 +103,18 @@ class Terms(dict):
 
     def __init__(self, numbers: dict[str, int], weights: np.ndarray, unknown: float):
         self.numbers, self.weights, self.unknown = numbers, weights, unknown
+        #: The first letters of the beginnings that are terms: few words have any.
+        self.heads = {t[: PREFIXES[0]] for t in numbers if t[0] != "="}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > REMEMBERED:
             self.clear()
-        found = tuple(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        bare = _bare(word)
+        if bare[: PREFIXES[0]] in self.heads:
+            found = tuple(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        else:
+            known = self.numbers.get("=" + bare)
+            found = () if known is None else (known,)
         self[word] = found
         return found
 
@@ -131,12 +145,23 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class BlockMaxIndex:
-    """Postings of entries' unit vectors: by term, in blocks of entries, with each block's largest weight."""
+    """Postings of entries' unit vectors: by term, in blocks of entries, with each block's largest weight.
+
+    The postings of terms that over ``FREQUENT`` of the entries hold are stored with a place for every entry.
+    """
 
     def __init__(self, terms: np.ndarray, entries: np.ndarray, weights: np.ndarray, n_terms: int, n_entries: int):
+        self.n_entries, self.n_blocks = n_entries, -(-n_entries // BLOCK)
+        often = np.bincount(terms, minlength=n_terms) > FREQUENT * n_entries
+        #: The row of a frequent term, -1 for others.
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        full = often[terms]
+        self.whole = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
+        self.whole[self.row[terms[full]], entries[full]] = weights[full]
+        self.whole_most = self.whole.reshape(len(self.whole), self.n_blocks, BLOCK).max(axis=2) if n_entries else np.zeros((len(self.whole), 0))
+        terms, entries, weights = terms[~full], entries[~full], weights[~full]
         order = np.lexsort((entries, terms))
         terms, self.entries, self.weights = terms[order], entries[order].astype(np.int32), weights[order]
-        self.n_entries, self.n_blocks = n_entries, -(-n_entries // BLOCK)
         block = self.entries // BLOCK
         new = np.concatenate([np.ones(min(len(terms), 1), bool), (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])
         #: Of each block of a term's postings: where it begins (and the end of all), which block of entries, the largest weight.
@@ -148,25 +173,39 @@ class BlockMaxIndex:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest, nearest first, ties by place."""
+        rows = self.row[terms]
+        often = rows >= 0
+        rows, heavy, terms, weights = rows[often], weights[often], terms[~often], weights[~often]
         at, of = _ranges(self.of_term[terms], self.of_term[terms + 1])
         block, weight = self.block[at], weights[of]
-        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks)
-        score = np.zeros(self.n_entries)
+        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks) + heavy @ self.whole_most[rows]
+        score = np.zeros(self.n_blocks * BLOCK)
+        order = np.argsort(-bounds, kind="stable")
         first = np.zeros(self.n_blocks, bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        self._add(score, at, weight, first[block])
+        first[order[:FIRST_BLOCKS]] = True
+        self._add(score, first, rows, heavy, at, block, weight)
         reached = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        self._add(score, at, weight, (~first & (bounds >= reached - 1e-12))[block])
-        best = np.argpartition(-score, k)[:k] if len(score) > k else np.arange(len(score))
-        ties = np.flatnonzero(score == score[best].min()) if len(best) else best
-        best = np.union1d(best, ties)
-        best = best[np.lexsort((best, -score[best]))][:k]
-        return best[score[best] > 0], score[best[score[best] > 0]]
-
-    def _add(self, score: np.ndarray, at: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> None:
+        self._add(score, ~first & (bounds >= reached - 1e-12), rows, heavy, at, block, weight)
+        score = np.round(score, 12)
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        best = np.flatnonzero(score >= max(least, 1e-12))
+        best = best[np.argsort(-score[best], kind="stable")][:k]
+        return best, score[best]
+
+    def _add(self, score: np.ndarray, blocks: np.ndarray, rows: np.ndarray, heavy: np.ndarray, at: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
+        """The dot products with all entries of the chosen blocks."""
+        which = np.flatnonzero(blocks)
+        if not len(which):
+            return
+        chosen = blocks[block]
         here = at[chosen]
         place, of = _ranges(self.begins[here], self.begins[here + 1])
         score += np.bincount(self.entries[place], weights=self.weights[place] * weight[chosen][of], minlength=len(score))
+        if 2 * len(which) > self.n_blocks:
+            found = (heavy @ self.whole[rows]).reshape(-1, BLOCK)[which]
+        else:
+            found = np.tensordot(heavy, self.whole.reshape(len(self.whole), -1, BLOCK)[np.ix_(rows, which)], 1)
+        score.reshape(-1, BLOCK)[which] += found
 
 
 class Classifier:
