@@ -54,9 +54,9 @@ RUN_BYTES = 1 << 20
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Candidates for it: features of so many words, in prints of 256 bits, eleven segments of 23; a key joins two segments that lie so far apart.
 FEATURE, WIDE_SEGMENTS, GAPS = 2, 11, (1, 2)
-PRINT = ["p0", "p1", "p2", "p3"]
-#: Prints of texts with a fifth of their shingles apart differ in some 25 to 40 bits, of unrelated ones in some 128.
-FARTHEST = 64
+PRINT, CLOSE = ["p0", "p1", "p2", "p3"], ["q0", "q1", "q2", "q3"]
+#: Prints of the shingles themselves differ in 39 bits on average (deviation 6) at a similarity of 0.8, in 64 at 0.55; shingles are compared up to so many.
+FARTHEST = 48
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -192,9 +192,9 @@ def _hashed_shingles(own: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(out)
 
 
-def wide_print(words: np.ndarray) -> np.ndarray:
-    """256 bits (as bytes) that hold the majority of each bit over the hashes of the text's word pairs."""
-    hashes = _hashed_shingles(words, FEATURE)
+def wide_print(words: np.ndarray, shingle: int) -> np.ndarray:
+    """256 bits (as bytes) that hold the majority of each bit over the hashes of the text's word shingles."""
+    hashes = _hashed_shingles(words, shingle)
     votes = np.zeros(256, np.int64)
     for at in range(0, len(hashes), BLOCK >> 3):
         part = hashes[at : at + (BLOCK >> 3), None] * _MIX
@@ -205,14 +205,17 @@ def wide_print(words: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes))
 
 
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("body").to_pylist()
-        prints = np.array([wide_print(w) for w in _words_of(texts)], np.uint8).reshape(-1, 32)
-        same = [xxhash.xxh128_digest(b" ".join(t.lower().split())) for t in texts]
-        words = prints.view(np.int64)
-        columns = [b.column("place"), b.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4))]
-        yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "same", *PRINT])
+def _wide_prints(shingle: int):
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("body").to_pylist()
+            both = [np.concatenate([wide_print(w, FEATURE), wide_print(w, shingle)]) for w in _words_of(texts)]
+            words = np.array(both, np.uint8).reshape(-1, 64).view(np.int64)
+            same = [xxhash.xxh128_digest(b" ".join(t.lower().split())) for t in texts]
+            columns = [b.column("place"), b.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(8))]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "same", *PRINT, *CLOSE])
+
+    return prints
 
 
 def _segments(prints: list[np.ndarray]) -> list[np.ndarray]:
@@ -262,29 +265,30 @@ class NearDuplicates:
     """Rows of ``docs`` that are near-duplicates of a row that stays.
 
     ``docs`` must be read from files, so that rows keep their places. Texts of equal words
-    are one class. Classes whose Golay keys meet are candidates; those whose prints differ
-    in at most ``FARTHEST`` bits are compared by their whole sets of shingles.
+    are one class. Classes whose Golay keys, of prints of word pairs, meet are candidates;
+    those whose prints of shingles differ in at most ``FARTHEST`` bits are compared by their
+    whole sets of shingles.
 
     Groups of thousands of near copies would make all pairs in one bucket. So at first each
-    class is only compared with the least of its bucket, and classes that are similar to it
-    go; this is repeated until none goes. What is left then is compared pair by pair.
+    class is only compared with the most central one of its bucket, and of similar classes all
+    but one go; this is repeated until none goes. What is left then is compared pair by pair.
     """
 
     def __init__(self, docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY):
         self.shingle, self.similarity = shingle, similarity
         self.rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", text_bytes().alias("body"))
         kind = dict(docs.dtypes)["doc_id"]
-        prints = ", ".join(f"{p} long" for p in PRINT)
-        self.prints = written(self.rows.mapInArrow(_wide_prints, f"place long, doc_id {kind}, same binary, {prints}"), "wide")
+        prints = ", ".join(f"{p} long" for p in PRINT + CLOSE)
+        self.prints = written(self.rows.mapInArrow(_wide_prints(shingle), f"place long, doc_id {kind}, same binary, {prints}"), "wide")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "place")).alias("least")
-        grouped = self.prints.groupBy("same").agg(least, F.count("*").alias("rows"), *[F.first(p).alias(p) for p in PRINT])
+        grouped = self.prints.groupBy("same").agg(least, F.count("*").alias("rows"), *[F.first(p).alias(p) for p in PRINT + CLOSE])
         #: c, the place of a class's least row, names the class.
-        self.classes = written(grouped.select(F.col("least.place").alias("c"), "least", "same", "rows", *PRINT), "classes")
+        self.classes = written(grouped.select(F.col("least.place").alias("c"), "least", "same", "rows", *PRINT, *CLOSE), "classes")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are as similar as asked."""
-        side = lambda name: self.classes.select(F.col("c").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in PRINT])
-        differing = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PRINT)
+        side = lambda name: self.classes.select(F.col("c").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in CLOSE])
+        differing = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in CLOSE)
         close = written(pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= FARTHEST).select("a", "b"), "close")
         wanted = close.select(F.col("a").alias("place")).union(close.select(F.col("b").alias("place"))).distinct()
         sets = self.rows.join(wanted, "place", "left_semi").select("place", "body").mapInArrow(_shingle_sets(self.shingle), "place long, shingles array<long>")
@@ -294,11 +298,17 @@ class NearDuplicates:
         of_all = F.size("a_set") + F.size("b_set") - shared
         return close.join(own("a"), "a").join(own("b"), "b").where(shared >= self.similarity * of_all).select("a", "b")
 
-    def with_least(self, alive: DataFrame) -> DataFrame:
-        """(a, b): each class with the least of every bucket it lies in."""
+    def with_central(self, alive: DataFrame) -> DataFrame:
+        """(a, b), a < b: each class with the most central class of every bucket it lies in, the one whose own buckets hold most.
+
+        A text's near copies lie around it, so they differ less from the most central one than from each other.
+        """
         keys = alive.mapInArrow(_wide_keys(False), "key long, c long, probe boolean").select("key", "c")
-        hubs = keys.groupBy("key").agg(F.min("c").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        return keys.join(hubs, "key").where("a < c").select("a", F.col("c").alias("b")).distinct()
+        several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = keys.join(several, "key")
+        weight = met.groupBy("c").agg(F.sum("n").alias("weight"))
+        hubs = met.join(weight, "c").groupBy("key").agg(F.max_by("c", F.struct("weight", -F.col("c"))).alias("hub"))
+        return met.join(hubs, "key").where("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
 
     def all_met(self, alive: DataFrame) -> DataFrame:
         """(a, b), a < b, of all classes that meet in a bucket, one by its own key and one by a neighbouring."""
@@ -315,14 +325,14 @@ class NearDuplicates:
     def gone(self) -> DataFrame:
         """(place) of the rows that go."""
         alive, gone = self.classes.select("c", *PRINT), None
-        meet = self.with_least
+        meet = self.with_central
         while True:
             links = written(self.similar(meet(alive)), "similar")
             if not links.isEmpty():
                 now = written(self._gone(links), "gone")
                 gone = now if gone is None else gone.unionByName(now)
                 alive = written(alive.join(now, "c", "left_anti"), "alive")
-            elif meet == self.with_least:
+            elif meet == self.with_central:
                 meet = self.all_met
                 continue
             if meet == self.all_met:
