@@ -18,7 +18,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "conversations"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, DATA)
     columns = sorted(frame.columns)
