@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralith.llm import archive, jaccard, lines, media, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity, trie
+from terralith.llm import alignment, archive, jaccard, lines, media, mixing, ngram_filter, packing, perplexity, rules, simhash, toxicity, trie
 from terralith.llm.common import read
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_packing": lambda spark, sf_dir: packing.packed_documents(read(spark, sf_dir, "documents")),
     "op8_quality_rules": lambda spark, sf_dir: rules.judged(read(spark, sf_dir, "documents")),
     "op10_lm_scoring": lambda spark, sf_dir: ngram_filter.scored(read(spark, sf_dir, "documents")),
+    "op11_tokenizer_alignment": lambda spark, sf_dir: alignment.digest(read(spark, sf_dir, "documents")),
     "op12_jaccard_join": lambda spark, sf_dir: jaccard.linked(read(spark, sf_dir, "documents")),
     "op13_conversation_trie": lambda spark, sf_dir: trie.trie(read(spark, sf_dir, "conversations")),
     "op9_quality_classifier": lambda spark, sf_dir: perplexity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
