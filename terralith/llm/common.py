@@ -139,6 +139,33 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.diff(np.searchsorted(starts_, begins))
 
 
+#: Text whose words are hashed at once.
+RUN_BYTES = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words; texts are hashed in runs of about a megabyte."""
+    sizes = np.cumsum([0, *map(len, texts)]) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        hashes, n = hashed_words(texts[a:b])
+        ends = np.cumsum(n)
+        yield from (hashes[z - k : z] for z, k in zip(ends.tolist(), n.tolist()))
+
+
+def hashed_shingles(own: np.ndarray, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    n = len(own) - shingle + 1
+    if n < 1:
+        shingle, n = len(own), 1
+    out = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        out = (out ^ own[k : k + n]) * _MIX
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
+
+
 def environment_guard() -> None:
     """Tokenizer threads off: Spark already runs one worker per core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -39,16 +39,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terralith.llm.common import bodies, text_bytes, written
+from terralith.llm.common import bodies, hashed_shingles, text_bytes, words_of, written
 from terralith.llm.graph import components
 from terralith.llm.ngram_filter import _by_segment, _first, _pack, _unpack, places
-from terralith.llm.simhash import _hashed_shingles, _words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Similarity, in percent, to a centre that makes a cluster.
@@ -71,6 +72,12 @@ def _digest(text: bytes) -> bytes:
     return xxhash.xxh128_digest(b" ".join(text.lower().split()))
 
 
+@F.pandas_udf(T.BinaryType())
+def same_words(texts: pd.Series) -> pd.Series:
+    """The digest of each text's words (UTF-8): equal where texts differ in white space and in A-Z's case only."""
+    return texts.map(_digest)
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         same = pa.array([_digest(t) for t in b.column("body").to_pylist()], pa.binary())
@@ -101,7 +108,7 @@ def _sets(rows: pa.Table, shingle: int) -> tuple[list[bytes], np.ndarray, np.nda
     first = list({s: k for k, s in reversed(list(enumerate(same)))}.values())
     first.sort()
     texts = bodies(rows.take(pa.array(first, pa.int64())))
-    found = [_hashed_shingles(w, shingle) if len(w) else np.zeros(0, np.uint64) for w in _words_of(texts)]
+    found = [hashed_shingles(w, shingle) if len(w) else np.zeros(0, np.uint64) for w in words_of(texts)]
     return [same[k] for k in first], np.concatenate([*found, np.zeros(0, np.uint64)]), np.array([len(x) for x in found], np.int64)
 
 
@@ -251,9 +258,10 @@ class Links:
         rows = rows.select("cluster", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "c", "comp", "n", "l", "prefix", "tokens")
         return rows.groupBy("cluster", "i", "j").applyInArrow(_cell_links(self.percent), "a long, b long")
 
-    def all(self) -> DataFrame:
-        """(a, b), a < b."""
-        near = written(self.compared(self.with_centres().select("a", "b"), self.near), "near")
+    def all(self, more: DataFrame | None = None) -> DataFrame:
+        """(a, b), a < b; ``more``: pairs of classes to compare at first, besides those with centres."""
+        met = self.with_centres().select("a", "b")
+        near = written(self.compared(met if more is None else met.unionByName(more).distinct(), self.near), "near")
         links = near.where(100 * F.col("shared") >= self.percent * F.col("either")).select("a", "b")
         # Each class joins the cluster of the heaviest centre near it.
         centred = self.with_centres().join(near, ["a", "b"]).withColumn("c", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")))

@@ -36,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.llm.common import hashed_words, text_bytes, written
+from terralith.llm.common import text_bytes, written
 from terralith.llm.graph import components
+from terralith.llm.jaccard import Links, same_words, shingle_sets
 
 SEED = 42
 SHINGLE = 3
@@ -47,17 +48,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 BLOCK = 1 << 16
-#: Text that is hashed at once.
-RUN_BYTES = 1 << 20
 
-#: The stage that keeps one document of each group: words of a shingle, and the least share of shingles that two texts have in common.
-STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Candidates for it: features of so many words, in prints of 256 bits, eleven segments of 23; a key joins two segments that lie so far apart.
-FEATURE, WIDE_SEGMENTS, GAPS = 2, 11, (1, 2)
-PRINT, CLOSE = ["p0", "p1", "p2", "p3"], ["q0", "q1", "q2", "q3"]
-#: Prints of the shingles themselves differ in 39 bits on average (deviation 6) at a similarity of 0.8, in 64 at 0.55; shingles are compared up to so many.
-FARTHEST = 48
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: The stage that keeps one document of each group: words of a shingle, and the least share of shingles, in percent, that two texts have in common.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -167,184 +160,40 @@ def digest(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by shingle similarity: wide fingerprints find candidates, shared shingles decide.
+# The stage that keeps one of each group of near-duplicates.
 
 
-def _words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The hashes of each text's words; texts are hashed in runs of about a megabyte."""
-    sizes = np.cumsum([0, *map(len, texts)]) // RUN_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts, cuts[1:]):
-        hashes, n = hashed_words(texts[a:b])
-        ends = np.cumsum(n)
-        yield from (hashes[z - k : z] for z, k in zip(ends.tolist(), n.tolist()))
+def _pairs(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b) of the classes of ``sets`` whose fingerprints are within ``DISTANCE`` bits; of one fingerprint each with the least only."""
+    able = sets.where("tokens IS NOT NULL").select("same", "c")
+    prints = written(fingerprints(texts.join(able, "same").select(F.col("c").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "c"), "prints")
+    first = prints.groupBy("fp").agg(F.min("c").alias("least"))
+    equal = prints.join(first, "fp").where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))
+    side = lambda name: first.select(F.col("fp").alias(name), F.col("least").alias(f"c{name}"))
+    close = links(first.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return equal.unionByName(close.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
 
 
-def _hashed_shingles(own: np.ndarray, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
-    n = len(own) - shingle + 1
-    if n < 1:
-        shingle, n = len(own), 1
-    out = np.zeros(n, np.uint64)
-    for k in range(shingle):
-        out = (out ^ own[k : k + n]) * _MIX[0]
-        out ^= out >> np.uint64(31)
-    return np.unique(out)
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
+    """``docs`` without near-duplicates: of texts joined by links of ``percent`` or more of their word shingles one stays.
 
+    Fingerprints that Golay keys bring together are compared first, by their whole sets of
+    shingles. Fingerprints alone miss many links (two texts that share four fifths of their
+    shingles differ in some 9 of 64 bits), so what they leave apart goes on to the exact join of
+    operator 12: no link is lost, and no text goes that isn't so similar to another.
 
-def wide_print(words: np.ndarray, shingle: int) -> np.ndarray:
-    """256 bits (as bytes) that hold the majority of each bit over the hashes of the text's word shingles."""
-    hashes = _hashed_shingles(words, shingle)
-    votes = np.zeros(256, np.int64)
-    for at in range(0, len(hashes), BLOCK >> 3):
-        part = hashes[at : at + (BLOCK >> 3), None] * _MIX
-        part ^= part >> np.uint64(29)
-        part *= _MIX[::-1]
-        part ^= part >> np.uint64(32)
-        votes += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(hashes))
-
-
-def _wide_prints(shingle: int):
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("body").to_pylist()
-            both = [np.concatenate([wide_print(w, FEATURE), wide_print(w, shingle)]) for w in _words_of(texts)]
-            words = np.array(both, np.uint8).reshape(-1, 64).view(np.int64)
-            same = [xxhash.xxh128_digest(b" ".join(t.lower().split())) for t in texts]
-            columns = [b.column("place"), b.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(8))]
-            yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "same", *PRINT, *CLOSE])
-
-    return prints
-
-
-def _segments(prints: list[np.ndarray]) -> list[np.ndarray]:
-    """The eleven 23-bit segments of 256-bit prints."""
-    bits = np.unpackbits(np.ascontiguousarray(np.column_stack(prints)).view(np.uint8), axis=1)
-    weights = 1 << np.arange(22, -1, -1)
-    return [bits[:, 23 * k : 23 * k + 23].astype(np.int64) @ weights for k in range(WIDE_SEGMENTS)]
-
-
-def _wide_keys(probes: bool):
-    """(key, c, probe): for two segments, the Golay index of one and that of the other, or of its neighbours."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column("c").to_numpy()
-            segments = _segments([b.column(p).to_numpy() for p in PRINT])
-            base = [golay_index(s) for s in segments]
-            for gap in GAPS:
-                for k in range(WIDE_SEGMENTS):
-                    other = (k + gap) % WIDE_SEGMENTS
-                    fixed = (np.int64(gap * 16 + k) << 24) | (base[k] << 12)
-                    found = [(c, fixed | base[other], np.zeros(len(c), bool))]
-                    if probes:
-                        near = segments[other][:, None] ^ np.concatenate([[0], 1 << np.arange(23)])
-                        index = np.sort(golay_index(near), axis=1)
-                        first = np.concatenate([np.ones((len(c), 1), bool), index[:, 1:] != index[:, :-1]], axis=1)
-                        row, column = np.nonzero(first)
-                        found.append((c[row], fixed[row] | index[row, column], np.ones(len(row), bool)))
-                    for own, key, probe in found:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(probe)], names=["key", "c", "probe"])
-
-    return keys
-
-
-def _shingle_sets(shingle: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                found = [_hashed_shingles(w, shingle).view(np.int64) for w in _words_of(part.column("body").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(found, pa.list_(pa.int64()))], names=["place", "shingles"])
-
-    return sets
-
-
-class NearDuplicates:
-    """Rows of ``docs`` that are near-duplicates of a row that stays.
-
-    ``docs`` must be read from files, so that rows keep their places. Texts of equal words
-    are one class. Classes whose Golay keys, of prints of word pairs, meet are candidates;
-    those whose prints of shingles differ in at most ``FARTHEST`` bits are compared by their
-    whole sets of shingles.
-
-    Groups of thousands of near copies would make all pairs in one bucket. So at first each
-    class is only compared with the most central one of its bucket, and of similar classes all
-    but one go; this is repeated until none goes. What is left then is compared pair by pair.
+    Of a group the row with the smallest doc_id stays, null last; of equal ids that of the least
+    hash of the text. Texts of equal words, among them those without words, are one group.
+    Rows are known by their words, so ids may be missing or repeated and rows need no place.
     """
-
-    def __init__(self, docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY):
-        self.shingle, self.similarity = shingle, similarity
-        self.rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", text_bytes().alias("body"))
-        kind = dict(docs.dtypes)["doc_id"]
-        prints = ", ".join(f"{p} long" for p in PRINT + CLOSE)
-        self.prints = written(self.rows.mapInArrow(_wide_prints(shingle), f"place long, doc_id {kind}, same binary, {prints}"), "wide")
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "place")).alias("least")
-        grouped = self.prints.groupBy("same").agg(least, F.count("*").alias("rows"), *[F.first(p).alias(p) for p in PRINT + CLOSE])
-        #: c, the place of a class's least row, names the class.
-        self.classes = written(grouped.select(F.col("least.place").alias("c"), "least", "same", "rows", *PRINT, *CLOSE), "classes")
-
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that are as similar as asked."""
-        side = lambda name: self.classes.select(F.col("c").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in CLOSE])
-        differing = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in CLOSE)
-        close = written(pairs.join(side("a"), "a").join(side("b"), "b").where(differing <= FARTHEST).select("a", "b"), "close")
-        wanted = close.select(F.col("a").alias("place")).union(close.select(F.col("b").alias("place"))).distinct()
-        sets = self.rows.join(wanted, "place", "left_semi").select("place", "body").mapInArrow(_shingle_sets(self.shingle), "place long, shingles array<long>")
-        sets = written(sets, "shingles")
-        own = lambda name: sets.select(F.col("place").alias(name), F.col("shingles").alias(f"{name}_set"))
-        shared = F.size(F.array_intersect("a_set", "b_set"))
-        of_all = F.size("a_set") + F.size("b_set") - shared
-        return close.join(own("a"), "a").join(own("b"), "b").where(shared >= self.similarity * of_all).select("a", "b")
-
-    def with_central(self, alive: DataFrame) -> DataFrame:
-        """(a, b), a < b: each class with the most central class of every bucket it lies in, the one whose own buckets hold most.
-
-        A text's near copies lie around it, so they differ less from the most central one than from each other.
-        """
-        keys = alive.mapInArrow(_wide_keys(False), "key long, c long, probe boolean").select("key", "c")
-        several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = keys.join(several, "key")
-        weight = met.groupBy("c").agg(F.sum("n").alias("weight"))
-        hubs = met.join(weight, "c").groupBy("key").agg(F.max_by("c", F.struct("weight", -F.col("c"))).alias("hub"))
-        return met.join(hubs, "key").where("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-
-    def all_met(self, alive: DataFrame) -> DataFrame:
-        """(a, b), a < b, of all classes that meet in a bucket, one by its own key and one by a neighbouring."""
-        keys = alive.mapInArrow(_wide_keys(True), "key long, c long, probe boolean")
-        base, probe = keys.where("NOT probe").select("key", F.col("c").alias("x")), keys.where("probe").select("key", F.col("c").alias("y"))
-        return base.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def _gone(self, links: DataFrame) -> DataFrame:
-        """(c): the classes of each component of links but that with the least row."""
-        nodes = components(links).join(self.classes.select(F.col("c").alias("node"), "least"), "node")
-        first = nodes.groupBy("root").agg(F.min("least").alias("stays"))
-        return nodes.join(first, "root").where("stays.place <> node").select(F.col("node").alias("c")).distinct()
-
-    def gone(self) -> DataFrame:
-        """(place) of the rows that go."""
-        alive, gone = self.classes.select("c", *PRINT), None
-        meet = self.with_central
-        while True:
-            links = written(self.similar(meet(alive)), "similar")
-            if not links.isEmpty():
-                now = written(self._gone(links), "gone")
-                gone = now if gone is None else gone.unionByName(now)
-                alive = written(alive.join(now, "c", "left_anti"), "alive")
-            elif meet == self.with_central:
-                meet = self.all_met
-                continue
-            if meet == self.all_met:
-                break
-        copies = self.prints.join(self.classes.where("rows > 1").select("same", "c"), "same").where("place <> c").select("place")
-        return copies if gone is None else copies.unionByName(gone.select(F.col("c").alias("place")))
-
-
-def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """``docs`` without near-duplicates: of rows whose sets of word shingles are so similar one stays, that with the
-    smallest doc_id (null last; of equal ids the first row). Rows are told apart by their place, never by their id."""
-    gone = NearDuplicates(docs, shingle, similarity).gone()
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("place"))
-    return whole.join(gone, "place", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in names])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    order = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.xxhash64("doc.text"))
+    distinct = written(docs.select(same_words(text_bytes()).alias("same"), whole).groupBy("same").agg(F.min_by("doc", order).alias("doc")), "distinct")
+    texts = distinct.select("same", F.col("doc.text").alias("text"))
+    sets = shingle_sets(texts, shingle, percent)
+    groups = components(Links(sets, percent).all(_pairs(sets, texts, shingle))).select(F.col("node").alias("c"), "root")
+    row = F.struct(F.col("doc.doc_id").isNull().alias("without"), F.col("doc.doc_id").alias("id"), "same").alias("row")
+    rows = groups.join(sets.select("c", "same"), "c").join(distinct.select("same", row), "same").select("root", "row")
+    stays = rows.groupBy("root").agg(F.min("row").alias("stays"))
+    gone = rows.join(stays, "root").where("row.same <> stays.same").select("row.same")
+    return distinct.join(gone, "same", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

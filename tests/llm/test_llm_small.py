@@ -243,34 +243,64 @@ def alike(a, b, least=0.8):
     return len(x & y) >= least * len(x | y)
 
 
-def near_copies(rng, text, edits):
-    words = text.split()
-    for _ in range(edits):
-        words[rng.randrange(len(words))] = "other" + str(rng.randrange(1000))
-    return " ".join(words)
-
-
-def test_keep_one_by_brute_force(spark, tmp_path):
-    """Of groups of near copies at all similarities one stays; nothing that is unlike all that stay goes."""
+def edited(rng, words, kind, n):
+    """A text with n words appended, cut, replaced here and there, or moved to the end."""
+    other = lambda: f"other{rng.randrange(10**6)}"
+    if kind == "appended":
+        return words + [other() for _ in range(n)]
+    if kind == "cut":
+        return words[: len(words) - n]
+    if kind == "moved":
+        at = rng.randrange(len(words) - n)
+        return words[:at] + words[at + n :] + words[at : at + n]
+    out = list(words)
+    for at in rng.sample(range(len(words)), max(1, n // 5)):
+        out[at] = other()
+    return out
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_by_kind_of_edit(spark):
+    """Every pair of a similarity of 0.8 or more leaves one, whatever the edit; pairs below leave both."""
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for kind in ("appended", "cut", "scattered", "moved"):
+        for size in (60, 300, 900):
+            for share in (0.03, 0.06, 0.1, 0.14, 0.18, 0.21, 0.24, 0.3):
+                words = [f"w{rng.randrange(20000)}" for _ in range(size)]
+                copy = edited(rng, words, kind, max(1, int(size * share)))
+                pairs.append((len(rows), kind, similarity(words, copy)))
+                rows += [(len(rows) + k, " ".join(t), "en", "s", 1, "b", "x", "r") for k, t in enumerate((words, copy))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for first, kind, found in pairs:
+        assert first in kept and (first + 1 in kept) == (found < 0.8), (kind, found)
+    for kind in ("appended", "cut", "scattered", "moved"):
+        assert {int(s * 20) for _, k, s in pairs if k == kind} >= {16, 17, 18}
+
+
+def test_keep_one_of_groups(spark):
+    """Of groups of near copies one stays where links join them all; nothing unlike all that stay goes."""
     rng = random.Random(4)
     rows, group = [], []
     for g in range(60):
-        text = " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([4, 60, 200, 500])))
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([4, 60, 200, 500]))]
         for k in range(rng.choice([1, 1, 3, 8])):
-            rows.append((len(rows), near_copies(rng, text, 0 if k == 0 else rng.randint(0, max(1, len(text.split()) // 45))), "en", "s", 1, "b", "x", "r"))
+            copy = words if k == 0 else edited(rng, words, "scattered", rng.randint(0, max(1, len(words) // 9)))
+            rows.append((len(rows), " ".join(copy), "en", "s", 1, "b", "x", "r"))
             group.append(g)
-    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/d")
-    kept = {r.doc_id for r in simhash.keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     texts = [r[1].encode() for r in rows]
     for i in set(range(len(rows))) - kept:
         assert any(alike(texts[i], texts[j]) for j in range(len(rows)) if j != i and group[j] == group[i])
     assert {group[i] for i in kept} == set(group)
-    left = [(i, j) for i, j in itertools.combinations(sorted(kept), 2) if group[i] == group[j] and alike(texts[i], texts[j])]
-    links = sum(group[i] == group[j] and alike(texts[i], texts[j]) for i, j in itertools.combinations(range(len(rows)), 2))
-    assert links > 100 and len(left) <= 0.03 * links
+    assert not [(i, j) for i, j in itertools.combinations(sorted(kept), 2) if group[i] == group[j] and alike(texts[i], texts[j])]
 
 
-def test_keep_one_tells_rows_apart_by_place(spark, tmp_path):
+def test_keep_one_knows_rows_by_their_words(spark, tmp_path):
     """Repeated and missing ids never take an unlike text along."""
     x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
     for n, (rows, want) in enumerate([([(5, x), (5, y), (7, z)], [(5, x), (5, y), (7, z)]), ([(3, x), (5, x), (5, y)], [(3, x), (5, y)]), ([(None, x), (None, x), (None, y), (4, y)], [(None, x), (4, y)])]):
