@@ -31,6 +31,7 @@ import math
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ FIRST_BLOCKS = 4
 #: Terms that more of the entries hold have a place for every entry.
 FREQUENT = 0.04
 THRESHOLD = 0.3
-REMEMBERED = 500_000
+REMEMBERED, REMEMBERED_TEXTS = 500_000, 20_000
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -123,16 +124,13 @@ class Terms(dict):
         words = Counter(text.lower().split())
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        numbers, counts, unknown = [], [], 0
-        for word, n in words.items():
-            if found := self[word]:
-                numbers += found
-                counts += [n] * len(found)
-            else:
-                unknown += n * n
-        terms, inverse = np.unique(np.array(numbers, np.int64), return_inverse=True)
-        weights = np.bincount(inverse, weights=counts, minlength=len(terms)) * self.weights[terms]
-        length = sum(words.values()) / WORDS_PER_TERM * math.log(2)
+        found = list(map(self.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        n = np.fromiter(words.values(), np.float64, len(found))
+        terms, inverse = np.unique(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), return_inverse=True)
+        weights = np.bincount(inverse, weights=np.repeat(n, sizes), minlength=len(terms)) * self.weights[terms]
+        unknown = float((n[sizes == 0] ** 2).sum())
+        length = float(n.sum()) / WORDS_PER_TERM * math.log(2)
         norm = math.sqrt(float(weights @ weights) + unknown * self.unknown**2 + length * length)
         return np.append(terms, len(self.weights)), np.append(weights, length) / norm
 
@@ -158,7 +156,8 @@ class BlockMaxIndex:
         full = often[terms]
         self.whole = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
         self.whole[self.row[terms[full]], entries[full]] = weights[full]
-        self.whole_most = self.whole.reshape(len(self.whole), self.n_blocks, BLOCK).max(axis=2) if n_entries else np.zeros((len(self.whole), 0))
+        #: Room for the rows of a query's frequent terms; made where it is used, never sent.
+        self.taken = None
         terms, entries, weights = terms[~full], entries[~full], weights[~full]
         order = np.lexsort((entries, terms))
         terms, self.entries, self.weights = terms[order], entries[order].astype(np.int32), weights[order]
@@ -172,40 +171,38 @@ class BlockMaxIndex:
         self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) of the k nearest, nearest first, ties by place."""
+        """(entries, cosines) of the k nearest, nearest first, ties by place.
+
+        What the frequent terms give every entry is known at once; a block's bound is the most of that and of its other postings.
+        """
         rows = self.row[terms]
         often = rows >= 0
         rows, heavy, terms, weights = rows[often], weights[often], terms[~often], weights[~often]
+        if self.taken is None:
+            self.taken = np.empty_like(self.whole)
+        score = heavy @ np.take(self.whole, rows, axis=0, out=self.taken[: len(rows)], mode="clip")
         at, of = _ranges(self.of_term[terms], self.of_term[terms + 1])
         block, weight = self.block[at], weights[of]
-        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks) + heavy @ self.whole_most[rows]
-        score = np.zeros(self.n_blocks * BLOCK)
-        order = np.argsort(-bounds, kind="stable")
+        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks) + score.reshape(-1, BLOCK).max(axis=1)
         first = np.zeros(self.n_blocks, bool)
-        first[order[:FIRST_BLOCKS]] = True
-        self._add(score, first, rows, heavy, at, block, weight)
+        first[np.argpartition(bounds, -FIRST_BLOCKS)[-FIRST_BLOCKS:] if len(bounds) > FIRST_BLOCKS else slice(None)] = True
+        self._add(score, first, at, block, weight)
         reached = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        self._add(score, ~first & (bounds >= reached - 1e-12), rows, heavy, at, block, weight)
-        score = np.round(score, 12)
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        best = np.flatnonzero(score >= max(least, 1e-12))
-        best = best[np.argsort(-score[best], kind="stable")][:k]
-        return best, score[best]
-
-    def _add(self, score: np.ndarray, blocks: np.ndarray, rows: np.ndarray, heavy: np.ndarray, at: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
-        """The dot products with all entries of the chosen blocks."""
-        which = np.flatnonzero(blocks)
-        if not len(which):
-            return
+        self._add(score, ~first & (bounds >= reached - 1e-12), at, block, weight)
+        # Of the blocks left out no entry reaches that.
+        maybe = np.flatnonzero(score >= max(reached - 1e-11, 1e-13))
+        found = np.round(score[maybe], 12)
+        best = np.argsort(-found, kind="stable")[:k]
+        best = best[found[best] >= 1e-12]
+        return maybe[best], found[best]
+
+    def _add(self, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
+        """What the other terms give the entries of the chosen blocks."""
         chosen = blocks[block]
         here = at[chosen]
-        place, of = _ranges(self.begins[here], self.begins[here + 1])
-        score += np.bincount(self.entries[place], weights=self.weights[place] * weight[chosen][of], minlength=len(score))
-        if 2 * len(which) > self.n_blocks:
-            found = (heavy @ self.whole[rows]).reshape(-1, BLOCK)[which]
-        else:
-            found = np.tensordot(heavy, self.whole.reshape(len(self.whole), -1, BLOCK)[np.ix_(rows, which)], 1)
-        score.reshape(-1, BLOCK)[which] += found
+        if len(here):
+            place, of = _ranges(self.begins[here], self.begins[here + 1])
+            score += np.bincount(self.entries[place], weights=self.weights[place] * weight[chosen][of], minlength=len(score))
 
 
 class Classifier:
@@ -222,6 +219,7 @@ class Classifier:
         order = np.lexsort((rows.column("text_key").to_numpy(), heaviest)) if len(rows) else np.zeros(0, np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+        self.seen: dict[int, tuple] = {}
         self.index = BlockMaxIndex(flat, np.repeat(place, sizes), weights, len(terms.weights) + 1, len(order))
         self.n, self.toxic, self.keys = (rows.column(c).to_numpy()[order] for c in ("n", "toxic", "text_key"))
         self.ids = rows.column("doc_id").take(pa.array(order)).to_pylist()
@@ -240,6 +238,14 @@ class Classifier:
         evidence = [(self.ids[p], float(c)) for p, c in zip(place[:3].tolist(), cosine)]
         return float((weight * self.toxic[place] / self.n[place]).sum() / weight.sum()), evidence
 
+    def scored(self, text: bytes, text_key: int) -> tuple[float | None, list]:
+        """The votes on a text; those on some texts are remembered, for copies."""
+        if text_key not in self.seen:
+            if len(self.seen) >= REMEMBERED_TEXTS:
+                self.seen.clear()
+            self.seen[text_key] = self.votes(*self.terms.vector(text), text_key)
+        return self.seen[text_key]
+
 
 def calibrated(vote: float | None, curve: tuple[list[float], list[float]], blank: float) -> float:
     if vote is None or not curve[0]:
@@ -315,7 +321,7 @@ def _scores(shared, curve, blank: float, kind: pa.DataType):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [model.votes(*model.terms.vector(t), k) for t, k in zip(b.column("body").to_pylist(), b.column("text_key").to_pylist())]
+            found = [model.scored(t, k) for t, k in zip(b.column("body").to_pylist(), b.column("text_key").to_pylist())]
             score = pa.array([calibrated(vote, curve, blank) for vote, _ in found], pa.float64())
             evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in found], entry)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), score, evidence], names=["doc_id", "score", "evidence"])
