@@ -32,6 +32,8 @@ MEASURES = struct(
 RIGHT_ANGLE_TOLERANCE_DEG = 25.0
 #: Keeps mixed sums of round numbers off the middle between two roundings.
 MIX = 0.7310585786
+#: Decimals of a footprint's area: a limit met exactly doesn't depend on a rotation's last bits.
+AREA_DECIMALS = 6
 # A hipped roof's height, when a footprint is square, how far a ridge may leave it.
 HIP_HEIGHT_M, SQUARE_SHARE, RIDGE_MARGIN = 3.0, 0.15, 0.1
 
@@ -69,6 +71,11 @@ class Lists:
 
 
 def _signed_areas(x: np.ndarray, y: np.ndarray, rings: Lists) -> np.ndarray:
+    """About each ring's first vertex: far from the origin the products' last bits would be as large as small rings' areas allow."""
+    if not len(x):
+        return np.zeros(len(rings.n))
+    first = np.minimum(rings.starts, len(x) - 1)[rings.of]
+    x, y = x - x[first], y - y[first]
     return rings.sum(x * y[rings.next] - x[rings.next] * y) / 2
 
 
@@ -120,7 +127,7 @@ def ring_measures(outer: pa.Array, holes: pa.Array) -> pa.Array:
     many = np.maximum(n, 1)
     return _struct(
         rings.null,
-        area=outer_area - _hole_areas(holes), outer_area=outer_area, perimeter=rings.sum(length), bbox=_struct(min_x=x0, min_y=y0, max_x=x1, max_y=y1),
+        area=np.round(outer_area - _hole_areas(holes), AREA_DECIMALS), outer_area=outer_area, perimeter=rings.sum(length), bbox=_struct(min_x=x0, min_y=y0, max_x=x1, max_y=y1),
         vertices=n.astype(np.int32), convex=convex, rectangle_like=rectangle, axis_deg=axis, centroid=_struct(x=rings.sum(x) / many, y=rings.sum(y) / many),
         obb=_struct(length=u1 - u0, width=v1 - v0, center_x=mid_u * c - mid_v * s, center_y=mid_u * s + mid_v * c),
     )

@@ -124,3 +124,19 @@ def test_runway_tag_before_distance(spark):
     frame = spark.createDataFrame([("1200 m",), ("x",), (None,)], "tag string")
     got = [r[0] for r in frame.select(places.runway_length(F.col("tag"), F.lit(45.0), F.lit(15.0), F.lit(45.01), F.lit(15.0))).collect()]
     assert got == pytest.approx([1200.0, 1113.2, 1113.2])
+
+
+def test_areas_at_their_limits(spark):
+    """Rotated houses of exactly 360 and 300 square metres have those areas wherever they stand."""
+    from terralith.functions import roofs
+
+    rows = []
+    for k, (width, height, limits) in enumerate([(20, 18, None), (24, 15, None), (15, 20, roofs.CLI_HOUSE)] * 40):
+        c, s = ((1, 0), (0.6, 0.8), (5 / 13, 12 / 13), (8 / 17, 15 / 17))[k % 4]
+        x0, y0 = (k * 7919) % 5760 - 2880 + k / 7, (k * 104729) % 5760 - 2880 - k / 3
+        ring = [{"x": x0 + c * u - s * v, "y": y0 + s * u + c * v} for u, v in ((0, 0), (width, 0), (width, height), (0, height))]
+        rows.append((k, ring, [], width * height))
+    kind = "array<struct<x double, y double>>".replace("x double", "x: double").replace("y double", "y: double")
+    table = spark.createDataFrame(rows, f"k int, outer {kind}, holes array<{kind}>, exact int")
+    found = fo.measured(table).select("k", "area", "exact", roofs.house_scale(F.col("area"), F.col("obb_length"), F.col("obb_width"), F.col("aspect")).alias("scale")).collect()
+    assert all(r.area == r.exact and r.scale == "ok" for r in found)
