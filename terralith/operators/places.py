@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geo, rings, tags
+from terralith.shared import written
 
 # How good an airport's source is, and lengths.
 SOURCE_RANK = {"runway": 3, "runway_disused": 2, "aerodrome": 1}
@@ -107,10 +108,31 @@ def point_model(kind: Column, height: Column, material: Column) -> Column:
     return F.struct(F.when(kind == "chimney", chimney).otherwise(mast).alias("model"), (metres / native).alias("scale"))
 
 
+def first_fit(conflicts: DataFrame) -> DataFrame:
+    """(way): those that a pass in order turns down, which takes each way that no way taken before conflicts with.
+
+    ``conflicts`` has (before, way), before coming first. Ways are settled in rounds, all at
+    once: a way is taken as soon as no open way before it conflicts, and turns down those
+    after it. A round settles at least the first way of every chain, so there are half as many
+    rounds as the longest chain has ways; each is written, and works on what is still open.
+    """
+    open_, turned_down = written(conflicts.select("before", "way").distinct(), "conflicts"), None
+    nothing = open_.select("way").limit(0)
+    while not open_.isEmpty():
+        taken = open_.select("before").distinct().join(open_.select(F.col("way").alias("before")), "before", "left_anti")
+        gone = written(open_.join(taken, "before", "left_semi").select("way").distinct(), "turned-down")
+        turned_down = gone if turned_down is None else turned_down.unionByName(gone)
+        left = open_.join(taken, "before", "left_anti").join(gone, "way", "left_anti").join(gone.withColumnRenamed("way", "before"), "before", "left_anti")
+        open_ = written(left.select("before", "way"), "conflicts")
+    return nothing if turned_down is None else turned_down
+
+
 def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Ways (patch_id, way_id, nth, ring) without those around an accepted node (patch_id, x, y), then without those around an earlier way's centre.
+    """Ways (patch_id, way_id, nth, ring) that a pass in the order of nth accepts: those around no accepted node
+    (patch_id, x, y) and around the centre of no way accepted before.
 
-    Ways are listed in the cells that their boxes touch, points in their own.
+    A way that isn't accepted suppresses nothing, so chains are settled in order (``first_fit``);
+    nth is unique in a patch. Ways are listed in the cells that their boxes touch, points in their own.
     """
     def listed(df: DataFrame) -> DataFrame:
         box = df.select("patch_id", "way_id", "nth", "ring", F.inline(F.array(F.struct(rings.bbox(F.col("ring")).alias("box")))))
@@ -124,10 +146,11 @@ def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFra
     key, cells = ["patch_id", "way_id"], ["patch_id", "gx", "gy"]
     around = rings.inside_winding(F.col("ring"), F.col("x"), F.col("y"))
     here = listed(ways).join(celled(nodes), cells).where(around).select(*key).distinct()
-    free = ways.join(here, key, "left_anti")
+    free = written(ways.join(here, key, "left_anti"), "free-ways")
     centre = free.select("patch_id", F.col("nth").alias("before"), rings.closed_mean(F.col("ring")).alias("c")).select("patch_id", "before", "c.x", "c.y")
-    later = listed(free).join(celled(centre), cells).where((F.col("before") < F.col("nth")) & around).select(*key).distinct()
-    return free.join(later, key, "left_anti")
+    met = listed(free).join(celled(centre), cells).where((F.col("before") < F.col("nth")) & around)
+    later = first_fit(met.select(F.struct("patch_id", F.col("before").alias("nth")).alias("before"), F.struct("patch_id", "nth").alias("way")))
+    return free.join(later.select("way.patch_id", "way.nth"), ["patch_id", "nth"], "left_anti").select(*ways.columns)
 
 
 def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralith.functions import geo
+from terralith.functions import geo, rings
 from terralith.operators import elements as el
+from terralith.operators import footprints as fo
 from terralith.operators import places, terrain
 from terralith.plans.derived import FOOTPRINTS_SQL, ML_SQL, footprints, patch_name, table
 from terralith.sources import readers
@@ -212,27 +213,67 @@ SELECT kind, n, CASE WHEN kind = 0 THEN n ELSE 0 END AS chimney, CASE WHEN kind
   CASE WHEN kind = 5 THEN n ELSE 0 END AS runway, CASE WHEN kind = 5 THEN n ELSE 0 END AS disused FROM e""")
 
 
+def ways(spark, sf, times: float = 1.0) -> DataFrame:
+    """Footprints as ways, ``times`` as large about the mean of their corners."""
+    own = footprints(spark, sf).select("patch_id", F.col("osm_id").alias("way_id"), F.col("k").alias("nth"), F.col("outer").alias("ring"))
+    if times == 1.0:
+        return own
+    mid = fo.computed(own, {"mid": rings.vertex_mean(F.col("ring"))})
+    wide = F.transform("ring", lambda p: F.struct((F.col("mid.x") + (p["x"] - F.col("mid.x")) * times).alias("x"), (F.col("mid.y") + (p["y"] - F.col("mid.y")) * times).alias("y")))
+    return mid.withColumn("ring", wide).drop("mid")
+
+
 def j13_quiet_ways(spark, sf):
-    ways = footprints(spark, sf).select("patch_id", F.col("osm_id").alias("way_id"), F.col("k").alias("nth"), F.col("outer").alias("ring"))
-    return places.quiet_ways(ways, supports(spark, sf).select("patch_id", F.col("px").alias("x"), F.col("py").alias("y"))).select("way_id")
+    return places.quiet_ways(ways(spark, sf), _points(spark, sf)).select("way_id")
+
+
+def j13_dense_ways(spark, sf):
+    """Ways eleven times as long and wide, so that many lie around others' centres and chains of them form."""
+    return places.quiet_ways(ways(spark, sf, DENSE), _points(spark, sf), 100.0).select("way_id")
+
+
+DENSE = 11.0
+
+
+def _points(spark, sf) -> DataFrame:
+    return supports(spark, sf).select("patch_id", F.col("px").alias("x"), F.col("py").alias("y"))
 
 
 _TURNS = (
     "sum(CASE WHEN y <= {py} AND y2 > {py} AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) > 0 THEN 1 WHEN y > {py} AND y2 <= {py} "
     "AND (x2 - x) * ({py} - y) - ({px} - x) * (y2 - y) < 0 THEN -1 ELSE 0 END) <> 0"
 )
-add("j13_quiet_ways", j13_quiet_ways, f"""{FOOTPRINTS_SQL}, {POINTS_SQL},
-ct AS (SELECT patch_id, osm_id, osm_id::BIGINT AS k, (sum(x) + max(x) FILTER (pos = 0)) / (count(*) + 1) AS cx, (sum(y) + max(y) FILTER (pos = 0)) / (count(*) + 1) AS cy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rv WHERE ring_no = 0 GROUP BY patch_id, osm_id),
+
+
+def quiet_sql(times: float) -> str:
+    """The rounds of settled ways as a recursion over one row, whose lists hold the open conflicts and the ways turned down."""
+    wide = lambda c, m: f"m{m} + ({c} - m{m}) * {times}::DOUBLE" if times != 1 else c
+    return f"""RECURSIVE {FOOTPRINTS_SQL}, {POINTS_SQL},
+mid AS (SELECT osm_id, avg(x) AS mx, avg(y) AS my FROM rv WHERE ring_no = 0 GROUP BY osm_id),
+we AS (SELECT patch_id, osm_id, pos, {wide('x', 'x')} AS x, {wide('y', 'y')} AS y, {wide('x2', 'x')} AS x2, {wide('y2', 'y')} AS y2 FROM edges JOIN mid USING (osm_id) WHERE ring_no = 0),
+ct AS (SELECT patch_id, osm_id, osm_id::BIGINT AS k, (sum(x) + max(x) FILTER (pos = 0)) / (count(*) + 1) AS cx, (sum(y) + max(y) FILTER (pos = 0)) / (count(*) + 1) AS cy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM we GROUP BY patch_id, osm_id),
 h1 AS (
-  SELECT e.osm_id FROM ct JOIN pt ON ct.patch_id = pt.patch_id AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 JOIN edges e ON e.osm_id = ct.osm_id AND ring_no = 0
+  SELECT e.osm_id FROM ct JOIN pt ON ct.patch_id = pt.patch_id AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 JOIN we e ON e.osm_id = ct.osm_id
   GROUP BY e.osm_id, point_id, px, py HAVING {_TURNS.format(px='px', py='py')}
 ),
 fr AS (SELECT * FROM ct WHERE osm_id NOT IN (SELECT osm_id FROM h1)),
-h2 AS (
-  SELECT e.osm_id FROM fr JOIN fr c ON c.patch_id = fr.patch_id AND c.k < fr.k AND c.cx BETWEEN fr.x0 AND fr.x1 AND c.cy BETWEEN fr.y0 AND fr.y1 JOIN edges e ON e.osm_id = fr.osm_id AND ring_no = 0
-  GROUP BY e.osm_id, c.k, c.cx, c.cy HAVING {_TURNS.format(px='c.cx', py='c.cy')}
+cf AS (
+  SELECT c.k AS a, fr.k AS b FROM fr JOIN fr c ON c.patch_id = fr.patch_id AND c.k < fr.k AND c.cx BETWEEN fr.x0 AND fr.x1 AND c.cy BETWEEN fr.y0 AND fr.y1 JOIN we e ON e.osm_id = fr.osm_id
+  GROUP BY fr.k, c.k, c.cx, c.cy HAVING {_TURNS.format(px='c.cx', py='c.cy')}
+),
+st AS (
+  SELECT 0 AS nth, coalesce(list({{'a': a, 'b': b}}), []) AS es, []::BIGINT[] AS gone FROM cf
+  UNION ALL
+  SELECT nth + 1, list_filter(es, lambda e: NOT list_contains(now, e.a) AND NOT list_contains(now, e.b) AND NOT list_contains(free, e.a)), list_concat(gone, now)
+  FROM (SELECT *, list_distinct(list_transform(list_filter(es, lambda e: list_contains(free, e.a)), lambda e: e.b)) AS now
+    FROM (SELECT nth, es, gone, list_filter(list_distinct(list_transform(es, lambda e: e.a)), lambda n: NOT list_contains(later, n)) AS free
+      FROM (SELECT *, list_distinct(list_transform(es, lambda e: e.b)) AS later FROM st WHERE len(es) > 0)))
 )
-SELECT osm_id AS way_id FROM fr WHERE osm_id NOT IN (SELECT osm_id FROM h2)""")
+SELECT osm_id AS way_id FROM fr WHERE NOT list_contains((SELECT gone FROM st ORDER BY nth DESC LIMIT 1), k)"""
+
+
+add("j13_quiet_ways", j13_quiet_ways, quiet_sql(1.0))
+add("j13_dense_ways", j13_dense_ways, quiet_sql(DENSE))
 
 
 # Airports

@@ -1,6 +1,7 @@
 """Readers on small files, sinks and the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,41 @@ def test_chimney_way_round_a_chimney_node_goes(spark):
     ways = spark.createDataFrame([("p", "1", 1, ring(0.0)), ("p", "2", 2, ring(10.0)), ("p", "3", 3, ring(11.0))], "patch_id string, way_id string, nth int, ring array<struct<x:double,y:double>>")
     nodes = spark.createDataFrame([("p", 1.0, 1.0)], "patch_id string, x double, y double")
     assert [r.way_id for r in places.quiet_ways(ways, nodes).collect()] == ["2"]
+
+
+def _ring(x, y, half):
+    return [{"x": x + u, "y": y + v} for u, v in ((-half, -half), (half, -half), (half, half), (-half, half))]
+
+
+WAYS = "patch_id string, way_id string, nth long, ring array<struct<x: double, y: double>>"
+
+
+def test_suppressed_ways_suppress_nothing(spark):
+    """A's centre lies in B, B's in C, A's not in C: A and C stay. So does D, around C's centre only if C were gone."""
+    ways = [("p", "A", 1, _ring(0, 0, 1)), ("p", "B", 2, _ring(3, 0, 4)), ("p", "C", 3, _ring(6, 0, 4)), ("p", "D", 4, _ring(6, 0, 1)), ("q", "A", 1, _ring(0, 0, 1))]
+    nodes = spark.createDataFrame([("r", 0.0, 0.0)], "patch_id string, x double, y double")
+    found = places.quiet_ways(spark.createDataFrame(ways, WAYS), nodes)
+    assert sorted((r.patch_id, r.way_id) for r in found.collect()) == [("p", "A"), ("p", "C"), ("q", "A")]
+    assert found.columns == ["patch_id", "way_id", "nth", "ring"]
+    assert places.quiet_ways(spark.createDataFrame([], WAYS), nodes).count() == 0
+
+
+def test_quiet_ways_equal_a_pass_in_order(spark):
+    """Ten thousand dense ways, with long chains among them, against a loop."""
+    rng = random.Random(8)
+    ways = [("p", str(k), k, _ring(rng.uniform(0, 2000), rng.uniform(0, 2000), rng.uniform(2, 40))) for k in range(9960)]
+    ways += [("p", f"c{k}", 20000 + k, _ring(5000 + 3 * k, 0, 4)) for k in range(40)]
+    nodes = [("p", rng.uniform(0, 2000), rng.uniform(0, 2000)) for _ in range(200)]
+    taken, cells = [], {}
+    listed = lambda x, y: cells.setdefault((x // 50, y // 50), [])
+    for _, x, y in nodes:
+        listed(x, y).append((x, y))
+    for _, name, _, ring in ways:
+        (x0, y0), (x1, y1) = ((f(p[a] for p in ring) for a in "xy") for f in (min, max))
+        near = (p for gx in range(int(x0 // 50), int(x1 // 50) + 1) for gy in range(int(y0 // 50), int(y1 // 50) + 1) for p in cells.get((gx, gy), []))
+        if not any(x0 < x < x1 and y0 < y < y1 for x, y in near):
+            taken.append(name)
+            mid = [(ring[0][a] + sum(p[a] for p in ring)) / 5 for a in "xy"]
+            listed(*mid).append(tuple(mid))
+    found = places.quiet_ways(spark.createDataFrame(ways, WAYS).repartition(4), spark.createDataFrame(nodes, "patch_id string, x double, y double"))
+    assert sorted(r.way_id for r in found.collect()) == sorted(taken) and 100 < len(taken) < 9000
