@@ -60,7 +60,7 @@ CELL = 256
 LONGEST = 16
 #: A comparison costs as much as so many index hits per token of the set.
 COMPARE = 0.25
-BATCH_BYTES, SEGMENT_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, SEGMENT_BYTES = 8 << 20, 8 << 20
 
 
 def needed(n, percent: int = PERCENT):
@@ -138,11 +138,14 @@ def _ask(segments: int, shingle: int):
 def _answer(key, table):
     """The counts over all batches of each batch's keys of one segment, in the order sent."""
     sent = [_unpack(x) for x in table.column("keys").to_pylist()]
-    keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
-    n = np.concatenate([_from_planes(x) for x in table.column("n").to_pylist()])
-    df = np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)[inverse]
-    df = np.minimum(df, 0xFFFFFFFF)
     cuts = np.cumsum([0, *map(len, sent)]).tolist()
+    keys = np.concatenate(sent)
+    del sent
+    order = np.argsort(keys)
+    first = _first(keys[order])
+    n = np.concatenate([_from_planes(x) for x in table.column("n").to_pylist()])
+    df = np.empty(len(keys), np.uint32)
+    df[order] = np.minimum(np.add.reduceat(n[order], np.flatnonzero(first), dtype=np.int64), 0xFFFFFFFF).astype(np.uint32)[np.cumsum(first, dtype=np.uint32) - 1]
     return pa.table({"batch": table.column("batch"), "part": table.column("part"), "df": pa.array([_planes(df[a:z]) for a, z in zip(cuts, cuts[1:])], pa.binary())})
 
 
