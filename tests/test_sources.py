@@ -128,7 +128,7 @@ def test_chimney_way_round_a_chimney_node_goes(spark):
 
 
 def _ring(x, y, half):
-    return [{"x": x + u, "y": y + v} for u, v in ((-half, -half), (half, -half), (half, half), (-half, half))]
+    return [{"x": float(x + u), "y": float(y + v)} for u, v in ((-half, -half), (half, -half), (half, half), (-half, half))]
 
 
 WAYS = "patch_id string, way_id string, nth long, ring array<struct<x: double, y: double>>"
@@ -155,7 +155,7 @@ def test_quiet_ways_equal_a_pass_in_order(spark):
     for _, x, y in nodes:
         listed(x, y).append((x, y))
     for _, name, _, ring in ways:
-        (x0, y0), (x1, y1) = ((f(p[a] for p in ring) for a in "xy") for f in (min, max))
+        x0, y0, x1, y1 = [f(p[a] for p in ring) for f in (min, max) for a in "xy"]
         near = (p for gx in range(int(x0 // 50), int(x1 // 50) + 1) for gy in range(int(y0 // 50), int(y1 // 50) + 1) for p in cells.get((gx, gy), []))
         if not any(x0 < x < x1 and y0 < y < y1 for x, y in near):
             taken.append(name)
