@@ -25,7 +25,11 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def measured(buildings: DataFrame) -> DataFrame:
     """Adds area, perimeter, box, vertex count, convexity, oriented box, fill, aspect and has_holes to (outer, holes)."""
     kept = buildings.select("*", kernels.ring_measures("outer", "holes").alias("measures"))
-    found = kept.select("*", "measures.*", (F.size("holes") > 0).alias("has_holes")).drop("measures")
+    return shaped(kept.select("*", "measures.*", (F.size("holes") > 0).alias("has_holes")).drop("measures"))
+
+
+def shaped(found: DataFrame) -> DataFrame:
+    """Adds the oriented box's sides, aspect and fill to ring measures."""
     long, short = F.greatest("obb.length", "obb.width"), F.least("obb.length", "obb.width")
     # Rounded, so that a limit met exactly doesn't depend on the last bits of a rotation.
     aspect, fill = F.when(short > 1e-9, long / short).otherwise(F.lit(float("inf"))), F.try_divide(F.col("area"), long * short)
