@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geo, rings, tags
+from terralith.operators import elements
 from terralith.shared import written
 
 # How good an airport's source is, and lengths.
@@ -25,6 +26,30 @@ def upsert_airports(registry: DataFrame, found: DataFrame) -> DataFrame:
     return both.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "known")
 
 
+def merged_airports(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """Both tables (name .. source, version, patch_id) with one entry a name: the best source, then the earliest version, the first patch, the longest.
+
+    What an upsert in order of the versions would leave, but the same in whatever order tables are merged, and however often.
+    """
+    first = Window.partitionBy("name").orderBy(F.desc(source_rank(F.col("source"))), "version", "patch_id", F.desc("length_m"), "lat", "lon")
+    both = registry.unionByName(found).where("name IS NOT NULL")
+    return both.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+
+
+def extract_airports(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(patch_id, name, length_m, lat, lon, source) of a map's aerodromes, and of its runways by their names (or refs)."""
+    named = F.coalesce(F.col("tags")["name"], F.col("tags")["ref"], F.lit("airport"))
+    aerodrome = nodes.where(elements.is_aerodrome(F.col("tags"))).select("patch_id", named.alias("name"), F.lit(DEFAULT_RUNWAY_M).alias("length_m"), "lat", "lon", F.lit("aerodrome").alias("source"))
+    runways = ways.where(elements.is_runway(F.col("tags")))
+    points = elements.way_points(runways, nodes).groupBy("patch_id", "way_id").agg(
+        F.min_by(F.struct("lat", "lon"), "pos").alias("a"), F.max_by(F.struct("lat", "lon"), "pos").alias("b"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")
+    )
+    metres = runway_length(F.col("tags")["length"], F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    source = F.when(elements.is_disused(F.col("tags")), "runway_disused").otherwise("runway")
+    runway = runways.join(points, ["patch_id", "way_id"]).select("patch_id", named.alias("name"), metres.alias("length_m"), "lat", "lon", source.alias("source"))
+    return aerodrome.unionByName(runway.where(F.col("length_m") >= SHORTEST_M))
+
+
 def longest_runways(runways: DataFrame) -> DataFrame:
     """Per name the longest active runway, or else the longest disused one; without any, the default length."""
     first = Window.partitionBy("name").orderBy(F.col("source") == "aerodrome", F.col("source") != "runway", F.desc("length_m"))

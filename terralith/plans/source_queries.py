@@ -54,15 +54,19 @@ def _tag_lines(tags) -> F.Column:
     return F.array_join(one, "")
 
 
-def s1_map_elements(spark, sf):
-    """Nodes, ways and relations of each patch as a map extract."""
-    nodes, ways, relations = elements(spark, sf)
+def element_lines(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """(patch_id, value, kind): elements as lines of a map extract."""
     node = nodes.select("patch_id", F.format_string('<node id="%s" lat="%s" lon="%s"/>', "node_id", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("value"), F.lit(0).alias("kind"))
     refs = F.array_join(F.transform("refs", lambda r: F.format_string('<nd ref="%s"/>', r)), "")
     way = ways.select("patch_id", F.format_string('<way id="%s">%s%s</way>', "way_id", refs, _tag_lines(F.col("tags"))).alias("value"), F.lit(1).alias("kind"))
     members = F.array_join(F.transform("members", lambda m: F.format_string('<member type="%s" ref="%s" role="%s"/>', m["type"], m["ref"], m["role"])), "")
     relation = relations.select("patch_id", F.format_string('<relation id="%s">%s%s</relation>', "rel_id", members, _tag_lines(F.col("tags"))).alias("value"), F.lit(2).alias("kind"))
-    path = by_patch(as_extract(node.unionByName(way).unionByName(relation)), folder(spark, "map"), ["kind", "value"])
+    return node.unionByName(way).unionByName(relation)
+
+
+def s1_map_elements(spark, sf):
+    """Nodes, ways and relations of each patch as a map extract."""
+    path = by_patch(as_extract(element_lines(*elements(spark, sf))), folder(spark, "map"), ["kind", "value"])
     n, w, r = readers.read_map_elements(spark, path + "/*/*")
     counts = lambda df, kind, size, total: df.groupBy("patch_id").agg(F.count("*").alias("n"), F.sum(size).cast("bigint").alias("parts"),
         F.round(F.sum(total), 3).alias("total")).withColumn("kind", F.lit(kind))

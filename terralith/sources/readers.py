@@ -26,14 +26,15 @@ def _tags() -> F.Column:
     return F.map_from_entries(F.transform(last, lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value"))))
 
 
-def read_map_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, ways, relations) of map extracts; the patch id is taken from the file name."""
+def read_map_elements(spark: SparkSession, path: str | list[str], with_path: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, ways, relations) of map extracts; the patch id is taken from the file name. ``with_path``: with the file's path."""
+    own = ["patch_id", *([F.input_file_name().alias("path")] if with_path else [])]
     xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("patch_id", _patch_of_file())
-    nodes = xml("node", f"_id string, _lat double, _lon double, {TAG}").select("patch_id", F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), _tags().alias("tags"))
+    nodes = xml("node", f"_id string, _lat double, _lon double, {TAG}").select(*own, F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), _tags().alias("tags"))
     refs = F.transform(F.coalesce("nd", F.array().cast("array<struct<_ref:string>>")), lambda n: n["_ref"])
-    ways = xml("way", f"_id string, nd array<struct<_ref:string>>, {TAG}").select("patch_id", F.col("_id").alias("way_id"), refs.alias("refs"), _tags().alias("tags"))
+    ways = xml("way", f"_id string, nd array<struct<_ref:string>>, {TAG}").select(*own, F.col("_id").alias("way_id"), refs.alias("refs"), _tags().alias("tags"))
     members = F.transform("member", lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("ref"), F.coalesce(m["_role"], F.lit("")).alias("role")))
-    relations = xml("relation", f"_id string, member array<struct<_type:string,_ref:string,_role:string>>, {TAG}").select("patch_id", F.col("_id").alias("rel_id"), members.alias("members"), _tags().alias("tags"))
+    relations = xml("relation", f"_id string, member array<struct<_type:string,_ref:string,_role:string>>, {TAG}").select(*own, F.col("_id").alias("rel_id"), members.alias("members"), _tags().alias("tags"))
     return nodes, ways, relations
 
 
