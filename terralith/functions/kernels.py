@@ -331,3 +331,35 @@ def inside_samples(outer: pa.Array, holes: pa.Array, step: pa.Array) -> pa.Array
     px, py = np.concatenate([px, corner_x[kept]])[order], np.concatenate([py, corner_y[kept]])[order]
     ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(rings.n))))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _struct(px=px, py=py))
+
+
+VERTEX_DECIMALS = 4
+CORNERS = T.ArrayType(struct(corner=T.IntegerType(), x=REAL, y=REAL, z=REAL))
+
+
+def rounded_corners(corners: pa.Array) -> tuple[Lists, list[np.ndarray]]:
+    """(the faces as lists, their corners' x, y, z as vertices have them: no negative zeros)."""
+    faces = Lists(corners, ("x", "y", "z"))
+    return faces, [np.round(v, VERTEX_DECIMALS) + 0.0 for v in faces.fields]
+
+
+def first_corners(faces: Lists, points: list[np.ndarray]) -> np.ndarray:
+    """Which corners are the first of their face at their point, in faces that have three points or more."""
+    order = np.lexsort((*points, faces.of))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([v[order][1:] != v[order][:-1] for v in (faces.of, *points)], axis=0)
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    return first & (np.bincount(faces.of[first], minlength=len(faces.n)) >= 3)[faces.of]
+
+
+@F.arrow_udf(CORNERS)
+def distinct_corners(corners: pa.Array) -> pa.Array:
+    """Each face's corners at different points, by their places in the face; none of faces that have under three."""
+    faces, points = rounded_corners(corners)
+    kept = first_corners(faces, points)
+    place = (np.arange(len(faces.of)) - faces.starts[faces.of])[kept].astype(np.int32)
+    flat = pa.StructArray.from_arrays([pa.array(place), *(pa.array(v[kept]) for v in points)], names=["corner", "x", "y", "z"])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(faces.of[kept], minlength=len(faces.n)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)

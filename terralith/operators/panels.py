@@ -8,11 +8,16 @@ of floors, pitched roofs a slice, flat roofs metres along the longest edge.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralith.functions import geo, kernels, rings, tags
 from terralith.operators.footprints import computed
+from terralith.operators.numbering import numbered
+from terralith.shared import written
 
 SHORTEST_M, FIRST_FLOORS, MORE_FLOORS = 0.01, 4, 3
 GABLE_M, OVERHANG_M, ACROSS = 3.0, 0.5, 0.3
@@ -208,20 +213,89 @@ def one_side(faces: DataFrame) -> DataFrame:
     return faces.withColumn("vertex_set", key).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("vertex_set", "nth")
 
 
+def indexed_corners(faces: DataFrame, group: list[str], face: list[str], together: bool = False) -> DataFrame:
+    """Corners of the faces of small groups, such as buildings: (group, face, corner, vertex_id, x, y, z, own).
+
+    Vertices are numbered from 1 within a group by (x, y, z) at 4 decimals; ``own`` marks one row for each
+    vertex, whose corner is null where no face that stays has it. Repeated corners and faces left with under 3 are
+    gone. One shuffle of whole faces by group, none where the faces of a group already stand ``together``,
+    as those made from a building's row do; a batch of faces is then numbered at once.
+    """
+    keys = list(dict.fromkeys([*group, *face]))
+    rows = faces.select(*keys, "corners")
+    if not together:
+        rows = rows.repartition(*group).sortWithinPartitions(*group)
+    schema = rows.drop("corners").schema
+    for name, kind in (("corner", "integer"), ("vertex_id", "long"), ("x", "double"), ("y", "double"), ("z", "double"), ("own", "boolean")):
+        schema = schema.add(name, kind)
+
+    def numbered_(table: pa.Table) -> pa.RecordBatch:
+        changed = np.zeros(table.num_rows, bool)
+        for g in group:
+            values = table.column(g).combine_chunks()
+            changed[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        which = np.cumsum(changed)
+        lists, points = kernels.rounded_corners(table.column("corners"))
+        stays, owner = kernels.first_corners(lists, points), which[lists.of]
+        # By group and point, those that stay before those that go.
+        order = np.lexsort((~stays, *points[::-1], owner))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([v[order][1:] != v[order][:-1] for v in (owner, *points)], axis=0)
+        begin = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        nth = np.cumsum(new)
+        number, own = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+        number[order] = nth - np.repeat(nth[begin] - 1, np.diff(np.append(begin, len(order))))
+        own[order[new]] = True
+        kept = np.flatnonzero(stays | own)
+        of = pa.array(lists.of[kept])
+        place = pa.array((np.arange(len(stays)) - lists.starts[lists.of])[kept].astype(np.int32), mask=~stays[kept])
+        columns = [table.column(k).combine_chunks().take(of) for k in keys]
+        return pa.RecordBatch.from_arrays([*columns, place, pa.array(number[kept]), *(pa.array(v[kept]) for v in points), pa.array(own[kept])], names=schema.names)
+
+    def number(batches):
+        """Groups go on into the next batch, so a batch's last group waits for it."""
+        held: list[pa.RecordBatch] = []
+        last = lambda b: tuple(b.column(g)[b.num_rows - 1].as_py() for g in group)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and tuple(batch.column(g)[0].as_py() for g in group) != last(held[-1]):
+                yield numbered_(pa.Table.from_batches(held))
+                held = []
+            cut = batch.num_rows - 1
+            end = last(batch)
+            while cut > 0 and tuple(batch.column(g)[cut - 1].as_py() for g in group) == end:
+                cut -= 1
+            if cut:
+                yield numbered_(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield numbered_(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(number, schema)
+
+
 def shared_vertices(faces: DataFrame, group: list[str], face: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(vertices, corners) at 4 decimals: vertices numbered from 1 within ``group``; repeated corners and faces left with under 3 go."""
-    flat = faces.select(*dict.fromkeys([*group, *face]), F.posexplode("corners").alias("corner", "p"))
-    rounded = flat.select("*", *[(F.bround(f"p.{c}", 4) + F.lit(0.0)).alias(c) for c in "xyz"]).drop("p")
-    number = F.row_number().over(Window.partitionBy(*group).orderBy("x", "y", "z"))
-    vertices = rounded.select(*group, "x", "y", "z").distinct().withColumn("vertex_id", number)
-    first = rounded.groupBy(*dict.fromkeys([*group, *face]), "x", "y", "z").agg(F.min("corner").alias("corner"))
-    sized = first.withColumn("n", F.count("*").over(Window.partitionBy(*dict.fromkeys([*group, *face])))).where("n >= 3").drop("n")
-    return vertices, sized.join(vertices, [*group, "x", "y", "z"]).select(*dict.fromkeys([*group, *face]), "corner", "vertex_id")
+    """(vertices, corners) at 4 decimals: vertices numbered from 1 within ``group``; repeated corners and faces left with under 3 go.
+
+    Groups of buildings are numbered by ``indexed_corners``. Larger ones may be most of all
+    corners: there corners are sifted face by face, the distinct points of a group are numbered by
+    ranges, and corners get their numbers by a join on the points.
+    """
+    keys = list(dict.fromkeys([*group, *face]))
+    if "osm_id" in group:
+        indexed = written(indexed_corners(faces, group, face), "corners")
+        return indexed.where("own").select(*group, "x", "y", "z", "vertex_id"), indexed.where("corner IS NOT NULL").select(*keys, "corner", "vertex_id")
+    sifted = written(faces.select(*keys, F.inline(kernels.distinct_corners("corners"))), "corners")
+    every = faces.select(*group, F.inline(F.transform("corners", lambda p: F.struct(*[(F.bround(p[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"]))))
+    vertices = numbered(every.distinct(), group, ["x", "y", "z"], "vertex_id")
+    return vertices, sifted.join(vertices, [*group, "x", "y", "z"]).select(*keys, "corner", "vertex_id")
 
 
 def export_offsets(counts: DataFrame) -> DataFrame:
     """(patch_id, lod, grp, n, first): where each group's numbers begin, in export order (rest, turbines, transmitters, pylons; names within)."""
-    rank = F.when(F.col("grp").startswith("wind_turbine"), 1).when(F.col("grp").isin("transmitter", "condor_transmitter"), 2).when(F.col("grp") == "pylones", 3).otherwise(0)
+    rank = F.when(F.col("grp").startswith("wind_turbine"), 1).when(F.col("grp").isin("transmitter", "transmitter_tower"), 2).when(F.col("grp") == "pylones", 3).otherwise(0)
     before = Window.partitionBy("patch_id", "lod").orderBy(rank, "grp").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
 
@@ -267,10 +341,10 @@ def numbered_for_export(vertices: DataFrame, corners: DataFrame) -> tuple[DataFr
     first = export_offsets(counts).select("patch_id", "lod", "grp", F.col("first").alias("first_vertex"))
     textures = export_offsets(corners.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))).select("patch_id", "lod", "grp", F.col("first").alias("first_uv"))
     group = ["patch_id", "lod", "grp"]
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy("osm_id", "ring_no", "pos", "part", "corner"))
-    numbered = vertices.join(first, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).drop("first_vertex")
-    placed = corners.join(first, group).join(textures, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).withColumn("uv_index", nth + F.col("first_uv") - 1)
-    return numbered, placed.drop("first_vertex", "first_uv")
+    indexed = vertices.join(first, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).drop("first_vertex")
+    nth = numbered(corners, group, ["osm_id", "ring_no", "pos", "part", "corner"], "uv_index")
+    placed = nth.join(first, group).join(textures, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).withColumn("uv_index", F.col("uv_index") + F.col("first_uv") - 1)
+    return indexed, placed.drop("first_vertex", "first_uv")
 
 
 def texture_for(grp: Column, patch_id: Column, orthophoto: bool = False) -> Column:

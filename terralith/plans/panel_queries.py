@@ -193,9 +193,9 @@ add("g7_flat_polygons", g7_flat_polygons, f"{FLAT_SQL}, fc AS (FROM fr) {SUMS_SQ
 
 
 def g8_shared_vertices(spark, sf):
-    vertices, corners = pa.shared_vertices(pa.floor_panels(built(spark, sf)), ["patch_id", "osm_id"], ["osm_id", "ring_no", "pos", "part"])
-    used = corners.groupBy("osm_id").agg(F.count("*").alias("corners"), F.sum("vertex_id").alias("sum_of_ids"))
-    return vertices.groupBy("osm_id").agg(F.count("*").alias("vertices")).join(used, "osm_id")
+    found = pa.indexed_corners(pa.floor_panels(built(spark, sf)), ["patch_id", "osm_id"], ["osm_id", "ring_no", "pos", "part"], together=True)
+    held = F.col("corner").isNotNull()
+    return found.groupBy("osm_id").agg(F.count_if("own").alias("vertices"), F.count_if(held).alias("corners"), F.sum(F.when(held, F.col("vertex_id"))).alias("sum_of_ids"))
 
 
 add("g8_shared_vertices", g8_shared_vertices, """
