@@ -48,8 +48,8 @@ SHORT = 25_000
 SEARCHES = ((2, 64), (4, 16), (1, 1024))
 #: A sequence with more than this part of it empty is part-filled.
 PART_FILLED = 32
-#: Words a worker remembers.
-REMEMBERED = 1_000_000
+#: Words a worker remembers: some 100 MB of it.
+REMEMBERED = 500_000
 
 
 class WordIds(dict):
@@ -88,10 +88,7 @@ def word_ids(tokenizer: str) -> WordIds:
         import public_tokenizers
 
         _WORDS[tokenizer] = WordIds(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-    known = _WORDS[tokenizer]
-    if len(known) > REMEMBERED:
-        known.clear()
-    return known
+    return _WORDS[tokenizer]
 
 
 def _cut(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
@@ -102,6 +99,8 @@ def _cut(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
             known = word_ids(tokenizer)
             which, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, text in enumerate(b.column("body").to_pylist()):
+                if len(known) > REMEMBERED:
+                    known.clear()
                 whole = b"".join(map(known.__getitem__, text.split())) + end
                 for at in range(0, len(whole), 4 * capacity):
                     part = whole[at : at + 4 * capacity]
