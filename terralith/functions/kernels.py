@@ -33,7 +33,7 @@ RIGHT_ANGLE_TOLERANCE_DEG = 25.0
 #: Keeps mixed sums of round numbers off the middle between two roundings.
 MIX = 0.7310585786
 #: Decimals of a footprint's area: a limit met exactly doesn't depend on a rotation's last bits.
-AREA_DECIMALS = 6
+AREA_DECIMALS = 9
 # A hipped roof's height, when a footprint is square, how far a ridge may leave it.
 HIP_HEIGHT_M, SQUARE_SHARE, RIDGE_MARGIN = 3.0, 0.15, 0.1
 

@@ -101,7 +101,7 @@ rv0 AS (
 rv AS (SELECT patch_id, osm_id, ring_no, pos, p.x AS x, p.y AS y FROM rv0),
 edges AS (
   SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2,
-    coalesce(lag(x) OVER w, last_value(x) OVER f) AS x0, coalesce(lag(y) OVER w, last_value(y) OVER f) AS y0
+    coalesce(lag(x) OVER w, last_value(x) OVER f) AS x0, coalesce(lag(y) OVER w, last_value(y) OVER f) AS y0, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy
   FROM rv WINDOW w AS (PARTITION BY osm_id, ring_no ORDER BY pos), f AS (PARTITION BY osm_id, ring_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 )
 """

@@ -26,7 +26,7 @@ def _full(spark, sf):
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)
 
 MEASURES_SQL = """
-, shoelace AS (SELECT osm_id, ring_no, sum(x * y2 - x2 * y) / 2 AS sa, sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))) AS per, count(*) AS n, min(x) AS min_x,
+, shoelace AS (SELECT osm_id, ring_no, sum((x - fx) * (y2 - fy) - (x2 - fx) * (y - fy)) / 2 AS sa, sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))) AS per, count(*) AS n, min(x) AS min_x,
   max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, avg(x) AS mx, avg(y) AS my,
     bool_and(((x - x0) * (y2 - y) - (y - y0) * (x2 - x)) > 0) OR bool_and(((x - x0) * (y2 - y) - (y - y0) * (x2 - x)) < 0) AS convex,
     bool_and(abs(acos(greatest(-1, least(1,
@@ -38,7 +38,7 @@ turned AS (SELECT rv.osm_id, raw - floor(raw / 180) * 180 AS axis_deg,
   max(x * cos(radians(raw)) + y * sin(radians(raw))) - min(x * cos(radians(raw)) + y * sin(radians(raw))) AS ol,
   max(y * cos(radians(raw)) - x * sin(radians(raw))) - min(y * cos(radians(raw)) - x * sin(radians(raw))) AS ow FROM rv JOIN axis USING (osm_id) WHERE ring_no = 0
   GROUP BY ALL),
-m0 AS (SELECT fp.patch_id, fp.osm_id, fp.k, fp.has_hole, round(abs(o.sa) - coalesce(abs(i.sa), 0), 6) AS area, o.per AS perimeter, o.n AS vertices, o.min_x, o.max_x, o.min_y,
+m0 AS (SELECT fp.patch_id, fp.osm_id, fp.k, fp.has_hole, round(abs(o.sa) - coalesce(abs(i.sa), 0), 9) AS area, o.per AS perimeter, o.n AS vertices, o.min_x, o.max_x, o.min_y,
   o.max_y, o.mx, o.my, o.convex, o.n = 4 AND o.right_angles AS rect, t.axis_deg, round(greatest(ol, ow), 9) AS ol, round(least(ol, ow), 9) AS ow, round(greatest(ol,
   ow) / least(ol, ow), 9) AS aspect, ol * ow AS box, building_tag, levels_tag, height_tag, roof_shape_tag, roof_direction_tag, roof_angle_tag
   FROM fp JOIN shoelace o ON o.osm_id = fp.osm_id AND o.ring_no = 0 LEFT JOIN shoelace i ON i.osm_id = fp.osm_id AND i.ring_no = 1 JOIN turned t ON t.osm_id = fp.osm_id),
