@@ -2,17 +2,23 @@
 
 A pure point-in-triangle condition would be a nested loop. Both sides get a grid
 cell instead, so that it becomes an equi-join on (patch, cell): triangles are
-listed under each cell their box touches, points under their own.
+listed under each cell their box touches, points under their own. Buildings have many
+samples each; they meet the terrain in blocks, where an Arrow kernel finds all samples'
+triangles at once, and only a building's lowest and highest elevation leave.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terralith.functions import kernels, rings
+from terralith.functions import kernels
 
 HALF, CELL = 2880.0, 30.0
+#: The side of a block of terrain that one task holds with the buildings on it: some two thousand triangles of a 30 m grid.
+BLOCK = 960.0
 SINK, STEP = 0.3, 5.0
 EPS = 1e-9
 
@@ -55,16 +61,101 @@ def sample_grid(buildings: DataFrame, step: float = STEP) -> DataFrame:
     return found.select("patch_id", "osm_id", F.explode("samples").alias("p")).select("patch_id", "osm_id", "p.px", "p.py")
 
 
-def floors(buildings: DataFrame, triangles: DataFrame, sink: float = SINK, size: float = CELL) -> DataFrame:
-    """(patch_id, osm_id, floor_z, min_z, max_z, samples): the lowest terrain under a building, less the sink; 0 where there is no terrain."""
-    points = sample_grid(buildings)
-    known = elevations(points, triangles, ["patch_id", "osm_id", "px", "py"], size).groupBy("patch_id", "osm_id").agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count("*").alias("samples"))
-    # Buildings whose samples all miss the terrain are looked up by their vertex mean.
-    rest = buildings.join(known, ["patch_id", "osm_id"], "left_anti").select("patch_id", "osm_id", rings.vertex_mean(F.col("outer")).alias("m")).select("patch_id", "osm_id", F.col("m.x").alias("px"), F.col("m.y").alias("py"))
-    by_mean = elevations(rest, triangles, ["patch_id", "osm_id"], size).select("patch_id", "osm_id", F.col("z").alias("min_z"), F.col("z").alias("max_z"), F.lit(0).cast("bigint").alias("samples"))
-    every = buildings.select("patch_id", "osm_id").join(known.unionByName(by_mean), ["patch_id", "osm_id"], "left")
-    zero = F.lit(0.0)
-    return every.select("patch_id", "osm_id", F.coalesce(F.col("min_z") - sink, zero).alias("floor_z"), F.coalesce("min_z", zero).alias("min_z"), F.coalesce("max_z", zero).alias("max_z"), F.coalesce("samples", F.lit(0).cast("bigint")).alias("samples"))
+class Surface:
+    """Triangles (n, 3) of one block by grid cell, for elevations of many points at once; they needn't make a grid."""
+
+    def __init__(self, tri: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, size: float):
+        order = np.argsort(tri, kind="stable")
+        self.x, self.y, self.z, self.size = x[order], y[order], z[order], size
+        low_x, high_x, low_y, high_y = (np.floor(f(v, axis=1) / size).astype(np.int64) if len(v) else np.zeros(0, np.int64) for v in (self.x, self.y) for f in (np.min, np.max))
+        wide, tall = high_x - low_x + 1, high_y - low_y + 1
+        of = np.repeat(np.arange(len(order)), wide * tall)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(wide * tall) - wide * tall, wide * tall)
+        cells = self._cell(low_x[of] + k // tall[of], low_y[of] + k % tall[of])
+        by_cell = np.argsort(cells, kind="stable")
+        self.triangle = of[by_cell]
+        self.cells, self.begins = np.unique(cells[by_cell], return_index=True)
+        self.ends = np.append(self.begins[1:], len(cells))
+
+    @staticmethod
+    def _cell(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+        return (cx << 32) + cy
+
+    def elevations(self, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        """z of each point in its first triangle, borders included; NaN where it lies in none."""
+        out = np.full(len(px), np.nan)
+        if not len(self.cells) or not len(px):
+            return out
+        cell_ = self._cell(np.floor(px / self.size).astype(np.int64), np.floor(py / self.size).astype(np.int64))
+        at = np.minimum(np.searchsorted(self.cells, cell_), len(self.cells) - 1)
+        n = np.where(self.cells[at] == cell_, self.ends[at] - self.begins[at], 0)
+        point = np.repeat(np.arange(len(px)), n)
+        t = self.triangle[np.arange(len(point)) + np.repeat(self.begins[at] - np.cumsum(n) + n, n)]
+        x, y, z, qx, qy = self.x[t], self.y[t], self.z[t], px[point], py[point]
+        side = lambda a, b: (qx - x[:, b]) * (y[:, a] - y[:, b]) - (x[:, a] - x[:, b]) * (qy - y[:, b])
+        d = np.stack([side(0, 1), side(1, 2), side(2, 0)])
+        nx = (y[:, 1] - y[:, 0]) * (z[:, 2] - z[:, 0]) - (z[:, 1] - z[:, 0]) * (y[:, 2] - y[:, 0])
+        ny = (z[:, 1] - z[:, 0]) * (x[:, 2] - x[:, 0]) - (x[:, 1] - x[:, 0]) * (z[:, 2] - z[:, 0])
+        nz = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (y[:, 1] - y[:, 0]) * (x[:, 2] - x[:, 0])
+        hit = np.flatnonzero(~((d.min(axis=0) < -EPS) & (d.max(axis=0) > EPS)) & (np.abs(nz) > EPS))
+        # A point's triangles come in order, so its first hit counts.
+        found, first = np.unique(point[hit], return_index=True)
+        hit = hit[first]
+        out[found] = z[hit, 0] - (nx[hit] * (qx[hit] - x[hit, 0]) + ny[hit] * (qy[hit] - y[hit, 0])) / nz[hit]
+        return out
+
+
+BLOCK_ROWS = "patch_id string, osm_id string, low double, high double, n long, mean_z double"
+
+
+def _block_floors(step: float, size: float, block: float):
+    """Of a block's buildings: the lowest and highest elevation of their samples in it, how many have one, and that of their vertex mean if it lies in it."""
+
+    def in_block(key, buildings, triangles):
+        outer, n_rows = buildings.column("outer").combine_chunks(), buildings.num_rows
+        low, high, n, mean_z = np.full(n_rows, np.nan), np.full(n_rows, np.nan), np.zeros(n_rows, np.int64), np.full(n_rows, np.nan)
+        if n_rows and triangles.num_rows:
+            bx, by = key[1].as_py(), key[2].as_py()
+            corner = lambda a: np.column_stack([triangles.column(f"{a}{k}").to_numpy() for k in (1, 2, 3)])
+            ground = Surface(triangles.column("tri").to_numpy(), corner("x"), corner("y"), corner("z"), size)
+            here = lambda x, y: (np.floor(x / block) == bx) & (np.floor(y / block) == by)
+            samples = kernels.inside_samples.func(outer, buildings.column("holes").combine_chunks(), pa.array(np.full(n_rows, step)))
+            points = kernels.Lists(samples, ("px", "py"))
+            x, y = points.fields
+            kept = here(x, y)
+            # A box without width has its corners twice.
+            each = np.unique(np.column_stack([points.of[kept], x[kept], y[kept]]), axis=0) if kept.any() else np.zeros((0, 3))
+            z = ground.elevations(each[:, 1], each[:, 2])
+            of, z = each[~np.isnan(z), 0].astype(np.int64), z[~np.isnan(z)]
+            np.fmin.at(low, of, z)
+            np.fmax.at(high, of, z)
+            n = np.bincount(of, minlength=n_rows)
+            rings_ = kernels.Lists(outer, ("x", "y"))
+            mx, my = (rings_.sum(v) / np.maximum(rings_.n, 1) for v in rings_.fields)
+            own = np.flatnonzero(here(mx, my) & (rings_.n > 0))
+            mean_z[own] = ground.elevations(mx[own], my[own])
+        masked = lambda v: pa.array(v, mask=np.isnan(v))
+        return pa.table({"patch_id": buildings.column("patch_id"), "osm_id": buildings.column("osm_id"), "low": masked(low), "high": masked(high), "n": pa.array(n.astype(np.int64)), "mean_z": masked(mean_z)})
+
+    return in_block
+
+
+def floors(buildings: DataFrame, triangles: DataFrame, sink: float = SINK, size: float = CELL, block: float = BLOCK, step: float = STEP) -> DataFrame:
+    """(patch_id, osm_id, floor_z, min_z, max_z, samples): the lowest terrain under a building, less the sink; under its
+    vertex mean where no sample meets terrain; 0 where there is none.
+
+    Buildings and triangles are listed in the blocks that their boxes touch. What a task holds is one block of terrain
+    and the buildings on it, whatever a patch holds; one row a building and block leaves it.
+    """
+    bounds = lambda ring, axis: (F.array_min(F.transform(ring, lambda p: p[axis])), F.array_max(F.transform(ring, lambda p: p[axis])))
+    along = lambda low, high: F.explode_outer(F.sequence(cell(low, block), cell(high, block)))
+    listed = buildings.select("patch_id", "osm_id", "outer", "holes", along(*bounds("outer", "x")).alias("bx")).select("*", along(*bounds("outer", "y")).alias("by"))
+    ground = triangles_by_cell(triangles, block).withColumnsRenamed({"cx": "bx", "cy": "by"})
+    keys = ["patch_id", "bx", "by"]
+    found = listed.groupBy(*keys).cogroup(ground.groupBy(*keys)).applyInArrow(_block_floors(float(step), size, block), BLOCK_ROWS)
+    whole = found.groupBy("patch_id", "osm_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("samples"), F.max("mean_z").alias("mean_z"))
+    low, high, zero = F.coalesce("low", "mean_z"), F.coalesce("high", "mean_z"), F.lit(0.0)
+    return whole.select("patch_id", "osm_id", F.coalesce(low - sink, zero).alias("floor_z"), F.coalesce(low, zero).alias("min_z"), F.coalesce(high, zero).alias("max_z"), "samples")
 
 
 def feet(points: DataFrame, triangles: DataFrame, key: list[str], cross: float = 4.0, sink: float = SINK, edge: float = 1.0, size: float = CELL) -> DataFrame:

@@ -28,7 +28,7 @@ corner AS (
   SELECT patch_id, i, j, 100 + ((i * 37 + j * 91) % 50) / 10::DOUBLE + coalesce(n, 0) / 10::DOUBLE AS z
   FROM (SELECT * FROM (SELECT DISTINCT patch_id FROM oc), range({QUADS + 1}) a(i), range({QUADS + 1}) b(j)) LEFT JOIN bump USING (patch_id, i, j)
 ),
-qd AS (
+qd AS MATERIALIZED (
   SELECT a.patch_id, a.i, a.j, a.z AS za, b.z AS zb, c.z AS zc, d.z AS zd FROM corner a
   JOIN corner b ON b.patch_id = a.patch_id AND b.i = a.i + 1 AND b.j = a.j
   JOIN corner c ON c.patch_id = a.patch_id AND c.i = a.i + 1 AND c.j = a.j + 1

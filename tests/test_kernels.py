@@ -140,3 +140,70 @@ def test_areas_at_their_limits(spark):
     table = spark.createDataFrame(rows, f"k int, outer {kind}, holes array<{kind}>, exact int")
     found = fo.measured(table).select("k", "area", "exact", roofs.house_scale(F.col("area"), F.col("obb_length"), F.col("obb_width"), F.col("aspect")).alias("scale")).collect()
     assert all(r.area == r.exact and r.scale == "ok" for r in found)
+
+
+def test_block_elevations_equal_the_join(spark):
+    """A rough mesh of odd triangles with a gap: every building's floor as by a join of its samples to the triangles, over many blocks."""
+    rng = random.Random(6)
+    step, n = 40.0, 12
+    at = {(i, j): (i * step + rng.uniform(-15, 15) - 200, j * step + rng.uniform(-15, 15) - 200, rng.uniform(50, 90)) for i in range(n + 1) for j in range(n + 1)}
+    tri = []
+    for i in range(n):
+        for j in range(n):
+            a, b, c, d = at[i, j], at[i + 1, j], at[i + 1, j + 1], at[i, j + 1]
+            if (i, j) != (5, 5):
+                tri += [("p", len(tri), *a, *b, *c), ("p", len(tri) + 1, *a, *c, *d)]
+    names = ", ".join(f"{a}{k} double" for k in (1, 2, 3) for a in "xyz")
+    ground = spark.createDataFrame(tri, f"patch_id string, tri int, {names}")
+    rows = []
+    for k in range(120):
+        x, y, w, h = rng.uniform(-230, 280), rng.uniform(-230, 280), rng.uniform(1, 60), rng.uniform(1, 60)
+        ring = [{"x": x + u, "y": y + v} for u, v in ((0.0, 0.0), (w, 0.0), (w, h), (0.0, h))]
+        rows.append(("p" if k % 9 else "q", str(k), ring, []))
+    rows += [("p", "none", None, []), ("p", "empty", [], [])]
+    houses = spark.createDataFrame(rows, "patch_id string, osm_id string, outer array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
+    key = ["patch_id", "osm_id"]
+    joined = terrain.elevations(terrain.sample_grid(houses), ground, [*key, "px", "py"]).groupBy(*key).agg(F.min("z").alias("low"), F.max("z").alias("high"), F.count("*").alias("n"))
+    want = {r.osm_id: (r.low, r.high, r.n) for r in joined.collect()}
+    for block in (960.0, 50.0):
+        found = {r.osm_id: r for r in terrain.floors(houses, ground, block=block).collect()}
+        assert set(found) == {r[1] for r in rows} and len(want) > 60
+        for name, r in found.items():
+            if name in want:
+                assert (r.min_z, r.max_z, r.samples) == pytest.approx(want[name]) and r.floor_z == pytest.approx(want[name][0] - 0.3)
+            else:
+                assert r.samples == 0
+        assert found["none"].floor_z == found["empty"].floor_z == 0
+
+
+def test_numbers_without_sorting_a_group(spark):
+    from terralith.operators.numbering import numbered
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", "c"]), rng.randrange(10**6)) for _ in range(3000)] + [("d", 1)]
+    want = sorted((g, v, sorted(x for h, x in rows if h == g).index(v) + 1) for g, v in set(rows) if rows.count((g, v)) == 1)
+    got = {(r.g, r.v): r.nth for r in numbered(spark.createDataFrame(rows, "g string, v long").repartition(5), ["g"], ["v"]).collect()}
+    assert all(got[g, v] == n for g, v, n in want)
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_corners_of_small_groups(spark, together):
+    """Numbers and marks as by sorting each building's points; groups go over batches."""
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    rows, want = [], {}
+    for b in range(40):
+        points = [(round(rng.uniform(-5, 5), 3), round(rng.uniform(-5, 5), 3), float(rng.randrange(3))) for _ in range(6)]
+        faces = [[rng.choice(points) for _ in range(rng.choice([3, 4, 5]))] for _ in range(rng.choice([1, 3, 20]))]
+        number = {p: k for k, p in enumerate(sorted({p for f in faces for p in f}), 1)}
+        for k, f in enumerate(faces):
+            rows.append(("p", str(b), k, [{"x": x + 0.00001, "y": y, "z": z} for x, y, z in f]))
+        kept = sorted((k, f.index(p), number[p]) for k, f in enumerate(faces) if len(set(f)) >= 3 for p in set(f))
+        want[str(b)] = (len(number), kept)
+    faces = spark.createDataFrame(rows, "patch_id string, osm_id string, part int, corners array<struct<x:double,y:double,z:double>>").coalesce(1)
+    found = pa.indexed_corners(faces, ["patch_id", "osm_id"], ["osm_id", "part"], together).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for b, (n, kept) in want.items():
+        own = [r for r in found if r.osm_id == b]
+        assert sorted((r.part, r.corner, r.vertex_id) for r in own if r.corner is not None) == kept
+        assert sorted(r.vertex_id for r in own if r.own) == list(range(1, n + 1))
