@@ -15,6 +15,7 @@ from terralith.operators import footprints as fo
 from terralith.operators import panels as pa
 from terralith.plans.derived import FOOTPRINTS_SQL
 from terralith.plans.footprint_queries import CLASSES_SQL, _full
+from terralith.shared import written
 
 Q: dict = {}
 O: dict = {}  # noqa: E741
@@ -249,14 +250,15 @@ add("e4_one_sided", e4_one_sided, "SELECT osm_id, 2::BIGINT AS faces FROM b WHER
 def all_faces(spark, sf) -> DataFrame:
     """Walls and roofs of all buildings with their group: pitched roofs apart from the houses."""
     # Six kinds of faces come from the same classified buildings.
-    buildings = built(spark, sf).persist()
+    buildings = written(built(spark, sf), "built")
     wall, roof = fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), roofs.flat_bucket(F.col("seed")), folded=False)
     groups = buildings.select("patch_id", "osm_id", wall.alias("wall_group"), roof.alias("roof_group"))
     plain = lambda faces, part: faces.select("patch_id", "osm_id", F.lit(part).alias("ring_no"), *([c for c in ("pos", "part") if c in faces.columns]), "corners")
     walls = plain(pa.side_walls(buildings.where("actual_roof <> 'gabled'")), 0).unionByName(plain(pa.gable_walls(buildings.where("actual_roof = 'gabled'")), 0))
     tops = pa.gabled_roofs(buildings.where("actual_roof = 'gabled'")).unionByName(pa.hipped_roofs(buildings.where("actual_roof = 'hipped'")).drop("pyramid"))
-    flat = pa.flat_polygons(buildings.where("actual_roof = 'flat'")).where("ring_no = 0").withColumn("part", F.lit(0)).drop("ring_no")
-    tops = plain(tops.unionByName(flat), 1).withColumn("pos", F.lit(0))
+    # A flat roof's rings are faces next to each other, the outer one first, then its holes.
+    flat = pa.flat_polygons(buildings.where("actual_roof = 'flat'")).withColumn("part", F.lit(0)).withColumnRenamed("ring_no", "pos")
+    tops = plain(tops.withColumn("pos", F.lit(0)).unionByName(flat), 1)
     named = lambda faces, group: faces.join(groups.select("patch_id", "osm_id", F.col(group).alias("grp")), ["patch_id", "osm_id"])
     return named(walls, "wall_group").unionByName(named(tops, "roof_group")).withColumn("lod", F.lit(0))
 
@@ -264,7 +266,7 @@ def all_faces(spark, sf) -> DataFrame:
 def exported(spark, sf):
     """Group meshes with shared vertices, pitched roofs merged into the houses, numbered in export order."""
     group, face = ["patch_id", "lod", "grp"], ["osm_id", "ring_no", "pos", "part"]
-    vertices, corners = pa.shared_vertices(all_faces(spark, sf).persist(), group, face)
+    vertices, corners = pa.shared_vertices(written(all_faces(spark, sf), "faces"), group, face)
     merged = F.when(F.col("grp").isin("gabled_roofs_lod0", "hipped_roofs"), "houses").otherwise(F.col("grp"))
     place = F.when(F.col("grp") == "gabled_roofs_lod0", 1).when(F.col("grp") == "hipped_roofs", 2).otherwise(0)
     return pa.numbered_for_export(*pa.merged_groups(vertices, corners, merged, place))
@@ -284,7 +286,7 @@ EXPORT_SQL = f"""
 , sw AS ({SIDES_SQL} FROM we WHERE actual_roof <> 'gabled'
 ), every AS (
   SELECT osm_id, 0 AS ring, face, x, y, z, 'wall' AS what FROM sw UNION ALL SELECT osm_id, 0, face, x, y, z, 'wall' FROM gw
-  UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM gr UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM hr UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM fr WHERE face = 0
+  UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM gr UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM hr UNION ALL SELECT osm_id, 1, face, x, y, z, 'roof' FROM fr
 ), grouped AS (
   SELECT b.patch_id, osm_id, ring, face, round_even(x, 4) + 0 AS x, round_even(y, 4) + 0 AS y, round_even(z, 4) + 0 AS z,
     CASE WHEN what = 'wall' THEN CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wall_kind = 'highrise' THEN 'Highrise_walls' ELSE 'industrial_walls' END

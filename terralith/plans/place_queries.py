@@ -353,11 +353,11 @@ add("s6_airport_zones", s6_airport_zones, ZONES_SQL + " SELECT id, zone_m FROM z
 
 def j14_spans_in_zones(spark, sf):
     middles = supports(spark, sf).select("patch_id", "point_id", F.col("px").alias("mx"), F.col("py").alias("my"))
-    return places.in_any_zone(middles, zones(spark, sf).where("zone_m < 900")).select("point_id")
+    return places.in_any_zone(middles, zones(spark, sf)).select("point_id")
 
 
 add("j14_spans_in_zones", j14_spans_in_zones,
-    f"{POINTS_SQL}, {ZONES_SQL} SELECT point_id FROM pt WHERE EXISTS (SELECT 1 FROM zn WHERE zn.patch_id = pt.patch_id AND zone_m < 900 AND sqrt((px - zx) ** 2 + (py - zy) ** 2) <= zone_m)")
+    f"{POINTS_SQL}, {ZONES_SQL} SELECT point_id FROM pt WHERE EXISTS (SELECT 1 FROM zn WHERE zn.patch_id = pt.patch_id AND sqrt((px - zx) ** 2 + (py - zy) ** 2) <= zone_m)")
 
 
 def j15_runway_names(spark, sf):
