@@ -133,18 +133,35 @@ def ring_measures(outer: pa.Array, holes: pa.Array) -> pa.Array:
     )
 
 
-def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The convex hull, counter-clockwise: chains below and above the points sorted by x."""
-    def chain(ordered):
-        out: list[tuple[float, float]] = []
-        for p in ordered:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    ordered = sorted(set(points))
-    return ordered if len(ordered) < 3 else chain(ordered) + chain(ordered[::-1])
+def _chain(of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of points sorted by (ring, x, y) the places of each ring's lower hull, from its first to its last point.
+
+    In rounds, all at once: a point on or above the chord of its neighbours in the chain is above a
+    chord of two points of the ring, so it is no corner of the hull. When none is left the chain only turns left.
+    """
+    left = np.arange(len(x))
+    while True:
+        inner = np.zeros(len(left), bool)
+        inner[1:-1] = (of[left[1:-1]] == of[left[:-2]]) & (of[left[1:-1]] == of[left[2:]])
+        k = np.flatnonzero(inner)
+        p, q, r = left[k - 1], left[k], left[k + 1]
+        gone = k[(x[q] - x[p]) * (y[r] - y[p]) - (y[q] - y[p]) * (x[r] - x[p]) <= 0]
+        if not len(gone):
+            return left
+        left = np.delete(left, gone)
+
+
+def _hull_areas(of: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The hull's area of each of n rings, from all their points: what lies between its lower and its upper chain."""
+    out = np.zeros(n)
+    for sign in (1, -1):
+        order = np.lexsort((sign * y, x, of))
+        ring, px, py = of[order], x[order], sign * y[order]
+        chain = _chain(ring, px, py)
+        same = ring[chain[1:]] == ring[chain[:-1]]
+        a, b = chain[:-1][same], chain[1:][same]
+        out -= np.bincount(ring[a], weights=(px[b] - px[a]) * (py[a] + py[b]) / 2, minlength=n)
+    return out
 
 
 @F.arrow_udf(REAL)
@@ -155,10 +172,12 @@ def hull_area(outer: pa.Array) -> pa.Array:
     out = np.abs(_signed_areas(x, y, rings))
     turn = (x - x[rings.previous]) * (y[rings.next] - y) - (y - y[rings.previous]) * (x[rings.next] - x)
     mixed = rings.reduce(np.logical_or, turn > 0, False) & rings.reduce(np.logical_or, turn < 0, False)
-    for k in np.flatnonzero(mixed).tolist():
-        span = slice(rings.starts[k], rings.starts[k] + rings.n[k])
-        edge = hull(list(zip(x[span].tolist(), y[span].tolist())))
-        out[k] = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(edge, edge[1:] + edge[:1]))) / 2
+    if mixed.any():
+        number = np.cumsum(mixed) - 1
+        point = np.flatnonzero(mixed[rings.of])
+        of = rings.of[point]
+        first = rings.starts[of]
+        out[mixed] = _hull_areas(number[of], x[point] - x[first], y[point] - y[first], int(mixed.sum()))
     return pa.array(out, mask=rings.null.to_numpy(zero_copy_only=False))
 
 

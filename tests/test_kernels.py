@@ -45,13 +45,49 @@ def test_empty_and_null_rings(spark):
     assert got[99].m is None and got[99].hull is None and got[97].m.vertices == 0 and got[98].m.area == 0.0 and got[97].s == []
 
 
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The convex hull, counter-clockwise, by a plain loop."""
+    def chain(ordered):
+        out: list[tuple[float, float]] = []
+        for p in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ordered = sorted(set(points))
+    return ordered if len(ordered) < 3 else chain(ordered) + chain(ordered[::-1])
+
+
+def test_hulls_of_many_rings(spark):
+    """Random concave rings, with points in a row, on one spot and in a line, against the plain hull."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        n = rng.choice([3, 4, 5, 8, 20, 60])
+        x0, y0, grid = rng.uniform(-2880, 2880), rng.uniform(-2880, 2880), rng.random() < 0.4
+        points = []
+        for i in range(n):  # a star around a centre: concave, and simple
+            r, turn = rng.uniform(1, 30), 2 * math.pi * (i + rng.random() * 0.5) / n
+            x, y = x0 + r * math.cos(turn), y0 + r * math.sin(turn)
+            points.append((float(round(x)), float(round(y))) if grid else (x, y))
+        rows.append((k, points, []))
+    rows += [(400, [(1.0, 1.0)] * 5, []), (401, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (1.0, 1.0)], []), (402, [], [])]
+    got = {r.id: r.a for r in spark.createDataFrame(rows, RINGS).coalesce(1).select("id", kernels.hull_area("outer").alias("a")).collect()}
+    for k, points, _ in rows:
+        edge = hull(points)
+        x0, y0 = points[0] if points else (0.0, 0.0)
+        want = abs(sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(edge, edge[1:] + edge[:1]))) / 2
+        assert got[k] == pytest.approx(want, abs=1e-7), k
+
+
 def test_hull_of_an_ell_and_of_any_ring(spark):
     ell = (0, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, 4.0), (0.0, 4.0)], [])
     rows = fo.convexity(spark.createDataFrame([ell, *some_rings()[:60]], RINGS)).collect()
     assert {r.id: r for r in rows if r.hull_area == 14.0}[0].convexity_ratio == pytest.approx(12 / 14)
     for r in rows[1:]:
         points = [(p.x, p.y) for p in r.outer]
-        edge = kernels.hull(points)
+        edge = hull(points)
         assert set(edge) <= set(points) and all(any(abs(p[0] - q[0]) + abs(p[1] - q[1]) < 1e-12 for q in edge) or _within(edge, p) for p in points)
 
 
