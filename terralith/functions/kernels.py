@@ -382,3 +382,30 @@ def distinct_corners(corners: pa.Array) -> pa.Array:
     flat = pa.StructArray.from_arrays([pa.array(place), *(pa.array(v[kept]) for v in points)], names=["corner", "x", "y", "z"])
     offsets = np.concatenate([[0], np.cumsum(np.bincount(faces.of[kept], minlength=len(faces.n)))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
+def _any_inside(x: np.ndarray, y: np.ndarray, of: np.ndarray, rings: Lists) -> np.ndarray:
+    """Whether any point of each row (``of``: a point's row) lies in the row's ring, by the even-odd rule."""
+    n = rings.n[of]
+    point = np.repeat(np.arange(len(of)), n)
+    edge = np.arange(len(point)) + np.repeat(rings.starts[of] - np.cumsum(n) + n, n)
+    ex, ey = rings.fields
+    x1, y1, x2, y2, px, py = ex[edge], ey[edge], ex[rings.next[edge]], ey[rings.next[edge]], x[point], y[point]
+    spans = (y1 > py) != (y2 > py)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossed = spans & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    inside = np.bincount(point[crossed], minlength=len(of)) % 2 == 1
+    return np.bincount(of[inside], minlength=len(rings.n)) > 0
+
+
+@F.arrow_udf(T.BooleanType())
+def rings_overlap(one: pa.Array, other: pa.Array) -> pa.Array:
+    """Whether a vertex or the vertex mean of either ring lies in the other."""
+    a, b = Lists(one, ("x", "y")), Lists(other, ("x", "y"))
+    found = np.zeros(len(a.n), bool)
+    for holder, held in ((a, b), (b, a)):
+        rows = np.flatnonzero(held.n > 0)
+        mean = [held.sum(v)[rows] / held.n[rows] for v in held.fields]
+        points = [np.concatenate([v, m]) for v, m in zip(held.fields, mean)]
+        found |= _any_inside(*points, np.concatenate([held.of, rows]), holder)
+    return pa.array(found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralith.functions import geo, rings, tags
+from terralith.functions import geo, kernels, rings, tags
 from terralith.operators import elements
 from terralith.shared import written
 
@@ -181,18 +181,22 @@ def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFra
 def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFrame:
     """(patch_id, other_id) of the footprints of ``other`` that overlap one of ``base``: boxes meet, and a vertex or the centre of one lies in the other.
 
-    Both sides are (patch_id, osm_id, outer); they meet in the cells that their boxes touch.
+    Both sides are (patch_id, osm_id, outer). They meet in the cells that their boxes touch, and a pair is tested
+    in one of them only, that of the lower corner of what their boxes have in common.
     """
     def celled(df: DataFrame, name: str) -> DataFrame:
-        box = df.select("patch_id", F.col("osm_id").alias(f"{name}_id"), F.col("outer").alias(f"{name}_ring"), F.inline(F.array(F.struct(rings.bbox(F.col("outer")).alias(f"{name}_box"), rings.vertex_mean(F.col("outer")).alias(f"{name}_mid")))))
+        box = df.select("patch_id", F.col("osm_id").alias(f"{name}_id"), F.col("outer").alias(f"{name}_ring"), F.inline(F.array(F.struct(rings.bbox(F.col("outer")).alias(f"{name}_box")))))
         at = lambda side: F.floor(F.col(f"{name}_box.{side}") / cell).cast("int")
         wide = box.select("*", F.explode(F.sequence(at("min_x"), at("max_x"))).alias("gx"))
         return wide.select("*", F.explode(F.sequence(at("min_y"), at("max_y"))).alias("gy"))
 
     met = celled(base, "b").join(celled(other, "o"), ["patch_id", "gx", "gy"])
     boxes = (F.col("b_box.min_x") <= F.col("o_box.max_x")) & (F.col("b_box.max_x") >= F.col("o_box.min_x")) & (F.col("b_box.min_y") <= F.col("o_box.max_y")) & (F.col("b_box.max_y") >= F.col("o_box.min_y"))
-    holds = lambda a, b: rings.inside_even_odd(F.col(f"{a}_ring"), F.col(f"{b}_mid.x"), F.col(f"{b}_mid.y")) | F.exists(f"{b}_ring", lambda p: rings.inside_even_odd(F.col(f"{a}_ring"), p["x"], p["y"]))
-    return met.where(boxes).where(holds("b", "o") | holds("o", "b")).select("patch_id", F.col("o_id").alias("other_id")).distinct()
+    corner = lambda axis: F.floor(F.greatest(f"b_box.min_{axis}", f"o_box.min_{axis}") / cell).cast("int")
+    once = (F.col("gx") == corner("x")) & (F.col("gy") == corner("y"))
+    hit = met.where(boxes & once).select("patch_id", F.col("o_id").alias("other_id"), kernels.rings_overlap("b_ring", "o_ring").alias("hit")).where("hit")
+    # A footprint that overlaps several of the base is found with each.
+    return hit.groupBy("patch_id", "other_id").agg(F.lit(1).alias("one")).drop("one")
 
 
 def merged_sources(base: DataFrame, other: DataFrame) -> DataFrame:
