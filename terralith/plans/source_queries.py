@@ -140,6 +140,23 @@ add("s4_ml_footprints", s4_ml_footprints,
 SELECT points, count(*) AS n, round(sum(lon), 2) AS lon, round(sum(lat), 2) AS lat FROM r GROUP BY points""")
 
 
+def s4_footprints_in_patches(spark, sf):
+    """The same lines in thousandths, and those in the boxes of 25 strips that share their borders' neighbourhoods."""
+    ring = F.transform(F.concat("outer", F.slice("outer", 1, 1)), lambda p: F.array(p["x"] / 1000, p["y"] / 1000))
+    path = folder(spark, "footprints")
+    footprints(spark, sf).select(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry")).write.json(path)
+    strips = table(spark, sf, "nation").select(patch_name(F.col("n_nationkey")).alias("patch_id"), F.col("n_nationkey").alias("n"))
+    at = {"lat_min": F.lit(-1.0), "lat_max": F.lit(1.0), "lon_min": F.col("n") * 0.23 - 2.9, "lon_max": F.col("n") * 0.23 - 2.65}
+    found = readers.read_ml_footprints(spark, path, strips.select("patch_id", *[c.alias(k) for k, c in at.items()]))
+    return found.groupBy("patch_id").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 4).alias("lon"), F.round(F.sum("lat"), 4).alias("lat"))
+
+
+add("s4_footprints_in_patches", s4_footprints_in_patches,
+    FOOTPRINTS_SQL + """, r AS (SELECT osm_id, avg(x / 1000) AS lon, avg(y / 1000) AS lat FROM rv WHERE ring_no = 0 GROUP BY osm_id),
+s AS (SELECT printf('%03d%03d', n_nationkey % 5, n_nationkey // 5) AS patch_id, n_nationkey * 0.23::DOUBLE - 2.9::DOUBLE AS o0, n_nationkey * 0.23::DOUBLE - 2.65::DOUBLE AS o1 FROM nation)
+SELECT patch_id, count(*) AS n, round(sum(lon), 4) AS lon, round(sum(lat), 4) AS lat FROM r JOIN s ON lon BETWEEN o0 AND o1 AND lat BETWEEN -1 AND 1 GROUP BY patch_id""")
+
+
 def s5_tile_index(spark, sf):
     path = folder(spark, "tiles")
     k = F.col("c_custkey")

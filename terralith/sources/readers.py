@@ -62,14 +62,30 @@ def read_terrain(spark: SparkSession, path: str) -> DataFrame:
     return tri.drop("a", "b", "c")
 
 
-def read_ml_footprints(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of JSON lines: ring (lon, lat without the closing repeat) and its vertex mean; rings under 3 points go."""
+def in_boxes(points: DataFrame, patches: DataFrame) -> DataFrame:
+    """Points (lat, lon) with the patch_id of each patch whose box (lat_min .. lon_max) they lie in, borders included.
+
+    Boxes are listed in the cells of a tenth of a degree that they touch, points in their own.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) * 10).cast("int"), F.floor(F.col(high) * 10).cast("int")))
+    boxes = patches.select("patch_id", "lat_min", "lat_max", "lon_min", "lon_max", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
+    own = points.withColumns({"gy": F.floor(F.col("lat") * 10).cast("int"), "gx": F.floor(F.col("lon") * 10).cast("int")})
+    inside = own.join(boxes, ["gx", "gy"]).where(F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max")))
+    return inside.select("patch_id", *points.columns)
+
+
+def read_ml_footprints(spark: SparkSession, path: str, patches: DataFrame | None = None) -> DataFrame:
+    """Polygons of JSON lines: ring (lon, lat without the closing repeat) and its vertex mean; rings under 3 points go.
+
+    With ``patches`` (patch_id, lat_min .. lon_max) only those whose vertex mean lies in a patch's box, with its patch_id.
+    """
     raw = spark.read.schema("geometry struct<type:string,coordinates:array<array<array<double>>>>").json(path).where("geometry.type = 'Polygon'")
     ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     opened = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring"))
     rings = raw.select(ring.alias("ring")).where("size(ring) >= 3").select(opened.alias("ring")).where("size(ring) >= 3")
     mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ring")
-    return rings.select("ring", mean("x").alias("lon"), mean("y").alias("lat"))
+    found = rings.select("ring", mean("x").alias("lon"), mean("y").alias("lat"))
+    return found if patches is None else in_boxes(found, patches)
 
 
 def read_tile_index(spark: SparkSession, path: str) -> DataFrame:
@@ -87,12 +103,8 @@ def read_side_points(spark: SparkSession, path: str, known: DataFrame, patches:
     """Tagged nodes of a second extract that lie in a patch's box and aren't known yet."""
     nodes, _, _ = read_map_elements(spark, path)
     tagged = nodes.drop("patch_id").where(F.col("tags")[key] == value)
-    # Boxes are listed in the cells of a tenth of a degree that they touch.
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) * 10).cast("int"), F.floor(F.col(high) * 10).cast("int")))
-    boxes = patches.select("patch_id", "lat_min", "lat_max", "lon_min", "lon_max", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
-    own = tagged.withColumns({"gy": F.floor(F.col("lat") * 10).cast("int"), "gx": F.floor(F.col("lon") * 10).cast("int")})
-    inside = own.join(boxes, ["gx", "gy"]).where(F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max")))
-    return inside.select("patch_id", "node_id", "lat", "lon", "tags").join(known.select("node_id"), "node_id", "left_anti")
+    inside = in_boxes(tagged.select("node_id", "lat", "lon", "tags"), patches)
+    return inside.join(known.select("node_id"), "node_id", "left_anti").select("patch_id", "node_id", "lat", "lon", "tags")
 
 
 def patch_grid(spark: SparkSession, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
