@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralith.functions import tags
 from terralith.operators import places, terrain
 
 WAY = ["patch_id", "way_id"]
@@ -206,3 +207,37 @@ def carriers(points: DataFrame) -> DataFrame:
     items = paced.withColumns({"first": first, "last": last}).where("last >= first").select("*", F.explode(F.sequence("first", "last")).alias("item"))
     t = (F.col("item") * F.col("spacing") - F.col("from_m")) / F.col("len")
     return items.select(*run, "item", "leg", *[(F.col(c) + (F.col(f"{c}2") - F.col(c)) * t).alias(c) for c in "xyz"])
+
+
+def _placed_parts(points: DataFrame, parts: list[Column], key: list[str]) -> DataFrame:
+    """A row for each part that is placed at a point: lod, part, model, x, y, foot_z, yaw_deg, spin_deg, tilt_deg."""
+    return points.select(*key, "x", "y", "foot_z", "yaw_deg", F.inline(F.filter(F.array(*parts), lambda p: p.isNotNull())))
+
+
+def _part(lod: int, part: str, model: Column, spin: Column | None = None, tilt: Column | None = None, where: Column | None = None) -> Column:
+    zero = F.lit(0.0)
+    row = F.struct(F.lit(lod).alias("lod"), F.lit(part).alias("part"), model.alias("model"), (zero if spin is None else spin).alias("spin_deg"), (zero if tilt is None else tilt).alias("tilt_deg"))
+    return row if where is None else F.when(where, row)
+
+
+def power_placements(points: DataFrame) -> DataFrame:
+    """Pylons of power lines (points with kind and foot_z) at both levels of detail; small ones only at the first."""
+    model = F.concat(F.lit("Pylon_"), F.initcap("kind"))
+    own = with_yaw(placed(points)).where("placed")
+    return _placed_parts(own, [_part(0, "pylon", model), _part(1, "pylon", F.concat(model, F.lit("_Low")), where=F.col("kind") != "small")], [*WAY, "pos"])
+
+
+def lift_placements(points: DataFrame) -> DataFrame:
+    """Pylons of lifts (points with line_class, pylon and foot_z), along the line and alike at both levels; those of chair lifts have rollers that tilt with the cable."""
+    own = with_pitch(with_yaw(placed(points), across=False)).where("placed")
+    rollers = F.concat("pylon", F.lit("_Rollers"))
+    parts = [p for lod in (0, 1) for p in (_part(lod, "pylon", F.col("pylon")), _part(lod, "rollers", rollers, tilt=F.col("pitch_deg"), where=F.col("line_class") == "chair"))]
+    return _placed_parts(own, parts, [*WAY, "pos"])
+
+
+def turbine_placements(sites: DataFrame, key: list[str], yaw_deg: float = 0.0, half: float = terrain.HALF) -> DataFrame:
+    """Towers and blades of turbines (x, y, foot_z; ``key`` names them) inside their patch: one yaw for all, and each rotor at an angle of its own, by a hash of its key."""
+    own = sites.where((F.abs("x") <= half) & (F.abs("y") <= half)).withColumn("yaw_deg", F.lit(float(yaw_deg)))
+    spin = tags.variation(F.concat_ws("/", *key), 3600, "spin") / F.lit(10.0)
+    parts = [p for lod, low in ((0, ""), (1, "_Low")) for p in (_part(lod, "tower", F.lit(f"Wind_Turbine_Tower{low}")), _part(lod, "blades", F.lit(f"Wind_Turbine_Blades{low}"), spin=spin))]
+    return _placed_parts(own, parts, key)

@@ -210,6 +210,7 @@ def _balls_sql() -> str:
 
 def add_ball_queries() -> None:
     """Their SQL needs the terrain's, whose module needs this one's tables."""
+    Q["g11_turbine_placements"], O["g11_turbine_placements"] = g11_turbine_placements, f"WITH {_turbines_sql().strip()}"
     base = _balls_sql()
     add("g14_ball_modes", g14_ball_modes, "SELECT kind, wire, in_zone, spacing, count(*) AS n, round(sum(clearance), 2) AS clearance FROM bm GROUP BY kind, wire, in_zone, spacing", base)
     add("g14_marker_balls", g14_marker_balls, """
@@ -267,6 +268,51 @@ add("w11_pitch", w11_pitch, LIFTS_SQL + """
 SELECT way_id, pos, round(CASE WHEN run < 1e-6 THEN 0 ELSE degrees(atan2(dz, run)) END, 4) + 0 AS pitch_deg FROM df""")
 
 
+def _parts(placements):
+    return placements.select("lod", "part", "model", *[c for c in ("way_id", "pos", "point_id") if c in placements.columns], *[r4(F.col(c)).alias(c) for c in ("foot_z", "yaw_deg", "spin_deg", "tilt_deg")])
+
+
+def g11_power_placements(spark, sf):
+    return _parts(net.power_placements(drawn(spark, sf)))
+
+
+add("g11_power_placements", g11_power_placements, """
+SELECT lod, 'pylon' AS part, 'Pylon_' || upper(left(kind, 1)) || substr(kind, 2) || CASE lod WHEN 1 THEN '_Low' ELSE '' END AS model, way_id, pos, foot_z, round(yaw_deg, 4) + 0 AS yaw_deg,
+  0::DOUBLE AS spin_deg, 0::DOUBLE AS tilt_deg FROM yw JOIN lc USING (way_id), (VALUES (0), (1)) l(lod) WHERE placed AND power IN ('line', 'minor_line') AND coalesce(kv >= 1, TRUE) AND (lod = 0 OR kind <> 'small')""")
+
+
+def g11_lift_placements(spark, sf):
+    return _parts(net.lift_placements(lifts(spark, sf)))
+
+
+add("g11_lift_placements", g11_lift_placements, LIFTS_SQL + f"""
+, pt_ AS (SELECT lf.way_id, lf.pos, lf.pylon, lf.line_class, lf.foot_z, yw.yaw_deg - 90 AS yaw, pi_.pitch_deg FROM lf JOIN yw ON yw.way_id = lf.way_id AND yw.pos = lf.pos JOIN ({O["w11_pitch"]}) pi_ ON pi_.way_id = lf.way_id AND pi_.pos = lf.pos)
+SELECT lod, part, CASE part WHEN 'pylon' THEN pylon ELSE pylon || '_Rollers' END AS model, way_id, pos, round(foot_z, 4) + 0 AS foot_z, round(yaw - floor(yaw / 360) * 360, 4) + 0 AS yaw_deg, 0::DOUBLE AS spin_deg,
+  CASE part WHEN 'pylon' THEN 0 ELSE round(pitch_deg, 4) END::DOUBLE AS tilt_deg FROM pt_, (VALUES (0), (1)) l(lod), (VALUES ('pylon'), ('rollers')) p(part) WHERE part = 'pylon' OR line_class = 'chair'""")
+
+
+def g11_turbine_placements(spark, sf):
+    from terralith.operators import terrain
+    from terralith.plans import place_queries as pl
+
+    sites = pl.supports(spark, sf).where("kind = 'turbine'")
+    feet = terrain.feet(sites, pl.triangles(spark, sf), ["patch_id", "point_id"], size=pl.CELL_M)
+    placed = sites.join(feet, ["patch_id", "point_id"]).withColumnsRenamed({"px": "x", "py": "y"})
+    return _parts(net.turbine_placements(placed, ["point_id"]))
+
+
+def _turbines_sql() -> str:
+    from terralith.plans import place_queries as pl
+
+    return f"""{pl.POINTS_SQL}, {pl.TERRAIN_SQL},
+fv AS (SELECT patch_id, point_id, greatest(-2879, least(2879, px + unnest([0, 4, -4, 0, 0]))) AS px, greatest(-2879, least(2879, py + unnest([0, 0, 0, 4, -4]))) AS py FROM pt WHERE kind = 'turbine'), {pl.elevation_sql('fv', 'zz')},
+ft AS (SELECT point_id, round(coalesce(min(z) - 0.3, 0), 4) + 0 AS foot_z FROM zz GROUP BY point_id)
+SELECT lod, part, CASE part WHEN 'tower' THEN 'Wind_Turbine_Tower' ELSE 'Wind_Turbine_Blades' END || CASE lod WHEN 1 THEN '_Low' ELSE '' END AS model, point_id, foot_z, 0::DOUBLE AS yaw_deg,
+  CASE part WHEN 'tower' THEN 0 ELSE mod(('0x' || right(sha256(point_id || 'spin'), 8))::BIGINT & 2147483647, 3600) / 10 END::DOUBLE AS spin_deg, 0::DOUBLE AS tilt_deg
+FROM ft JOIN pt USING (point_id), (VALUES (0), (1)) l(lod), (VALUES ('tower'), ('blades')) p(part) WHERE abs(px) <= 2880 AND abs(py) <= 2880"""
+
+
+
 def w13_g15_carriers(spark, sf):
     found = net.carriers(lifts(spark, sf))
     return found.groupBy("way_id", "run_id", "leg").agg(F.count("*").alias("items"), F.max("item").alias("last_item"), *[F.round(F.sum(c), 2).alias(f"sum_{c}") for c in "xyz"])
