@@ -9,8 +9,9 @@ buckets, and reruns agree. Thresholds are quartile fences read from the
 sketches, and a join brings them back to the documents. Texts are read once; what was
 measured is written, some 60 bytes a document.
 
-A sketch of fewer than ``MIN_DOCS`` documents isn't used: its language's takes
-its place, or else that of all documents.
+A group's quartiles are drawn to those of its language, and a language's to those of all
+documents, as if ``PRIOR`` documents more were there: a group of a few documents takes its parent's
+nearly whole, a large one its own, and none changes its source at a size.
 
 Edge cases: null text has no words (base fails); null lang or source form groups
 of their own; repeated rows count repeatedly and get equal verdicts; an empty
@@ -30,8 +31,8 @@ from terralith.llm.common import text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: Sketches of fewer documents are too coarse to set a threshold.
-MIN_DOCS = 50
+#: Documents that a parent's quartiles count as in a group's.
+PRIOR = 50
 #: metric: (least spread between the quartiles, in its unit, whether low values fail too)
 METRICS = {"symbol_permille": (50, False), "dup_line_permille": (50, False), "repeat_permille": (30, False), "word_chars_x10": (5, True)}
 #: A fence lies this many spreads beyond its quartile.
@@ -121,37 +122,52 @@ def sketches(scored: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
-    """(lang, source, level, docs, <metric>_low, <metric>_high) from sketches."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, metric, docs, q1, q3) of sketches."""
     one = ["level", "lang", "source", "metric"]
     upto = Window.partitionBy(*one).orderBy("bucket")
-    total = Window.partitionBy(*one)
-    q = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(total))
+    q = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(Window.partitionBy(*one)))
     at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, F.col("bucket")))
-    quart = q.groupBy(*one, "docs").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3")).where(F.col("docs") >= min_docs)
-    least = F.create_map(*[x for m, (s, _) in METRICS.items() for x in (F.lit(m), F.lit(s))])
+    return q.groupBy(*one, "docs").agg(at(1).alias("q1"), at(3).alias("q3"))
+
+
+def fences(groups: DataFrame, sketch: DataFrame, prior: int = PRIOR, fence: int = FENCE) -> DataFrame:
+    """(lang, source, <metric>_low, <metric>_high) of every group: its quartiles drawn to its language's, which are drawn to those of all."""
+    known = quartiles(sketch)
+
+    def level(k: int) -> DataFrame:
+        names = {"lang": f"lang{k}", "source": f"source{k}", "metric": f"metric{k}", "docs": f"docs{k}", "q1": f"q1_{k}", "q3": f"q3_{k}"}
+        return known.where(F.col("level") == k).drop("level").withColumnsRenamed(names)
+
+    lang, source = F.col("lang").eqNullSafe(F.col("lang2")), F.col("source").eqNullSafe(F.col("source2"))
+    each = groups.select("lang", "source", F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"))
+    # Groups by metric are few; the joins' sides have a row a group and metric.
+    joined = each.join(level(0), F.col("metric") == F.col("metric0"), "left").join(level(1), F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("metric") == F.col("metric1")), "left")
+    joined = joined.join(level(2), lang & source & (F.col("metric") == F.col("metric2")), "left")
+
+    def drawn(side: str) -> Column:
+        parent = F.col(f"{side}_0")
+        for k in (1, 2):
+            n = F.coalesce(F.col(f"docs{k}"), F.lit(0))
+            parent = F.call_function("div", F.coalesce(F.col(f"{side}_{k}"), F.lit(0)) * n + parent * prior, n + prior)
+        return parent
+
+    least = F.create_map(*[x for m, (spread, _) in METRICS.items() for x in (F.lit(m), F.lit(spread))])
+    settled = joined.select("lang", "source", "metric", drawn("q1").alias("q1"), drawn("q3").alias("q3"))
     spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("metric")])
-    quart = quart.withColumns({"low": F.col("q1") - fence * spread, "high": F.col("q3") + fence * spread})
+    settled = settled.withColumns({"low": F.col("q1") - fence * spread, "high": F.col("q3") + fence * spread})
     picks = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
-    return quart.groupBy("level", "lang", "source").agg(*picks)
+    return settled.groupBy("lang", "source").agg(*picks)
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
+def judged(docs: DataFrame, prior: int = PRIOR, fence: int = FENCE) -> DataFrame:
     """doc_id, the base columns, base_failed and kept for every document."""
     scored = metrics(written(measured(docs), "measured"))
-    limits = fences(sketches(scored), min_docs, fence)
+    limits = fences(scored.select("lang", "source").distinct(), sketches(scored), prior, fence)
     names = [f"{m}_{s}" for m in METRICS for s in ("low", "high")]
-    packed = limits.select("level", F.col("lang").alias("l_lang"), F.col("source").alias("l_source"), F.struct(*names).alias("limit"))
-    level = lambda k: packed.where(F.col("level") == k).drop("level").withColumnRenamed("limit", f"limit{k}")
-    lang, source = F.col("lang").eqNullSafe(F.col("l_lang")), F.col("source").eqNullSafe(F.col("l_source"))
     # The thresholds of a group are settled group by group, so the documents are joined once.
-    groups = scored.select("lang", "source").distinct()
-    chosen = (
-        groups.join(level(2), lang & source, "left").drop("l_lang", "l_source")
-        .join(level(1).drop("l_source"), lang, "left").drop("l_lang")
-        .join(level(0).drop("l_lang", "l_source"), F.lit(True), "left")
-        .select(F.col("lang").alias("l_lang"), F.col("source").alias("l_source"), F.coalesce("limit2", "limit1", "limit0").alias("limit"))
-    )
+    chosen = limits.select(F.col("lang").alias("l_lang"), F.col("source").alias("l_source"), F.struct(*names).alias("limit"))
+    lang, source = F.col("lang").eqNullSafe(F.col("l_lang")), F.col("source").eqNullSafe(F.col("l_source"))
     inside = F.lit(True)
     for m, (_, low) in METRICS.items():
         inside &= F.col(m) <= F.col(f"limit.{m}_high")
@@ -166,7 +182,7 @@ def _oracle() -> str:
     least = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in METRICS.items())
     inside = " AND ".join(f"coalesce({m} <= max_{m}, TRUE)" + (f" AND coalesce({m} >= min_{m}, TRUE)" if low else "") for m, (_, low) in METRICS.items())
     pick = ", ".join(f"max(high) FILTER (metric = '{m}') AS max_{m}, max(low) FILTER (metric = '{m}') AS min_{m}" for m in METRICS)
-    names = ", ".join(f"coalesce(a.{s}_{m}, b.{s}_{m}, c.{s}_{m}) AS {s}_{m}" for m in METRICS for s in ("max", "min"))
+    drawn = lambda q: f"(coalesce(c.{q} * c.docs, 0) + {PRIOR} * ((coalesce(b.{q} * b.docs, 0) + {PRIOR} * a.{q}) // (coalesce(b.docs, 0) + {PRIOR}))) // (coalesce(c.docs, 0) + {PRIOR})"
     return f"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
@@ -198,16 +214,16 @@ WITH texts AS (
 ), upto AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM sketch
 ), quart AS (
-  SELECT level, lang, source, metric, docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM upto GROUP BY ALL HAVING docs >= {MIN_DOCS}
-), limits AS (
-  SELECT level, lang, source, {pick} FROM (
-    SELECT *, q1 - {FENCE} * spread AS low, q3 + {FENCE} * spread AS high FROM (SELECT *, greatest(q3 - q1, CASE metric {least} END) AS spread FROM quart)
-  ) GROUP BY ALL
+  SELECT level, lang, source, metric, docs, min(bucket) FILTER (upto * 4 >= docs) AS q1, min(bucket) FILTER (upto * 4 >= docs * 3) AS q3 FROM upto GROUP BY ALL
+), drawn AS (
+  SELECT g.lang, g.source, a.metric, ({drawn("q1")})::BIGINT AS q1, ({drawn("q3")})::BIGINT AS q3 FROM (SELECT DISTINCT lang, source FROM scored) g
+  JOIN (SELECT * FROM quart WHERE level = 0) a ON TRUE
+  LEFT JOIN (SELECT * FROM quart WHERE level = 1) b ON g.lang IS NOT DISTINCT FROM b.lang AND a.metric = b.metric
+  LEFT JOIN (SELECT * FROM quart WHERE level = 2) c ON g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source AND a.metric = c.metric
 ), chosen AS (
-  SELECT g.lang, g.source, {names} FROM (SELECT DISTINCT lang, source FROM scored) g
-  LEFT JOIN (SELECT * FROM limits WHERE level = 2) a ON g.lang IS NOT DISTINCT FROM a.lang AND g.source IS NOT DISTINCT FROM a.source
-  LEFT JOIN (SELECT * FROM limits WHERE level = 1) b ON g.lang IS NOT DISTINCT FROM b.lang
-  LEFT JOIN (SELECT * FROM limits WHERE level = 0) c ON TRUE
+  SELECT lang, source, {pick} FROM (
+    SELECT *, q1 - {FENCE} * spread AS low, q3 + {FENCE} * spread AS high FROM (SELECT *, greatest(q3 - q1, CASE metric {least} END) AS spread FROM drawn)
+  ) GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM scored s LEFT JOIN chosen h ON s.lang IS NOT DISTINCT FROM h.lang AND s.source IS NOT DISTINCT FROM h.source

@@ -439,7 +439,7 @@ def plain_base(text):
 
 
 def test_rules(docs, none):
-    got = rules.judged(docs, min_docs=5).collect()
+    got = rules.judged(docs, prior=5).collect()
     assert Counter((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) for g in got) == Counter((r[0], *plain_base(raw(r))) for r in edge_rows())
     assert all(g.base_failed == (g.n_words < 10 or 100 * g.n_repeat_words > 20 * g.n_words) and not (g.base_failed and g.kept) for g in got)
     kept = {g.doc_id: g.kept for g in got}
@@ -447,6 +447,35 @@ def test_rules(docs, none):
     assert rules.judged(none).count() == 0
 
 
+def test_thresholds_are_drawn_to_the_parents(spark):
+    """Groups of 1 to 400 documents, and one of none: quartiles by plain counting, drawn step by step; no size changes the rule."""
+    rng = random.Random(5)
+    rows = []
+    for lang, source, n, low in (("en", "a", 400, 10), ("en", "b", 49, 300), ("en", "c", 51, 300), ("en", None, 1, 900), (None, "a", 30, 60)):
+        rows += [(lang, source, False, *(low + rng.randrange(40) for _ in rules.METRICS)) for _ in range(n)]
+    rows.append(("xx", "a", True, 1, 1, 1, 1))
+    scored = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} long" for m in rules.METRICS))
+    found = {(r.lang, r.source): r for r in rules.fences(scored.select("lang", "source").distinct(), rules.sketches(scored)).collect()}
+    assert len(found) == 6
+    cut = lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0)
+
+    def quartile(values, k):
+        return sorted(map(cut, values))[-(-len(values) * k // 4) - 1] if values else 0
+
+    for (lang, source), r in found.items():
+        for m, (least, _) in rules.METRICS.items():
+            at = 3 + list(rules.METRICS).index(m)
+            levels = [[x[at] for x in rows if not x[2] and test(x)] for test in (lambda x: True, lambda x: x[0] == lang, lambda x: x[:2] == (lang, source))]
+            drawn = []
+            for k in (1, 3):
+                q = quartile(levels[0], k)
+                for own in levels[1:]:
+                    q = (quartile(own, k) * len(own) + rules.PRIOR * q) // (len(own) + rules.PRIOR)
+                drawn.append(q)
+            spread = max(drawn[1] - drawn[0], least)
+            assert (r[f"{m}_low"], r[f"{m}_high"]) == (drawn[0] - rules.FENCE * spread, drawn[1] + rules.FENCE * spread)
+
+
 # 9 -------------------------------------------------------------------------
 
 
