@@ -236,7 +236,7 @@ SELECT patch_id, 0 AS lod, CASE WHEN actual_roof <> 'flat' THEN 'houses' WHEN wa
 
 
 def k3_r5_written_report(spark, sf):
-    """The report of each patch with counts of optional features: a feature without rows, or that failed, never takes a patch's report away."""
+    """The report of each patch with counts of optional features: one without rows never takes a patch's report away (those that fail: r5_independent_features)."""
     report = fo.report(_full(spark, sf))
     features = {"chimneys": pl.supports(spark, sf).where("kind = 'chimney'"), "zones": pl.zones(spark, sf).where("zone_m > 2000")}
     path = folder(spark, "report")
