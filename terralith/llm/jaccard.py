@@ -341,3 +341,28 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     component = F.when(F.col("n") > 0, F.coalesce("component", "least"))
     info = classes.join(joined.select("c", "root").join(own, "root").select("c", "component"), "c", "left").select("same", F.col("n").cast("long").alias("n_shingles"), component.alias("component"))
     return members.join(info, "same").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _oracle(shingle: int = SHINGLE, percent: int = PERCENT) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i:i + {shingle - 1}], ' ')) END) AS g FROM texts
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), shared AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.g = y.g AND x.r <> y.r GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= {percent} * (x.n + y.n - k)
+), reached AS (
+  SELECT r, r AS q FROM texts UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.q
+)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(u.doc_id) AS component_id
+FROM texts t LEFT JOIN sizes ON sizes.r = t.r JOIN reached ON reached.r = t.r JOIN texts u ON u.r = reached.q GROUP BY t.r, t.doc_id, n
+"""
+
+
+ORACLE = _oracle()

@@ -26,5 +26,6 @@ ORACLES = {
     "op3_mixing": mixing.ORACLE,
     "op5_warc": archive.ORACLE,
     "op8_quality_rules": rules.ORACLE,
+    "op12_jaccard_join": jaccard.ORACLE,
     "op13_conversation_trie": trie.ORACLE,
 }
