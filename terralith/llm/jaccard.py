@@ -52,8 +52,9 @@ from terralith.llm.graph import components
 from terralith.llm.ngram_filter import _by_segment, _first, _pack, _unpack, places
 
 SHINGLE, PERCENT = 5, 80
-#: Similarity, in percent, to a centre that makes a cluster.
-NEAR = 60
+#: Similarity, in percent, to a centre that makes a cluster. Low, since copies of a group that lie far from its centre
+#: on different sides share tokens with all the others; it decides where pairs are compared, never whether.
+NEAR = 30
 #: Documents of a cell.
 CELL = 256
 #: The longest prefix takes so many tokens more than the shortest.
