@@ -62,7 +62,7 @@ def ordered(rows):
 
 @pytest.mark.parametrize("cell, longest", [(256, 16), (16, 16), (16, 1)])
 def test_components(spark, monkeypatch, cell, longest):
-    monkeypatch.setattr(jaccard.Links.__init__, "__defaults__", (80, 60, cell))
+    monkeypatch.setattr(jaccard.Links.__init__, "__defaults__", (80, jaccard.NEAR, cell))
     monkeypatch.setattr(jaccard, "LONGEST", longest)
     monkeypatch.setattr(best_length, "__defaults__", (80, longest))
     rows = corpus()
