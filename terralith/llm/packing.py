@@ -48,8 +48,8 @@ SHORT = 25_000
 SEARCHES = ((2, 64), (4, 16), (1, 1024))
 #: A sequence with more than this part of it empty is part-filled.
 PART_FILLED = 32
-#: Words a worker remembers: some 100 MB of it.
-REMEMBERED = 500_000
+#: Words a worker remembers at most in each of two generations, some 100 bytes a word twice.
+REMEMBERED = 400_000
 
 
 class WordIds(dict):
@@ -66,8 +66,20 @@ class WordIds(dict):
         environment_guard()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: The words of the generation before; those still used come back from it.
+        self.before: dict[bytes, bytes] = {}
+
+    def bound(self) -> None:
+        """Begin a new generation once this one is full: frequent words stay, rare ones are forgotten."""
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
 
     def __missing__(self, unit: bytes) -> bytes:
+        ids = self.before.get(unit)
+        if ids is not None:
+            self[unit] = ids
+            return ids
         word = unit.decode()
         if len(unit) > 1 and unit[-1] in b".," and word[-2] < "ɐ" and word[-2].isalpha() and len(word[-2].lower()) == 1:
             ids = self[unit[:-1]] + self[unit[-1:]]
@@ -99,8 +111,7 @@ def _cut(tokenizer: str, capacity: int, end_id: int, with_ids: bool):
             known = word_ids(tokenizer)
             which, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, text in enumerate(b.column("body").to_pylist()):
-                if len(known) > REMEMBERED:
-                    known.clear()
+                known.bound()
                 whole = b"".join(map(known.__getitem__, text.split())) + end
                 for at in range(0, len(whole), 4 * capacity):
                     part = whole[at : at + 4 * capacity]
