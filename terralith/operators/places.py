@@ -108,19 +108,22 @@ def runway_names(runways: DataFrame, aerodromes: DataFrame, cell_deg: float = 0.
 
     Runways (runway_id, lat, lon, ref) and aerodromes (name, box, centre) meet in
     cells: an aerodrome is listed in every cell its box or its 5 km circle touches.
+    What a place is called depends on nothing but the place, and of aerodromes with one box and centre only the first name
+    can win, so places meet boxes, each once, however many runways and aerodromes have them.
     """
     reach = NEAR_M / 111320.0 * 2.0
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / cell_deg).cast("int"), F.floor(high / cell_deg).cast("int")))
-    wide = aerodromes.select("*", cells(F.least(F.col("lat_min"), F.col("c_lat") - reach), F.greatest(F.col("lat_max"), F.col("c_lat") + reach)).alias("gy"))
+    boxes = aerodromes.groupBy("lat_min", "lat_max", "lon_min", "lon_max", "c_lat", "c_lon").agg(F.min("name").alias("name"))
+    wide = boxes.select("*", cells(F.least(F.col("lat_min"), F.col("c_lat") - reach), F.greatest(F.col("lat_max"), F.col("c_lat") + reach)).alias("gy"))
     wide = wide.select("*", cells(F.least(F.col("lon_min"), F.col("c_lon") - reach * 2), F.greatest(F.col("lon_max"), F.col("c_lon") + reach * 2)).alias("gx"))
-    own = runways.withColumns({"gy": F.floor(F.col("lat") / cell_deg).cast("int"), "gx": F.floor(F.col("lon") / cell_deg).cast("int")})
+    sites = runways.select("lat", "lon").distinct().withColumns({"gy": F.floor(F.col("lat") / cell_deg).cast("int"), "gx": F.floor(F.col("lon") / cell_deg).cast("int")})
     inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
     metres = geo.distance_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     box = (F.col("lat_max") - F.col("lat_min")) * (F.col("lon_max") - F.col("lon_min"))
-    met = own.join(wide, ["gx", "gy"], "left").groupBy("runway_id", "ref").agg(
+    met = sites.join(wide, ["gx", "gy"]).groupBy("lat", "lon").agg(
         F.min_by("name", F.when(inside, F.struct(box, "name"))).alias("around"), F.min_by("name", F.when(metres <= NEAR_M, F.struct(metres, "name"))).alias("near")
     )
-    return met.select("runway_id", F.coalesce("around", "near", "ref", F.lit("airport")).alias("name"))
+    return runways.join(met, ["lat", "lon"], "left").select("runway_id", F.coalesce("around", "near", "ref", F.lit("airport")).alias("name"))
 
 
 def point_model(kind: Column, height: Column, material: Column) -> Column:

@@ -163,3 +163,32 @@ def test_quiet_ways_equal_a_pass_in_order(spark):
             listed(*mid).append(tuple(mid))
     found = places.quiet_ways(spark.createDataFrame(ways, WAYS).repartition(4), spark.createDataFrame(nodes, "patch_id string, x double, y double"))
     assert sorted(r.way_id for r in found.collect()) == sorted(taken) and 100 < len(taken) < 9000
+
+
+def _rows_joined(df):
+    """The most rows that a join of the executed plan gave."""
+    df.collect()
+    found, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            open_.append(node.plan())
+            continue
+        if "Join" in name:
+            found = max(found, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        open_ += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_many_runways_and_aerodromes_at_one_place(spark):
+    """300 runways and 200 aerodromes at each of two places meet as places, and the first name of equal boxes wins."""
+    runways = spark.range(600).selectExpr("id AS runway_id", "45.0 + id % 2 AS lat", "15.0D AS lon", "CAST(NULL AS string) AS ref").withColumn("lat", F.col("lat").cast("double"))
+    aerodromes = spark.range(400).selectExpr("concat('n', lpad(id, 3, '0')) AS name", "CAST(45.0 + id % 2 AS double) AS c_lat", "15.0D AS c_lon").selectExpr("*", "c_lat - 0.01D AS lat_min", "c_lat + 0.01D AS lat_max", "14.9D AS lon_min", "15.1D AS lon_max")
+    found = places.runway_names(runways, aerodromes)
+    assert {(r.runway_id % 2, r.name) for r in found.collect()} == {(0, "n000"), (1, "n001")} and found.count() == 600
+    assert _rows_joined(found) <= 600
