@@ -89,13 +89,17 @@ def runway_length(tag: Column, lat1: Column, lon1: Column, lat2: Column, lon2: C
 def airports_in_patches(airports: DataFrame, patches: DataFrame, half: float = 2880.0, cell_deg: float = 0.1) -> DataFrame:
     """Airports (lat, lon) projected into each patch (patch_id, zone, tx, ty, lat_min .. lon_max) in whose square they lie.
 
-    They meet in cells of degrees that the patch's box touches.
+    They meet in cells of degrees that the patch's box touches. A place that several airports or patches have is projected once.
     """
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell_deg).cast("int"), F.floor(F.col(high) / cell_deg).cast("int")))
-    wide = patches.select("patch_id", "zone", "tx", "ty", "lon_min", "lon_max", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
-    own = airports.withColumns({"gy": F.floor(F.col("lat") / cell_deg).cast("int"), "gx": F.floor(F.col("lon") / cell_deg).cast("int")})
-    placed = own.join(wide.drop("lon_min", "lon_max"), ["gx", "gy"]).withColumn("p", geo.project_utm(F.col("lat"), F.col("lon"), F.col("zone"), F.col("tx"), F.col("ty")))
-    return placed.where((F.abs("p.x") <= half) & (F.abs("p.y") <= half)).select("patch_id", *airports.columns, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    frame, place = ["zone", "tx", "ty", "lat_min", "lat_max", "lon_min", "lon_max"], ["lat", "lon"]
+    frames = patches.select(*frame).distinct().select("*", cells("lat_min", "lat_max").alias("gy")).select("*", cells("lon_min", "lon_max").alias("gx"))
+    sites = airports.select(*place).distinct().withColumns({"gy": F.floor(F.col("lat") / cell_deg).cast("int"), "gx": F.floor(F.col("lon") / cell_deg).cast("int")})
+    # The generator keeps the projection from being computed once for each use of it.
+    placed = sites.join(frames, ["gx", "gy"]).select(*place, *frame, F.inline(F.array(geo.project_utm(F.col("lat"), F.col("lon"), F.col("zone"), F.col("tx"), F.col("ty")))))
+    inside = placed.where((F.abs("x") <= half) & (F.abs("y") <= half))
+    whole = patches.select("patch_id", *frame).join(inside, frame).select("patch_id", *place, "x", "y")
+    return airports.join(whole, place).select("patch_id", *airports.columns, "x", "y")
 
 
 def merged_box(patches: DataFrame, by: list[str]) -> DataFrame:

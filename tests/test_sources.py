@@ -192,3 +192,19 @@ def test_many_runways_and_aerodromes_at_one_place(spark):
     found = places.runway_names(runways, aerodromes)
     assert {(r.runway_id % 2, r.name) for r in found.collect()} == {(0, "n000"), (1, "n001")} and found.count() == 600
     assert _rows_joined(found) <= 600
+
+
+def test_many_airports_and_patches_at_one_place(spark, monkeypatch):
+    """50 airports at one place and 50 equal patches around it are projected once, and each pair comes out."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("struct<x: double, y: double>")
+    def projected(lat, lon, zone, tx, ty):
+        calls.add(1)
+        return 1.0, 2.0
+
+    monkeypatch.setattr(places.geo, "project_utm", projected)
+    airports = spark.range(50).selectExpr("id", "45.05D AS lat", "15.05D AS lon")
+    patches = spark.range(50).selectExpr("CAST(id AS string) AS patch_id", "33 AS zone", "0.0D AS tx", "0.0D AS ty", "45.02D AS lat_min", "45.08D AS lat_max", "15.01D AS lon_min", "15.09D AS lon_max")
+    found = places.airports_in_patches(airports, patches).collect()
+    assert len({(r.patch_id, r.id) for r in found}) == len(found) == 2500 and calls.value <= 2
