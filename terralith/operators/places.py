@@ -159,12 +159,16 @@ def first_fit(conflicts: DataFrame) -> DataFrame:
     return nothing if turned_down is None else turned_down
 
 
-def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFrame:
+def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0, first: int = 10_000) -> DataFrame:
     """Ways (patch_id, way_id, nth, ring) that a pass in the order of nth accepts: those around no accepted node
     (patch_id, x, y) and around the centre of no way accepted before.
 
     A way that isn't accepted suppresses nothing, so chains are settled in order (``first_fit``);
     nth is unique in a patch. Ways are listed in the cells that their boxes touch, points in their own.
+
+    The order is cut into stretches, the first of about ``first`` ways, each as long as all before it. A stretch
+    loses its ways around centres accepted before it, of which there are few where many ways lie over each other;
+    only what is left meets itself, so pairs that an earlier way settles are never listed.
     """
     def listed(df: DataFrame) -> DataFrame:
         box = df.select("patch_id", "way_id", "nth", "ring", F.inline(F.array(F.struct(rings.bbox(F.col("ring")).alias("box")))))
@@ -177,12 +181,26 @@ def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0) -> DataFra
 
     key, cells = ["patch_id", "way_id"], ["patch_id", "gx", "gy"]
     around = rings.inside_winding(F.col("ring"), F.col("x"), F.col("y"))
-    here = listed(ways).join(celled(nodes), cells).where(around).select(*key).distinct()
+    centres = lambda df, name: celled(df.select("patch_id", F.col("nth").alias(name), rings.closed_mean(F.col("ring")).alias("c")).select("patch_id", name, "c.x", "c.y"))
+    here = listed(ways).join(celled(nodes.select("patch_id", "x", "y").distinct()), cells).where(around).select(*key).distinct()
     free = written(ways.join(here, key, "left_anti"), "free-ways")
-    centre = free.select("patch_id", F.col("nth").alias("before"), rings.closed_mean(F.col("ring")).alias("c")).select("patch_id", "before", "c.x", "c.y")
-    met = listed(free).join(celled(centre), cells).where((F.col("before") < F.col("nth")) & around)
-    later = first_fit(met.select(F.struct("patch_id", F.col("before").alias("nth")).alias("before"), F.struct("patch_id", "nth").alias("way")))
-    return free.join(later.select("way.patch_id", "way.nth"), ["patch_id", "nth"], "left_anti").select(*ways.columns)
+    total, shares = free.count(), []
+    while first << len(shares) < total:
+        shares.append((first << len(shares)) / total)
+    bounds = sorted(set(free.agg(F.percentile_approx("nth", shares)).first()[0])) if shares else []
+    accepted = None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        own = free if low is None else free.where(F.col("nth") > low)
+        own = own if high is None else own.where(F.col("nth") <= high)
+        if accepted is not None:
+            gone = listed(own).join(centres(accepted, "before"), cells).where(around).select(*key).distinct()
+            own = own.join(gone, key, "left_anti")
+        own = written(own, "open-ways")
+        met = listed(own).join(centres(own, "before"), cells).where((F.col("before") < F.col("nth")) & around)
+        later = first_fit(met.select(F.struct("patch_id", F.col("before").alias("nth")).alias("before"), F.struct("patch_id", "nth").alias("way")))
+        own = written(own.join(later.select("way.patch_id", "way.nth"), ["patch_id", "nth"], "left_anti").select(*ways.columns), "quiet-ways")
+        accepted = own if accepted is None else accepted.unionByName(own)
+    return accepted
 
 
 def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFrame:

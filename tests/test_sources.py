@@ -208,3 +208,24 @@ def test_many_airports_and_patches_at_one_place(spark, monkeypatch):
     patches = spark.range(50).selectExpr("CAST(id AS string) AS patch_id", "33 AS zone", "0.0D AS tx", "0.0D AS ty", "45.02D AS lat_min", "45.08D AS lat_max", "15.01D AS lon_min", "15.09D AS lon_max")
     found = places.airports_in_patches(airports, patches).collect()
     assert len({(r.patch_id, r.id) for r in found}) == len(found) == 2500 and calls.value <= 2
+
+
+def test_many_ways_over_each_other_give_few_pairs(spark, monkeypatch):
+    """600 ways of many sizes at 6 places: all that a pass in order accepts, from far fewer than all pairs."""
+    ways = []
+    for k in range(600):
+        x, y, a = (k % 6) * 70.0, (k * 7 % 3) * 10.0, 3.0 + k * 37 % 60
+        ways.append(("000001", f"w{k}", k, [{"x": x - a, "y": y - a}, {"x": x + a, "y": y - a}, {"x": x + a, "y": y + a}, {"x": x - a, "y": y + a}]))
+    pairs, first_fit = [], places.first_fit
+    monkeypatch.setattr(places, "first_fit", lambda met: pairs.append(met.count()) or first_fit(met))
+    df = spark.createDataFrame(ways, "patch_id string, way_id string, nth long, ring array<struct<x: double, y: double>>")
+    nodes = spark.createDataFrame([], "patch_id string, x double, y double")
+    got = {r.way_id for r in places.quiet_ways(df, nodes, 50.0, 20).collect()}
+    want, centres = set(), []
+    for _, way, _, ring in ways:
+        # The mean of a closed ring has its first corner twice.
+        c = tuple((sum(p[axis] for p in ring) + ring[0][axis]) / 5 for axis in "xy")
+        if not any(ring[0]["x"] < x < ring[2]["x"] and ring[0]["y"] < y < ring[2]["y"] for x, y in centres):
+            want.add(way)
+            centres.append(c)
+    assert got == want and sum(pairs) < 3000
