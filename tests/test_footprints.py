@@ -140,3 +140,10 @@ def test_limits_of_the_command_line(spark):
     frame = spark.createDataFrame([(330.0, 27.0, 12.2)], "a double, l double, w double")
     got = frame.select(roofs.house_scale(F.col("a"), F.col("l"), F.col("w"), F.lit(2.2)), roofs.house_scale(F.col("a"), F.col("l"), F.col("w"), F.lit(2.2), roofs.CLI_HOUSE)).first()
     assert tuple(got) == ("ok", "too_long_side")
+
+
+def test_partitions_keep_their_size(spark):
+    from terralith.plans.derived import PART_ROWS, spread
+
+    sizes = spread(spark.range(0, 8 * PART_ROWS, 1, 4).withColumnRenamed("id", "k"), "k").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1.1 * PART_ROWS
