@@ -45,10 +45,8 @@ def textured(buildings: DataFrame) -> DataFrame:
 
 def all_edges(buildings: DataFrame) -> DataFrame:
     """One row per wall edge of the outer ring and the holes that isn't too short: adds ring_no, e, pos and len."""
-    every = F.concat(F.array(F.struct(F.lit(0).alias("ring_no"), F.col("outer").alias("ring"))), F.transform("holes", lambda h, i: F.struct((i + 1).alias("ring_no"), h.alias("ring"))))
-    each = buildings.select("*", F.explode(every).alias("r"))
-    walls = each.select("*", F.col("r.ring_no").alias("ring_no"), F.explode(rings.edges(F.col("r.ring"))).alias("e")).drop("r")
-    return computed(walls, {"len": rings.length(F.col("e")), "pos": F.col("e.pos")}).where(F.col("len") >= SHORTEST_M)
+    found = buildings.select("*", kernels.wall_edges("outer", "holes", F.lit(SHORTEST_M)).alias("edges"))
+    return found.select("*", F.inline("edges")).drop("edges").withColumn("pos", F.col("e.pos"))
 
 
 def quad(e: Column, z0: Column, z1: Column, u: Column, v: Column) -> Column:
@@ -89,14 +87,14 @@ def _side_v() -> Column:
     return F.struct(ground["v0"].alias("v0"), F.when(F.col("floors") == 1, ground["v1"]).otherwise(upper["v1"]).alias("v1"))
 
 
-def side_walls(buildings: DataFrame) -> DataFrame:
-    """One panel per edge, from the floor to the eaves."""
+def side_walls(buildings: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """One panel per edge, from the floor to the eaves; ``key``: the building's columns that its faces bring along."""
     top = F.col("floor_z") + F.col("height_m")
     face = quad(F.col("e"), F.col("floor_z"), top, geo.wall_u_range(F.col("len")), _side_v())
-    return all_edges(buildings).select(*KEY, "ring_no", "pos", F.lit(0).alias("part"), face.alias("corners"))
+    return all_edges(buildings).select(*key, "ring_no", "pos", F.lit(0).alias("part"), face.alias("corners"))
 
 
-def gable_walls(buildings: DataFrame) -> DataFrame:
+def gable_walls(buildings: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Walls under a gabled roof: ends across the ridge are pentagons up to it (a quad and a triangle on one floor), the others quads."""
     e, top = F.col("e"), F.col("floor_z") + F.col("height_m")
     along = F.abs((e["x2"] - e["x1"]) * F.cos(F.radians("axis_deg")) + (e["y2"] - e["y1"]) * F.sin(F.radians("axis_deg"))) / F.col("len")
@@ -108,7 +106,7 @@ def gable_walls(buildings: DataFrame) -> DataFrame:
     triangle = F.array(point(e["x1"], e["y1"], top, u["u0"], gable["v0"]), point(e["x2"], e["y2"], top, u["u1"], gable["v0"]), apex)
     five = F.array(wall[0], wall[1], wall[2], apex, wall[3])
     faces = F.when(~F.col("end"), F.array(wall)).when(F.col("floors") == 1, F.array(wall, triangle)).otherwise(F.array(five))
-    return edges.select(*KEY, "ring_no", "pos", F.posexplode(faces).alias("part", "corners"))
+    return edges.select(*key, "ring_no", "pos", F.posexplode(faces).alias("part", "corners"))
 
 
 def _turned(along: Column, across: Column, z: Column, u: Column, v: Column) -> Column:
@@ -117,7 +115,7 @@ def _turned(along: Column, across: Column, z: Column, u: Column, v: Column) -> C
     return point(F.col("obb.center_x") + along * c - across * s, F.col("obb.center_y") + along * s + across * c, z, u, v)
 
 
-def gabled_roofs(buildings: DataFrame, overhang: float = OVERHANG_M) -> DataFrame:
+def gabled_roofs(buildings: DataFrame, overhang: float = OVERHANG_M, key: list[str] = KEY) -> DataFrame:
     """Two slopes over the oriented box; the eaves hang over and sink along the slope."""
     own = geo.roof_v_range(F.col("roof_slice"))
     half_w = F.col("obb.width") / 2
@@ -134,15 +132,15 @@ def gabled_roofs(buildings: DataFrame, overhang: float = OVERHANG_M) -> DataFram
         l, w, eave = side * F.col("half_l"), -side * F.col("reach"), F.col("ridge") - F.col("drop")
         return F.array(_turned(-l, w, eave, zero, F.col("v0")), _turned(l, w, eave, span, F.col("v0")), _turned(l, zero, F.col("ridge"), span, F.col("v1")), _turned(-l, zero, F.col("ridge"), zero, F.col("v1")))
 
-    return sized.select(*KEY, F.posexplode(F.array(slope(1), slope(-1))).alias("part", "corners"))
+    return sized.select(*key, F.posexplode(F.array(slope(1), slope(-1))).alias("part", "corners"))
 
 
-def hipped_roofs(buildings: DataFrame, overhang: float = OVERHANG_M) -> DataFrame:
+def hipped_roofs(buildings: DataFrame, overhang: float = OVERHANG_M, key: list[str] = KEY) -> DataFrame:
     """Hips and slopes over the footprint's own four edges, or a pyramid where it is nearly square or the ridge would leave it."""
     own = geo.roof_v_range(F.col("roof_slice"))
     top = F.col("floor_z") + F.col("height_m")
-    found = buildings.select(*KEY, kernels.hipped_faces(F.col("outer"), top, F.lit(overhang), own["v0"], own["v1"]).alias("roof"))
-    return found.select(*KEY, F.col("roof.pyramid").alias("pyramid"), F.posexplode("roof.faces").alias("part", "corners"))
+    found = buildings.select(*key, kernels.hipped_faces(F.col("outer"), top, F.lit(overhang), own["v0"], own["v1"]).alias("roof"))
+    return found.select(*key, F.col("roof.pyramid").alias("pyramid"), F.posexplode("roof.faces").alias("part", "corners"))
 
 
 def _flat(p: Column) -> Column:
@@ -158,10 +156,10 @@ def flat_fans(buildings: DataFrame) -> DataFrame:
     return whole.select(*KEY, F.posexplode(F.transform(rings.edges(F.col("outer")), ends)).alias("part", "corners"))
 
 
-def flat_polygons(buildings: DataFrame) -> DataFrame:
+def flat_polygons(buildings: DataFrame, key: list[str] = KEY) -> DataFrame:
     """One polygon per building, with its holes, at the height of the walls: (ring_no, corners), ring 0 the outer one."""
     every = F.concat(F.array("outer"), F.col("holes"))
-    return buildings.select(*KEY, F.posexplode(F.transform(every, lambda ring: F.transform(ring, _flat))).alias("ring_no", "corners"))
+    return buildings.select(*key, F.posexplode(F.transform(every, lambda ring: F.transform(ring, _flat))).alias("ring_no", "corners"))
 
 
 def normal(corners: Column) -> Column:
@@ -182,23 +180,15 @@ def fan(corners: Column) -> Column:
 def outward(faces: DataFrame, buildings: DataFrame) -> DataFrame:
     """Walls whose normal points into the building are reversed. Horizontal faces point up.
 
-    The nearest edge of the building's own rings decides; with outer rings
+    Faces that bring their building's rings along (own_outer, own_holes) need no join. The nearest edge of the building's own rings decides; with outer rings
     counter-clockwise and holes clockwise an edge's outside is on its right.
     """
-    all_rings = buildings.select(*KEY, F.concat(F.array("outer"), F.col("holes")).alias("all_rings"))
-    with_normal = faces.join(all_rings, KEY).withColumn("n", normal(F.col("corners")))
-    met = computed(with_normal, {"mid": F.struct((F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["x"]) / F.size("corners")).alias("x"), (F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["y"]) / F.size("corners")).alias("y")), "all_edges": F.flatten(F.transform("all_rings", rings.edges))})
-
-    def gap(e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("mid.x") - e["x1"]) * dx + (F.col("mid.y") - e["y1"]) * dy) / (dx * dx + dy * dy)))
-        ox, oy = e["x1"] + t * dx - F.col("mid.x"), e["y1"] + t * dy - F.col("mid.y")
-        return F.struct(F.round(ox * ox + oy * oy, 9).alias("d"), dy.alias("nx"), (-dx).alias("ny"))
-
-    nearest = computed(met, {"edge": F.array_min(F.transform("all_edges", gap))})
+    own = faces if {"own_outer", "own_holes"} <= set(faces.columns) else faces.join(buildings.select(*KEY, F.col("outer").alias("own_outer"), F.col("holes").alias("own_holes")), KEY)
+    met = own.select("*", normal(F.col("corners")).alias("n"), kernels.nearest_outside("corners", "own_outer", "own_holes").alias("edge"))
     flat = (F.abs(F.col("n.x")) < 1e-9) & (F.abs(F.col("n.y")) < 1e-9)
     wrong = F.when(flat, F.col("n.z") < 0).otherwise(F.col("n.x") * F.col("edge.nx") + F.col("n.y") * F.col("edge.ny") < 0)
-    return nearest.select(*faces.columns[: faces.columns.index("corners")], F.when(wrong, F.reverse("corners")).otherwise(F.col("corners")).alias("corners"), wrong.alias("reversed"))
+    kept = [c for c in faces.columns[: faces.columns.index("corners")] if c not in ("own_outer", "own_holes")]
+    return met.select(*kept, F.when(wrong, F.reverse("corners")).otherwise(F.col("corners")).alias("corners"), wrong.alias("reversed"))
 
 
 def both_sides(faces: DataFrame) -> DataFrame:
@@ -302,10 +292,9 @@ def export_offsets(counts: DataFrame) -> DataFrame:
 
 def quality(faces: DataFrame) -> DataFrame:
     """Counts of faces with under three corners, with a repeated corner, without texture coordinates, and with corners that are no numbers."""
-    distinct = F.size(F.array_distinct(F.transform("corners", lambda p: F.struct(F.bround(p["x"], 6), F.bround(p["y"], 6), F.bround(p["z"], 6)))))
-    untextured = F.exists("corners", lambda p: p["u"].isNull() | p["v"].isNull())
-    return faces.groupBy("patch_id").agg(
-        F.count("*").alias("faces"), F.count_if(F.size("corners") < 3).alias("too_few"), F.count_if(distinct < F.size("corners")).alias("repeated_corner"), F.count_if(untextured).alias("untextured"),
+    judged = faces.select("patch_id", F.size("corners").alias("n"), kernels.face_faults("corners").alias("f"))
+    return judged.groupBy("patch_id").agg(
+        F.count("*").alias("faces"), F.count_if(F.col("n") < 3).alias("too_few"), F.count_if(F.col("f.repeated")).alias("repeated_corner"), F.count_if(F.col("f.untextured")).alias("untextured"),
     )
 
 

@@ -212,8 +212,9 @@ SELECT osm_id, (SELECT count(*) FROM vs WHERE vs.osm_id = fs.osm_id) AS vertices
 
 def g9_outward(spark, sf):
     buildings = built(spark, sf)
-    turned = buildings.withColumn("outer", F.when(F.col("k") % 2 == 0, F.col("outer")).otherwise(F.reverse("outer")))
-    return pa.outward(pa.side_walls(turned), buildings).groupBy("osm_id").agg(F.count_if("reversed").alias("reversed"), F.count("*").alias("faces"))
+    own = buildings.withColumns({"own_outer": F.col("outer"), "own_holes": F.col("holes")})
+    turned = own.withColumn("outer", F.when(F.col("k") % 2 == 0, F.col("outer")).otherwise(F.reverse("outer")))
+    return pa.outward(pa.side_walls(turned, [*pa.KEY, "own_outer", "own_holes"]), buildings).groupBy("osm_id").agg(F.count_if("reversed").alias("reversed"), F.count("*").alias("faces"))
 
 
 add("g9_outward", g9_outward, "SELECT osm_id, count(*) FILTER (ring_no = 0 AND osm_id::BIGINT % 2 = 1) AS reversed, count(*) AS faces FROM we GROUP BY osm_id")
@@ -247,20 +248,24 @@ def e4_one_sided(spark, sf):
 add("e4_one_sided", e4_one_sided, "SELECT osm_id, 2::BIGINT AS faces FROM b WHERE actual_roof = 'gabled'")
 
 
+#: What walls and roofs are made from.
+FACE_COLUMNS = ["actual_roof", "outer", "holes", "floor_z", "height_m", "floors", "facade", "roof_slice", "axis_deg", "obb", "centroid"]
+
+
 def all_faces(spark, sf) -> DataFrame:
     """Walls and roofs of all buildings with their group: pitched roofs apart from the houses."""
-    # Six kinds of faces come from the same classified buildings.
-    buildings = written(built(spark, sf), "built")
+    whole = built(spark, sf)
     wall, roof = fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), roofs.flat_bucket(F.col("seed")), folded=False)
-    groups = buildings.select("patch_id", "osm_id", wall.alias("wall_group"), roof.alias("roof_group"))
-    plain = lambda faces, part: faces.select("patch_id", "osm_id", F.lit(part).alias("ring_no"), *([c for c in ("pos", "part") if c in faces.columns]), "corners")
-    walls = plain(pa.side_walls(buildings.where("actual_roof <> 'gabled'")), 0).unionByName(plain(pa.gable_walls(buildings.where("actual_roof = 'gabled'")), 0))
-    tops = pa.gabled_roofs(buildings.where("actual_roof = 'gabled'")).unionByName(pa.hipped_roofs(buildings.where("actual_roof = 'hipped'")).drop("pyramid"))
+    # Six kinds of faces come from the same classified buildings.
+    buildings = written(whole.select("patch_id", "osm_id", wall.alias("wall_group"), roof.alias("roof_group"), *FACE_COLUMNS), "built")
+    walls_key, roofs_key = [*pa.KEY, "wall_group"], [*pa.KEY, "roof_group"]
+    plain = lambda faces, part: faces.select("patch_id", "osm_id", F.lit(part).alias("ring_no"), *([c for c in ("pos", "part") if c in faces.columns]), "corners", faces[walls_key[-1] if part == 0 else roofs_key[-1]].alias("grp"))
+    walls = plain(pa.side_walls(buildings.where("actual_roof <> 'gabled'"), walls_key), 0).unionByName(plain(pa.gable_walls(buildings.where("actual_roof = 'gabled'"), walls_key), 0))
+    tops = pa.gabled_roofs(buildings.where("actual_roof = 'gabled'"), key=roofs_key).unionByName(pa.hipped_roofs(buildings.where("actual_roof = 'hipped'"), key=roofs_key).drop("pyramid"))
     # A flat roof's rings are faces next to each other, the outer one first, then its holes.
-    flat = pa.flat_polygons(buildings.where("actual_roof = 'flat'")).withColumn("part", F.lit(0)).withColumnRenamed("ring_no", "pos")
+    flat = pa.flat_polygons(buildings.where("actual_roof = 'flat'"), roofs_key).withColumn("part", F.lit(0)).withColumnRenamed("ring_no", "pos")
     tops = plain(tops.withColumn("pos", F.lit(0)).unionByName(flat), 1)
-    named = lambda faces, group: faces.join(groups.select("patch_id", "osm_id", F.col(group).alias("grp")), ["patch_id", "osm_id"])
-    return named(walls, "wall_group").unionByName(named(tops, "roof_group")).withColumn("lod", F.lit(0))
+    return walls.unionByName(tops).withColumn("lod", F.lit(0))
 
 
 def exported(spark, sf):
