@@ -222,8 +222,7 @@ SELECT patch_id, kind, path, priority, path IS NULL AS missing FROM w LEFT JOIN
 def k1_written_faces(spark, sf):
     """Side walls written by patch, level and group; faces of two corners are left out."""
     wall, _ = fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), F.lit(1))
-    buildings = built(spark, sf)
-    faces = pa.side_walls(buildings).join(buildings.select("patch_id", "osm_id", wall.alias("grp")), ["patch_id", "osm_id"]).withColumn("lod", F.lit(0))
+    faces = pa.side_walls(built(spark, sf).withColumn("grp", wall), [*pa.KEY, "grp"]).withColumn("lod", F.lit(0))
     short = F.when(F.col("osm_id").cast("bigint") % 6 == 0, F.slice("corners", 1, 2)).otherwise(F.col("corners"))
     path = folder(spark, "faces")
     sinks.write_faces(faces.withColumn("corners", short), path)
