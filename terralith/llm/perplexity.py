@@ -2,8 +2,7 @@
 
 The model is over the bytes of UTF-8, of order 5, so that it holds every script
 without folding letters. It is trained on the trusted text: documents labelled
-quality 1, a sample of at most about ``MAX_TRUSTED`` of which is used (a part of it
-is kept for the thresholds).
+quality 1, all of which are used (a part is kept for the thresholds).
 Counts, continuation counts, discounts and context masses are tables keyed by
 n-gram, made by aggregations.
 
@@ -16,8 +15,9 @@ perplexity, times a margin, drawn towards that of all languages as if ``SHRINK``
 trusted documents had it; for that comparison every document's perplexity is
 taken with PRIOR symbols of usual text added.
 
-Scale: text is shuffled once, compressed. The tables are bounded by the 5-grams
-of the sample; joins are on n-grams, where partial counts per batch have already
+Scale: text is shuffled once, compressed; where the trusted ids are too many to be
+sent to every task, texts are once more, for the model. The tables grow with
+the distinct 5-grams of the trusted text; joins are on n-grams, where partial counts per batch have already
 merged frequent ones, so a hot n-gram is one row per batch.
 
 Edge cases: null and empty texts are the end symbol alone; languages without
@@ -43,8 +43,7 @@ ORDER = 5
 #: Bits of a symbol: a byte, the place before a text, or its end.
 BITS = 9
 START, END = 256, 257
-#: Trusted documents used at most (expected number), and the share of them kept for the thresholds.
-MAX_TRUSTED = 20_000
+#: The share of trusted documents kept for the thresholds.
 HELD_SHARE = 0.25
 #: The limit is this quantile of the trusted documents' perplexity, times the margin.
 QUANTILE = 0.98
@@ -54,6 +53,8 @@ PRIOR = 50
 #: A language's limit is drawn to that of all languages by the weight of so many trusted documents.
 SHRINK = 30
 BATCH_BYTES = 16 << 20
+#: n-grams counted at once; a task holds some five times their eight bytes.
+COUNTED_AT_ONCE = 1_000_000
 
 
 def symbols(text: bytes) -> np.ndarray:
@@ -80,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("body").to_pylist():
             parts.append(grams(text))
             held += len(parts[-1])
-            if held > 4_000_000:
+            if held > COUNTED_AT_ONCE:
                 yield _counted(parts)
                 parts, held = [], 0
         if parts:
@@ -166,18 +167,17 @@ def _score(docs, found):
     return pa.table({"rest": docs.column("rest"), "n_symbols": pa.array(n, pa.int64()), "logprob": pa.array(total, pa.float64())})
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """(doc_id, held): a sample, by a hash of the id, of the ids labelled quality 1."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, held) of all ids labelled quality 1; a hash of the id tells which are held back."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    share = min(1.0, max_trusted / max(1, good.count()))
-    at = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return good.where(at(1) < share).select("doc_id", (at(2) < HELD_SHARE).alias("held"))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return good.select("doc_id", (at < HELD_SHARE).alias("held"))
 
 
 def fitted(docs: DataFrame, ids: DataFrame) -> Model:
     """The model of the documents whose ids are in ``ids`` and aren't held back."""
-    train = ids.where("NOT held").select("doc_id")
-    texts = docs.join(F.broadcast(train), "doc_id", "left_semi").select(text_bytes().alias("body"))
+    # No broadcast is asked for: ids grow with the labels, so Spark chooses by their size.
+    texts = docs.join(ids.where("NOT held").select("doc_id"), "doc_id", "left_semi").select(text_bytes().alias("body"))
     return Model(written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"))
 
 
@@ -194,13 +194,13 @@ def scored(docs: DataFrame, model: Model, batch_bytes: int = BATCH_BYTES) -> Dat
     return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score, schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
     """doc_id, lang, text_key (a hash of the text), n_symbols, perplexity, smoothed_perplexity, max_perplexity, kept of every document."""
-    ids = written(trusted_ids(labels, max_trusted), "trusted")
+    ids = written(trusted_ids(labels), "trusted")
     model = fitted(docs, ids)
     slim = docs.select("doc_id", "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     found = written(scored(slim, model).select("rest.*", "n_symbols", "logprob"), "logprob")
-    held_ids = F.broadcast(ids.where("held").select("doc_id"))
+    held_ids = ids.where("held").select("doc_id")
     usual = (F.sum(-F.col("logprob")) / F.sum("n_symbols")).alias("usual")
     found = _with_language(found, found.join(held_ids, "doc_id", "left_semi"), usual, "usual")
     smooth = F.pow(F.lit(10.0), (prior * F.coalesce("usual", F.lit(0.0)) - F.col("logprob")) / (F.col("n_symbols") + prior))
