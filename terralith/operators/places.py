@@ -203,11 +203,15 @@ def quiet_ways(ways: DataFrame, nodes: DataFrame, cell: float = 50.0, first: int
     return accepted
 
 
-def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFrame:
+def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0, first: int = 4, more: int = 8) -> DataFrame:
     """(patch_id, other_id) of the footprints of ``other`` that overlap one of ``base``: boxes meet, and a vertex or the centre of one lies in the other.
 
     Both sides are (patch_id, osm_id, outer). They meet in the cells that their boxes touch, and a pair is tested
     in one of them only, that of the lower corner of what their boxes have in common.
+
+    One overlap is enough, so where many footprints lie over each other not all pairs are tested: a round has the next
+    of every cell's base footprints, at first ``first``, then ``more`` times as many, and those of ``other`` without an
+    overlap so far. The rounds go through all base footprints of a cell.
     """
     def celled(df: DataFrame, name: str) -> DataFrame:
         box = df.select("patch_id", F.col("osm_id").alias(f"{name}_id"), F.col("outer").alias(f"{name}_ring"), F.inline(F.array(F.struct(rings.bbox(F.col("outer")).alias(f"{name}_box")))))
@@ -215,13 +219,26 @@ def overlapping(base: DataFrame, other: DataFrame, cell: float = 50.0) -> DataFr
         wide = box.select("*", F.explode(F.sequence(at("min_x"), at("max_x"))).alias("gx"))
         return wide.select("*", F.explode(F.sequence(at("min_y"), at("max_y"))).alias("gy"))
 
-    met = celled(base, "b").join(celled(other, "o"), ["patch_id", "gx", "gy"])
+    cells = ["patch_id", "gx", "gy"]
+    nth = F.row_number().over(Window.partitionBy(*cells).orderBy(F.xxhash64("b_id"))).alias("nth")
+    placed, open_, found = written(celled(base, "b").select("*", nth), "base-cells"), celled(other, "o"), None
     boxes = (F.col("b_box.min_x") <= F.col("o_box.max_x")) & (F.col("b_box.max_x") >= F.col("o_box.min_x")) & (F.col("b_box.min_y") <= F.col("o_box.max_y")) & (F.col("b_box.max_y") >= F.col("o_box.min_y"))
     corner = lambda axis: F.floor(F.greatest(f"b_box.min_{axis}", f"o_box.min_{axis}") / cell).cast("int")
     once = (F.col("gx") == corner("x")) & (F.col("gy") == corner("y"))
-    hit = met.where(boxes & once).select("patch_id", F.col("o_id").alias("other_id"), kernels.rings_overlap("b_ring", "o_ring").alias("hit")).where("hit")
-    # A footprint that overlaps several of the base is found with each.
-    return hit.groupBy("patch_id", "other_id").agg(F.lit(1).alias("one")).drop("one")
+    most, low, high = placed.agg(F.max("nth")).first()[0] or 0, 0, first
+    while True:
+        met = placed.where((F.col("nth") > low) & (F.col("nth") <= high)).join(open_, cells)
+        hit = met.where(boxes & once).select("patch_id", F.col("o_id").alias("other_id"), kernels.rings_overlap("b_ring", "o_ring").alias("hit")).where("hit")
+        # A footprint that overlaps several of the base is found with each.
+        hit = hit.groupBy("patch_id", "other_id").agg(F.lit(1).alias("one")).drop("one")
+        last = high >= most
+        hit = hit if last and found is None else written(hit, "overlapping")
+        found = hit if found is None else found.unionByName(hit)
+        if last:
+            return found
+        gone = hit.select(F.col("patch_id").alias("at"), "other_id")
+        open_ = written(open_.join(gone, (F.col("patch_id") == F.col("at")) & (F.col("o_id") == F.col("other_id")), "left_anti"), "open")
+        low, high = high, high * more
 
 
 def merged_sources(base: DataFrame, other: DataFrame) -> DataFrame:
