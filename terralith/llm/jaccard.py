@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import bodies, hashed_shingles, text_bytes, words_of, written
+from terralith.llm.common import bodies, hashed_shingles, lean, text_bytes, words_of, written
 from terralith.llm.graph import components
 from terralith.llm.ngram_filter import _by_segment, _first, _pack, _unpack, places
 
@@ -204,10 +204,10 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     rows = docs.select(text_bytes().alias("body"))
     total = int(rows.select(F.sum(F.octet_length("body"))).first()[0] or 0)
     parts, segments = max(1, -(-total // batch_bytes)), max(1, -(-total // segment_bytes))
-    dealt = rows.mapInArrow(_texts(parts), "batch int, same binary, body binary").repartition(parts, "batch")
-    asked = dealt.groupBy("batch").applyInArrow(_ask(segments, shingle), "part int, batch int, keys binary, n binary")
-    answered = asked.groupBy("part").applyInArrow(_answer, "batch int, part int, df binary")
-    return written(dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(_order(segments, shingle, percent), SETS), "sets")
+    dealt = rows.mapInArrow(lean(_texts(parts)), "batch int, same binary, body binary").repartition(parts, "batch")
+    asked = dealt.groupBy("batch").applyInArrow(lean(_ask(segments, shingle)), "part int, batch int, keys binary, n binary")
+    answered = asked.groupBy("part").applyInArrow(lean(_answer), "batch int, part int, df binary")
+    return written(dealt.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(lean(_order(segments, shingle, percent)), SETS), "sets")
 
 
 class Links:

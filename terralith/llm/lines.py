@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import batched, bodies, text_bytes
+from terralith.llm.common import batched, bodies, lean, text_bytes
 
 #: Keys found in so many documents lose all their lines.
 MIN_DOCS = 10
@@ -198,12 +198,12 @@ def _drop(min_chars: int):
 
 
 def sent_lines(dealt: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    return dealt.mapInArrow(_send(shards, min_chars), "shard int, batch int, keys binary, docs binary")
+    return dealt.mapInArrow(lean(_send(shards, min_chars)), "shard int, batch int, keys binary, docs binary")
 
 
 def line_index(sent: DataFrame) -> DataFrame:
     """One row per shard: the arrays of its perfect hash (see INDEX_SCHEMA)."""
-    return sent.groupBy("shard").applyInArrow(_index, INDEX_SCHEMA)
+    return sent.groupBy("shard").applyInArrow(lean(_index), INDEX_SCHEMA)
 
 
 def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -214,9 +214,9 @@ def without_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     rows = docs.select(text_bytes().alias("body"), F.struct(*others, F.col("text").isNull().alias("text_is_null")).alias("rest"))
     dealt, batches = batched(rows, batch_bytes)
     sent = sent_lines(dealt, max(1, batches * batch_bytes // shard_bytes), min_chars)
-    gone = sent.groupBy("shard").cogroup(line_index(sent).groupBy("shard")).applyInArrow(_probe(min_docs), "batch int, gone binary")
+    gone = sent.groupBy("shard").cogroup(line_index(sent).groupBy("shard")).applyInArrow(lean(_probe(min_docs)), "batch int, gone binary")
     schema = T.StructType([rows.schema["rest"]]).add("n_lines", "long").add("n_dropped", "long").add("kept", "binary")
-    return dealt.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(_drop(min_chars), schema)
+    return dealt.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(lean(_drop(min_chars)), schema)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

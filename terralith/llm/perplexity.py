@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralith.llm.common import text_bytes, written
+from terralith.llm.common import lean, text_bytes, written
 
 ORDER = 5
 #: Bits of a symbol: a byte, the place before a text, or its end.
@@ -264,7 +264,7 @@ def dealt(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
     total = int(rows.select(F.sum(F.octet_length("body"))).first()[0] or 0)
     n = max(1, -(-total // batch_bytes))
     schema = T.StructType().add("batch", "integer").add("rest", T.ArrayType(rows.schema["rest"].dataType)).add("sizes", T.ArrayType(T.IntegerType())).add("body", "binary")
-    return rows.mapInArrow(_chunks(n), schema).repartition(n, "batch"), total
+    return rows.mapInArrow(lean(_chunks(n)), schema).repartition(n, "batch"), total
 
 
 def _count(parts: int):
@@ -290,7 +290,7 @@ class Model:
         """(part, keys, n) of every batch. The text isn't joined: its ids are, and those that are trusted go to their batch."""
         rows, _ = dealt(self.docs, batch_bytes)
         own = rows.select("batch", F.explode("rest.doc_id").alias("doc_id")).join(self.ids, "doc_id", "left_semi").select(F.col("batch").alias("own"), "doc_id")
-        return rows.groupBy("batch").cogroup(own.groupBy("own")).applyInArrow(_count(parts), "part int, keys binary, n binary")
+        return rows.groupBy("batch").cogroup(own.groupBy("own")).applyInArrow(lean(_count(parts)), "part int, keys binary, n binary")
 
 
 def _ask(parts: int):
@@ -345,13 +345,13 @@ def scored(docs: DataFrame, model: Model, batch_bytes: int = BATCH_BYTES, part_b
     rows, total = dealt(docs, batch_bytes)
     parts = min(_PAIR + 1, max(1, -(-total // part_bytes)))
     counts = model.counts(parts, batch_bytes)
-    facts = counts.groupBy("part").applyInArrow(_facts, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
+    facts = counts.groupBy("part").applyInArrow(lean(_facts), "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0")
     one = F.shiftleft("kind", _KIND).bitwiseOR(F.shiftleft("key", _COUNT)).bitwiseOR(F.col("n"))
     every = facts.agg(F.collect_list(one).alias("facts")).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("int").alias("batch"), F.lit(None).cast("binary").alias("keys"), "facts")
-    asked = rows.groupBy("batch").applyInArrow(_ask(parts), "part int, batch int, keys binary, facts array<long>").unionByName(every)
-    back = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_answer, "batch int, part int, logp binary")
+    asked = rows.groupBy("batch").applyInArrow(lean(_ask(parts)), "part int, batch int, keys binary, facts array<long>").unionByName(every)
+    back = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(lean(_answer), "batch int, part int, logp binary")
     schema = T.StructType().add("rest", rows.schema["rest"].dataType.elementType).add("n_symbols", "long").add("logprob", "double")
-    return rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_score, schema)
+    return rows.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(lean(_score), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR) -> DataFrame:
