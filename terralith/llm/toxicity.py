@@ -9,9 +9,10 @@ relevant words are. Where a text has relevant terms they decide what is near it,
 otherwise its other words do.
 
 An inverted index holds each term's postings (entry, weight) in blocks of entries with
-each block's largest weight. A query bounds every block by those, scores the blocks of
-highest bounds, then all whose bound reaches the k-th score found, which is exact. The
-votes of the k nearest entries, weighted by closeness, are calibrated by isotonic
+each block's largest weight. Frequent terms give all entries a score at first, many queries
+at once in single precision; with the blocks' largest weights that bounds every block, and
+blocks whose bound reaches the k-th of those scores are scored. Entries that may be among the
+k nearest then get their cosines in double precision, so the search is exact. The votes of the k nearest entries, weighted by closeness, are calibrated by isotonic
 regression on the examples themselves, each without the entry of its own text.
 
 Examples are at most about ``MAX_EXAMPLES`` labelled documents outside the held
@@ -31,7 +32,7 @@ import math
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,10 @@ PREFIXES = range(4, 8)
 WORDS_PER_TERM = 50.0
 NEIGHBOURS = 25
 BLOCK = 64
-#: Blocks that are scored at first.
-FIRST_BLOCKS = 4
+#: Queries whose frequent terms are multiplied at once.
+RUN = 64
+#: More than single precision changes a product of unit vectors of less than 1,000 frequent terms, by 2^-24 of it a term.
+SLACK = 1e-4
 #: Terms that more of the entries hold have a place for every entry.
 FREQUENT = 0.04
 THRESHOLD = 0.3
@@ -100,40 +103,64 @@ def vocabulary(examples: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
 
 
 class Terms(dict):
-    """A word's term numbers, remembered; the number of words is the last term."""
+    """A code for each word, remembered: its term's number, ``UNKNOWN``, or for a word of several terms less; the number of words is the last term."""
+
+    UNKNOWN = -1
 
     def __init__(self, numbers: dict[str, int], weights: np.ndarray, unknown: float):
-        self.numbers, self.weights, self.unknown = numbers, weights, unknown
+        #: Keys are UTF-8, so that most words are looked up as they are.
+        self.numbers, self.weights, self.unknown = {t.encode(): n for t, n in numbers.items()}, weights, unknown
         #: The first letters of the beginnings that are terms: few words have any.
-        self.heads = {t[: PREFIXES[0]] for t in numbers if t[0] != "="}
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        bare = _bare(word)
-        if bare[: PREFIXES[0]] in self.heads:
-            found = tuple(self.numbers[t] for t in word_terms(word) if t in self.numbers)
+        self.heads = {t[: PREFIXES[0]].encode() for t in numbers if t[0] != "="}
+        #: Terms of the words with code -2, -3 and so on.
+        self.several: list[tuple[int, ...]] = []
+
+    def __missing__(self, word: bytes) -> int:
+        bare = word.strip(_EDGES)
+        if bare.isascii():
+            head = bare[: PREFIXES[0]]
         else:
-            known = self.numbers.get("=" + bare)
-            found = () if known is None else (known,)
-        self[word] = found
-        return found
+            bare = _bare(word)
+            head, bare = bare[: PREFIXES[0]].encode(), bare.encode()
+        if head in self.heads:
+            code = self._several(tuple(self.numbers[t] for t in map(str.encode, word_terms(word)) if t in self.numbers))
+        else:
+            code = self.numbers.get(b"=" + bare, self.UNKNOWN)
+        self[word] = code
+        return code
+
+    def _several(self, terms: tuple[int, ...]) -> int:
+        if len(terms) < 2:
+            return terms[0] if terms else self.UNKNOWN
+        self.several.append(terms)
+        return -1 - len(self.several)
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and TF-IDF weights of the unit vector; nothing for a text without words."""
         words = Counter(text.lower().split())
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
-        found = list(map(self.__getitem__, words))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n = np.fromiter(words.values(), np.float64, len(found))
-        terms, inverse = np.unique(np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), return_inverse=True)
-        weights = np.bincount(inverse, weights=np.repeat(n, sizes), minlength=len(terms)) * self.weights[terms]
-        unknown = float((n[sizes == 0] ** 2).sum())
+        codes = self._codes(words)
+        n = np.fromiter(words.values(), np.float64, len(words))
+        more = np.flatnonzero(codes < self.UNKNOWN)
+        found = [self.several[-2 - c] for c in codes[more].tolist()]
+        known = codes >= 0
+        flat = np.concatenate([codes[known], np.fromiter(chain.from_iterable(found), np.int64)])
+        counts = np.concatenate([n[known], np.repeat(n[more], list(map(len, found)))])
+        terms, inverse = np.unique(flat, return_inverse=True)
+        weights = np.bincount(inverse, weights=counts, minlength=len(terms)) * self.weights[terms]
+        unknown = float((n[codes == self.UNKNOWN] ** 2).sum())
         length = float(n.sum()) / WORDS_PER_TERM * math.log(2)
         norm = math.sqrt(float(weights @ weights) + unknown * self.unknown**2 + length * length)
         return np.append(terms, len(self.weights)), np.append(weights, length) / norm
 
+    def _codes(self, words: Counter) -> np.ndarray:
+        """The words' codes. All is forgotten between texts only, as codes below ``UNKNOWN`` are places."""
+        if len(self) + len(words) > REMEMBERED:
+            self.clear()
+            self.several.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
 
 def _ranges(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(all places from each start up to its stop, the number of the range each is of)."""
@@ -154,13 +181,14 @@ class BlockMaxIndex:
         #: The row of a frequent term, -1 for others.
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         full = often[terms]
-        self.whole = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
-        self.whole[self.row[terms[full]], entries[full]] = weights[full]
-        #: Room for the rows of a query's frequent terms; made where it is used, never sent.
-        self.taken = None
+        #: The weights of each entry's frequent terms.
+        self.whole = np.zeros((self.n_blocks * BLOCK, int(often.sum())))
+        self.whole[entries[full], self.row[terms[full]]] = weights[full]
+        #: The same by term in single precision; made where it is used, never sent.
+        self.rough = None
         terms, entries, weights = terms[~full], entries[~full], weights[~full]
         order = np.lexsort((entries, terms))
-        terms, self.entries, self.weights = terms[order], entries[order].astype(np.int32), weights[order]
+        terms, self.entries, self.weights = terms[order], entries[order], weights[order]
         block = self.entries // BLOCK
         new = np.concatenate([np.ones(min(len(terms), 1), bool), (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])
         #: Of each block of a term's postings: where it begins (and the end of all), which block of entries, the largest weight.
@@ -171,39 +199,45 @@ class BlockMaxIndex:
         self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) of the k nearest, nearest first, ties by place.
-
-        What the frequent terms give every entry is known at once; a block's bound is the most of that and of its other postings.
-        """
-        rows = self.row[terms]
-        often = rows >= 0
-        rows, heavy, terms, weights = rows[often], weights[often], terms[~often], weights[~often]
-        if self.taken is None:
-            self.taken = np.empty_like(self.whole)
-        score = heavy @ np.take(self.whole, rows, axis=0, out=self.taken[: len(rows)], mode="clip")
-        at, of = _ranges(self.of_term[terms], self.of_term[terms + 1])
-        block, weight = self.block[at], weights[of]
-        bounds = np.bincount(block, weights=weight * self.most[at], minlength=self.n_blocks) + score.reshape(-1, BLOCK).max(axis=1)
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argpartition(bounds, -FIRST_BLOCKS)[-FIRST_BLOCKS:] if len(bounds) > FIRST_BLOCKS else slice(None)] = True
-        self._add(score, first, at, block, weight)
+        """(entries, cosines) of the k nearest, nearest first, ties by place."""
+        return next(self.nearest_of([(terms, weights)], k))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` gives each of the queries, whichever they come with."""
+        if self.rough is None:
+            self.rough = np.ascontiguousarray(self.whole.T, np.float32)
+        heavy = np.zeros((len(queries), len(self.rough)), np.float32)
+        rows = [self.row.take(terms) for terms, _ in queries]
+        for given, row, (_, weights) in zip(heavy, rows, queries):
+            given[row[row >= 0]] = weights[row >= 0]
+        slack = SLACK * max(1.0, len(self.rough) / 1000)
+        for score, row, (terms, weights) in zip(heavy @ self.rough, rows, queries):
+            often = row >= 0
+            yield self._nearest(score, row[often], weights[often], terms[~often], weights[~often], k, slack)
+
+    def _nearest(self, score: np.ndarray, rows: np.ndarray, heavy: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """``score``: about what the frequent terms give every entry. A block's bound is the most of that and of its other postings."""
+        at, of = _ranges(self.of_term.take(terms), self.of_term.take(terms + 1))
+        block, weight = self.block.take(at), weights.take(of)
+        bounds = np.bincount(block, weights=weight * self.most.take(at), minlength=self.n_blocks) + score.reshape(-1, BLOCK).max(axis=1)
         reached = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        self._add(score, ~first & (bounds >= reached - 1e-12), at, block, weight)
+        chosen = bounds >= reached - 2 * slack
+        if not chosen.all():
+            open_ = np.flatnonzero(chosen.take(block))
+            at, weight = at.take(open_), weight.take(open_)
+        starts, stops = self.begins.take(at), self.begins.take(at + 1)
+        place, of = _ranges(starts, stops)
+        rest = np.bincount(self.entries.take(place), weights=self.weights.take(place) * weight.take(of), minlength=len(score))
+        about = score + rest
+        reached = np.partition(about, -k)[-k] if len(about) > k else 0.0
         # Of the blocks left out no entry reaches that.
-        maybe = np.flatnonzero(score >= max(reached - 1e-11, 1e-13))
-        found = np.round(score[maybe], 12)
+        maybe = np.flatnonzero(about >= reached - 2 * slack)
+        exact = (self.whole[maybe[:, None], rows] * heavy).sum(axis=1) + rest[maybe]
+        found = np.round(exact, 12)
         best = np.argsort(-found, kind="stable")[:k]
         best = best[found[best] >= 1e-12]
         return maybe[best], found[best]
 
-    def _add(self, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, block: np.ndarray, weight: np.ndarray) -> None:
-        """What the other terms give the entries of the chosen blocks."""
-        chosen = blocks[block]
-        here = at[chosen]
-        if len(here):
-            place, of = _ranges(self.begins[here], self.begins[here + 1])
-            score += np.bincount(self.entries[place], weights=self.weights[place] * weight[chosen][of], minlength=len(score))
-
 
 class Classifier:
     """What scoring needs; bounded by the examples, small enough to broadcast."""
@@ -224,11 +258,14 @@ class Classifier:
         self.n, self.toxic, self.keys = (rows.column(c).to_numpy()[order] for c in ("n", "toxic", "text_key"))
         self.ids = rows.column("doc_id").take(pa.array(order)).to_pylist()
 
-    def votes(self, terms: np.ndarray, weights: np.ndarray, text_key: int, k: int = NEIGHBOURS) -> tuple[float | None, list]:
-        """The toxic share of the nearest entries' votes, leaving out the entry of the very same text, and the evidence."""
-        if not len(terms) or not len(self.ids):
-            return None, []
-        place, cosine = self.index.nearest(terms, weights, k + 1)
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], text_keys: list[int], k: int = NEIGHBOURS) -> Iterator[tuple[float | None, list]]:
+        """For each query (terms, weights) the toxic share of the nearest entries' votes, leaving out the entry of the very same text, and the evidence."""
+        for some in batched(zip(queries, text_keys), RUN):
+            near = self.index.nearest_of([q for q, _ in some if len(q[0])], k + 1) if len(self.ids) else None
+            for (terms, _), text_key in some:
+                yield self._vote(*next(near), text_key, k) if near and len(terms) else (None, [])
+
+    def _vote(self, place: np.ndarray, cosine: np.ndarray, text_key: int, k: int) -> tuple[float | None, list]:
         other = self.keys[place] != text_key
         place, cosine = place[other][:k], cosine[other][:k]
         if not len(place):
@@ -238,13 +275,16 @@ class Classifier:
         evidence = [(self.ids[p], float(c)) for p, c in zip(place[:3].tolist(), cosine)]
         return float((weight * self.toxic[place] / self.n[place]).sum() / weight.sum()), evidence
 
-    def scored(self, text: bytes, text_key: int) -> tuple[float | None, list]:
-        """The votes on a text; those on some texts are remembered, for copies."""
-        if text_key not in self.seen:
-            if len(self.seen) >= REMEMBERED_TEXTS:
-                self.seen.clear()
-            self.seen[text_key] = self.votes(*self.terms.vector(text), text_key)
-        return self.seen[text_key]
+    def scored(self, texts: list[bytes], text_keys: list[int]) -> list[tuple[float | None, list]]:
+        """The votes on texts; those on some are remembered, for copies."""
+        fresh = {k: t for t, k in zip(texts, text_keys) if k not in self.seen}
+        found = {k: self.seen[k] for k in text_keys if k not in fresh}
+        for keys in batched(fresh, RUN):
+            found.update(zip(keys, self.votes([self.terms.vector(fresh[k]) for k in keys], list(keys))))
+        if len(self.seen) + len(fresh) > REMEMBERED_TEXTS:
+            self.seen.clear()
+        self.seen.update((k, found[k]) for k in islice(fresh, REMEMBERED_TEXTS))
+        return [found[k] for k in text_keys]
 
 
 def calibrated(vote: float | None, curve: tuple[list[float], list[float]], blank: float) -> float:
@@ -283,7 +323,8 @@ def _vectors(shared):
 def _votes(shared):
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.votes(t.values.to_numpy(), w.values.to_numpy(), k)[0] for t, w, k in zip(b.column("terms"), b.column("weights"), b.column("text_key").to_pylist())]
+            queries = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(b.column("terms"), b.column("weights"))]
+            found = [vote for vote, _ in shared.value.votes(queries, b.column("text_key").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column("toxic"), b.column("n")], names=["vote", "toxic", "n"])
 
     return votes
@@ -321,7 +362,7 @@ def _scores(shared, curve, blank: float, kind: pa.DataType):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [model.scored(t, k) for t, k in zip(b.column("body").to_pylist(), b.column("text_key").to_pylist())]
+            found = model.scored(b.column("body").to_pylist(), b.column("text_key").to_pylist())
             score = pa.array([calibrated(vote, curve, blank) for vote, _ in found], pa.float64())
             evidence = pa.array([[{"doc_id": d, "cosine": c} for d, c in e] for _, e in found], entry)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), score, evidence], names=["doc_id", "score", "evidence"])

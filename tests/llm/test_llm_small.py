@@ -576,6 +576,36 @@ def test_block_max_is_exact():
             assert np.allclose(cosine, np.sort(want)[::-1][:n]) and np.allclose(want[place], cosine)
 
 
+def test_queries_at_once_are_as_alone():
+    """Single precision never decides: entries that differ by less keep their order, whichever queries come along."""
+    rng = np.random.default_rng(8)
+    dense = rng.random((500, 40)) ** 3 * (rng.random((500, 40)) < 0.5)
+    dense[:200] = dense[0] * (1 + rng.random((200, 40)) * 1e-8)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    entries, terms = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(terms, entries, dense[entries, terms], 40, 500)
+    queries = [(np.flatnonzero(dense[i]), dense[i][dense[i] > 0]) for i in range(0, 500, 7)]
+    together = list(index.nearest_of(queries, 25))
+    for (t, w), (place, cosine) in zip(queries, together):
+        want = np.round((dense[:, t] * w).sum(axis=1), 12)
+        best = np.argsort(-want, kind="stable")[:25]
+        assert np.abs(cosine - want[best]).max() < 2e-12 and np.abs(want[place] - want[best]).max() < 2e-12
+        alone = index.nearest(t, w, 25)
+        assert (alone[0] == place).all() and (alone[1] == cosine).all()
+
+
+def test_words_are_forgotten_between_texts(monkeypatch):
+    numbers = {t: k for k, t in enumerate(["=house", "=vile", "vile", "=été"])}
+    texts = ["vile, house vileness Été".encode(), b"house (vilest) x y z", "VILE été! nothing".encode()] * 3
+    plain = [toxicity.Terms(numbers, np.arange(1.0, 5), 0.5).vector(t) for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    terms = toxicity.Terms(numbers, np.arange(1.0, 5), 0.5)
+    for t, want in zip(texts, plain):
+        assert all((x == y).all() for x, y in zip(terms.vector(t), want))
+        assert len(terms) <= 5
+    assert [p[0].tolist() for p in plain[:3]] == [[0, 1, 2, 3, 4], [0, 2, 4], [1, 2, 3, 4]]
+
+
 def test_toxicity_by_brute_force(spark):
     """Scores and evidence equal those of dense vectors over all words and beginnings, neighbour by neighbour."""
     corpus, labels = toxic_corpus(spark)
