@@ -262,11 +262,12 @@ class Links:
         rows = rows.select("cluster", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "c", "comp", "n", "l", "prefix", "tokens")
         return rows.groupBy("cluster", "i", "j").applyInArrow(_cell_links(self.percent), "a long, b long")
 
-    def all(self, more: DataFrame | None = None) -> DataFrame:
-        """(a, b), a < b; ``more``: pairs of classes to compare at first, besides those with centres."""
-        met = self.with_centres().select("a", "b")
-        near = written(self.compared(met if more is None else met.unionByName(more).distinct(), self.near), "near")
+    def all(self, joined: DataFrame | None = None) -> DataFrame:
+        """(a, b), a < b; ``joined``: links known before, by which pairs may be joined already; they are among the result."""
+        near = written(self.compared(self.with_centres().select("a", "b"), self.near), "near")
         links = near.where(100 * F.col("shared") >= self.percent * F.col("either")).select("a", "b")
+        if joined is not None:
+            links = links.unionByName(joined)
         # Each class joins the cluster of the heaviest centre near it.
         centred = self.with_centres().join(near, ["a", "b"]).withColumn("c", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")))
         best = centred.groupBy("c").agg(F.max(F.struct("weight", "centre")).alias("top")).select(F.least("c", "top.centre").alias("a"), F.greatest("c", "top.centre").alias("b"))

@@ -311,6 +311,24 @@ def test_keep_one_knows_rows_by_their_words(spark, tmp_path):
     assert simhash.keep_one(dotted).columns[-1] == "a.b"
 
 
+def test_fingerprints_decide_what_keep_one_keeps(spark):
+    """Of each component of operator 6 one stays, also where texts share less than four fifths of their shingles; chains may use links of both kinds."""
+    rng = random.Random(6)
+    own = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    first, second, long = own(60), own(60), own(300)
+    chant = ["so"] * 120
+    texts = [chant + first, chant + second, chant + second + own(9), long, long + own(50), own(80), own(80), []]
+    prints = [simhash.fingerprint(" ".join(t).encode(), 5) for t in texts]
+    near = lambda a, b: ((prints[a] ^ prints[b]) & ((1 << 64) - 1)).bit_count() <= 2
+    assert near(0, 1) and similarity(texts[0], texts[1]) < 0.5
+    assert similarity(texts[1], texts[2]) >= 0.8 and not near(3, 4) and similarity(texts[3], texts[4]) >= 0.8
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1, "b", "x", "r") for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == [0, 3, 5, 6, 7]
+    component = {r.doc_id: r.component_id for r in simhash.grouped(docs, 5).collect()}
+    assert len({component[i] for i in kept}) == len(kept) and component[1] == 0
+
+
 def test_golay_links_and_chains(spark):
     rng = random.Random(7)
     prints = []
