@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from terralith.functions import geo, kernels, rings, tags
 from terralith.operators.footprints import computed
-from terralith.operators.numbering import numbered
+from terralith.operators.numbering import numbered, ranked
 from terralith.shared import written
 
 SHORTEST_M, FIRST_FLOORS, MORE_FLOORS = 0.01, 4, 3
@@ -270,17 +270,15 @@ def shared_vertices(faces: DataFrame, group: list[str], face: list[str]) -> tupl
     """(vertices, corners) at 4 decimals: vertices numbered from 1 within ``group``; repeated corners and faces left with under 3 go.
 
     Groups of buildings are numbered by ``indexed_corners``. Larger ones may be most of all
-    corners: there corners are sifted face by face, the distinct points of a group are numbered by
-    ranges, and corners get their numbers by a join on the points.
+    corners: there corners are sifted face by face and get their points' numbers by ranges.
     """
     keys = list(dict.fromkeys([*group, *face]))
     if "osm_id" in group:
         indexed = written(indexed_corners(faces, group, face), "corners")
         return indexed.where("own").select(*group, "x", "y", "z", "vertex_id"), indexed.where("corner IS NOT NULL").select(*keys, "corner", "vertex_id")
-    sifted = written(faces.select(*keys, F.inline(kernels.distinct_corners("corners"))), "corners")
-    every = faces.select(*group, F.inline(F.transform("corners", lambda p: F.struct(*[(F.bround(p[c], 4) + F.lit(0.0)).alias(c) for c in "xyz"]))))
-    vertices = numbered(every.distinct(), group, ["x", "y", "z"], "vertex_id")
-    return vertices, sifted.join(vertices, [*group, "x", "y", "z"]).select(*keys, "corner", "vertex_id")
+    sifted = written(faces.select(*keys, F.inline(kernels.every_corner("corners"))), "corners")
+    found = ranked(sifted, group, ["x", "y", "z"], "vertex_id")
+    return found.where("own").select(*group, "x", "y", "z", "vertex_id"), found.where("corner IS NOT NULL").select(*keys, "corner", "vertex_id")
 
 
 def export_offsets(counts: DataFrame) -> DataFrame:
@@ -312,7 +310,7 @@ def merged_groups(vertices: DataFrame, corners: DataFrame, into: Column, order:
     """
     sizes = vertices.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n")).withColumns({"into": into, "place": order})
     before = Window.partitionBy("patch_id", "lod", "into").orderBy("place", "grp").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("patch_id", "lod", "grp", "into", "shift")
+    shifts = written(sizes.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select("patch_id", "lod", "grp", "into", "shift"), "shifts")
 
     def moved(rows: DataFrame) -> DataFrame:
         joined = rows.join(shifts, ["patch_id", "lod", "grp"]).withColumn("vertex_id", F.col("vertex_id") + F.col("shift"))
@@ -327,8 +325,8 @@ def numbered_for_export(vertices: DataFrame, corners: DataFrame) -> tuple[DataFr
     (patch_id, lod, grp, vertex_id, ...) get ``index``; corners also ``uv_index``.
     """
     counts = vertices.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))
-    first = export_offsets(counts).select("patch_id", "lod", "grp", F.col("first").alias("first_vertex"))
-    textures = export_offsets(corners.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))).select("patch_id", "lod", "grp", F.col("first").alias("first_uv"))
+    first = written(export_offsets(counts).select("patch_id", "lod", "grp", F.col("first").alias("first_vertex")), "offsets")
+    textures = written(export_offsets(corners.groupBy("patch_id", "lod", "grp").agg(F.count("*").alias("n"))).select("patch_id", "lod", "grp", F.col("first").alias("first_uv")), "offsets")
     group = ["patch_id", "lod", "grp"]
     indexed = vertices.join(first, group).withColumn("index", F.col("vertex_id") + F.col("first_vertex") - 1).drop("first_vertex")
     nth = numbered(corners, group, ["osm_id", "ring_no", "pos", "part", "corner"], "uv_index")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from terralith.functions import kernels, roofs
 from terralith.operators import footprints as fo
 from terralith.operators import panels as pa
-from terralith.plans.derived import FOOTPRINTS_SQL
+from terralith.plans.derived import FOOTPRINTS_SQL, patch_name, table
 from terralith.plans.footprint_queries import CLASSES_SQL, _full
-from terralith.shared import written
+from terralith.shared import scratch, shared_folder, written
 
 Q: dict = {}
 O: dict = {}  # noqa: E741
@@ -252,9 +252,8 @@ add("e4_one_sided", e4_one_sided, "SELECT osm_id, 2::BIGINT AS faces FROM b WHER
 FACE_COLUMNS = ["actual_roof", "outer", "holes", "floor_z", "height_m", "floors", "facade", "roof_slice", "axis_deg", "obb", "centroid"]
 
 
-def all_faces(spark, sf) -> DataFrame:
-    """Walls and roofs of all buildings with their group: pitched roofs apart from the houses."""
-    whole = built(spark, sf)
+def all_faces(whole: DataFrame) -> DataFrame:
+    """Walls and roofs of buildings with their group: pitched roofs apart from the houses."""
     wall, roof = fo.mesh_group(F.col("wall_kind"), F.col("actual_roof"), roofs.flat_bucket(F.col("seed")), folded=False)
     # Six kinds of faces come from the same classified buildings.
     buildings = written(whole.select("patch_id", "osm_id", wall.alias("wall_group"), roof.alias("roof_group"), *FACE_COLUMNS), "built")
@@ -268,22 +267,45 @@ def all_faces(spark, sf) -> DataFrame:
     return walls.unionByName(tops).withColumn("lod", F.lit(0))
 
 
-def exported(spark, sf):
+def exported(buildings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group meshes with shared vertices, pitched roofs merged into the houses, numbered in export order."""
     group, face = ["patch_id", "lod", "grp"], ["osm_id", "ring_no", "pos", "part"]
-    vertices, corners = pa.shared_vertices(written(all_faces(spark, sf), "faces"), group, face)
+    vertices, corners = pa.shared_vertices(all_faces(buildings), group, face)
     merged = F.when(F.col("grp").isin("gabled_roofs_lod0", "hipped_roofs"), "houses").otherwise(F.col("grp"))
     place = F.when(F.col("grp") == "gabled_roofs_lod0", 1).when(F.col("grp") == "hipped_roofs", 2).otherwise(0)
     return pa.numbered_for_export(*pa.merged_groups(vertices, corners, merged, place))
 
 
+#: Buildings of the patches that are exported at once, where single patches don't have more.
+SHARE = 1_000_000
+
+
+def patch_shares(buildings: DataFrame, most: int = SHARE) -> list[list[str]]:
+    """The patches in order, as many at once as have ``most`` buildings together: at least one patch, however large."""
+    shares, held = [], 0
+    for r in buildings.groupBy("patch_id").count().orderBy("patch_id").collect():
+        if not shares or held + r["count"] > most:
+            shares.append([])
+            held = 0
+        shares[-1].append(r.patch_id)
+        held += r["count"]
+    return shares
+
+
 def e3_k2_merged_export(spark, sf):
-    vertices, corners = exported(spark, sf)
-    of_vertices = vertices.groupBy("patch_id", "grp").agg(F.count("*").alias("vertices"), F.min("index").cast("bigint").alias("first_index"), F.max("index").cast("bigint").alias("last_index"))
-    of_corners = corners.groupBy("patch_id", "grp").agg(
-        F.count("*").alias("corners"), F.sum("index").cast("bigint").alias("sum_of_indices"), F.min("uv_index").cast("bigint").alias("first_uv"), F.max("uv_index").cast("bigint").alias("last_uv")
-    )
-    return of_vertices.join(of_corners, ["patch_id", "grp"])
+    """Patches have numbers of their own, so they are exported share by share, and a share's faces, corners and shuffles are gone before the next."""
+    path = shared_folder(spark, "export")
+    patches = table(spark, sf, "orders").select(patch_name(F.col("o_custkey") % 25).alias("patch_id"))
+    for share in patch_shares(patches) or [[]]:
+        with scratch(spark):
+            vertices, corners = exported(built(spark, sf).where(F.col("patch_id").isin(share)))
+            of_vertices = vertices.groupBy("patch_id", "grp").agg(F.count("*").alias("vertices"), F.min("index").cast("bigint").alias("first_index"), F.max("index").cast("bigint").alias("last_index"))
+            of_corners = corners.groupBy("patch_id", "grp").agg(
+                F.count("*").alias("corners"), F.sum("index").cast("bigint").alias("sum_of_indices"), F.min("uv_index").cast("bigint").alias("first_uv"), F.max("uv_index").cast("bigint").alias("last_uv")
+            )
+            found = of_vertices.join(of_corners, ["patch_id", "grp"])
+            found.write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 EXPORT_SQL = f"""
